@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import flow_sharding, url_filter, warc_store
+from plumbline.llm import embedding_dedup, flow_sharding, quality_fm, simhash, url_filter, warc_store
 from plumbline.llm.common import new_dir, table
 
 URL_RULES = [
@@ -18,6 +18,22 @@ URL_RULES = [
 OLD_SHARDS, SHARDS = 12, 16
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality_fm.train(docs, labels.filter(~quality_fm.held_out(F.col("doc_id"))))
+    return quality_fm.score(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        quality_fm.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality_fm.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "warc")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
@@ -46,11 +62,18 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
+        "op2_embedding_dedup": op2_embedding_dedup,
+        "op3_quality": op3_quality,
         "op7_warc": op7_warc,
         "op8_sharding": op8_sharding,
         "op9_url_filter": op9_url_filter,
+        "op10_simhash": op10_simhash,
     }
 
 
@@ -84,5 +107,18 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f W
 """
 
 
+OP2_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+ok AS (SELECT vec_id, v FROM e WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND list_sum(list_transform(v, lambda x: x * x)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+walk(a, b) AS (SELECT a, b FROM links UNION SELECT w.a, l.b FROM walk w JOIN links l ON w.b = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
+  least(e.vec_id, coalesce((SELECT min(w.b) FROM walk w WHERE w.a = e.vec_id), e.vec_id)) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce((SELECT min(w.b) FROM walk w WHERE w.a = e.vec_id), e.vec_id)) AS kept
+FROM e
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op7_warc": OP7_SQL, "op9_url_filter": OP9_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op7_warc": OP7_SQL, "op9_url_filter": OP9_SQL}
