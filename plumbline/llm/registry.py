@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import embedding_dedup, flow_sharding, quality_fm, simhash, url_filter, warc_store
+from plumbline.llm import decontamination, embedding_dedup, flow_sharding, line_templates, quality_fm, simhash, url_filter, warc_store
 from plumbline.llm.common import new_dir, table
 
 URL_RULES = [
@@ -34,6 +34,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leak_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "warc")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
@@ -70,6 +78,8 @@ def queries() -> dict:
     return {
         "op2_embedding_dedup": op2_embedding_dedup,
         "op3_quality": op3_quality,
+        "op4_line_dedup": op4_line_dedup,
+        "op6_decontamination": op6_decontamination,
         "op7_warc": op7_warc,
         "op8_sharding": op8_sharding,
         "op9_url_filter": op9_url_filter,
