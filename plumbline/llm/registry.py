@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, embedding_dedup, flow_sharding, line_templates, quality_fm, simhash, url_filter, warc_store
+from plumbline.llm import decontamination, embedding_dedup, flow_sharding, html_crf, line_templates, quality_fm, simhash, url_filter, warc_store
 from plumbline.llm.common import new_dir, table
 
 URL_RULES = [
@@ -18,6 +18,11 @@ URL_RULES = [
 OLD_SHARDS, SHARDS = 12, 16
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_crf.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -76,6 +81,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_embedding_dedup": op2_embedding_dedup,
         "op3_quality": op3_quality,
         "op4_line_dedup": op4_line_dedup,
