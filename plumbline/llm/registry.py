@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, embedding_dedup, flow_sharding, html_crf, line_templates, quality_fm, simhash, url_filter, warc_store
+from plumbline.llm import decontamination, embedding_dedup, flow_sharding, html_crf, line_templates, quality_fm, sentencepiece_lattice, simhash, url_filter, warc_store
 from plumbline.llm.common import new_dir, table
 
 URL_RULES = [
@@ -43,6 +43,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = sentencepiece_lattice.encode_and_check(docs, sentencepiece_lattice.default_pieces(spark))
+    return encoded.select("doc_id", "ids", F.size("ids").alias("n_ids"), "round_trip")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leak_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -85,6 +91,7 @@ def queries() -> dict:
         "op2_embedding_dedup": op2_embedding_dedup,
         "op3_quality": op3_quality,
         "op4_line_dedup": op4_line_dedup,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_decontamination": op6_decontamination,
         "op7_warc": op7_warc,
         "op8_sharding": op8_sharding,
