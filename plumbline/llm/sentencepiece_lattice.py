@@ -1,19 +1,19 @@
 """SentencePiece encoding and decoding with a relational lattice.
 
-Texts are cut into units at places that no piece can span (before a word's space mark, and between two
-characters that are neighbours in no piece), so units are encoded independently and once for the whole
-corpus. The lattice of the distinct units is a table: their substrings up to the longest piece are
-exploded and equi-joined to the piece table, edges are grouped by unit, and Viterbi is a Spark
-``aggregate`` over a unit's edges in order of their ends, with a back-trace.
+Texts are cut into words, at spaces, and words into units, at places that no piece can span (between two
+characters that are neighbours in no piece), so each distinct unit of the corpus is encoded once. The
+lattice of the distinct units is a table: their substrings up to the longest piece are exploded and
+equi-joined to the piece table, edges are grouped by unit, and Viterbi is a Spark ``aggregate`` over a
+unit's edges, with a back-trace.
 
-For unigram models an edge may follow any edge and the best sum of scores wins. For BPE models the best sum of
-scores is not what merging yields, so edges also carry the pieces they may follow: two pieces may be neighbours
-only if merging their joined text leaves exactly them. A segmentation is the merge result if and only if all
-its neighbours are such pairs, so one path remains and the fold gives the library's ids.
+For unigram models an edge may follow any edge and the best sum of scores wins. For BPE models the best sum
+of scores is not what merging yields, so edges are first thinned out: a segmentation is the merge result if
+and only if merging each two neighbours' joined text leaves exactly those two, so an edge stays only if
+it may follow the piece before it. One path remains, and the fold gives the library's ids.
 
-Texts are put together from the encoded units. The ``FREQUENT`` most frequent units go to every task; texts
-with other units get theirs by a join on the unit, gathered by text. Characters that no piece holds become
-byte pieces; runs of spaces become the longest run pieces.
+Texts are put together from the encoded units. The ``FREQUENT`` most frequent words and units go to every
+task; texts with others get them by a join on the unit, gathered by text. Characters that no piece holds
+become byte pieces; runs of spaces become the longest run pieces.
 
 Edge cases: null and empty texts have no pieces; a literal space mark (U+2581) decodes as a space, as in the library;
 equal texts share their units; repeated rows and null ids do no harm; other columns are kept.
@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,8 @@ from plumbline.llm.common import written
 
 SPACE = "▁"
 FREQUENT = 300_000
-MEMORY = 400_000
+MEMORY = 200_000
+SLICE = 2_000
 LONG_UNIT = 256
 
 
@@ -75,13 +77,11 @@ class Pieces:
 
     def cut(self, word: str) -> list[str]:
         """The word's units: cut between characters that are neighbours in no piece."""
-        near, out, start = self.neighbours, [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in near:
-                out.append(word[start:i])
-                start = i
-        out.append(word[start:])
-        return out
+        near = self.neighbours
+        cuts = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in near]
+        if not cuts:
+            return [word]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
     def merged(self, text: str) -> list[str]:
         """The pieces left when the best-scored neighbours of a short text are merged until none can be."""
@@ -101,7 +101,7 @@ class Pieces:
         """Whether merging leaves the two pieces as neighbours."""
         found = known.get((a, b))
         if found is None:
-            if len(known) > 2_000_000:
+            if len(known) > MEMORY:
                 known.clear()
             found = known[a, b] = self.merged(a + b) == [a, b]
         return found
@@ -152,91 +152,107 @@ def segments(text: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def unit_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """``(unit, n)``: the distinct units of all texts; single characters without a piece are left out."""
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``(word, n)``: the distinct words of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0)
+            for k in range(0, len(texts), SLICE):
+                words: Counter[str] = Counter()
+                for text in texts.slice(k, SLICE).to_pylist():
+                    words.update([w for _, w in segments(text)])
+                del words[""]
+                yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
+
+    found = docs.select("text").mapInArrow(run, "word string, n bigint")
+    return found.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def unit_counts(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """``(unit, n)``: the distinct units of the words; single characters without a piece are left out."""
+    shared = words.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            words: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                words.update([w for _, w in segments(text) if w])
             units: Counter[str] = Counter()
-            for word, n in words.items():
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for unit in own.cut(word):
                     units[unit] += n
             kept = [u for u in units if len(u) > 1 or u in own.ids]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([units[u] for u in kept], pa.int64())], ["unit", "n"])
 
-    found = docs.select("text").mapInArrow(run, "unit string, n bigint")
-    return found.groupBy("unit").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+EDGES = "unit string, n bigint, starts array<int>, ends array<int>, ids array<int>, scores array<double>"
 
 
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """``(unit, starts, ends, ids, scores)``: the edges of each unit in order of end and start."""
+    """The edges of each unit ``(unit, n)`` in order of end and start, as ``EDGES``.
+
+    Grouping needs no shuffle of its own where the units come from a grouping by unit.
+    """
     spark = units.sparkSession
     good = [p for p in pieces.ids if not pieces.merges or pieces.merged(p) == [p]]
     table = spark.createDataFrame(pd.DataFrame({"piece": good, "id": [pieces.ids[p] for p in good], "score": [pieces.scores[p] for p in good]}))
     table = table.select("piece", F.col("id").cast("int"), "score")
     size = F.length("unit")
-    starts = units.select("unit", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    ends = starts.select("unit", "start", F.explode(F.sequence(F.col("start") + 1, F.least(size, F.col("start") + pieces.longest))).alias("end"))
+    starts = units.select("unit", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    ends = starts.select("unit", "n", "start", F.explode(F.sequence(F.col("start") + 1, F.least(size, F.col("start") + pieces.longest))).alias("end"))
     parts = ends.withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("end") - F.col("start")))
     edges = parts.join(F.broadcast(table), "piece")  # the piece table is one model's vocabulary
-    grouped = edges.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("end", "start", "id", "score"))).alias("e"))
-    return grouped.select("unit", F.col("e.start").alias("starts"), F.col("e.end").alias("ends"), F.col("e.id").alias("ids"), F.col("e.score").alias("scores"))
+    grouped = edges.groupBy("unit", "n").agg(F.sort_array(F.collect_list(F.struct("end", "start", "id", "score"))).alias("e"))
+    return grouped.select("unit", "n", F.col("e.start").alias("starts"), F.col("e.end").alias("ends"), F.col("e.id").alias("ids"), F.col("e.score").alias("scores"))
 
 
-def with_followers(edges: DataFrame, pieces: Pieces) -> DataFrame:
-    """Adds ``after``: for each edge the ids it may follow (null: any)."""
-    kind = "array<array<int>>"
+def without_misfits(edges: DataFrame, pieces: Pieces) -> DataFrame:
+    """For BPE models: only edges that may follow the piece that ends where they start."""
     if not pieces.merges:
-        return edges.withColumn("after", F.lit(None).cast(kind))
+        return edges
     shared = edges.sparkSession.sparkContext.broadcast(pieces)
+    known: dict[tuple[str, str], bool] = {}
 
-    @F.pandas_udf(kind)
-    def after(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        name = {i: p for p, i in own.ids.items()}
-        known: dict[tuple[str, str], bool] = {}
-        for starts, ends, ids in batches:
-            out = []
-            for s, e, d in zip(starts, ends, ids, strict=True):
-                s, e, d = s.tolist(), e.tolist(), d.tolist()
-                ending: dict[int, list[int]] = {}
-                for end, i in zip(e, d, strict=True):
-                    ending.setdefault(end, []).append(i)
-                rows = []
-                for start, b in zip(s, d, strict=True):
-                    may = []
-                    for a in ending.get(start, ()):
-                        if own.fits(name[a], name[b], known):
-                            may.append(a)
-                    rows.append(may)
-                out.append(rows)
-            yield pd.Series(out)
-
-    return edges.withColumn("after", after("starts", "ends", "ids"))
+        for batch in batches:
+            arrays = [batch.column(k) for k in range(2, 6)]
+            flat = [a.flatten().to_numpy() for a in arrays]
+            starts, ends = flat[0].tolist(), flat[1].tolist()
+            at, kept, sizes = 0, [], [0]
+            for unit, length in zip(batch.column(0).to_pylist(), arrays[0].value_lengths().to_pylist(), strict=True):
+                last: list[str | None] = [""] + [None] * len(unit)
+                for k in range(at, at + length):
+                    start, end = starts[k], ends[k]
+                    before = last[start]
+                    if before is not None and last[end] is None and (not start or own.fits(before, unit[start:end], known)):
+                        last[end] = unit[start:end]
+                        kept.append(k)
+                at += length
+                sizes.append(len(kept))
+            offsets = pa.array(sizes, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *[pa.ListArray.from_arrays(offsets, pa.array(f[kept])) for f in flat]], ["unit", "n", "starts", "ends", "ids", "scores"]
+            )
+
+    return edges.mapInArrow(run, EDGES)
 
 
 def best_paths(edges: DataFrame) -> DataFrame:
-    """``(unit, ids)``: Viterbi over each unit's edges; no row for a unit of which no path reaches the end."""
+    """``(unit, n, ids)``: Viterbi over each unit's edges; no row for a unit of which no path reaches the end."""
     cell = "struct<id:int,score:double,src:int>"
     trace = "struct<at:int,ids:array<int>>"
     size = F.length("unit")
     origin = F.struct(F.lit(-1).alias("id"), F.lit(0.0).alias("score"), F.lit(-1).alias("src")).cast(cell)
     unreached = F.struct(F.lit(-2).alias("id"), F.lit(0.0).alias("score"), F.lit(-1).alias("src")).cast(cell)
     begin = F.array(origin).cast(f"array<{cell}>")
-    after = F.coalesce("after", F.transform("ids", lambda _: F.lit(None).cast("array<int>")))
-    zipped = F.arrays_zip("starts", "ends", "ids", "scores", after.alias("after"))
+    zipped = F.arrays_zip("starts", "ends", "ids", "scores")
 
     def path(unit_edges):
         def take(cells, at):
             def usable(e):
-                src = F.get(cells, e["starts"])["id"]
-                free = e["after"].isNull() | (e["starts"] == 0) | F.array_contains(e["after"], src)
-                return (e["ends"] == at) & (src > -2) & free
+                return (e["ends"] == at) & (F.get(cells, e["starts"])["id"] > -2)
 
             def reached(e):
                 score = F.get(cells, e["starts"])["score"] + e["scores"]
@@ -258,12 +274,12 @@ def best_paths(edges: DataFrame) -> DataFrame:
         return F.aggregate(F.sequence(F.lit(1), size), begin, take, back)
 
     # transform over one element evaluates the edges once a unit, explode the fold once
-    folded = edges.select("unit", F.explode(F.transform(F.array(zipped), path)).alias("path"))
-    return folded.filter(F.col("path.at") == 0).select("unit", F.col("path.ids").alias("ids"))
+    folded = edges.select("unit", "n", F.explode(F.transform(F.array(zipped), path)).alias("path"))
+    return folded.filter(F.col("path.at") == 0).select("unit", "n", F.col("path.ids").alias("ids"))
 
 
 def long_paths(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """``(unit, ids)`` of very long units: the same fold in Python, as ``aggregate`` copies its state at every step."""
+    """``(unit, n, ids)`` of very long units: the same fold in Python, as ``aggregate`` copies its state at every step."""
     shared = units.sparkSession.sparkContext.broadcast(pieces)
 
     @F.pandas_udf("array<int>")
@@ -272,67 +288,69 @@ def long_paths(units: DataFrame, pieces: Pieces) -> DataFrame:
         for names in batches:
             yield pd.Series([own.path(unit, known) for unit in names])
 
-    return units.select("unit", fold("unit").alias("ids"))
+    return units.select("unit", "n", fold("unit").alias("ids"))
 
 
-def encoded_units(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """``(unit, n, ids)`` of every distinct unit of the texts."""
-    units = written(unit_counts(docs, pieces), "units")
-    usual = units.filter(F.length("unit") <= LONG_UNIT).select("unit")
-    paths = best_paths(with_followers(lattice(usual, pieces), pieces))
-    paths = paths.union(long_paths(units.filter(F.length("unit") > LONG_UNIT), pieces))
-    return written(units.join(written(paths, "unit-paths"), "unit"), "encoded-units")
+def encoded_units(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """``(unit, n, ids)`` of every distinct unit of the words ``(word, n)``."""
+    units = unit_counts(words, pieces)
+    usual = best_paths(without_misfits(lattice(units.filter(F.length("unit") <= LONG_UNIT), pieces), pieces))
+    return written(usual.union(long_paths(units.filter(F.length("unit") > LONG_UNIT), pieces)), "encoded-units")
 
 
-def frequent_units(units: DataFrame, limit: int = FREQUENT) -> tuple[dict[str, bytes], int]:
-    """At most ``limit`` of the most frequent units with their ids, and the least count among them."""
-    sizes = sorted(units.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect(), key=lambda r: -r["n"])
+def most_frequent(counted: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """The rows with a count ``n`` of at least some value, chosen so that they are at most ``limit``; and that value."""
+    sizes = sorted(counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect(), key=lambda r: -r["n"])
     total, least = 0, 1 << 62
     for r in sizes:
         total += r["count"]
         if total > limit:
             break
         least = r["n"]
-    got = units.filter(F.col("n") >= least).select("unit", "ids").toArrow()
+    return counted.filter(F.col("n") >= least), least
+
+
+def frequent_ids(words: DataFrame, units: DataFrame, pieces: Pieces, limit: int = FREQUENT) -> tuple[dict[str, bytes], int]:
+    """Ids of at most ``limit`` frequent units and as many words, and the least count of the units."""
+    top, least = most_frequent(units, limit)
+    got = top.select("unit", "ids").toArrow()
     ids = got["ids"].combine_chunks()
-    flat, at = ids.flatten().to_numpy().astype(np.int32), np.r_[0, np.cumsum(np.diff(ids.offsets.to_numpy()))]
-    return {u: flat[at[k] : at[k + 1]].tobytes() for k, u in enumerate(got["unit"].to_pylist())}, least
+    flat, at = ids.flatten().to_numpy().astype(np.int32), np.r_[0, np.cumsum(ids.value_lengths().to_numpy())]
+    known = {u: flat[at[k] : at[k + 1]].tobytes() for k, u in enumerate(got["unit"].to_pylist())}
+    encoder = Encoder(pieces, known)
+    for word in most_frequent(words, limit)[0].select("word").toArrow()["word"].to_pylist():
+        if word not in known and (joined := encoder.word(word, None)) is not None:
+            known[word] = joined
+    return known, least
 
 
 class Encoder:
     """Puts texts together from encoded units."""
 
-    def __init__(self, pieces: Pieces, frequent: dict[str, bytes]):
-        self.pieces, self.frequent, self.words = pieces, frequent, {}
+    def __init__(self, pieces: Pieces, known: dict[str, bytes]):
+        self.pieces, self.known = pieces, known
         self.mark = np.int32(pieces.ids[SPACE]).tobytes()
 
     def word(self, word: str, rare: dict[str, bytes] | None) -> bytes | None:
         """The ids of a word; None if one of its units is not known."""
-        if (found := self.words.get(word)) is not None:
+        if (found := self.known.get(word)) is not None:
             return found
-        parts, lasting = [], True
+        parts = []
         for unit in self.pieces.cut(word):
-            ids = self.frequent.get(unit)
+            ids = self.known.get(unit)
             if ids is None:
                 if len(unit) == 1 and unit not in self.pieces.ids:
                     ids = np.array(self.pieces.bytes_of(unit), np.int32).tobytes()
-                else:
-                    ids, lasting = (rare or {}).get(unit), False
-                    if ids is None:
-                        return None
+                elif (ids := (rare or {}).get(unit)) is None:
+                    return None
             parts.append(ids)
-        joined = b"".join(parts)
-        if lasting:
-            if len(self.words) > MEMORY:
-                self.words.clear()
-            self.words[word] = joined
-        return joined
+        return b"".join(parts)
 
     def rare_units(self, text: str | None) -> set[str]:
         out = set()
         for _, word in segments(text):
-            if word and word not in self.words and self.word(word, None) is None:
-                out.update(u for u in self.pieces.cut(word) if u not in self.frequent and (len(u) > 1 or u in self.pieces.ids))
+            if word and word not in self.known:
+                out.update(u for u in self.pieces.cut(word) if u not in self.known and (len(u) > 1 or u in self.pieces.ids))
         return out
 
     def encode(self, text: str | None, rare: dict[str, bytes] | None) -> np.ndarray:
@@ -353,19 +371,20 @@ class Encoder:
 
 def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", frequent_limit: int = FREQUENT) -> DataFrame:
     """Adds the ids of every row's text (column ``text``)."""
-    units = encoded_units(docs, pieces)
-    frequent, least = frequent_units(units, frequent_limit)
-    shared = docs.sparkSession.sparkContext.broadcast((pieces, frequent))
+    words = written(word_counts(docs), "words")
+    units = encoded_units(words, pieces)
+    known, least = frequent_ids(words, units, pieces, frequent_limit)
+    shared = docs.sparkSession.sparkContext.broadcast((pieces, known))
     keys = {"_k1": F.xxhash64("text"), "_k2": F.hash("text")}
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)
         for batch in batches:
-            sets = [sorted(encoder.rare_units(t)) for t in batch.column(2).to_pylist()]
-            rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array([u for s in sets for u in s], pa.string())], ["_k1", "_k2", "unit"]
-            )
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                sets = [sorted(encoder.rare_units(t)) for t in part.column(2).to_pylist()]
+                rows = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array([u for s in sets for u in s], pa.string())], ["_k1", "_k2", "unit"])
 
     asked = docs.select(F.xxhash64("text").alias("_k1"), F.hash("text").alias("_k2"), "text").mapInArrow(rare, "_k1 bigint, _k2 int, unit string").distinct()
     packed = units.filter(F.col("n") < least).select("unit", "ids")

@@ -115,5 +115,6 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_warc(spark: SparkSession, path: str, out: str) -> None:
-    """Writes the rebuilt records as ``.warc`` text parts, byte for byte, in no order."""
-    read_records(spark, path).select(F.col("record").cast("string").alias("value")).write.option("lineSep", "").text(out)
+    """Writes the rebuilt records as text parts, byte for byte, in no order; the line end closes a record's last two."""
+    record = F.substring(F.col("record"), F.lit(1), F.octet_length("record") - 1)
+    read_records(spark, path).select(record.cast("string").alias("value")).write.option("lineSep", "\n").text(out)
