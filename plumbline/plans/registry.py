@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as fn
-from plumbline.operators import benchmark, corpus, evidence, graph, ocr, receipts, timeline
+from plumbline.operators import benchmark, corpus, decisions, evidence, graph, ocr, receipts, states, timeline
 from plumbline.sources import bindings as bind
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -614,6 +614,235 @@ def n5_graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind.nodes(spark, sf_dir).groupBy("state").agg(F.count("*").alias("n"))
 
 
+# --- decisions and ordered folds --------------------------------------------------------------------
+
+SIGNAL_OF = {"purchase": "verified_success", "view": "provisional_resolution", "click": "technical_success_only", "error": "technical_failure", "signup": "user_corrected"}
+
+
+def _case(column: str, values: dict) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
+
+
+@query(
+    f"""WITH {bind.BENCH}, s AS (SELECT engine, {_case("scenario", {k: f"{decisions.SIGNALS[v][0]}::DOUBLE" for k, v in SIGNAL_OF.items()})} AS s, {_case("scenario", {k: f"{decisions.SIGNALS[v][1]}::DOUBLE" for k, v in SIGNAL_OF.items()})} AS w FROM b),
+g AS (SELECT engine, sum(s * w) AS won, sum(w) AS weight FROM s GROUP BY 1)
+SELECT engine, {r("weight")} AS weight, {r("won / weight")} AS evidence_score, {r("(won / weight * weight + 2.0) / (weight + 4.0)")} AS shrunk_score, {r("least(1.0::DOUBLE, weight / 12)")} AS confidence FROM g"""
+)
+def a11_specialist_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.create_map(*[F.lit(x) for kv in SIGNAL_OF.items() for x in kv])
+    return decisions.specialist_scores(bind.bench_rows(spark, sf_dir).withColumn("signal", names[F.col("scenario")]), ["engine"])
+
+
+@query(
+    f"""WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_discount - 0.02 AS a, l_tax - 0.03 AS b, (l_quantity - 25) / 200 AS c, l_discount - l_tax AS d FROM lineitem)
+SELECT id, {r("least(0.20::DOUBLE, least(0.16::DOUBLE, greatest(a, 0) + greatest(b, 0) + greatest(c, 0)) + greatest(d, 0)) + greatest(-0.28::DOUBLE, least(a, 0) + least(b, 0) + least(c, 0) + least(d, 0))")} AS budget FROM x"""
+)
+def m7_weight_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bind.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber as id", "l_discount - 0.02d as a", "l_tax - 0.03d as b", "(l_quantity - 25) / 200 as c", "l_discount - l_tax as d"
+    )
+    return decisions.weight_budget(rows, ["a", "b", "c"], "d").select("id", "budget")
+
+
+@query(
+    f"""WITH {bind.BENCH}, {PATTERNS}, k AS (SELECT tag, engine, row_number() OVER w AS place, {r("avg_quality - lead(avg_quality) OVER w")} AS lead FROM f WINDOW w AS (PARTITION BY tag ORDER BY avg_quality DESC, engine))
+SELECT tag, CASE WHEN coalesce(lead >= 0.04, true) THEN engine ELSE 'no_clear_winner' END AS winner, lead FROM k WHERE place = 1"""
+)
+def w2_clear_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.clear_winner(a8_failure_patterns(spark, sf_dir), "tag", "engine", "avg_quality", 0.04)
+
+
+@query(
+    f"""WITH {bind.BENCH}, k AS (SELECT engine, scenario, {r("avg(quality)")} AS score FROM b WHERE scenario IN ('view', 'click') GROUP BY 1, 2),
+g AS (SELECT engine, {r("avg(quality)")} AS score FROM b GROUP BY 1)
+SELECT q.engine, q.scenario, coalesce(k.score, g.score) AS score, k.score IS NOT NULL AS is_exact FROM (SELECT DISTINCT engine, scenario FROM b) q LEFT JOIN k USING (engine, scenario) LEFT JOIN g ON g.engine = q.engine"""
+)
+def j10_fallback_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bind.bench_rows(spark, sf_dir)
+    score = fn.half_up(F.avg("quality")).alias("score")
+    exact = rows.filter(F.col("scenario").isin("view", "click")).groupBy("engine", "scenario").agg(score)
+    general = rows.groupBy("engine").agg(score).select("engine", F.lit("*").alias("scenario"), "score")
+    return decisions.with_fallback(rows.select("engine", "scenario").distinct(), exact.union(general), "engine", "scenario", "score")
+
+
+@query(
+    f"""WITH {bind.STATEMENTS}, g AS (SELECT claim, count(*) AS n, count(DISTINCT family) AS families, count(DISTINCT value) AS n_values, {r("avg(weight)")} AS mean_weight FROM s GROUP BY 1)
+SELECT *, n_values > 1 AS conflict, n >= 3 AND families >= 2 AND mean_weight >= 0.62 AS enough FROM g"""
+)
+def a15_evidence_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.evidence_set(bind.statements(spark, sf_dir))
+
+
+@query(
+    """WITH f AS (SELECT event_id, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split('q-' || event_id, ''), lambda c: ord(c)::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)::BIGINT AS h FROM events)
+SELECT event_id, h < 858993459 AS explore FROM f"""
+)
+def g9_exploration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bind.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("q-"), "event_id").alias("request"))
+    return decisions.explores(rows, "request").select("event_id", "explore")
+
+
+@query(
+    f"""WITH c AS (SELECT user_id, event_id, count(*) OVER w AS calls_before, coalesce({r("sum(value) OVER w", 2)}, 0) AS cost_before FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT *, calls_before < 40 AND cost_before < 1500 AS allowed FROM c"""
+)
+def g25_call_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = bind.table(spark, sf_dir, "events")
+    return decisions.budgeted(events, "user_id", ["ts", "event_id"], "value", 40, 1500.0).select("user_id", "event_id", "calls_before", "cost_before", "allowed")
+
+
+@query(
+    """WITH x AS (SELECT CASE WHEN c IS NULL THEN 'missing' WHEN c >= 0.85 THEN 'certain' WHEN c >= 0.70 THEN 'likely' ELSE 'doubtful' END AS bucket,
+  CASE WHEN c >= 0.82 THEN 'accepted' WHEN c >= 0.65 THEN 'needs_check' ELSE 'rejected' END AS gate FROM (SELECT CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE (p_size * 2) / 100 END AS c FROM part))
+SELECT bucket, gate, count(*) AS n FROM x GROUP BY 1, 2"""
+)
+def p22_confidence_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.when(F.col("p_partkey") % 17 != 0, F.col("p_size") * 2 / 100)
+    rows = bind.table(spark, sf_dir, "part").select(decisions.confidence_bucket(c).alias("bucket"), decisions.gate(c).alias("gate"))
+    return rows.groupBy("bucket", "gate").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {bind.OCR}, k AS (SELECT DISTINCT kind FROM o), s AS (SELECT DISTINCT strategy FROM o), g AS (SELECT kind, strategy, count(*) AS n FROM o WHERE failed AND cold GROUP BY 1, 2)
+SELECT kind, strategy, coalesce(n, 0) AS n, n IS NULL AS missing FROM k CROSS JOIN s LEFT JOIN g USING (kind, strategy)"""
+)
+def j6_case_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bind.ocr_rows(spark, sf_dir)
+    counted = rows.filter("failed and cold").groupBy("kind", "strategy").agg(F.count("*").alias("n"))
+    out = decisions.grid(rows.select("kind").distinct(), rows.select("strategy").distinct(), counted, ["kind", "strategy"])
+    return out.select("kind", "strategy", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("missing"))
+
+
+REGIONS = "r AS (SELECT l_orderkey AS g, l_linenumber AS id, l_discount * 100 AS x, l_tax * 100 AS y, l_quantity AS w, l_quantity / 2 AS h FROM lineitem)"
+
+
+@query(
+    f"""WITH {REGIONS} SELECT p.g, p.id AS parent, c.id AS child FROM r p JOIN r c ON p.g = c.g AND p.id <> c.id AND p.w * p.h > c.w * c.h
+  AND c.x + c.w / 2 BETWEEN p.x AND p.x + p.w AND c.y + c.h / 2 BETWEEN p.y AND p.y + p.h"""
+)
+def j14_contained_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = bind.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as g", "l_linenumber as id", "l_discount * 100 as x", "l_tax * 100 as y", "l_quantity as w", "l_quantity / 2 as h")
+    return decisions.contained(regions, "g")
+
+
+@query(
+    f"""WITH c AS (SELECT p_type AS category, count(*) AS n FROM part GROUP BY 1) SELECT category, n, {r("n / (SELECT sum(n) FROM c)")} AS share, {r("n / (SELECT sum(n) FROM c)")} > 0.15 AS too_large FROM c"""
+)
+def a20_category_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.category_coverage(bind.table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("category")).agg(F.count("*").alias("n")))
+
+
+UNCERTAIN = "x AS (SELECT o_orderkey AS id, (o_orderkey % 100) / 100 AS raw, (o_custkey % 10) / 10 AS support, o_orderkey % 3 AS conflicts, o_custkey % 4 AS unknown, o_orderkey % 5 AS uncertain, o_custkey % 2 AS limitations FROM orders)"
+PENALTY = "least(0.55::DOUBLE, 0.22::DOUBLE * conflicts + 0.08::DOUBLE * unknown + 0.045::DOUBLE * uncertain + 0.035::DOUBLE * limitations)"
+
+
+@query(f"WITH {UNCERTAIN} SELECT id, {r(clamp(f'raw - CASE WHEN raw >= 0.85 AND support < 0.5 THEN greatest({PENALTY}, 0.18::DOUBLE) ELSE {PENALTY} END'))} AS calibrated FROM x")
+def a28_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bind.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as id", "(o_orderkey % 100) / 100 as raw", "(o_custkey % 10) / 10 as support", "o_orderkey % 3 as conflicts", "o_custkey % 4 as unknown", "o_orderkey % 5 as uncertain", "o_custkey % 2 as limitations"
+    )
+    return decisions.uncertainty(rows).select("id", "calibrated")
+
+
+@query(
+    f"""WITH {bind.AUDIT}, l AS (SELECT execution, type, lag(type) OVER w AS one, lag(type, 2) OVER w AS two FROM a WINDOW w AS (PARTITION BY execution ORDER BY moment, seq))
+SELECT execution, count(*) AS n, count(*) FILTER (coalesce(type = one, false)) AS repeats, bool_or(coalesce(type = one AND one = two, false)) AS loops FROM l GROUP BY 1"""
+)
+def g22_repeated_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.repeated_routes(bind.audit_events(spark, sf_dir), "execution", "type", ["at", "seq"])
+
+
+@query(
+    f"""WITH {bind.AUDIT}, l AS (SELECT execution, seq, code, max(code) OVER (PARTITION BY execution ORDER BY moment, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS shown FROM a)
+SELECT execution, seq, code FROM l WHERE shown IS NULL OR code >= shown"""
+)
+def x9_progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.progressive(bind.audit_events(spark, sf_dir), "execution", "code", ["at", "seq"]).select("execution", "seq", "code")
+
+
+@query(
+    f"""WITH {bind.AUDIT}, e AS (SELECT *, lag(type) OVER (PARTITION BY execution ORDER BY moment, seq) AS before FROM a WHERE type IN ('started', 'completed'))
+SELECT execution, count(*) FILTER (type = 'started' AND before = 'completed') AS reopened, arg_max(type, row(moment, seq)) = 'started' AS is_open FROM e GROUP BY 1"""
+)
+def x6_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.generations(bind.audit_events(spark, sf_dir), "execution", "type", "started", "completed", ["at", "seq"])
+
+
+@query(
+    f"""WITH {bind.FACTS}, k AS (SELECT *, row_number() OVER (PARTITION BY entity, type ORDER BY observed_at DESC, id DESC) AS place,
+  arg_max(id, row(observed_at, id)) FILTER (usable) OVER (PARTITION BY entity, type) AS newest FROM f) SELECT id, place, coalesce(newest = id, false) AS is_current FROM k"""
+)
+def w4_fact_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.history(bind.facts(spark, sf_dir)).select("id", "place", "is_current")
+
+
+TOKENS = "list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> ''))"
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, {TOKENS} AS own, lag({TOKENS}) OVER (PARTITION BY conv_id ORDER BY turn) AS other FROM conversations)
+SELECT conv_id, turn, CASE WHEN other IS NULL OR len(own) = 0 THEN 0 ELSE {r("len(list_intersect(own, other)) / len(own)")} END AS overlap FROM t"""
+)
+def t20_turn_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.turn_overlap(bind.table(spark, sf_dir, "conversations"))
+
+
+@query(None)
+def t2_word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between the test items and the same texts with every seventh word left out."""
+    items = bind.table(spark, sf_dir, "benchmark")
+    heard = F.array_join(F.filter(F.split("text", " "), lambda _, i: i % 7 != 6), " ")
+    return items.select("item_id", fn.half_up(states.word_error_rate(F.col("text"), heard)).alias("wer"))
+
+
+BIGRAMS = "CASE WHEN length({0}) < 2 THEN [] ELSE list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))) END"
+
+
+@query(
+    f"""WITH x AS (SELECT p_partkey, {BIGRAMS.format("lower(p_name)")} AS a, {BIGRAMS.format("lower(p_type)")} AS b FROM part)
+SELECT p_partkey, CASE WHEN len(a) + len(b) = 0 THEN 0 ELSE {r("2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b))")} END AS similarity FROM x"""
+)
+def t5_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bind.table(spark, sf_dir, "part").select("p_partkey", fn.half_up(fn.dice(F.lower("p_name"), F.lower("p_type"))).alias("similarity"))
+
+
+@query(
+    """WITH c AS (SELECT p_partkey, lpad((p_partkey * 7919)::VARCHAR, 13, '0') AS code FROM part),
+d AS (SELECT p_partkey, code, list_sum(list_transform(range(1, 14), lambda i: substr(code, i, 1)::INT * CASE WHEN (13 - i) % 2 = 1 THEN 3 ELSE 1 END)) AS s FROM c) SELECT p_partkey, code, s % 10 = 0 AS valid FROM d"""
+)
+def t15_gtin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.lpad((F.col("p_partkey") * 7919).cast("string"), 13, "0")
+    return bind.table(spark, sf_dir, "part").select("p_partkey", code.alias("code"), fn.gtin_valid(code).alias("valid"))
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS id, floor(l_extendedprice * 100 + 0.5)::BIGINT AS amount FROM lineitem""")
+def m1_parsed_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices written with points for thousands and a comma for cents, and read back."""
+    written = F.concat(F.lit("$ "), F.translate(F.format_number("l_extendedprice", 2), ".,", ",."))
+    return bind.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), states.parsed_amount(written).alias("amount"))
+
+
+@query(
+    """WITH d AS (SELECT o_orderkey, day(o_orderdate) + o_orderkey % 4 AS d, month(o_orderdate) AS m, year(o_orderdate) AS y FROM orders)
+SELECT o_orderkey, try_cast(lpad(y::VARCHAR, 4, '0') || '-' || lpad(m::VARCHAR, 2, '0') || '-' || lpad(d::VARCHAR, 2, '0') AS DATE)::VARCHAR AS parsed FROM d"""
+)
+def m2_parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates moved by up to three days without carrying, so that some do not exist."""
+    day = F.dayofmonth("o_orderdate") + F.col("o_orderkey") % 4
+    return bind.table(spark, sf_dir, "orders").select("o_orderkey", states.parsed_date(F.concat_ws("/", day, F.month("o_orderdate"), F.year("o_orderdate"))).cast("string").alias("parsed"))
+
+
+@query(
+    f"""WITH {bind.GRAPH}, e AS (SELECT * FROM d UNION ALL VALUES ('g', 'zz')), m AS (SELECT id FROM n UNION ALL VALUES ('a'))
+SELECT e.id, 'unknown_dependency' AS issue FROM e WHERE dep NOT IN (SELECT id FROM n) UNION SELECT id, 'duplicate_id' FROM m GROUP BY id HAVING count(*) > 1"""
+)
+def n1_graph_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small graph with a node twice and a dependency that does not exist."""
+    nodes = bind.nodes(spark, sf_dir).union(spark.createDataFrame([("a", "completed", False)], "id string, state string, optional boolean"))
+    return graph.issues(nodes, bind.edges(spark, sf_dir).union(spark.createDataFrame([("g", "zz")], "id string, dep string")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
