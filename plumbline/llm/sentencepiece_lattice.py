@@ -11,7 +11,7 @@ of scores is not what merging yields, so edges are first thinned out: a segmenta
 and only if merging each two neighbours' joined text leaves exactly those two, so an edge stays only if
 it may follow the piece before it. One path remains, and the fold gives the library's ids.
 
-Texts are put together from the encoded units. The ``FREQUENT`` most frequent words and units go to every
+Texts are put together from the encoded units. At most ``FREQUENT`` frequent units and half as many words go to every
 task; texts with others get them by a join on the unit, gathered by text. Characters that no piece holds
 become byte pieces; runs of spaces become the longest run pieces.
 
@@ -31,13 +31,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import written
 
 SPACE = "▁"
-FREQUENT = 300_000
+FREQUENT = 250_000
 MEMORY = 200_000
-SLICE = 2_000
+SLICE = 1_000
 LONG_UNIT = 256
 
 
@@ -311,14 +312,14 @@ def most_frequent(counted: DataFrame, limit: int) -> tuple[DataFrame, int]:
 
 
 def frequent_ids(words: DataFrame, units: DataFrame, pieces: Pieces, limit: int = FREQUENT) -> tuple[dict[str, bytes], int]:
-    """Ids of at most ``limit`` frequent units and as many words, and the least count of the units."""
+    """Ids of at most ``limit`` frequent units and half as many words, and the least count of the units."""
     top, least = most_frequent(units, limit)
     got = top.select("unit", "ids").toArrow()
     ids = got["ids"].combine_chunks()
     flat, at = ids.flatten().to_numpy().astype(np.int32), np.r_[0, np.cumsum(ids.value_lengths().to_numpy())]
     known = {u: flat[at[k] : at[k + 1]].tobytes() for k, u in enumerate(got["unit"].to_pylist())}
     encoder = Encoder(pieces, known)
-    for word in most_frequent(words, limit)[0].select("word").toArrow()["word"].to_pylist():
+    for word in most_frequent(words, limit // 2)[0].select("word").toArrow()["word"].to_pylist():
         if word not in known and (joined := encoder.word(word, None)) is not None:
             known[word] = joined
     return known, least
@@ -369,8 +370,9 @@ class Encoder:
         return np.frombuffer(b"".join(parts), np.int32)
 
 
-def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", frequent_limit: int = FREQUENT) -> DataFrame:
-    """Adds the ids of every row's text (column ``text``)."""
+def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", check: str | None = None, frequent_limit: int = FREQUENT) -> DataFrame:
+    """Adds the ids of every row's text (column ``text``) and, under the name ``check``, whether they decode to it."""
+    docs = docs.drop(out, *([check] if check else []))
     words = written(word_counts(docs), "words")
     units = encoded_units(words, pieces)
     known, least = frequent_ids(words, units, pieces, frequent_limit)
@@ -390,39 +392,56 @@ def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", frequent_limit: in
     packed = units.filter(F.col("n") < least).select("unit", "ids")
     answers = asked.join(packed, "unit").groupBy("_k1", "_k2").agg(F.collect_list("unit").alias("_units"), F.collect_list("ids").alias("_ids"))
 
-    @F.pandas_udf("array<int>")
-    def put(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    joined = docs.withColumns(keys).join(written(answers, "rare-units"), ["_k1", "_k2"], "left").select(*docs.columns, "_units", "_ids")
+    width, place = len(docs.columns), docs.columns.index("text")
+    names_out = [*docs.columns, out, *([check] if check else [])]
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)
-        for texts, names, values in batches:
-            rows = []
-            for text, u, v in zip(texts, names, values, strict=True):
-                own = None if u is None else {a: np.asarray(b, np.int32).tobytes() for a, b in zip(u, v, strict=True)}
-                rows.append(encoder.encode(text, own))
-            yield pd.Series(rows)
+        decoder = Decoder(encoder.pieces)
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                rows, sizes, same = [], [0], []
+                for text, names, ids in zip(*(part.column(c).to_pylist() for c in (place, width, width + 1)), strict=True):
+                    own = None if names is None else {u: np.array(v, np.int32).tobytes() for u, v in zip(names, ids, strict=True)}
+                    rows.append(encoder.encode(text, own))
+                    sizes.append(sizes[-1] + len(rows[-1]))
+                    if check:
+                        same.append(decoder.text(rows[-1].tolist()) == (text or ""))
+                made = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], made, *([pa.array(same)] if check else [])], names_out)
 
-    joined = docs.withColumns(keys).join(written(answers, "rare-units"), ["_k1", "_k2"], "left")
-    return joined.withColumn(out, put("text", "_units", "_ids")).drop("_k1", "_k2", "_units", "_ids")
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(check, T.BooleanType())] if check else [])])
+    return joined.mapInArrow(put, schema)
+
+
+class Decoder:
+    """Pieces joined, byte pieces as UTF-8, marks as spaces, the first space dropped."""
+
+    def __init__(self, pieces: Pieces):
+        self.name = {i: p.replace(SPACE, " ").encode() for p, i in pieces.ids.items()} | {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
+
+    def text(self, ids: list[int]) -> str:
+        return b"".join(map(self.name.get, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
 def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the text of every row's ids: pieces joined, byte pieces as UTF-8, marks as spaces, the first one dropped."""
+    """Adds the text of every row's ids."""
     shared = df.sparkSession.sparkContext.broadcast(pieces)
 
     @F.pandas_udf("string")
     def join(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = shared.value
-        name = {i: p.replace(SPACE, " ").encode() for p, i in own.ids.items()} | {i: bytes([b]) for b, i in enumerate(own.byte_ids)}
+        decoder = Decoder(shared.value)
         for rows in batches:
-            texts = [None if r is None else b"".join(map(name.get, r.tolist())).decode("utf-8", "replace") for r in rows]
-            yield pd.Series([None if t is None else t[1:] if t[:1] == " " else t for t in texts], dtype=object)
+            yield pd.Series([None if r is None else decoder.text(r.tolist()) for r in rows], dtype=object)
 
     return df.withColumn(out, join(F.col(ids)))
 
 
 def encode_and_check(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """Adds ``ids`` and ``round_trip``: whether the ids decode to the text (a null text counts as empty)."""
-    both = decode(encode(docs, pieces), pieces)
-    return both.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
+    return encode(docs, pieces, check="round_trip")
 
 
 def default_pieces(spark: SparkSession, path: str | None = None) -> Pieces:
