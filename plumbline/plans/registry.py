@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as fn
-from plumbline.operators import benchmark, corpus, decisions, evidence, graph, ocr, receipts, states, timeline
+from plumbline.operators import benchmark, corpus, decisions, evidence, graph, ocr, receipts, states, text, timeline
 from plumbline.sources import bindings as bind
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -843,6 +843,132 @@ def n1_graph_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.issues(nodes, bind.edges(spark, sf_dir).union(spark.createDataFrame([("g", "zz")], "id string, dep string")))
 
 
+# --- texts of receipts, classes, routing ------------------------------------------------------------
+
+
+@query(f"WITH {bind.RECEIPTS} SELECT receipt, subtotal, tax + 100 AS tax, CASE WHEN receipt % 4 <> 0 THEN discount END AS discount, total FROM r")
+def r1_parsed_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts written as text, with two tax lines, a misleading total and some without discount, and parsed again."""
+    money = lambda c: F.format_number(F.col(c) / 100, 2)
+    lines = F.concat_ws(
+        "\n", F.concat(F.lit("Shop 12, ticket "), "receipt"), F.concat(F.lit("SUBTOTAL $ "), money("subtotal")), F.concat(F.lit("IVA 16% "), money("tax")), F.lit("Tax extra 1.00"),
+        F.when(F.col("receipt") % 4 != 0, F.concat(F.lit("Descuento -"), money("discount"))), F.lit("TOTAL 9.99"), F.concat(F.lit("Total: $"), money("total")), F.lit("TOTAL DE ARTICULOS 3"),
+    )
+    return text.receipt_fields(bind.receipts(spark, sf_dir).select("receipt", lines.alias("text")), "receipt")
+
+
+# fixed values: class, pattern, weight
+RULES = [("license", "License", 3.0), ("license", "Licensed under|All rights reserved", 2.0), ("list", " [|] ", 4.0), ("shout", "[A-Z]!!", 5.0), ("contact", "@", 2.0), ("contact", "[+]1 [(]", 2.0)]
+
+
+def _class_sql() -> str:
+    names = list(dict.fromkeys(n for n, _, _ in RULES))
+    total = lambda n: " + ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN {w}::DOUBLE ELSE 0.0::DOUBLE END" for m, p, w in RULES if m == n)
+    rows = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS name, {total(n)} AS s FROM documents" for n in names)
+    return f"""WITH c AS ({rows}), k AS (SELECT *, s - lead(s) OVER w AS margin, row_number() OVER w AS place FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY s DESC, name))
+    SELECT doc_id, s AS score, margin, CASE WHEN s >= 3 THEN name ELSE 'unknown' END AS class FROM k WHERE place = 1"""
+
+
+@query(_class_sql())
+def r8_text_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.classified(bind.table(spark, sf_dir, "documents").select("doc_id", "text"), RULES).select("doc_id", "score", "margin", "class")
+
+
+@query("SELECT p_partkey, CASE WHEN length(p_name) <= 4 THEN p_name ELSE repeat('*', length(p_name) - 4) || right(p_name, 4) END AS masked FROM part")
+def t17_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bind.table(spark, sf_dir, "part").select("p_partkey", text.masked(F.col("p_name")).alias("masked"))
+
+
+@query("""WITH t AS (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS corrects FROM conversations)
+SELECT conv_id, turn, corrects FROM t WHERE role = 'user' AND regexp_matches(lower(text), '^(th|no|a)')""")
+def x7_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.corrections(bind.table(spark, sf_dir, "conversations"), "^(th|no|a)").select("conv_id", "turn", "corrects")
+
+
+@query(f"""WITH {bind.BENCH}, {REPORT}, {GATE} SELECT engine, CASE WHEN p50_ms > 2500 OR success_rate < 0.85 THEN 'regression' WHEN released THEN 'preferred' WHEN success_rate >= 0.9 THEN 'promoted' ELSE 'none' END AS status,
+CASE WHEN p50_ms > 2500 OR success_rate < 0.85 THEN -0.22 WHEN released THEN 0.16 WHEN success_rate >= 0.9 THEN 0.06 ELSE 0.0 END AS adjustment FROM g WHERE cases >= 12""")
+def g5_runtime_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gated = benchmark.release_gate(_report(spark, sf_dir)).filter("cases >= 12")
+    bad, good = (F.col("p50_ms") > 2500) | (F.col("success_rate") < 0.85), F.col("success_rate") >= 0.9
+    status = F.when(bad, "regression").when(F.col("released"), "preferred").when(good, "promoted").otherwise("none")
+    value = F.create_map(*[F.lit(x) for kv in {"regression": -0.22, "preferred": 0.16, "promoted": 0.06, "none": 0.0}.items() for x in kv])
+    return gated.select("engine", status.alias("status")).withColumn("adjustment", value[F.col("status")])
+
+
+@query(f"""WITH {bind.BENCH}, s AS ({_summary_sql("device")}) SELECT device, concat_ws(',', CASE WHEN success_rate < 0.95 THEN 'success' END, CASE WHEN avg_quality < 0.8 THEN 'quality' END,
+CASE WHEN p95_latency_ms > CASE device WHEN 0 THEN 4200 WHEN 1 THEN 3500 ELSE 4000 END THEN 'p95' END) AS failures FROM s""")
+def g7_mobile_reality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit = F.when(F.col("device") == 0, 4200).when(F.col("device") == 1, 3500).otherwise(4000)
+    summary = a3_lab_summary(spark, sf_dir)
+    checked = corpus.validate(summary, {"success": F.col("success_rate") >= 0.95, "quality": F.col("avg_quality") >= 0.8, "p95": F.col("p95_latency_ms") <= limit})
+    return checked.select("device", F.col("issues").alias("failures"))
+
+
+# fixed values: engine, capability, reliability, latency fit, memory fit, priority
+PROFILES = [("e0", 0.9, 0.95, 0.7, 0.8, 50), ("e1", 0.95, 0.7, 0.9, 0.4, 120), ("e2", 0.6, 0.99, 0.95, 0.9, 80), ("e3", 0.8, 0.8, 0.8, 0.8, 10)]
+
+
+@query(f"""WITH p(engine, c, rel, lat, mem, priority) AS (VALUES {", ".join(f"('{e}', {c}::DOUBLE, {x}::DOUBLE, {y}::DOUBLE, {m}::DOUBLE, {q})" for e, c, x, y, m, q in PROFILES)}),
+s AS (SELECT engine, {r("0.43::DOUBLE * c + 0.24::DOUBLE * rel + 0.14::DOUBLE * lat + 0.09::DOUBLE * mem + 0.05::DOUBLE * least(1.0::DOUBLE, priority / 100)")} AS score FROM p WHERE rel >= 0.75)
+SELECT engine, score, row_number() OVER (ORDER BY score DESC, engine) AS rank FROM s""")
+def g8_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = spark.createDataFrame(PROFILES, "engine string, c double, rel double, lat double, mem double, priority int").filter("rel >= 0.75")
+    c = F.col
+    score = 0.43 * c("c") + 0.24 * c("rel") + 0.14 * c("lat") + 0.09 * c("mem") + 0.05 * F.least(F.lit(1.0), c("priority") / 100)
+    return benchmark.rank(profiles.select("engine", fn.half_up(score).alias("score")), [F.desc("score"), c("engine")])
+
+
+@query(f"""WITH {bind.RECEIPTS}, o AS (SELECT receipt, subtotal, tax, discount + (receipt % 3) AS discount, CASE WHEN receipt % 5 = 0 THEN NULL ELSE total END AS total FROM r),
+a AS (UNPIVOT r ON subtotal, tax, discount, total INTO NAME field VALUE v), b AS (SELECT receipt, field, w FROM o UNPIVOT INCLUDE NULLS (w FOR field IN (subtotal, tax, discount, total)))
+SELECT field, count(*) AS n, {r("avg(coalesce(v = w, false)::INT)")} AS accuracy FROM a JOIN b USING (receipt, field) GROUP BY field""")
+def a24_field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = bind.receipts(spark, sf_dir)
+    seen = truth.withColumns({"discount": F.col("discount") + F.col("receipt") % 3, "total": F.when(F.col("receipt") % 5 != 0, F.col("total"))})
+    pairs = receipts.facts(truth).select("receipt", "field", "value").join(receipts.facts(seen).select("receipt", "field", F.col("value").alias("seen")), ["receipt", "field"])
+    return pairs.groupBy("field").agg(F.count("*").alias("n"), fn.half_up(F.avg(F.coalesce((F.col("value") == F.col("seen")).cast("int"), F.lit(0)))).alias("accuracy"))
+
+
+@query("""WITH g AS (SELECT l_orderkey, list_sort(list_distinct(list(l_linenumber))) AS got FROM lineitem GROUP BY 1)
+SELECT l_orderkey, array_to_string(list_filter([1, 3, 5, 7], lambda x: list_contains(got, x)), ',') AS resolved, array_to_string(list_filter([1, 3, 5, 7], lambda x: NOT list_contains(got, x)), ',') AS remaining FROM g""")
+def j19_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = F.array(*[F.lit(x) for x in (1, 3, 5, 7)])
+    got = bind.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("got"))
+    return got.select("l_orderkey", F.array_join(F.array_intersect(wanted, "got"), ",").alias("resolved"), F.array_join(F.array_except(wanted, "got"), ",").alias("remaining"))
+
+
+@query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+def u5_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = bind.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return docs.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
+
+
+@query("""WITH a AS (SELECT CASE WHEN date_diff('day', o_orderdate::DATE, DATE '2000-06-01') < 0 THEN NULL ELSE date_diff('day', o_orderdate::DATE, DATE '2000-06-01') END AS age FROM orders)
+SELECT CASE WHEN age IS NULL THEN 0.5 WHEN age <= 1 THEN 1.0 WHEN age <= 7 THEN 0.9 WHEN age <= 30 THEN 0.8 WHEN age <= 180 THEN 0.65 WHEN age <= 365 THEN 0.55 ELSE 0.4 END AS weight, count(*) AS n FROM a GROUP BY 1""")
+def m3_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    age = F.date_diff(F.lit("2000-06-01").cast("date"), F.col("o_orderdate").cast("date"))
+    return bind.table(spark, sf_dir, "orders").groupBy(fn.recency_weight(F.when(age >= 0, age)).alias("weight")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH o AS (SELECT event_id AS id, event_type AS kind FROM events), k AS (SELECT * FROM o WHERE kind NOT IN ('view', 'click') UNION ALL SELECT id, 'seen' AS kind FROM o WHERE kind = 'view')
+SELECT kind, count(*) AS n FROM k GROUP BY kind""")
+def p17_replaced_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of two kinds taken out and others put in their place, counted by kind."""
+    seen = bind.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))
+    fresh = seen.filter("kind = 'view'").withColumn("kind", F.lit("seen"))
+    return seen.filter(~F.col("kind").isin("view", "click")).unionByName(fresh).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""WITH t AS (SELECT l_returnflag AS strategy, k, sum(v) AS v FROM (SELECT l_returnflag, unnest(['load', 'run']) AS k, unnest([floor(l_quantity)::BIGINT, floor(l_discount * 100 + 0.5)::BIGINT]) AS v FROM lineitem) GROUP BY 1, 2)
+SELECT strategy, string_agg(k || '=' || v::BIGINT, ',' ORDER BY k) AS timings FROM t GROUP BY 1""")
+def a29_stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps of stage to time, summed key by key."""
+    maps = bind.table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("strategy"), F.create_map(F.lit("load"), F.floor("l_quantity").cast("bigint"), F.lit("run"), F.floor(F.col("l_discount") * 100 + 0.5).cast("bigint")).alias("m")
+    )
+    summed = maps.select("strategy", F.explode("m").alias("k", "v")).groupBy("strategy", "k").agg(F.sum("v").alias("v"))
+    return summed.groupBy("strategy").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "k", "v"))), ",").alias("timings"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
