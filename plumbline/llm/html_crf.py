@@ -41,7 +41,7 @@ FENCE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"
 
 TAGS = "nav header footer aside form article main section ul ol li table td button select figure figcaption blockquote pre dialog menu noscript head title label p div h1 h2 h3 h4 dl details template address".split()
 GROUPS = {
-    "ad": "ad ads adv advert advertisement advertising adbox adslot sponsor sponsored promo promotion banner teaser",
+    "ad": "ad ads adv advert advertisement advertising adbox adslot sponsor sponsored promo promotion banner teaser adsbygoogle",
     "nav": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager tabs toc skip topnav sitemap",
     "head": "masthead header topbar branding logo tagline hero",
     "foot": "footer foot copyright legal colophon imprint",
@@ -73,7 +73,7 @@ for _t in TAGS:
 for _g in GROUPS:
     _feature(f"named:{_g}")
     _feature(f"named:{_g}&body")
-for _n in ("bias", "hidden", "in:article&p", "nowhere", "copyright", "ends", "commas", "digits", "upper", "first", "last", "heading before", "tag:body", "tag:other"):
+for _n in ("bias", "hidden", "in:article&p", "in:article&header", "nowhere", "copyright", "ends", "commas", "digits", "upper", "first", "last", "heading before", "tag:body", "tag:other"):
     _feature(_n)
 for _n in range(6):
     _feature(f"words:{_n}")
@@ -202,6 +202,8 @@ def _described(raw: list[tuple[str, tuple[str, ...], frozenset[str], float]]) ->
             on += [f[f"named:{g}&body"] for g in named if g != "hidden"]
         if "article" in within and own == "p":
             on.append(f["in:article&p"])
+        if {"article", "header"} <= within and tags.index("article") < tags.index("header"):
+            on.append(f["in:article&header"])
         if not within & {"nav", "header", "footer", "aside", "form", "article", "main"} and not named:
             on.append(f["nowhere"])
         n = len(text)
@@ -378,6 +380,8 @@ def _page(rng: random.Random) -> str:
         [f"<article>{inner}</article>"] * 4
         + [f"<main>{inner}</main>", f"<main><article{_name(rng, 'main')}>{inner}</article></main>", f"<div{_name(rng, 'main')}>{inner}</div>", f"<section{_name(rng, 'main')}>{inner}</section>", f"<div><div>{inner}</div></div>", inner]
     )
+    if "<article" in body[:15] and rng.random() < 0.35:
+        body = body.replace("<h1>", "<header><h1>", 1).replace("</h1>", "</h1></header>", 1)
     before = "".join(_other(rng) for _ in range(rng.randint(0, 4)))
     after = "".join(_other(rng) for _ in range(rng.randint(0, 4)))
     title = f"<title>{_words(rng, 4, False)}</title>"

@@ -168,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     known = labels.filter("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int"), turn.alias("turn"))
     sample = known.orderBy("turn", "label").limit(max_train)
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most max_train rows of three numbers
-    got = vectors(joined).toArrow().combine_chunks()
+    one = joined.groupBy("doc_id", "label", "turn").agg(F.min("text").alias("text"))  # documents that share an id count once
+    got = vectors(one).toArrow().combine_chunks()
     order = np.lexsort((got["label"].to_numpy(), got["turn"].to_numpy()))[:max_train]
 
     def rows(name: str) -> list[np.ndarray]:
