@@ -136,25 +136,13 @@ class Pieces:
         return [self.byte_ids[b] for b in char.encode()]
 
 
-def segments(text: str | None) -> list[tuple[int, str]]:
-    """``(spaces before, word)``: the last space before a word is part of the word, as its mark."""
-    if not text:
-        return []
-    parts = (" " + text.replace(SPACE, " ")).split(" ")
-    out, run = [], 0
-    for part in parts[1:]:
-        if part:
-            out.append((run, SPACE + part))
-            run = 0
-        else:
-            run += 1
-    if run:
-        out.append((run, ""))
-    return out
+def parts_of(text: str | None) -> list[str]:
+    """What stands between the spaces of a text, without marks; empty parts are further spaces."""
+    return text.replace(SPACE, " ").split(" ") if text else []
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``(word, n)``: the distinct words of all texts."""
+    """``(word, n)``: the distinct words of all texts, without their space marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +150,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for k in range(0, len(texts), SLICE):
                 words: Counter[str] = Counter()
                 for text in texts.slice(k, SLICE).to_pylist():
-                    words.update([w for _, w in segments(text)])
+                    words.update(parts_of(text))
                 del words[""]
                 yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
@@ -179,7 +167,7 @@ def unit_counts(words: DataFrame, pieces: Pieces) -> DataFrame:
         for batch in batches:
             units: Counter[str] = Counter()
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for unit in own.cut(word):
+                for unit in own.cut(SPACE + word):
                     units[unit] += n
             kept = [u for u in units if len(u) > 1 or u in own.ids]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([units[u] for u in kept], pa.int64())], ["unit", "n"])
@@ -311,63 +299,66 @@ def most_frequent(counted: DataFrame, limit: int) -> tuple[DataFrame, int]:
     return counted.filter(F.col("n") >= least), least
 
 
-def frequent_ids(words: DataFrame, units: DataFrame, pieces: Pieces, limit: int = FREQUENT) -> tuple[dict[str, bytes], int]:
-    """Ids of at most ``limit`` frequent units and half as many words, and the least count of the units."""
+def frequent_ids(words: DataFrame, units: DataFrame, pieces: Pieces, limit: int = FREQUENT) -> tuple[dict[str, bytes], dict[str, bytes], int]:
+    """Ids of at most ``limit`` frequent units and of half as many words, and the least count of those units."""
     top, least = most_frequent(units, limit)
     got = top.select("unit", "ids").toArrow()
     ids = got["ids"].combine_chunks()
     flat, at = ids.flatten().to_numpy().astype(np.int32), np.r_[0, np.cumsum(ids.value_lengths().to_numpy())]
     known = {u: flat[at[k] : at[k + 1]].tobytes() for k, u in enumerate(got["unit"].to_pylist())}
-    encoder = Encoder(pieces, known)
-    for word in most_frequent(words, limit // 2)[0].select("word").toArrow()["word"].to_pylist():
-        if word not in known and (joined := encoder.word(word, None)) is not None:
-            known[word] = joined
-    return known, least
+    encoder = Encoder(pieces, known, {})
+    whole = {word: encoder.word(word, {}) for word in most_frequent(words, limit // 2)[0].select("word").toArrow()["word"].to_pylist()}
+    return known, {word: ids for word, ids in whole.items() if ids is not None}, least
 
 
 class Encoder:
-    """Puts texts together from encoded units."""
+    """Puts texts together from the ids of units and of whole words."""
 
-    def __init__(self, pieces: Pieces, known: dict[str, bytes]):
-        self.pieces, self.known = pieces, known
+    def __init__(self, pieces: Pieces, units: dict[str, bytes], words: dict[str, bytes]):
+        self.pieces, self.units, self.words = pieces, units, words
         self.mark = np.int32(pieces.ids[SPACE]).tobytes()
 
-    def word(self, word: str, rare: dict[str, bytes] | None) -> bytes | None:
-        """The ids of a word; None if one of its units is not known."""
-        if (found := self.known.get(word)) is not None:
-            return found
+    def word(self, word: str, rare: dict[str, bytes]) -> bytes | None:
+        """The ids of a word and its space mark; None if one of its units is not known."""
         parts = []
-        for unit in self.pieces.cut(word):
-            ids = self.known.get(unit)
+        for unit in self.pieces.cut(SPACE + word):
+            ids = self.units.get(unit) or rare.get(unit)
             if ids is None:
-                if len(unit) == 1 and unit not in self.pieces.ids:
-                    ids = np.array(self.pieces.bytes_of(unit), np.int32).tobytes()
-                elif (ids := (rare or {}).get(unit)) is None:
+                if len(unit) > 1 or unit in self.pieces.ids:
                     return None
+                ids = np.array(self.pieces.bytes_of(unit), np.int32).tobytes()
             parts.append(ids)
         return b"".join(parts)
 
     def rare_units(self, text: str | None) -> set[str]:
-        out = set()
-        for _, word in segments(text):
-            if word and word not in self.known:
-                out.update(u for u in self.pieces.cut(word) if u not in self.known and (len(u) > 1 or u in self.pieces.ids))
+        out: set[str] = set()
+        for word in set(parts_of(text)).difference(self.words):
+            if word:
+                out.update(u for u in self.pieces.cut(SPACE + word) if u not in self.units and (len(u) > 1 or u in self.pieces.ids))
         return out
 
-    def encode(self, text: str | None, rare: dict[str, bytes] | None) -> np.ndarray:
-        parts: list[bytes] = []
-        for run, word in segments(text):
-            ids = self.word(word, rare) if word else b""
-            if ids is None:
-                raise ValueError(f"no encoding for a unit of {word!r}")
-            if not word:
-                ids, run = b"", run
-            elif run and ids[:4] == self.mark:
-                ids, run = ids[4:], run + 1
+    def encode(self, text: str | None, rare: dict[str, bytes]) -> np.ndarray:
+        parts = parts_of(text)
+        found = list(map(self.words.get, parts))
+        run = 0
+        for k, part in enumerate(parts):
+            if not part:
+                run += 1
+                found[k] = b""
+                continue
+            if found[k] is None and (ids := self.word(part, rare)) is not None:
+                found[k] = ids
+            if found[k] is None:
+                raise ValueError(f"no encoding for a unit of {part!r}")
             if run:
-                parts.append(np.array(self.pieces.space_run(run), np.int32).tobytes())
-            parts.append(ids)
-        return np.frombuffer(b"".join(parts), np.int32)
+                ids = found[k]
+                if ids[:4] == self.mark:
+                    ids, run = ids[4:], run + 1
+                found[k] = np.array(self.pieces.space_run(run), np.int32).tobytes() + ids
+                run = 0
+        if run:
+            found.append(np.array(self.pieces.space_run(run), np.int32).tobytes())
+        return np.frombuffer(b"".join(found), np.int32)
 
 
 def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", check: str | None = None, frequent_limit: int = FREQUENT) -> DataFrame:
@@ -375,8 +366,8 @@ def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", check: str | None
     docs = docs.drop(out, *([check] if check else []))
     words = written(word_counts(docs), "words")
     units = encoded_units(words, pieces)
-    known, least = frequent_ids(words, units, pieces, frequent_limit)
-    shared = docs.sparkSession.sparkContext.broadcast((pieces, known))
+    known, whole, least = frequent_ids(words, units, pieces, frequent_limit)
+    shared = docs.sparkSession.sparkContext.broadcast((pieces, known, whole))
     keys = {"_k1": F.xxhash64("text"), "_k2": F.hash("text")}
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +395,7 @@ def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", check: str | None
                 part = batch.slice(k, SLICE)
                 rows, sizes, same = [], [0], []
                 for text, names, ids in zip(*(part.column(c).to_pylist() for c in (place, width, width + 1)), strict=True):
-                    own = None if names is None else {u: np.array(v, np.int32).tobytes() for u, v in zip(names, ids, strict=True)}
+                    own = {} if names is None else {u: np.array(v, np.int32).tobytes() for u, v in zip(names, ids, strict=True)}
                     rows.append(encoder.encode(text, own))
                     sizes.append(sizes[-1] + len(rows[-1]))
                     if check:
