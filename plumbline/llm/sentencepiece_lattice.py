@@ -36,10 +36,11 @@ from pyspark.sql import types as T
 from plumbline.llm.common import written
 
 SPACE = "▁"
-FREQUENT = 250_000
+FREQUENT = 150_000
 MEMORY = 200_000
 SLICE = 1_000
 LONG_UNIT = 256
+SPREAD = 3
 
 
 @dataclass
@@ -172,7 +173,9 @@ def unit_counts(words: DataFrame, pieces: Pieces) -> DataFrame:
             kept = [u for u in units if len(u) > 1 or u in own.ids]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([units[u] for u in kept], pa.int64())], ["unit", "n"])
 
-    return words.mapInArrow(run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
+    # a unit's lattice is some forty times its row, so there are more and smaller parts than the rows alone would give
+    parts = SPREAD * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return words.mapInArrow(run, "unit string, n bigint").repartition(parts, "unit").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 EDGES = "unit string, n bigint, starts array<int>, ends array<int>, ids array<int>, scores array<double>"
