@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from plumbline.llm import components, embedding_dedup, line_templates, simhash
+import corpus_pipeline
+from plumbline.llm import components, embedding_dedup, line_templates, shingle_pairs, simhash
 
 DOCS = "doc_id bigint, text string, count int, tile string"
 
@@ -76,6 +77,49 @@ def test_simhash_cuts_large_groups(spark, monkeypatch):
     assert [found.get(k, k) for k in range(len(prints))] == groups(len(prints), links)
 
 
+def word_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard_links(texts):
+    sets = [word_shingles(t) for t in texts]
+    near = lambda x, y: x == y or 5 * len(x & y) >= 4 * len(x | y)
+    return [(a, b) for a in range(len(sets)) for b in range(a) if near(sets[a], sets[b])]
+
+
+def test_pipeline_stage_finds_near_copies_by_jaccard(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
+    texts = [" ".join(rng.choice(words, rng.integers(3, 120))) for _ in range(60)]
+    for k in range(150):
+        changed = texts[int(rng.integers(len(texts)))].split()
+        for at in rng.integers(0, len(changed), rng.integers(0, 4)):
+            changed[at] = f"changed{k}"
+        texts.append(" ".join(changed))
+    common = " ".join(words[:20])
+    texts += [f"{common} {' '.join(rng.choice(words, 6))}" for _ in range(40)] + ["", " ", None, "one", "One"]
+    links = jaccard_links(texts)
+    prints = [simhash.fingerprint((t or "").encode(), 5) for t in texts]
+    assert sum((prints[a] ^ prints[b]).bit_count() > 4 for a, b in links) > 20
+    want = groups(len(texts), links)
+    df = spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.component_id for r in shingle_pairs.near_duplicates(df).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)] + [(None, texts[0], "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(left, key=str) == sorted([*{k for k in range(len(texts)) if want[k] == k}, None], key=str)
+    assert shingle_pairs.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_near_copies_with_frequent_shingles(spark, monkeypatch):
+    monkeypatch.setattr(shingle_pairs, "FREQUENT", 2)
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{int(x)}" for x in np.r_[0:40, rng.integers(40, 44, rng.integers(0, 14))]) for _ in range(80)]
+    got = {r.doc_id: r.component_id for r in shingle_pairs.near_duplicates(spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)], DOCS)).collect()}
+    assert [got[k] for k in range(len(texts))] == groups(len(texts), jaccard_links(texts))
+
+
 def test_components_of_long_chains_and_hubs(spark):
     links = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 1400)] + [(7, 7), (None, 3)]
     found = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "src bigint, dst bigint")).collect()}
