@@ -11,6 +11,9 @@ What the driver sees is bounded by parameters, not by rows: one size a block (``
 and the large rows, of which there are at most ``new shards / large_share``. Slots come from per-block
 counts and a row number inside a block, so no shard is numbered in one task.
 
+The layout is then carried out: shards that gain or lose rows are written whole, with their texts, by a row
+number that each row got in the old files; files of other shards are left as they are.
+
 Edge cases: a null text has no bytes and so size 1; a null id is hashed like any value; rows that are
 equal in id and text are interchangeable; an empty table gives no rows.
 """
@@ -177,8 +180,41 @@ def reshard(df: DataFrame, old: str, size: str, key: list[str], shards: int, cap
 
 
 def rewrite(docs: DataFrame, assignment: DataFrame, key: list[str], old: str, path: str | None = None) -> str:
-    """Writes the rows that change shard, one folder a new shard, and returns the path; other files stay as they are."""
+    """Writes the rows that change shard, one folder a new shard, and returns the path; other files stay as they are.
+
+    The rows of ``docs`` with one key are dealt one by one to those of ``assignment`` with that key, nulls included.
+    """
     path = path or new_dir(docs.sparkSession, "reshard")
-    moved = assignment.filter(F.col(old) != F.col("shard")).select(*key, "shard")
-    docs.join(moved, key).write.partitionBy("shard").parquet(path)
+    copy = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
+    plan = assignment.withColumn("_copy", copy).filter(F.col(old) != F.col("shard")).select(*[F.col(k).alias(f"_{k}") for k in key], F.col("_copy").alias("_nth"), "shard")
+    same = F.col("_copy") == F.col("_nth")
+    for k in key:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    docs.withColumn("_copy", copy).join(plan, same).drop("_copy", "_nth", *[f"_{k}" for k in key]).write.partitionBy("shard").parquet(path)
     return path
+
+
+def write_layout(docs: DataFrame, old: str, path: str | None = None) -> DataFrame:
+    """The rows written in one folder an old shard and read again, each with a ``row_id`` of its own."""
+    path = path or new_dir(docs.sparkSession, "old-shards")
+    numbered = docs.withColumn("row_id", F.monotonically_increasing_id())
+    numbered.write.option("compression", "zstd").partitionBy(old).parquet(path)
+    return docs.sparkSession.read.schema(numbered.schema).parquet(path)
+
+
+def rewrite_shards(layout: DataFrame, plan: DataFrame, old: str, path: str | None = None) -> DataFrame:
+    """The new layout: the rows of ``write_layout`` with the ``shard`` and ``slot`` that ``reshard`` gives each ``row_id``.
+
+    Shards that gain or lose rows are written whole, one folder a shard under ``path``, which takes the place of
+    their old files. All rows of other shards are read from the old files, which stay as they are.
+    """
+    spark = layout.sparkSession
+    path = path or new_dir(spark, "new-shards")
+    plan = written(plan.select("row_id", F.col(old).alias("_from"), "shard", "slot"), "shard-plan")
+    moves = plan.filter("_from <> shard").select("_from", "shard").distinct().collect()
+    affected = sorted({k for r in moves for k in r})
+    plan = plan.drop("_from")
+    rows = layout.join(plan.filter(F.col("shard").isin(affected)), "row_id")
+    rows.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    left = layout.filter(~F.col(old).isin(affected)).join(plan.filter(~F.col("shard").isin(affected)), "row_id")
+    return spark.read.schema(rows.schema).parquet(path).unionByName(left)

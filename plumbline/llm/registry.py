@@ -63,15 +63,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id",
-        flow_sharding.text_size(F.col("text")).alias("size"),
-        flow_sharding.text_crc32(F.col("text")).alias("text_crc32"),
-        F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(OLD_SHARDS)).cast("int").alias("old_shard"),
-    )
-    placed = flow_sharding.reshard(docs, "old_shard", "size", ["doc_id", "text_crc32", "size"], SHARDS)
+    old = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(OLD_SHARDS)).cast("int")
+    layout = flow_sharding.write_layout(table(spark, sf_dir, "documents").select("doc_id", "text", old.alias("old_shard")), "old_shard")
+    size, crc = flow_sharding.text_size(F.col("text")), flow_sharding.text_crc32(F.col("text"))
+    narrow = layout.select("row_id", "doc_id", size.alias("size"), crc.alias("text_crc32"), "old_shard")
+    plan = flow_sharding.reshard(narrow, "old_shard", "size", ["doc_id", "text_crc32", "size"], SHARDS)
+    placed = flow_sharding.rewrite_shards(layout, plan, "old_shard")
     return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
+        "doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
     )
 
 

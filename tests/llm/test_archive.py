@@ -118,6 +118,32 @@ def test_shard_edge_cases(spark):
     assert {(r.doc_id, r.shard) for r in back.collect()} == {(r.doc_id, r.shard) for r in plan.collect() if r.shard != r.old}
 
 
+def test_shards_are_rewritten_whole(spark, tmp_path):
+    rows = [(None if k % 5 == 0 else k % 40, "t" * (k % 90) if k % 7 else None, (0, 0, 1, 2)[k % 4]) for k in range(300)]
+    layout = flow_sharding.write_layout(spark.createDataFrame(rows, "doc_id bigint, text string, old int"), "old")
+    sized = layout.select("row_id", "doc_id", flow_sharding.text_size(F.col("text")).alias("size"), "old")
+    held = [sum(len(t or "") + 1 for _, t, o in rows if o == k) for k in range(3)]
+    room = [held[0] // 2, held[1], held[2], held[0] - held[0] // 2]
+    plan = flow_sharding.reshard(sized, "old", "size", ["doc_id", "size"], 4, capacities=room, large_share=1.0)
+    path = str(tmp_path / "new")
+    got = flow_sharding.rewrite_shards(layout, plan, "old", path).collect()
+    assert sorted(((r.doc_id, r.text, r.old) for r in got), key=str) == sorted(rows, key=str)
+    assert {(r.row_id, r.shard, r.slot) for r in got} == {(r.row_id, r.shard, r.slot) for r in plan.collect()}
+    assert {p.name for p in (tmp_path / "new").glob("shard=*")} == {"shard=0", "shard=3"}
+    files = spark.read.parquet(path).collect()
+    assert sorted((r.row_id, r.shard) for r in files) == sorted((r.row_id, r.shard) for r in got if r.shard in (0, 3))
+    assert {r.shard for r in got if r.old == 1} == {1} and {r.shard for r in got if r.old == 2} == {2}
+    assert flow_sharding.rewrite_shards(layout.limit(0), plan.limit(0), "old").count() == 0
+
+
+def test_moved_rows_with_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None if k % 10 else k % 4, "t", k % 2) for k in range(60)], "doc_id bigint, text string, old int")
+    plan = flow_sharding.reshard(docs.select("doc_id", flow_sharding.text_size(F.col("text")).alias("size"), "old"), "old", "size", ["doc_id"], 3)
+    back = spark.read.parquet(flow_sharding.rewrite(docs.select("doc_id", "text"), plan, ["doc_id"], "old"))
+    moved = [(r.doc_id, r.shard) for r in plan.collect() if r.shard != r.old]
+    assert any(d is None for d, _ in moved) and sorted(((r.doc_id, r.shard) for r in back.collect()), key=str) == sorted(moved, key=str)
+
+
 def slow_verdict(url, rules):
     at = (url or "").find("://")
     if at < 0:
