@@ -1,56 +1,44 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word-pair seeds counted by place, then Smith-Waterman alignment.
 
-Texts are cut into lower-case words. In one pass over all training texts the word n-grams of the test
-items are counted over the corpus; of every ``WINDOW`` successive n-grams of an item the rarest is a
-seed, so a copied stretch of ``SEED + WINDOW - 1`` words always holds one, also in items that are copied
-all over the corpus. A second pass finds the seeds in every text; each hit proposes a window of the text
-as long as the item and a margin, and the windows are aligned to the item: a word in common scores 1, a
-changed, added or missing word -1. A text leaks an item if the best score is at least ``THRESHOLD`` of the
-item's words, which edited and paraphrased copies with up to a quarter of the words changed reach.
+Texts are cut into lower-case words. A text leaks an item if the best score of an alignment, in which a word in
+common scores 1 and a changed, added or missing word -1, is at least ``THRESHOLD`` of the item's words; edited and
+paraphrased copies with up to a quarter of the words changed reach it. All word pairs of an item are seeds. An
+alignment of ``m`` common words and ``e`` edits has at least ``m - e - 1`` pairs of neighbouring words in common, within
+``words + e`` words of the text, so a stretch of the text with fewer seeds of an item cannot reach the threshold;
+every other stretch is aligned. No leak is lost, wherever the edits are.
 
 The test items are the bounded side: they are dealt with in blocks of at most ``BLOCK_WORDS`` words, each
-with two passes over the texts; no training text or n-gram leaves its executor. Training texts are not
-shuffled. Equal windows are aligned once a task.
+with one pass over the texts. Training texts are not shuffled. Equal windows are aligned once a task.
 
-Edge cases: null and empty texts leak nothing; items of fewer words than a seed cannot be told from
+Edge cases: null and empty texts leak nothing; items of fewer than ``LEAST`` words cannot be told from
 chance and never match; repeated items and rows are each reported; rows may have a null id.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SEED, WINDOW = 4, 3
+LEAST = 4
 THRESHOLD = 0.5
 BLOCK_WORDS = 1_000_000
 LEAK = "array<struct<item_id:bigint,score:double,first_word:int,n_words:int>>"
 _WORD = re.compile(r"\w+")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def codes(ids: np.ndarray) -> np.ndarray:
-    """One 64-bit code for each run of ``SEED`` word numbers; 0 where a word is unknown (number 0)."""
-    n = len(ids) - SEED + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    wide, known = ids.astype(np.uint64), ids > 0
-    code, whole = np.zeros(n, np.uint64), np.ones(n, bool)
-    for k in range(SEED):
-        code = (code ^ wide[k : k + n]) * _MIX
-        code ^= code >> np.uint64(29)
-        whole &= known[k : k + n]
-    return np.where(whole, code | np.uint64(1), np.uint64(0))
+def pair_codes(ids: np.ndarray) -> np.ndarray:
+    """One code for each two neighbouring word numbers; 0 where a word is unknown (number 0)."""
+    return np.where((ids[:-1] > 0) & (ids[1:] > 0), (ids[:-1] << 32) | ids[1:], 0)
 
 
 def local_score(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
@@ -69,47 +57,49 @@ def local_score(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
 
 
 class Items:
-    """A block of test items: their word numbers, n-gram codes and, once counted, their seeds."""
+    """A block of test items: their word numbers and which items have which word pairs."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], threshold: float = THRESHOLD):
         self.vocabulary: dict[str, int] = {}
         self.ids = [r[0] for r in rows]
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(r[1])], np.int64) for r in rows]
-        self.codes = [codes(w) for w in self.words]
-        self.all_codes = np.unique(np.concatenate([*self.codes, np.zeros(0, np.uint64)]))
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
-        self.seed_codes = np.zeros(0, np.uint64)
-
-    def choose_seeds(self, counts: dict[int, int]) -> None:
-        for k, found in enumerate(self.codes):
-            chosen = set()
-            for at in range(max(1, len(found) - WINDOW + 1) if len(found) else 0):
-                near = range(at, min(at + WINDOW, len(found)))
-                chosen.add(min(near, key=lambda i: (counts.get(int(found[i]), 0), int(found[i]), i)))
-            for i in sorted(chosen):
-                self.seeds.setdefault(int(found[i]), []).append((k, i))
-        self.seed_codes = np.array(sorted(self.seeds), np.uint64)
+        self.least = [math.ceil(threshold * len(w) - 1e-9) for w in self.words]
+        pairs = [np.unique(pair_codes(w)) if len(w) >= LEAST else np.zeros(0, np.int64) for w in self.words]
+        code = np.concatenate([*pairs, np.zeros(0, np.int64)])
+        owner = np.repeat(np.arange(len(pairs)), [len(x) for x in pairs])
+        order = np.argsort(code, kind="stable")
+        self.owner = owner[order]
+        self.seeds, self.first, self.count = np.unique(code[order], return_index=True, return_counts=True)
+        #: Seeds that a leak has at least, and words of the text that it spans at most.
+        self.need = np.array([max(1, x - 1) for x in self.least], np.int64)
+        self.span = np.array([2 * len(w) - x for w, x in zip(self.words, self.least, strict=True)], np.int64)
 
     def numbers(self, text: str | None) -> np.ndarray:
         get = self.vocabulary.get
         return np.array([get(w, 0) for w in words(text)], np.int64)
 
-    def leaks(self, text: str | None, threshold: float, aligned: dict) -> list[tuple]:
+    def leaks(self, text: str | None, aligned: dict) -> list[tuple]:
         """``(item_id, score, first word, words)``: the best window of every item that leaks into the text."""
         ids = self.numbers(text)
-        found = codes(ids)
-        hits = np.flatnonzero(_within(found, self.seed_codes))
+        found = pair_codes(ids)
+        hits = np.flatnonzero(_within(found, self.seeds))
+        seed = np.searchsorted(self.seeds, found[hits])
+        n = self.count[seed]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        owner, at = self.owner[np.repeat(self.first[seed], n) + nth], np.repeat(hits, n)
+        order = np.argsort(owner, kind="stable")
+        owner, at = owner[order], at[order]
+        last = np.arange(len(owner)) + self.need[owner] - 1
+        inside = np.minimum(last, len(owner) - 1)
+        dense = np.flatnonzero((last < len(owner)) & (owner[inside] == owner) & (at[inside] - at <= self.span[owner] - 2))
         spans: dict[int, list[list[int]]] = {}
-        for at in hits.tolist():
-            for k, i in self.seeds[int(found[at])]:
-                length = len(self.words[k])
-                margin = max(8, length // 3)
-                low, high = max(0, at - i - margin), min(len(ids), at - i + length + margin)
-                own = spans.setdefault(k, [])
-                if own and low <= own[-1][0] + margin and high <= own[-1][1] + margin:
-                    own[-1][1] = max(own[-1][1], high)
-                else:
-                    own.append([low, high])
+        for k, first, end in zip(owner[dense].tolist(), at[dense].tolist(), at[last[dense]].tolist(), strict=True):
+            low, high = max(0, end + 2 - int(self.span[k])), min(len(ids), first + int(self.span[k]))
+            own = spans.setdefault(k, [])
+            if own and low <= own[-1][1]:
+                own[-1][1] = max(own[-1][1], high)
+            else:
+                own.append([low, high])
         out = []
         for k, own in spans.items():
             best = None
@@ -120,7 +110,7 @@ class Items:
                     if len(aligned) > 200_000:
                         aligned.clear()
                     score, end = local_score(self.words[k], window)
-                    if score >= threshold * len(self.words[k]):
+                    if score >= self.least[k]:
                         back, length = local_score(self.words[k][::-1], window[:end][::-1])
                         aligned[name] = (score / len(self.words[k]), end - length, length)
                     else:
@@ -139,26 +129,6 @@ def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
-def count_codes(texts: DataFrame, items: Items) -> dict[int, int]:
-    """How often each n-gram of the items stands in the texts (column ``text``)."""
-    shared = texts.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        total = np.zeros(len(own.all_codes), np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = codes(own.numbers(text))
-                found = found[found > 0]
-                found = found[_within(found, own.all_codes)]
-                np.add.at(total, np.searchsorted(own.all_codes, found), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own.all_codes[some].view(np.int64)), pa.array(total[some])], ["code", "n"])
-
-    rows = texts.select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    return dict(zip(rows["code"].to_numpy().view(np.uint64).tolist(), rows["n"].to_pylist(), strict=True))
-
-
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
     """The test items in blocks of about ``block_words`` words at most."""
     total = benchmark.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()[0] or 0
@@ -172,13 +142,11 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """Adds an array of the items that leak into each row's text, with score and place in words."""
     found: list[Column] = []
     for rows in item_blocks(benchmark, block_words):
-        items = Items(rows)
-        items.choose_seeds(count_codes(docs, items))
-        found.append(_leak_column(docs.sparkSession, items, threshold)(F.col("text")))
+        found.append(_leak_column(docs.sparkSession, Items(rows, threshold))(F.col("text")))
     return docs.withColumn(out, F.concat(*found))
 
 
-def _leak_column(spark: SparkSession, items: Items, threshold: float):
+def _leak_column(spark: SparkSession, items: Items):
     shared = spark.sparkContext.broadcast(items)
 
     @F.pandas_udf(LEAK)
@@ -186,7 +154,7 @@ def _leak_column(spark: SparkSession, items: Items, threshold: float):
         own, aligned = shared.value, {}
         names = ("item_id", "score", "first_word", "n_words")
         for texts in batches:
-            yield pd.Series([[dict(zip(names, x, strict=True)) for x in own.leaks(t, threshold, aligned)] for t in texts])
+            yield pd.Series([[dict(zip(names, x, strict=True)) for x in own.leaks(t, aligned)] for t in texts])
 
     return leaks
 

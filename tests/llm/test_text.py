@@ -174,3 +174,27 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert (whole[0].score, whole[0].first_word, whole[0].n_words) == (1.0, 50, len(items[0]))
     assert decontamination.leak_table(spark.createDataFrame([], DOCS), bench).count() == 0
     assert decontamination.leak_table(docs, bench.limit(0)).count() == 0
+
+
+def test_leaks_with_edits_at_any_place():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(7))
+    every, items, texts = [], [], []
+    for n in (4, 5, 8, 12, 16, 20, 24, 40, 100):
+        for step in (4, 5, 6, 7):
+            items.append([word() for _ in range(n)])
+            copy = [word() if at % step == step - 1 else w for at, w in enumerate(items[-1])]
+            texts.append([word() for _ in range(30)] + copy + [word() for _ in range(30)])
+    for n in (10, 30):
+        items.append([word() for _ in range(n)])
+        texts.append([x for at, w in enumerate(items[-1]) for x in ([w, word()] if at % 2 and at + 1 < n else [w])])
+    for _ in range(150):
+        items.append([rng.choice("abcdef") for _ in range(rng.randint(4, 14))])
+        texts.append([rng.choice("abcdef") for _ in range(rng.randint(4, 40))])
+    own = decontamination.Items([(k, " ".join(w)) for k, w in enumerate(items)])
+    for k, text in enumerate(texts):
+        got = {r[0]: r[1] for r in own.leaks(" ".join(text), {})}
+        want = {i: s / len(w) for i, w in enumerate(items) if abs(i - k) < 12 and (s := slow_alignment(w, text)) * 2 >= len(w)}
+        assert {i: s for i, s in got.items() if abs(i - k) < 12} == want
+        every.append(k in want)
+    assert all(every[:38])
