@@ -1,22 +1,23 @@
 """SentencePiece encoding and decoding with a relational lattice.
 
 Texts are cut into words, at spaces, and words into units, at places that no piece can span (between two
-characters that are neighbours in no piece), so each distinct unit of the corpus is encoded once. The
-lattice of the distinct units is a table: their substrings up to the longest piece are exploded and
-equi-joined to the piece table, edges are grouped by unit, and Viterbi is a Spark ``aggregate`` over a
-unit's edges, with a back-trace.
+characters that are neighbours in no piece), so each distinct unit is encoded once. The lattice of the
+units is a table: their substrings up to the longest piece are exploded and equi-joined to the piece table,
+edges are grouped by unit, and Viterbi is a Spark ``aggregate`` over a unit's edges, with a back-trace.
 
 For unigram models an edge may follow any edge and the best sum of scores wins. For BPE models the best sum
-of scores is not what merging yields, so edges are first thinned out: a segmentation is the merge result if
-and only if merging each two neighbours' joined text leaves exactly those two, so an edge stays only if
-it may follow the piece before it. One path remains, and the fold gives the library's ids.
+of scores is not what merging yields, but a segmentation is the merge result if and only if merging each two
+neighbours' joined text leaves exactly those two. So every edge carries the set of edges that it may follow, and
+the fold takes the best path among those; it gives the library's ids.
 
-Texts are put together from the encoded units. At most ``FREQUENT`` frequent units and half as many words go to every
-task; texts with others get them by a join on the unit, gathered by text. Characters that no piece holds
-become byte pieces; runs of spaces become the longest run pieces.
+Units of the words that are frequent in a bounded random sample (``SAMPLE`` texts, ``FREQUENT`` words) are encoded first and
+sent to every task; the sample decides only where a unit is looked up, never its ids. Texts then become
+sequences of ids with gaps; the units of the gaps are shuffled once, encoded where they meet, and their ids go back
+to the texts. Characters that no piece holds become byte pieces; runs of spaces become the longest run pieces.
 
 Edge cases: null and empty texts have no pieces; a literal space mark (U+2581) decodes as a space, as in the library;
-equal texts share their units; repeated rows and null ids do no harm; other columns are kept.
+equal texts share their units; repeated rows and null ids do no harm; other columns are kept. A unit may be as long as
+its text. No piece of a BPE model may have over 63 characters.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from operator import add
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,10 +38,9 @@ from pyspark.sql import types as T
 from plumbline.llm.common import written
 
 SPACE = "▁"
-FREQUENT = 150_000
-MEMORY = 200_000
-SLICE = 1_000
-LONG_UNIT = 256
+SAMPLE, FREQUENT = 40_000, 300_000
+MEMORY = 400_000
+SLICE = 500
 SPREAD = 3
 
 
@@ -54,11 +55,19 @@ class Pieces:
     neighbours: set[str] = field(default_factory=set)
     longest: int = 0
     runs: list[int] = field(default_factory=list)
+    halves: dict[str, tuple[str, str]] = field(default_factory=dict)
+    odd: set[str] = field(default_factory=set)
 
     def __post_init__(self) -> None:
         self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.longest = max(map(len, self.ids))
         self.runs = sorted((len(p) for p in self.ids if set(p) == {SPACE}), reverse=True)
+        if self.merges:
+            for piece in self.ids:
+                self.merged(piece, self.halves)
+            for piece in sorted(self.halves, key=len):  # pieces formed no later than one of their parts
+                if any(half in self.odd or len(half) > 1 and self.scores[half] <= self.scores[piece] for half in self.halves[piece]):
+                    self.odd.add(piece)
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -77,6 +86,14 @@ class Pieces:
             merges=spec.model_type == spec.BPE,
         )
 
+    @property
+    def width(self) -> np.dtype:
+        """The type of packed ids; its largest value marks a gap."""
+        return np.dtype(np.uint16 if max(*self.ids.values(), *self.byte_ids) < 65_535 else np.uint32)
+
+    def pack(self, ids: list[int] | np.ndarray) -> bytes:
+        return np.asarray(ids, self.width).tobytes()
+
     def cut(self, word: str) -> list[str]:
         """The word's units: cut between characters that are neighbours in no piece."""
         near = self.neighbours
@@ -85,7 +102,7 @@ class Pieces:
             return [word]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
-    def merged(self, text: str) -> list[str]:
+    def merged(self, text: str, halves: dict | None = None) -> list[str]:
         """The pieces left when the best-scored neighbours of a short text are merged until none can be."""
         parts, scores = list(text), self.scores
         while len(parts) > 1:
@@ -96,35 +113,31 @@ class Pieces:
                     best, at = score, i
             if best is None:
                 break
+            if halves is not None and len(parts) == 2:
+                halves[text] = (parts[0], parts[1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, a: str, b: str, known: dict) -> bool:
-        """Whether merging leaves the two pieces as neighbours."""
-        found = known.get((a, b))
-        if found is None:
-            if len(known) > MEMORY:
-                known.clear()
-            found = known[a, b] = self.merged(a + b) == [a, b]
-        return found
-
-    def path(self, unit: str, known: dict) -> list[int]:
-        """The fold over one unit's lattice, for units too long for ``aggregate``."""
-        cells: list[tuple[float, str, int] | None] = [(0.0, "", -1)]
-        for end in range(1, len(unit) + 1):
-            best = None
-            for start in range(max(0, end - self.longest), end):
-                piece, src = unit[start:end], cells[start]
-                if src is None or piece not in self.ids or self.merges and (start and not self.fits(src[1], piece, known) or self.merged(piece) != [piece]):
-                    continue
-                if best is None or src[0] + self.scores[piece] > best[0]:
-                    best = (src[0] + self.scores[piece], piece, start)
-            cells.append(best)
-        out, at = [], len(unit)
-        while at > 0:
-            _, piece, at = cells[at]
-            out.append(self.ids[piece])
-        return out[::-1]
+    def fits(self, a: str, b: str) -> bool:
+        """Whether merging leaves the two pieces as neighbours.
+
+        Walks back in time: the later formed of the two is split, and no piece across the border
+        may have been better than what was formed next.
+        """
+        if a in self.odd or b in self.odd:
+            return self.merged(a + b) == [a, b]
+        scores, halves, last, left_first = self.scores, self.halves, -np.inf, False
+        while True:
+            across = scores.get(a + b)
+            if across is not None and (across > last or across == last and not left_first):
+                return False
+            score_a, score_b = scores[a] if len(a) > 1 else np.inf, scores[b] if len(b) > 1 else np.inf
+            if score_a == score_b == np.inf:
+                return True
+            if score_a < score_b:
+                last, left_first, a = score_a, True, halves[a][1]
+            else:
+                last, left_first, b = score_b, False, halves[b][0]
 
     def space_run(self, n: int) -> list[int]:
         out = []
@@ -136,14 +149,18 @@ class Pieces:
     def bytes_of(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode()]
 
+    def is_unit(self, unit: str) -> bool:
+        """Whether the lattice encodes it; a single character without a piece becomes bytes."""
+        return len(unit) > 1 or unit in self.ids
+
 
 def parts_of(text: str | None) -> list[str]:
     """What stands between the spaces of a text, without marks; empty parts are further spaces."""
     return text.replace(SPACE, " ").split(" ") if text else []
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``(word, n)``: the distinct words of all texts, without their space marks."""
+def frequent_words(docs: DataFrame, limit: int = FREQUENT, sample: int = SAMPLE) -> DataFrame:
+    """``(word)``: the most frequent words of about ``sample`` texts, at most ``limit``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,258 +172,312 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 del words[""]
                 yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
-    found = docs.select("text").mapInArrow(run, "word string, n bigint")
-    return found.groupBy("word").agg(F.sum("n").alias("n"))
+    share = min(1.0, sample / max(1, docs.count()))
+    found = docs.select("text").sample(share, seed=1).mapInArrow(run, "word string, n bigint")
+    return found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit).select("word")
 
 
-def unit_counts(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``(unit, n)``: the distinct units of the words; single characters without a piece are left out."""
+def units_of(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """``(unit)``: the distinct units of the words."""
     shared = words.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            units: Counter[str] = Counter()
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for unit in own.cut(SPACE + word):
-                    units[unit] += n
-            kept = [u for u in units if len(u) > 1 or u in own.ids]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([units[u] for u in kept], pa.int64())], ["unit", "n"])
-
-    # a unit's lattice is some forty times its row, so there are more and smaller parts than the rows alone would give
-    parts = SPREAD * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return words.mapInArrow(run, "unit string, n bigint").repartition(parts, "unit").groupBy("unit").agg(F.sum("n").alias("n"))
-
+            units = {unit for word in batch.column(0).to_pylist() for unit in own.cut(SPACE + word) if own.is_unit(unit)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(units), pa.string())], ["unit"])
 
-EDGES = "unit string, n bigint, starts array<int>, ends array<int>, ids array<int>, scores array<double>"
+    return words.mapInArrow(run, "unit string").distinct()
 
 
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """The edges of each unit ``(unit, n)`` in order of end and start, as ``EDGES``.
+    """``(unit, edges)``: a unit's edges ``(end, start, id, score)`` in that order.
 
-    Grouping needs no shuffle of its own where the units come from a grouping by unit.
+    Grouping needs no shuffle of its own where the units come from a grouping or partitioning by unit.
     """
     spark = units.sparkSession
     good = [p for p in pieces.ids if not pieces.merges or pieces.merged(p) == [p]]
     table = spark.createDataFrame(pd.DataFrame({"piece": good, "id": [pieces.ids[p] for p in good], "score": [pieces.scores[p] for p in good]}))
     table = table.select("piece", F.col("id").cast("int"), "score")
     size = F.length("unit")
-    starts = units.select("unit", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    ends = starts.select("unit", "n", "start", F.explode(F.sequence(F.col("start") + 1, F.least(size, F.col("start") + pieces.longest))).alias("end"))
+    starts = units.select("unit", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    ends = starts.select("unit", "start", F.explode(F.sequence(F.col("start") + 1, F.least(size, F.col("start") + pieces.longest))).alias("end"))
     parts = ends.withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("end") - F.col("start")))
     edges = parts.join(F.broadcast(table), "piece")  # the piece table is one model's vocabulary
-    grouped = edges.groupBy("unit", "n").agg(F.sort_array(F.collect_list(F.struct("end", "start", "id", "score"))).alias("e"))
-    return grouped.select("unit", "n", F.col("e.start").alias("starts"), F.col("e.end").alias("ends"), F.col("e.id").alias("ids"), F.col("e.score").alias("scores"))
+    return edges.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("end", "start", "id", "score"))).alias("edges"))
 
 
-def without_misfits(edges: DataFrame, pieces: Pieces) -> DataFrame:
-    """For BPE models: only edges that may follow the piece that ends where they start."""
+def with_fits(edges: DataFrame, pieces: Pieces) -> DataFrame:
+    """For BPE models: adds to every edge which edges it may follow, as bits by their length (``fits``)."""
     if not pieces.merges:
-        return edges
+        return edges.withColumn("fits", F.lit(None).cast("array<bigint>"))
+    if pieces.longest > 63:
+        raise ValueError("a piece has over 63 characters")
     shared = edges.sparkSession.sparkContext.broadcast(pieces)
-    known: dict[tuple[str, str], bool] = {}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            arrays = [batch.column(k) for k in range(2, 6)]
-            flat = [a.flatten().to_numpy() for a in arrays]
-            starts, ends = flat[0].tolist(), flat[1].tolist()
-            at, kept, sizes = 0, [], [0]
-            for unit, length in zip(batch.column(0).to_pylist(), arrays[0].value_lengths().to_pylist(), strict=True):
-                last: list[str | None] = [""] + [None] * len(unit)
-                for k in range(at, at + length):
-                    start, end = starts[k], ends[k]
-                    before = last[start]
-                    if before is not None and last[end] is None and (not start or own.fits(before, unit[start:end], known)):
-                        last[end] = unit[start:end]
-                        kept.append(k)
-                at += length
-                sizes.append(len(kept))
-            offsets = pa.array(sizes, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.ListArray.from_arrays(offsets, pa.array(f[kept])) for f in flat]], ["unit", "n", "starts", "ends", "ids", "scores"]
-            )
-
-    return edges.mapInArrow(run, EDGES)
+    known: dict[tuple[int, int], bool] = {}
+
+    @F.arrow_udf("array<bigint>")
+    def fits(units: pa.Array, starts: pa.Array, ends: pa.Array, ids: pa.Array) -> pa.Array:
+        own, out = shared.value, []
+        flat_starts, flat_ends, flat_ids = (a.flatten().to_pylist() for a in (starts, ends, ids))
+        if len(known) > MEMORY:
+            known.clear()
+        at, sizes = 0, [0]
+        for unit, length in zip(units.to_pylist(), starts.value_lengths().to_pylist(), strict=True):
+            by_end: dict[int, list[tuple[int, int]]] = {}
+            for k in range(at, at + length):
+                start, end, own_id, bits = flat_starts[k], flat_ends[k], flat_ids[k], 0
+                for before, left in by_end.get(start, ()):
+                    may = known.get((left, own_id))
+                    if may is None:
+                        may = known[left, own_id] = own.fits(unit[before:start], unit[start:end])
+                    if may:
+                        bits |= 1 << (start - before - 1)
+                by_end.setdefault(end, []).append((start, own_id))
+                out.append(bits)
+            at += length
+            sizes.append(at)
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(out, pa.int64()))
+
+    return edges.withColumn("fits", fits("unit", "edges.start", "edges.end", "edges.id"))
 
 
 def best_paths(edges: DataFrame) -> DataFrame:
-    """``(unit, n, ids)``: Viterbi over each unit's edges; no row for a unit of which no path reaches the end."""
-    cell = "struct<id:int,score:double,src:int>"
+    """``(unit, ids)``: Viterbi over each unit's edges ``(edges, fits)``; no row for a unit of which no path reaches the end.
+
+    The state holds, for every position before the current one, the last piece of the best path that reaches it.
+    """
+    state = "struct<at:int,id:int,score:double,src:int,ids:array<int>,scores:array<double>,srcs:array<int>>"
     trace = "struct<at:int,ids:array<int>>"
     size = F.length("unit")
-    origin = F.struct(F.lit(-1).alias("id"), F.lit(0.0).alias("score"), F.lit(-1).alias("src")).cast(cell)
-    unreached = F.struct(F.lit(-2).alias("id"), F.lit(0.0).alias("score"), F.lit(-1).alias("src")).cast(cell)
-    begin = F.array(origin).cast(f"array<{cell}>")
-    zipped = F.arrays_zip("starts", "ends", "ids", "scores")
-
-    def path(unit_edges):
-        def take(cells, at):
-            def usable(e):
-                return (e["ends"] == at) & (F.get(cells, e["starts"])["id"] > -2)
-
-            def reached(e):
-                score = F.get(cells, e["starts"])["score"] + e["scores"]
-                return F.struct(score.alias("score"), (-e["starts"]).alias("longer"), e["ids"].alias("id"), e["starts"].alias("src"))
-
-            best = F.array_max(F.transform(F.filter(unit_edges, usable), reached))
-            fresh = F.transform(F.array(best), lambda b: F.when(b.isNull(), unreached).otherwise(F.struct(b["id"], b["score"], b["src"]).cast(cell)))
-            return F.concat(cells, fresh).cast(f"array<{cell}>")
-
-        def back(cells):
-            def step(state, _):
-                now = F.get(cells, state["at"])
-                more = F.struct(now["src"].alias("at"), F.concat(F.array(now["id"]), state["ids"]).alias("ids")).cast(trace)
-                return F.when((state["at"] > 0) & (now["id"] > -2), more).otherwise(state)
-
-            end = F.struct(size.alias("at"), F.array().cast("array<int>").alias("ids")).cast(trace)
-            return F.aggregate(F.sequence(F.lit(1), size), end, step)
-
-        return F.aggregate(F.sequence(F.lit(1), size), begin, take, back)
-
-    # transform over one element evaluates the edges once a unit, explode the fold once
-    folded = edges.select("unit", "n", F.explode(F.transform(F.array(zipped), path)).alias("path"))
-    return folded.filter(F.col("path.at") == 0).select("unit", "n", F.col("path.ids").alias("ids"))
-
-
-def long_paths(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """``(unit, n, ids)`` of very long units: the same fold in Python, as ``aggregate`` copies its state at every step."""
-    shared = units.sparkSession.sparkContext.broadcast(pieces)
-
-    @F.pandas_udf("array<int>")
-    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own, known = shared.value, {}
-        for names in batches:
-            yield pd.Series([own.path(unit, known) for unit in names])
-
-    return units.select("unit", "n", fold("unit").alias("ids"))
-
-
-def encoded_units(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``(unit, n, ids)`` of every distinct unit of the words ``(word, n)``."""
-    units = unit_counts(words, pieces)
-    usual = best_paths(without_misfits(lattice(units.filter(F.length("unit") <= LONG_UNIT), pieces), pieces))
-    return written(usual.union(long_paths(units.filter(F.length("unit") > LONG_UNIT), pieces)), "encoded-units")
-
-
-def most_frequent(counted: DataFrame, limit: int) -> tuple[DataFrame, int]:
-    """The rows with a count ``n`` of at least some value, chosen so that they are at most ``limit``; and that value."""
-    sizes = sorted(counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect(), key=lambda r: -r["n"])
-    total, least = 0, 1 << 62
-    for r in sizes:
-        total += r["count"]
-        if total > limit:
-            break
-        least = r["n"]
-    return counted.filter(F.col("n") >= least), least
-
-
-def frequent_ids(words: DataFrame, units: DataFrame, pieces: Pieces, limit: int = FREQUENT) -> tuple[dict[str, bytes], dict[str, bytes], int]:
-    """Ids of at most ``limit`` frequent units and of half as many words, and the least count of those units."""
-    top, least = most_frequent(units, limit)
-    got = top.select("unit", "ids").toArrow()
-    ids = got["ids"].combine_chunks()
-    flat, at = ids.flatten().to_numpy().astype(np.int32), np.r_[0, np.cumsum(ids.value_lengths().to_numpy())]
-    known = {u: flat[at[k] : at[k + 1]].tobytes() for k, u in enumerate(got["unit"].to_pylist())}
-    encoder = Encoder(pieces, known, {})
-    whole = {word: encoder.word(word, {}) for word in most_frequent(words, limit // 2)[0].select("word").toArrow()["word"].to_pylist()}
-    return known, {word: ids for word, ids in whole.items() if ids is not None}, least
+    none = {"id": F.lit(-2), "score": F.lit(0.0), "src": F.lit(-1)}
+    begin = F.struct(
+        F.lit(0).alias("at"), F.lit(-1).alias("id"), F.lit(0.0).alias("score"), F.lit(-1).alias("src"), F.array().cast("array<int>").alias("ids"),
+        F.array().cast("array<double>").alias("scores"), F.array().cast("array<int>").alias("srcs"),
+    ).cast(state)
+
+    def take(s, x):
+        e = x["edges"]
+        start = e["start"]
+        moved = e["end"] > s["at"]
+        gap = e["end"] - s["at"] - 1
+
+        def history(name, one):
+            longer = F.concat(s[name], F.array(s[one]), F.array_repeat(none[one], gap))
+            return F.when(moved, longer).otherwise(s[name])
+
+        # positions before the current end are complete; an edge starts at one of them
+        here = start == s["at"]
+        at_start = lambda name, one: F.when(here, s[one]).when(start > s["at"], none[one]).otherwise(F.get(s[name], start))
+        before, score = at_start("ids", "id"), at_start("scores", "score") + e["score"]
+        length = start - at_start("srcs", "src")
+        may = (before > -2) & ((start == 0) | x["fits"].isNull() | (F.call_function("shiftright", x["fits"], length - 1).bitwiseAND(F.lit(1).cast("bigint")) == 1))
+        wins = may & (moved | (s["id"] == -2) | (score > s["score"]))
+        kept = lambda one: F.when(moved, none[one]).otherwise(s[one])
+        return F.struct(
+            e["end"].alias("at"), F.when(wins, e["id"]).otherwise(kept("id")).alias("id"), F.when(wins, score).otherwise(kept("score")).alias("score"),
+            F.when(wins, start).otherwise(kept("src")).alias("src"), history("ids", "id").alias("ids"), history("scores", "score").alias("scores"), history("srcs", "src").alias("srcs"),
+        ).cast(state)
+
+    def back(s):
+        ids, srcs = F.concat(s["ids"], F.array(s["id"])), F.concat(s["srcs"], F.array(s["src"]))
+
+        def step(t, _):
+            more = F.struct(F.get(srcs, t["at"]).alias("at"), F.concat(F.array(F.get(ids, t["at"])), t["ids"]).alias("ids")).cast(trace)
+            return F.when((t["at"] > 0) & (F.get(ids, t["at"]) > -2), more).otherwise(t)
+
+        return F.aggregate(F.sequence(F.lit(1), size), F.struct(s["at"].alias("at"), F.array().cast("array<int>").alias("ids")).cast(trace), step)
+
+    zipped = F.transform("edges", lambda e, i: F.struct(e.alias("edges"), F.get(F.col("fits"), i).alias("fits")))
+    reached = edges.select("unit", F.explode(F.array(F.aggregate(zipped, begin, take))).alias("s")).filter(F.col("s.at") == size)
+    folded = reached.select("unit", F.explode(F.transform(F.array("s"), back)).alias("path"))
+    return folded.filter(F.col("path.at") == 0).select("unit", F.col("path.ids").alias("ids"))
+
+
+def encoded_units(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """``(unit, ids)`` of every distinct unit; a unit of which no path reaches the end has no row."""
+    return best_paths(with_fits(lattice(units, pieces), pieces))
+
+
+def frequent_ids(docs: DataFrame, pieces: Pieces, limit: int = FREQUENT) -> tuple[dict[str, bytes], dict[str, bytes]]:
+    """Packed ids of at most ``limit`` frequent words and of their units."""
+    if not limit:
+        return {}, {}
+    words = written(frequent_words(docs, limit), "frequent-words")
+    got = written(encoded_units(units_of(words, pieces), pieces), "frequent-units").toArrow()
+    lists = got["ids"].combine_chunks()
+    flat, at = pieces.pack(lists.flatten().to_numpy()), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())] * pieces.width.itemsize
+    units = {u: flat[at[k] : at[k + 1]] for k, u in enumerate(got["unit"].to_pylist())}
+    encoder = Encoder(pieces, units, {})
+    whole = {word: encoder.word(word) for word in words.toArrow()["word"].to_pylist()}
+    return units, {word: ids for word, ids in whole.items() if ids is not None}
 
 
 class Encoder:
-    """Puts texts together from the ids of units and of whole words."""
+    """Turns texts into packed ids with gaps for unknown units, and fills the gaps."""
 
     def __init__(self, pieces: Pieces, units: dict[str, bytes], words: dict[str, bytes]):
-        self.pieces, self.units, self.words = pieces, units, words
-        self.mark = np.int32(pieces.ids[SPACE]).tobytes()
-
-    def word(self, word: str, rare: dict[str, bytes]) -> bytes | None:
-        """The ids of a word and its space mark; None if one of its units is not known."""
-        parts = []
-        for unit in self.pieces.cut(SPACE + word):
-            ids = self.units.get(unit) or rare.get(unit)
-            if ids is None:
-                if len(unit) > 1 or unit in self.pieces.ids:
-                    return None
-                ids = np.array(self.pieces.bytes_of(unit), np.int32).tobytes()
-            parts.append(ids)
-        return b"".join(parts)
-
-    def rare_units(self, text: str | None) -> set[str]:
-        out: set[str] = set()
-        for word in set(parts_of(text)).difference(self.words):
-            if word:
-                out.update(u for u in self.pieces.cut(SPACE + word) if u not in self.units and (len(u) > 1 or u in self.pieces.ids))
+        self.pieces, self.units, self.words = pieces, units, words | {"": b""}
+        self.step = pieces.width.itemsize
+        self.mark = pieces.pack([pieces.ids[SPACE]])
+        self.gap = pieces.pack([np.iinfo(pieces.width).max])
+
+    def unit(self, unit: str) -> bytes | None:
+        if (ids := self.units.get(unit)) is None and not self.pieces.is_unit(unit):
+            return self.pieces.pack(self.pieces.bytes_of(unit))
+        return ids
+
+    def word(self, word: str) -> bytes | None:
+        """The packed ids of a word and its space mark; None if one of its units is not known."""
+        parts = [self.unit(u) for u in self.pieces.cut(SPACE + word)]
+        return None if None in parts else b"".join(parts)
+
+    def after_run(self, ids: bytes, run: int) -> bytes:
+        """The ids of ``run`` spaces and of the word after them."""
+        if ids.startswith(self.mark):
+            ids, run = ids[self.step :], run + 1
+        return self.pieces.pack(self.pieces.space_run(run)) + ids
+
+    def unknown(self, text: str | None) -> dict[str, int]:
+        """The units of a text that are not known, numbered in order of first use."""
+        out: dict[str, int] = {}
+        known = self.words
+        for word in dict.fromkeys(parts_of(text)):
+            if word not in known:
+                for unit in self.pieces.cut(SPACE + word):
+                    if unit not in self.units and self.pieces.is_unit(unit):
+                        out.setdefault(unit, len(out))
         return out
 
-    def encode(self, text: str | None, rare: dict[str, bytes]) -> np.ndarray:
+    def encode(self, text: str | None) -> tuple[bytes, list[int], list[int]]:
+        """Packed ids with gaps; for every gap the number of its unit and how many spaces stand before it."""
         parts = parts_of(text)
         found = list(map(self.words.get, parts))
+        numbers: list[int] = []
+        runs: list[int] = []
+        spaced = "" in parts
+        if not spaced and None not in found:
+            return b"".join(found), numbers, runs
+        seen: dict[str, int] = {}
         run = 0
-        for k, part in enumerate(parts):
-            if not part:
-                run += 1
-                found[k] = b""
-                continue
-            if found[k] is None and (ids := self.word(part, rare)) is not None:
-                found[k] = ids
-            if found[k] is None:
-                raise ValueError(f"no encoding for a unit of {part!r}")
-            if run:
-                ids = found[k]
-                if ids[:4] == self.mark:
-                    ids, run = ids[4:], run + 1
-                found[k] = np.array(self.pieces.space_run(run), np.int32).tobytes() + ids
-                run = 0
+        for k, ids in enumerate(found):
+            if ids is None:
+                made = []
+                for unit in self.pieces.cut(SPACE + parts[k]):
+                    if (own := self.unit(unit)) is None:
+                        numbers.append(seen.setdefault(unit, len(seen)))
+                        runs.append(run)
+                        own, run = self.gap, 0
+                    elif run:
+                        own, run = self.after_run(own, run), 0
+                    made.append(own)
+                found[k] = b"".join(made)
+            elif spaced:
+                if not parts[k]:
+                    run += 1
+                elif run:
+                    found[k], run = self.after_run(ids, run), 0
         if run:
-            found.append(np.array(self.pieces.space_run(run), np.int32).tobytes())
-        return np.frombuffer(b"".join(found), np.int32)
+            found.append(self.pieces.pack(self.pieces.space_run(run)))
+        return b"".join(found), numbers, runs
+
+    def fill(self, packed: bytes, numbers: list[int], runs: list[int], answers: list[bytes]) -> np.ndarray:
+        """The ids with every gap filled from the answers."""
+        if numbers:
+            out, last, step = [], 0, self.step
+            gaps = np.flatnonzero(np.frombuffer(packed, self.pieces.width) == np.iinfo(self.pieces.width).max).tolist()
+            for gap, number, run in zip(gaps, numbers, runs, strict=True):
+                out += [packed[last : gap * step], self.after_run(answers[number], run) if run else answers[number]]
+                last = (gap + 1) * step
+            packed = b"".join([*out, packed[last:]])
+        return np.frombuffer(packed, self.pieces.width)
+
 
+def text_key(text: str | None) -> tuple[bytes, int, int]:
+    """A 128-bit digest of a text, and the 64 and 15 bits of it under which its units are asked for."""
+    digest = xxhash.xxh3_128_digest((text or "").encode())
+    return digest, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:10], "little") >> 1
 
-def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", check: str | None = None, frequent_limit: int = FREQUENT) -> DataFrame:
-    """Adds the ids of every row's text (column ``text``) and, under the name ``check``, whether they decode to it."""
+
+def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", check: str | None = None, frequent_limit: int = FREQUENT, keep_text: bool = True) -> DataFrame:
+    """Adds the ids of every row's text (column ``text``) and, under the name ``check``, whether they decode to it.
+
+    The check compares 128-bit digests. Without ``keep_text`` the text is left out and need not be shuffled.
+    """
     docs = docs.drop(out, *([check] if check else []))
-    words = written(word_counts(docs), "words")
-    units = encoded_units(words, pieces)
-    known, whole, least = frequent_ids(words, units, pieces, frequent_limit)
-    shared = docs.sparkSession.sparkContext.broadcast((pieces, known, whole))
-    keys = {"_k1": F.xxhash64("text"), "_k2": F.hash("text")}
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((pieces, *frequent_ids(docs, pieces, frequent_limit)))
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
-                part = batch.slice(k, SLICE)
-                sets = [sorted(encoder.rare_units(t)) for t in part.column(2).to_pylist()]
-                rows = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array([u for s in sets for u in s], pa.string())], ["_k1", "_k2", "unit"])
+                units, keys, places = [], [], []
+                for text in batch.column(0).slice(k, SLICE).to_pylist():
+                    if new := encoder.unknown(text):
+                        _, key, more = text_key(text)
+                        units += new
+                        keys += [key] * len(new)
+                        places += range(more << 32, (more << 32) + len(new))
+                yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(keys, pa.int64()), pa.array(places, pa.int64())], ["unit", "key", "place"])
 
-    asked = docs.select(F.xxhash64("text").alias("_k1"), F.hash("text").alias("_k2"), "text").mapInArrow(rare, "_k1 bigint, _k2 int, unit string").distinct()
-    packed = units.filter(F.col("n") < least).select("unit", "ids")
-    answers = asked.join(packed, "unit").groupBy("_k1", "_k2").agg(F.collect_list("unit").alias("_units"), F.collect_list("ids").alias("_ids"))
+    # a unit's lattice is some forty times its row, so there are more and smaller parts than the rows alone would give
+    parts = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = docs.select("text").mapInArrow(ask, "unit string, key bigint, place bigint").repartition(parts, "unit")
+    found = encoded_units(asked.select("unit").distinct(), pieces)
+    packed = pa.binary()
+
+    @F.arrow_udf("binary")
+    def pack(ids: pa.Array) -> pa.Array:
+        flat, at = pieces.pack(ids.flatten().to_numpy()), np.r_[0, np.cumsum(ids.value_lengths().to_numpy())] * pieces.width.itemsize
+        return pa.array([flat[a:b] for a, b in zip(at, at[1:], strict=False)], packed)
+
+    answered = asked.distinct().join(found.select("unit", pack("ids").alias("ids")), "unit").select(
+        F.col("key").alias("_key"), F.shiftright("place", 32).cast("int").alias("_more"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"), "ids"
+    )
+    answers = answered.groupBy("_key", "_more").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("a"))
+    answers = written(answers.select("_key", "_more", F.col("a.ids").alias("_answers")), "answered-units")
+
+    kept = docs.columns if keep_text else [c for c in docs.columns if c != "text"]
+    by_text = docs.select(*kept, F.col("text").alias("_text"))
+    width = len(kept)
+    gaps = T.StructType(
+        [*(docs.schema[c] for c in kept)] + [T.StructField("_key", T.LongType()), T.StructField("_more", T.IntegerType()), T.StructField("_digest", T.BinaryType())]
+        + [T.StructField("_packed", T.BinaryType()), T.StructField("_numbers", T.ArrayType(T.IntegerType())), T.StructField("_runs", T.ArrayType(T.IntegerType()))]
+    )
+
+    def leave_gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(*shared.value)
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                texts = part.column(width).to_pylist()
+                keys, rows = [text_key(t) for t in texts], [encoder.encode(t) for t in texts]
+                made = [
+                    pa.array([x[1] for x in keys], pa.int64()), pa.array([x[2] for x in keys], pa.int32()), pa.array([x[0] for x in keys], packed), pa.array([x[0] for x in rows], packed),
+                    pa.array([x[1] for x in rows], pa.list_(pa.int32())), pa.array([x[2] for x in rows], pa.list_(pa.int32())),
+                ]
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *made], gaps.names)
 
-    joined = docs.withColumns(keys).join(written(answers, "rare-units"), ["_k1", "_k2"], "left").select(*docs.columns, "_units", "_ids")
-    width, place = len(docs.columns), docs.columns.index("text")
-    names_out = [*docs.columns, out, *([check] if check else [])]
+    joined = by_text.mapInArrow(leave_gaps, gaps).join(answers, ["_key", "_more"], "left").select(*kept, "_digest", "_packed", "_numbers", "_runs", "_answers")
+    names_out = [*kept, out, *([check] if check else [])]
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*shared.value)
+        encoder = Encoder(shared.value[0], {}, {})
         decoder = Decoder(encoder.pieces)
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
                 rows, sizes, same = [], [0], []
-                for text, names, ids in zip(*(part.column(c).to_pylist() for c in (place, width, width + 1)), strict=True):
-                    own = {} if names is None else {u: np.array(v, np.int32).tobytes() for u, v in zip(names, ids, strict=True)}
-                    rows.append(encoder.encode(text, own))
+                for digest, *one in zip(*(part.column(c).to_pylist() for c in range(width, width + 5)), strict=True):
+                    rows.append(encoder.fill(*one))
                     sizes.append(sizes[-1] + len(rows[-1]))
                     if check:
-                        same.append(decoder.text(rows[-1].tolist()) == (text or ""))
-                made = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(rows)))
+                        same.append(text_key(decoder.text(rows[-1].tolist()))[0] == digest)
+                made = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(rows).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], made, *([pa.array(same)] if check else [])], names_out)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(check, T.BooleanType())] if check else [])])
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(check, T.BooleanType())] if check else [])])
     return joined.mapInArrow(put, schema)
 
 
@@ -414,10 +485,11 @@ class Decoder:
     """Pieces joined, byte pieces as UTF-8, marks as spaces, the first space dropped."""
 
     def __init__(self, pieces: Pieces):
-        self.name = {i: p.replace(SPACE, " ").encode() for p, i in pieces.ids.items()} | {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
+        name = {i: p.replace(SPACE, " ").encode() for p, i in pieces.ids.items()} | {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
+        self.name = [name.get(i, b"") for i in range(max(name) + 1)]
 
     def text(self, ids: list[int]) -> str:
-        return b"".join(map(self.name.get, ids)).decode("utf-8", "replace").removeprefix(" ")
+        return b"".join(map(self.name.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
 def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -434,8 +506,8 @@ def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decoded"
 
 
 def encode_and_check(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """Adds ``ids`` and ``round_trip``: whether the ids decode to the text (a null text counts as empty)."""
-    return encode(docs, pieces, check="round_trip")
+    """``ids`` and ``round_trip`` (whether the ids decode to the text; a null text counts as empty) in place of the text."""
+    return encode(docs, pieces, check="round_trip", keep_text=False)
 
 
 def default_pieces(spark: SparkSession, path: str | None = None) -> Pieces:
