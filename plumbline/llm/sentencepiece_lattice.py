@@ -30,6 +30,7 @@ from operator import add
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +40,8 @@ from plumbline.llm.common import written
 
 SPACE = "▁"
 SAMPLE, FREQUENT = 40_000, 300_000
-MEMORY = 400_000
-SLICE = 500
+MEMORY, PAIRS = 4_000_000, 1_000_000
+SLICE = 2_000
 SPREAD = 3
 
 
@@ -52,15 +53,26 @@ class Pieces:
     scores: dict[str, float]
     byte_ids: list[int]
     merges: bool
-    neighbours: set[str] = field(default_factory=set)
     longest: int = 0
     runs: list[int] = field(default_factory=list)
     halves: dict[str, tuple[str, str]] = field(default_factory=dict)
     odd: set[str] = field(default_factory=set)
+    width: np.dtype = np.dtype(np.uint32)
+    kind: np.ndarray | None = None
+    near: np.ndarray | None = None
 
     def __post_init__(self) -> None:
-        self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        letters = {c: k for k, c in enumerate(sorted({c for pair in pairs for c in pair}), 1)}
+        self.kind = np.zeros(0x110000, np.int32)
+        self.near = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for c, k in letters.items():
+            self.kind[ord(c)] = k
+        for a, b in pairs:
+            self.near[letters[a], letters[b]] = True
         self.longest = max(map(len, self.ids))
+        # the type of packed ids; its largest value marks a gap
+        self.width = np.dtype(np.uint16 if max(*self.ids.values(), *self.byte_ids) < 65_535 else np.uint32)
         self.runs = sorted((len(p) for p in self.ids if set(p) == {SPACE}), reverse=True)
         if self.merges:
             for piece in self.ids:
@@ -86,21 +98,21 @@ class Pieces:
             merges=spec.model_type == spec.BPE,
         )
 
-    @property
-    def width(self) -> np.dtype:
-        """The type of packed ids; its largest value marks a gap."""
-        return np.dtype(np.uint16 if max(*self.ids.values(), *self.byte_ids) < 65_535 else np.uint32)
-
     def pack(self, ids: list[int] | np.ndarray) -> bytes:
         return np.asarray(ids, self.width).tobytes()
 
-    def cut(self, word: str) -> list[str]:
-        """The word's units: cut between characters that are neighbours in no piece."""
-        near = self.neighbours
-        cuts = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in near]
-        if not cuts:
-            return [word]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+    def cut(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The units of words with their marks, in order, and how many each word has: cut between characters that are neighbours in no piece."""
+        if not words:
+            return [], np.zeros(0, np.int64)
+        text = SPACE + SPACE.join(words)
+        kinds = self.kind[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        apart = np.r_[True, ~self.near[kinds[:-1], kinds[1:]], True]
+        apart[starts] = True
+        cuts = np.flatnonzero(apart)
+        places = cuts.tolist()
+        return [text[i:j] for i, j in zip(places, places[1:], strict=False)], np.diff(np.searchsorted(cuts, starts))
 
     def merged(self, text: str, halves: dict | None = None) -> list[str]:
         """The pieces left when the best-scored neighbours of a short text are merged until none can be."""
@@ -184,7 +196,7 @@ def units_of(words: DataFrame, pieces: Pieces) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            units = {unit for word in batch.column(0).to_pylist() for unit in own.cut(SPACE + word) if own.is_unit(unit)}
+            units = set(filter(own.is_unit, own.cut(batch.column(0).to_pylist())[0]))
             yield pa.RecordBatch.from_arrays([pa.array(sorted(units), pa.string())], ["unit"])
 
     return words.mapInArrow(run, "unit string").distinct()
@@ -207,96 +219,119 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     return edges.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("end", "start", "id", "score"))).alias("edges"))
 
 
-def with_fits(edges: DataFrame, pieces: Pieces) -> DataFrame:
-    """For BPE models: adds to every edge which edges it may follow, as bits by their length (``fits``)."""
-    if not pieces.merges:
-        return edges.withColumn("fits", F.lit(None).cast("array<bigint>"))
-    if pieces.longest > 63:
+class Fits:
+    """Which edges may follow which: one bit for each length of the edge before. What is known of two pieces is kept in sorted arrays."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.name = dict(zip(pieces.ids.values(), pieces.ids, strict=True))
+        self.keys, self.values = np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        """For keys ``left id << 32 | right id``, whether merging leaves the two as neighbours."""
+        found, back = np.unique(keys, return_inverse=True)
+        at = np.searchsorted(self.keys, found)
+        new = found[np.r_[self.keys, -1][at] != found]
+        if len(new):
+            if len(self.keys) > MEMORY:
+                self.keys, self.values = np.zeros(0, np.int64), np.zeros(0, bool)
+                new = found
+            fits, name = self.pieces.fits, self.name
+            made = [fits(name[x >> 32], name[x & 0xFFFFFFFF]) for x in new.tolist()]
+            self.keys, self.values = np.r_[self.keys, new], np.r_[self.values, made].astype(bool)
+            order = np.argsort(self.keys, kind="stable")
+            self.keys, self.values = self.keys[order], self.values[order]
+        return self.values[np.searchsorted(self.keys, found)][back]
+
+    def bits(self, starts: np.ndarray, ids: np.ndarray, firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """For edges whose ``counts`` edges before them stand from ``firsts`` on: bit ``n - 1`` if one of ``n`` characters may be there."""
+        out = np.zeros(len(starts), np.int64)
+        at = 0
+        while at < len(starts):
+            stop = max(at + 1, int(np.searchsorted(np.cumsum(counts[at:]), PAIRS)) + at)
+            n = counts[at:stop]
+            right = np.repeat(np.arange(at, stop), n)
+            left = np.repeat(firsts[at:stop] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            may = self.known((ids[left] << 32) | ids[right])
+            np.bitwise_or.at(out, right[may], np.int64(1) << (starts[right] - starts[left] - 1)[may])
+            at = stop
+        return out
+
+
+def edges_by_end(edges: DataFrame, pieces: Pieces) -> DataFrame:
+    """``(unit, by_end)``: for every end in a unit its edges ``(start, id, score, fits)``.
+
+    ``fits`` says by bits which edges one may follow, by their length; for unigram models all bits are set.
+    """
+    if pieces.merges and pieces.longest > 63:
         raise ValueError("a piece has over 63 characters")
     shared = edges.sparkSession.sparkContext.broadcast(pieces)
-    known: dict[tuple[int, int], bool] = {}
-
-    @F.arrow_udf("array<bigint>")
-    def fits(units: pa.Array, starts: pa.Array, ends: pa.Array, ids: pa.Array) -> pa.Array:
-        own, out = shared.value, []
-        flat_starts, flat_ends, flat_ids = (a.flatten().to_pylist() for a in (starts, ends, ids))
-        if len(known) > MEMORY:
-            known.clear()
-        at, sizes = 0, [0]
-        for unit, length in zip(units.to_pylist(), starts.value_lengths().to_pylist(), strict=True):
-            by_end: dict[int, list[tuple[int, int]]] = {}
-            for k in range(at, at + length):
-                start, end, own_id, bits = flat_starts[k], flat_ends[k], flat_ids[k], 0
-                for before, left in by_end.get(start, ()):
-                    may = known.get((left, own_id))
-                    if may is None:
-                        may = known[left, own_id] = own.fits(unit[before:start], unit[start:end])
-                    if may:
-                        bits |= 1 << (start - before - 1)
-                by_end.setdefault(end, []).append((start, own_id))
-                out.append(bits)
-            at += length
-            sizes.append(at)
-        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(out, pa.int64()))
-
-    return edges.withColumn("fits", fits("unit", "edges.start", "edges.end", "edges.id"))
+    memory: list[Fits] = []
+
+    @F.arrow_udf("array<array<struct<start:int,id:int,score:double,fits:bigint>>>")
+    def run(lengths: pa.Array, starts: pa.Array, ends: pa.Array, ids: pa.Array, scores: pa.Array) -> pa.Array:
+        if not memory:
+            memory.append(Fits(shared.value))
+        length, per_unit = lengths.to_numpy().astype(np.int64), starts.value_lengths().to_numpy()
+        start, end, piece = (a.flatten().to_numpy().astype(np.int64) for a in (starts, ends, ids))
+        outer = np.r_[0, np.cumsum(length)]
+        base = np.repeat(outer[:-1], per_unit)
+        inner = np.r_[0, np.cumsum(np.bincount(base + end - 1, minlength=int(outer[-1])))]
+        bits = np.full(len(start), -1, np.int64)
+        if memory[0].pieces.merges:
+            later = np.flatnonzero(start > 0)
+            place = base[later] + start[later] - 1  # edges are in order of unit and end, so those before one stand together
+            counts, firsts = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+            counts[later], firsts[later] = inner[place + 1] - inner[place], inner[place]
+            bits = memory[0].bits(start, piece, firsts, counts)
+        flat = pa.StructArray.from_arrays([starts.flatten(), ids.flatten(), scores.flatten(), pa.array(bits)], ["start", "id", "score", "fits"])
+        return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), flat))
+
+    return edges.select("unit", run(F.length("unit"), "edges.start", "edges.end", "edges.id", "edges.score").alias("by_end"))
 
 
 def best_paths(edges: DataFrame) -> DataFrame:
-    """``(unit, ids)``: Viterbi over each unit's edges ``(edges, fits)``; no row for a unit of which no path reaches the end.
+    """``(unit, ids)``: Viterbi over the edges ``by_end`` of each unit; no row for a unit of which no path reaches the end.
 
-    The state holds, for every position before the current one, the last piece of the best path that reaches it.
+    The fold's state holds for every position the last piece of the best path to it.
     """
-    state = "struct<at:int,id:int,score:double,src:int,ids:array<int>,scores:array<double>,srcs:array<int>>"
+    cell = "struct<id:int,score:double,src:int>"
     trace = "struct<at:int,ids:array<int>>"
     size = F.length("unit")
-    none = {"id": F.lit(-2), "score": F.lit(0.0), "src": F.lit(-1)}
-    begin = F.struct(
-        F.lit(0).alias("at"), F.lit(-1).alias("id"), F.lit(0.0).alias("score"), F.lit(-1).alias("src"), F.array().cast("array<int>").alias("ids"),
-        F.array().cast("array<double>").alias("scores"), F.array().cast("array<int>").alias("srcs"),
-    ).cast(state)
-
-    def take(s, x):
-        e = x["edges"]
-        start = e["start"]
-        moved = e["end"] > s["at"]
-        gap = e["end"] - s["at"] - 1
-
-        def history(name, one):
-            longer = F.concat(s[name], F.array(s[one]), F.array_repeat(none[one], gap))
-            return F.when(moved, longer).otherwise(s[name])
-
-        # positions before the current end are complete; an edge starts at one of them
-        here = start == s["at"]
-        at_start = lambda name, one: F.when(here, s[one]).when(start > s["at"], none[one]).otherwise(F.get(s[name], start))
-        before, score = at_start("ids", "id"), at_start("scores", "score") + e["score"]
-        length = start - at_start("srcs", "src")
-        may = (before > -2) & ((start == 0) | x["fits"].isNull() | (F.call_function("shiftright", x["fits"], length - 1).bitwiseAND(F.lit(1).cast("bigint")) == 1))
-        wins = may & (moved | (s["id"] == -2) | (score > s["score"]))
-        kept = lambda one: F.when(moved, none[one]).otherwise(s[one])
-        return F.struct(
-            e["end"].alias("at"), F.when(wins, e["id"]).otherwise(kept("id")).alias("id"), F.when(wins, score).otherwise(kept("score")).alias("score"),
-            F.when(wins, start).otherwise(kept("src")).alias("src"), history("ids", "id").alias("ids"), history("scores", "score").alias("scores"), history("srcs", "src").alias("srcs"),
-        ).cast(state)
-
-    def back(s):
-        ids, srcs = F.concat(s["ids"], F.array(s["id"])), F.concat(s["srcs"], F.array(s["src"]))
-
-        def step(t, _):
-            more = F.struct(F.get(srcs, t["at"]).alias("at"), F.concat(F.array(F.get(ids, t["at"])), t["ids"]).alias("ids")).cast(trace)
-            return F.when((t["at"] > 0) & (F.get(ids, t["at"]) > -2), more).otherwise(t)
-
-        return F.aggregate(F.sequence(F.lit(1), size), F.struct(s["at"].alias("at"), F.array().cast("array<int>").alias("ids")).cast(trace), step)
-
-    zipped = F.transform("edges", lambda e, i: F.struct(e.alias("edges"), F.get(F.col("fits"), i).alias("fits")))
-    reached = edges.select("unit", F.explode(F.array(F.aggregate(zipped, begin, take))).alias("s")).filter(F.col("s.at") == size)
-    folded = reached.select("unit", F.explode(F.transform(F.array("s"), back)).alias("path"))
+    origin = F.struct(F.lit(-1).alias("id"), F.lit(0.0).alias("score"), F.lit(-1).alias("src")).cast(cell)
+    unreached = F.struct(F.lit(-2).alias("id"), F.lit(0.0).alias("score"), F.lit(-1).alias("src")).cast(cell)
+
+    def take(cells, here):
+        def usable(e):
+            before = F.get(cells, e["start"])
+            may = F.call_function("shiftright", e["fits"], e["start"] - before["src"] - 1).bitwiseAND(F.lit(1).cast("bigint")) == 1
+            return (before["id"] > -2) & ((e["start"] == 0) | may)
+
+        def reached(e):
+            score = F.get(cells, e["start"])["score"] + e["score"]
+            return F.struct(score.alias("score"), (-e["start"]).alias("longer"), e["id"].alias("id"), e["start"].alias("src"))
+
+        best = F.array_max(F.transform(F.filter(here, usable), reached))
+        fresh = F.transform(F.array(best), lambda b: F.when(b.isNull(), unreached).otherwise(F.struct(b["id"], b["score"], b["src"]).cast(cell)))
+        return F.concat(cells, fresh).cast(f"array<{cell}>")
+
+    def back(cells):
+        def step(state, _):
+            now = F.get(cells, state["at"])
+            more = F.struct(now["src"].alias("at"), F.concat(F.array(now["id"]), state["ids"]).alias("ids")).cast(trace)
+            return F.when((state["at"] > 0) & (now["id"] > -2), more).otherwise(state)
+
+        end = F.struct(size.alias("at"), F.array().cast("array<int>").alias("ids")).cast(trace)
+        return F.aggregate(F.sequence(F.lit(1), size), end, step)
+
+    # explode evaluates the edges and the fold once a unit
+    folded = edges.select("unit", F.explode(F.transform(F.array("by_end"), lambda x: F.aggregate(x, F.array(origin).cast(f"array<{cell}>"), take, back))).alias("path"))
     return folded.filter(F.col("path.at") == 0).select("unit", F.col("path.ids").alias("ids"))
 
 
 def encoded_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     """``(unit, ids)`` of every distinct unit; a unit of which no path reaches the end has no row."""
-    return best_paths(with_fits(lattice(units, pieces), pieces))
+    return best_paths(edges_by_end(lattice(units, pieces), pieces))
 
 
 def frequent_ids(docs: DataFrame, pieces: Pieces, limit: int = FREQUENT) -> tuple[dict[str, bytes], dict[str, bytes]]:
@@ -308,9 +343,8 @@ def frequent_ids(docs: DataFrame, pieces: Pieces, limit: int = FREQUENT) -> tupl
     lists = got["ids"].combine_chunks()
     flat, at = pieces.pack(lists.flatten().to_numpy()), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())] * pieces.width.itemsize
     units = {u: flat[at[k] : at[k + 1]] for k, u in enumerate(got["unit"].to_pylist())}
-    encoder = Encoder(pieces, units, {})
-    whole = {word: encoder.word(word) for word in words.toArrow()["word"].to_pylist()}
-    return units, {word: ids for word, ids in whole.items() if ids is not None}
+    whole = Encoder(pieces, units, {}).resolved(words.toArrow()["word"].to_pylist())
+    return units, {word: ids for word, (ids, gaps) in whole.items() if not gaps}
 
 
 class Encoder:
@@ -322,15 +356,25 @@ class Encoder:
         self.mark = pieces.pack([pieces.ids[SPACE]])
         self.gap = pieces.pack([np.iinfo(pieces.width).max])
 
-    def unit(self, unit: str) -> bytes | None:
-        if (ids := self.units.get(unit)) is None and not self.pieces.is_unit(unit):
-            return self.pieces.pack(self.pieces.bytes_of(unit))
-        return ids
-
-    def word(self, word: str) -> bytes | None:
-        """The packed ids of a word and its space mark; None if one of its units is not known."""
-        parts = [self.unit(u) for u in self.pieces.cut(SPACE + word)]
-        return None if None in parts else b"".join(parts)
+    def resolved(self, words: list[str]) -> dict[str, tuple[bytes, list[str]]]:
+        """For each word its packed ids, with gaps, and the units of the gaps."""
+        flat, counts = self.pieces.cut(words)
+        found = list(map(self.units.get, flat))
+        out, at = {}, 0
+        for word, n in zip(words, counts.tolist(), strict=True):
+            ids, gaps = found[at : at + n], []
+            if None in ids:
+                for k, own in enumerate(ids):
+                    if own is None:
+                        unit = flat[at + k]
+                        if self.pieces.is_unit(unit):
+                            ids[k] = self.gap
+                            gaps.append(unit)
+                        else:
+                            ids[k] = self.units[unit] = self.pieces.pack(self.pieces.bytes_of(unit))
+            out[word] = b"".join(ids), gaps
+            at += n
+        return out
 
     def after_run(self, ids: bytes, run: int) -> bytes:
         """The ids of ``run`` spaces and of the word after them."""
@@ -338,55 +382,74 @@ class Encoder:
             ids, run = ids[self.step :], run + 1
         return self.pieces.pack(self.pieces.space_run(run)) + ids
 
-    def unknown(self, text: str | None) -> dict[str, int]:
-        """The units of a text that are not known, numbered in order of first use."""
-        out: dict[str, int] = {}
-        known = self.words
-        for word in dict.fromkeys(parts_of(text)):
-            if word not in known:
-                for unit in self.pieces.cut(SPACE + word):
-                    if unit not in self.units and self.pieces.is_unit(unit):
-                        out.setdefault(unit, len(out))
-        return out
+    def encode(self, texts: pa.Array) -> tuple[list[bytes], list[np.ndarray], list[list[int]], list[str]]:
+        """For each text its packed ids with gaps, for every gap the number of its unit and (or nothing) how many spaces stand before it; the units.
 
-    def encode(self, text: str | None) -> tuple[bytes, list[int], list[int]]:
-        """Packed ids with gaps; for every gap the number of its unit and how many spaces stand before it."""
-        parts = parts_of(text)
-        found = list(map(self.words.get, parts))
-        numbers: list[int] = []
+        Words are looked up once a batch; what follows from a word is then taken for each place it has.
+        """
+        lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), SPACE, " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words, places = coded.dictionary.to_pylist(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+        made = list(map(self.words.get, words))
+        rare = [k for k, ids in enumerate(made) if ids is None]
+        known = self.resolved([words[k] for k in rare])
+        units = sorted({unit for _, own in known.values() for unit in own})
+        number = {unit: k for k, unit in enumerate(units)}
+        own, owned = [], np.zeros(len(words), np.int64)
+        for k in rare:
+            made[k], found = known[words[k]]
+            owned[k] = len(found)
+            own += found
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // self.step
+        ids, ends = self.taken(pa.array(np.frombuffer(b"".join(made), self.pieces.width)), sizes, coded.indices, places)
+        gaps, gap_ends = self.taken(pa.array([number[u] for u in own], pa.int32()), owned, coded.indices, places)
+        packed = [ids[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)]
+        numbers = [gaps[i:j] for i, j in zip(gap_ends, gap_ends[1:], strict=False)]
+        runs: list[list[int]] = [[]] * len(packed)
+        if "" in words:
+            where = {w: known.get(w) or (ids, []) for w, ids in zip(words, made, strict=True)}
+            empty = np.flatnonzero(coded.indices.to_numpy() == words.index(""))
+            for k in np.unique(np.searchsorted(places, empty, "right") - 1).tolist():
+                packed[k], found, runs[k] = self.with_runs(parts_of(texts[k].as_py()), where)
+                numbers[k] = np.array([number[u] for u in found], np.int32)
+        return packed, numbers, runs, units
+
+    @staticmethod
+    def taken(values: pa.Array, lengths: np.ndarray, indices: pa.Array, places: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The lists (of those lengths) at the indices, one after the other, and where those of each text begin and end."""
+        if not len(lengths):
+            return np.zeros(0, np.int32), [0] * len(places)
+        out = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), values).take(indices)
+        return out.flatten().to_numpy(), np.r_[0, np.cumsum(lengths[indices.to_numpy()])][places].tolist()
+
+    def with_runs(self, parts: list[str], known: dict[str, tuple[bytes, list[str]]]) -> tuple[bytes, list[str], list[int]]:
+        """The same for one text with more than single spaces between its words."""
+        out: list[bytes] = []
+        gaps: list[str] = []
         runs: list[int] = []
-        spaced = "" in parts
-        if not spaced and None not in found:
-            return b"".join(found), numbers, runs
-        seen: dict[str, int] = {}
         run = 0
-        for k, ids in enumerate(found):
-            if ids is None:
-                made = []
-                for unit in self.pieces.cut(SPACE + parts[k]):
-                    if (own := self.unit(unit)) is None:
-                        numbers.append(seen.setdefault(unit, len(seen)))
-                        runs.append(run)
-                        own, run = self.gap, 0
-                    elif run:
-                        own, run = self.after_run(own, run), 0
-                    made.append(own)
-                found[k] = b"".join(made)
-            elif spaced:
-                if not parts[k]:
-                    run += 1
-                elif run:
-                    found[k], run = self.after_run(ids, run), 0
+        for part in parts:
+            if not part:
+                run += 1
+                continue
+            ids, own = known[part]
+            gaps += own
+            runs += [0] * len(own)
+            if run and ids.startswith(self.gap):
+                runs[-len(own)], run = run, 0
+            elif run:
+                ids, run = self.after_run(ids, run), 0
+            out.append(ids)
         if run:
-            found.append(self.pieces.pack(self.pieces.space_run(run)))
-        return b"".join(found), numbers, runs
+            out.append(self.pieces.pack(self.pieces.space_run(run)))
+        return b"".join(out), gaps, runs
 
     def fill(self, packed: bytes, numbers: list[int], runs: list[int], answers: list[bytes]) -> np.ndarray:
         """The ids with every gap filled from the answers."""
         if numbers:
             out, last, step = [], 0, self.step
             gaps = np.flatnonzero(np.frombuffer(packed, self.pieces.width) == np.iinfo(self.pieces.width).max).tolist()
-            for gap, number, run in zip(gaps, numbers, runs, strict=True):
+            for gap, number, run in zip(gaps, numbers, runs or [0] * len(gaps), strict=True):
                 out += [packed[last : gap * step], self.after_run(answers[number], run) if run else answers[number]]
                 last = (gap + 1) * step
             packed = b"".join([*out, packed[last:]])
@@ -412,14 +475,14 @@ def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", check: str | None
         encoder = Encoder(*shared.value)
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
-                units, keys, places = [], [], []
-                for text in batch.column(0).slice(k, SLICE).to_pylist():
-                    if new := encoder.unknown(text):
-                        _, key, more = text_key(text)
-                        units += new
-                        keys += [key] * len(new)
-                        places += range(more << 32, (more << 32) + len(new))
-                yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(keys, pa.int64()), pa.array(places, pa.int64())], ["unit", "key", "place"])
+                texts = batch.column(0).slice(k, SLICE)
+                _, numbers, _, units = encoder.encode(texts)
+                asked = [np.unique(x) for x in numbers]
+                sizes = [len(x) for x in asked]
+                keys = [text_key(t)[1:] if n else (0, 0) for t, n in zip(texts.to_pylist(), sizes, strict=True)]
+                at = np.concatenate([np.arange(n) + (more << 32) for n, (_, more) in zip(sizes, keys, strict=True)])
+                found = pa.array(units, pa.string()).take(pa.array(np.concatenate(asked), pa.int32()))
+                yield pa.RecordBatch.from_arrays([found, pa.array(np.repeat([key for key, _ in keys], sizes), pa.int64()), pa.array(at, pa.int64())], ["unit", "key", "place"])
 
     # a unit's lattice is some forty times its row, so there are more and smaller parts than the rows alone would give
     parts = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -451,11 +514,11 @@ def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", check: str | None
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
-                texts = part.column(width).to_pylist()
-                keys, rows = [text_key(t) for t in texts], [encoder.encode(t) for t in texts]
+                keys = [text_key(t) for t in part.column(width).to_pylist()]
+                packed_ids, numbers, runs, _ = encoder.encode(part.column(width))
                 made = [
-                    pa.array([x[1] for x in keys], pa.int64()), pa.array([x[2] for x in keys], pa.int32()), pa.array([x[0] for x in keys], packed), pa.array([x[0] for x in rows], packed),
-                    pa.array([x[1] for x in rows], pa.list_(pa.int32())), pa.array([x[2] for x in rows], pa.list_(pa.int32())),
+                    pa.array([x[1] for x in keys], pa.int64()), pa.array([x[2] for x in keys], pa.int32()), pa.array([x[0] for x in keys], packed), pa.array(packed_ids, packed),
+                    pa.array([np.unique(x, return_inverse=True)[1] for x in numbers], pa.list_(pa.int32())), pa.array(runs, pa.list_(pa.int32())),
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *made], gaps.names)
 
@@ -468,14 +531,13 @@ def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", check: str | None
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
-                rows, sizes, same = [], [0], []
-                for digest, *one in zip(*(part.column(c).to_pylist() for c in range(width, width + 5)), strict=True):
-                    rows.append(encoder.fill(*one))
-                    sizes.append(sizes[-1] + len(rows[-1]))
-                    if check:
-                        same.append(text_key(decoder.text(rows[-1].tolist()))[0] == digest)
-                made = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(rows).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:width], made, *([pa.array(same)] if check else [])], names_out)
+                digests, *columns = (part.column(c).to_pylist() for c in range(width, width + 5))
+                rows = [encoder.fill(*one) for one in zip(*columns, strict=True)]
+                ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows).astype(np.int32)))
+                made = [ids]
+                if check:
+                    made.append(pa.array([xxhash.xxh3_128_digest(text) == digest for text, digest in zip(decoder.texts(ids), digests, strict=True)]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *made], names_out)
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(check, T.BooleanType())] if check else [])])
     return joined.mapInArrow(put, schema)
@@ -486,21 +548,22 @@ class Decoder:
 
     def __init__(self, pieces: Pieces):
         name = {i: p.replace(SPACE, " ").encode() for p, i in pieces.ids.items()} | {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
-        self.name = [name.get(i, b"") for i in range(max(name) + 1)]
+        self.name = pa.array([name.get(i, b"") for i in range(max(name) + 1)], pa.binary())
 
-    def text(self, ids: list[int]) -> str:
-        return b"".join(map(self.name.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
+    def texts(self, ids: pa.ListArray) -> list[bytes]:
+        """The UTF-8 text of each list of ids."""
+        out = pa.ListArray.from_arrays(np.r_[0, np.cumsum(ids.value_lengths().fill_null(0).to_numpy())].astype(np.int32), self.name.take(ids.flatten()))
+        return [text.removeprefix(b" ") for text in pc.binary_join(out, b"").to_pylist()]
 
 
 def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the text of every row's ids."""
     shared = df.sparkSession.sparkContext.broadcast(pieces)
 
-    @F.pandas_udf("string")
-    def join(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        decoder = Decoder(shared.value)
-        for rows in batches:
-            yield pd.Series([None if r is None else decoder.text(r.tolist()) for r in rows], dtype=object)
+    @F.arrow_udf("string")
+    def join(rows: pa.Array) -> pa.Array:
+        texts = Decoder(shared.value).texts(rows)
+        return pa.array([text.decode("utf-8", "replace") if known else None for text, known in zip(texts, rows.is_valid().to_pylist(), strict=True)], pa.string())
 
     return df.withColumn(out, join(F.col(ids)))
 
