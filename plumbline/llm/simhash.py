@@ -8,8 +8,9 @@ population counts. Inside a tile, numpy compares runs of fingerprints by exclusi
 skips runs whose population counts differ by more than the radius, which bounds their distance from below.
 
 A block value that more than ``TILE`` fingerprints share (a large group of near copies) is cut into
-pieces by hash, and every pair of pieces is a task of its own. A task returns a spanning forest of the
-links it found, at most one row a fingerprint, so dense groups do not emit all their pairs.
+tiles by population count, and a count that many share further by hash. Every pair of tiles is a task of its own;
+pairs whose population counts differ by more than the radius are left out before anything is shuffled. A task
+returns a spanning forest of the links it found, at most one row a fingerprint, so dense groups do not emit all their pairs.
 
 Edge cases: a null or blank text has no shingles and fingerprint zero, and links like any other; a text
 of fewer words than a shingle is one shingle; rows with a null id get a fingerprint and the component of
@@ -25,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import written
@@ -111,38 +112,57 @@ def tile_forest(pdf: pd.DataFrame, radius: int, piece: int | None = None) -> pd.
     return pd.DataFrame({"src": node[away], "dst": node[label[away]]})
 
 
-def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links that span the near groups of distinct fingerprints ``(fp, node)``."""
+def banded(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(fp, node, value, ones)``: each fingerprint under its value in each of ``radius + 1`` blocks of bits."""
     cuts = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
     values = [
         F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("bigint")) + F.lit(i << 40).cast("bigint")
         for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))
     ]
-    banded = nodes.select("fp", "node", F.explode(F.array(*values)).alias("value"))
+    return nodes.select("fp", "node", F.explode(F.array(*values)).alias("value"), F.bit_count("fp").alias("ones"))
+
+
+def large_tiles(rows: DataFrame) -> DataFrame:
+    """``(value, shelves)`` of the values that more than ``TILE`` fingerprints share: how many tiles each population count has."""
+    counts = rows.groupBy("value", "ones").agg(F.count("*").alias("n"))
+    shelf = F.struct("ones", F.ceil(F.col("n") / TILE).cast("int").alias("cuts"))
+    return counts.groupBy("value").agg(F.sum("n").alias("all"), F.collect_list(shelf).alias("shelves")).filter(F.col("all") > TILE).select("value", "shelves")
+
+
+def large_tile_pairs(rows: DataFrame, radius: int, large: DataFrame | None = None) -> DataFrame:
+    """``(fp, node, value, piece, i, j)``: the fingerprints of large values in every pair of tiles within reach of each other."""
+    large = large_tiles(rows) if large is None else large
+    own = F.filter("shelves", lambda s: s["ones"] == F.col("ones"))[0]["cuts"]
+    near = F.filter("shelves", lambda s: F.abs(s["ones"] - F.col("ones")) <= radius)
+    tiles = F.flatten(F.transform(near, lambda s: F.transform(F.sequence(F.lit(0), s["cuts"] - 1), lambda k: tile_number(s["ones"], k))))
+    piece = tile_number(F.col("ones"), F.pmod(F.xxhash64("fp"), own))
+    cut = rows.join(large, "value").select("fp", "node", "value", piece.alias("piece"), F.explode(tiles).alias("mate"))
+    return cut.select("fp", "node", "value", "piece", F.least("piece", "mate").alias("i"), F.greatest("piece", "mate").alias("j"))
+
+
+def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links that span the near groups of distinct fingerprints ``(fp, node)``."""
+    rows = banded(nodes, radius)
     groups = max(1, -(-nodes.count() * (radius + 1) // 10_000))
-    large = (
-        banded.groupBy("value").count().filter(F.col("count") > TILE)
-        .select("value", F.ceil(F.col("count") / TILE).cast("int").alias("pieces"))
-    )
-    large = written(large, "large-tiles")
-    usual = banded.join(large, "value", "left_anti").withColumn("tile", F.pmod(F.xxhash64("value"), F.lit(groups)))
+    large = written(large_tiles(rows), "large-tiles")  # at most 65 shelves a value
+    usual = rows.join(large, "value", "left_anti").withColumn("tile", F.pmod(F.xxhash64("value"), F.lit(groups)))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         return tile_forest(pdf, radius)
 
-    links = usual.groupBy("tile").applyInPandas(one, "src bigint, dst bigint")
+    links = usual.select("tile", "fp", "node", "value").groupBy("tile").applyInPandas(one, "src bigint, dst bigint")
     if large.isEmpty():
         return links
-    cut = banded.join(large, "value").withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
-    mate = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    pairs = cut.select("fp", "node", "value", "piece", mate.alias("mate")).select(
-        "fp", "node", "value", "piece", F.least("piece", "mate").alias("i"), F.greatest("piece", "mate").alias("j")
-    )
 
     def two(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return tile_forest(pdf, radius, piece=key[1])
 
-    return links.union(pairs.groupBy("value", "i", "j").applyInPandas(two, "src bigint, dst bigint"))
+    return links.union(large_tile_pairs(rows, radius, large).groupBy("value", "i", "j").applyInPandas(two, "src bigint, dst bigint"))
+
+
+def tile_number(ones: Column, cut: Column) -> Column:
+    """Numbers a tile by its population count and the part of it."""
+    return ones.cast("bigint") * F.lit(1 << 32) + cut.cast("bigint")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -127,6 +127,23 @@ def test_components_of_long_chains_and_hubs(spark):
     assert components.connected_components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
 
 
+def test_component_rounds_of_a_badly_numbered_path(spark):
+    n = 1000
+    path = [(0, n), *((k, k - 1) for k in range(n, 1, -1))]
+    links = spark.createDataFrame([*path, *((b, a) for a, b in path)], "src bigint, dst bigint")
+    assert len(components.contraction(links)) <= 20
+    assert {r.component for r in components.connected_components(links).collect()} == {0}
+
+
+def test_tile_pairs_out_of_reach_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 4)
+    prints = [(1 << k) - 1 for k in range(2, 50)]  # one value in the upper blocks, population counts from 2 to 49
+    nodes = spark.createDataFrame([(p, k) for k, p in enumerate(prints)], "fp bigint, node bigint")
+    pieces = simhash.large_tile_pairs(simhash.banded(nodes, 4), 4)
+    ones = [((r.i >> 32), (r.j >> 32)) for r in pieces.select("i", "j").distinct().collect()]
+    assert ones and all(abs(a - b) <= 4 for a, b in ones)
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_vectors_equal_brute_force(spark, kind):
     rng = np.random.default_rng(3)
