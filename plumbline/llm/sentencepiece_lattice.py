@@ -39,9 +39,9 @@ from pyspark.sql import types as T
 from plumbline.llm.common import written
 
 SPACE = "▁"
-SAMPLE, FREQUENT = 40_000, 300_000
-MEMORY, PAIRS = 4_000_000, 1_000_000
-SLICE = 2_000
+SAMPLE, FREQUENT = 40_000, 200_000
+MEMORY, PAIRS = 2_000_000, 500_000
+SLICE = 1_000
 SPREAD = 3
 
 
@@ -212,11 +212,12 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     table = spark.createDataFrame(pd.DataFrame({"piece": good, "id": [pieces.ids[p] for p in good], "score": [pieces.scores[p] for p in good]}))
     table = table.select("piece", F.col("id").cast("int"), "score")
     size = F.length("unit")
-    starts = units.select("unit", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    ends = starts.select("unit", "start", F.explode(F.sequence(F.col("start") + 1, F.least(size, F.col("start") + pieces.longest))).alias("end"))
+    starts = units.select("unit", F.xxhash64("unit").alias("u"), F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    ends = starts.select("unit", "u", "start", F.explode(F.sequence(F.col("start") + 1, F.least(size, F.col("start") + pieces.longest))).alias("end"))
     parts = ends.withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("end") - F.col("start")))
     edges = parts.join(F.broadcast(table), "piece")  # the piece table is one model's vocabulary
-    return edges.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("end", "start", "id", "score"))).alias("edges"))
+    # the hash comes first so that grouping sorts by a number
+    return edges.groupBy("u", "unit").agg(F.sort_array(F.collect_list(F.struct("end", "start", "id", "score"))).alias("edges"))
 
 
 class Fits:
@@ -444,6 +445,14 @@ class Encoder:
             out.append(self.pieces.pack(self.pieces.space_run(run)))
         return b"".join(out), gaps, runs
 
+    def packed(self, answers: pa.ListArray) -> Iterator[list[bytes]]:
+        """The lists of ids of each row, packed."""
+        lists = answers.flatten()
+        flat, ends = self.pieces.pack(lists.flatten().to_numpy()), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())] * self.step
+        cut = [flat[i:j] for i, j in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+        places = np.r_[0, np.cumsum(answers.value_lengths().fill_null(0).to_numpy())].tolist()
+        return (cut[i:j] for i, j in zip(places, places[1:], strict=False))
+
     def fill(self, packed: bytes, numbers: list[int], runs: list[int], answers: list[bytes]) -> np.ndarray:
         """The ids with every gap filled from the answers."""
         if numbers:
@@ -487,15 +496,12 @@ def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", check: str | None
     # a unit's lattice is some forty times its row, so there are more and smaller parts than the rows alone would give
     parts = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = docs.select("text").mapInArrow(ask, "unit string, key bigint, place bigint").repartition(parts, "unit")
-    found = encoded_units(asked.select("unit").distinct(), pieces)
+    once = asked.distinct()
+    # the sum keeps all columns, so that units and questions read one shuffle
+    found = encoded_units(once.groupBy("unit").agg(F.sum("place").alias("places")).filter("places >= 0").select("unit"), pieces)
     packed = pa.binary()
 
-    @F.arrow_udf("binary")
-    def pack(ids: pa.Array) -> pa.Array:
-        flat, at = pieces.pack(ids.flatten().to_numpy()), np.r_[0, np.cumsum(ids.value_lengths().to_numpy())] * pieces.width.itemsize
-        return pa.array([flat[a:b] for a, b in zip(at, at[1:], strict=False)], packed)
-
-    answered = asked.distinct().join(found.select("unit", pack("ids").alias("ids")), "unit").select(
+    answered = once.join(found, "unit").select(
         F.col("key").alias("_key"), F.shiftright("place", 32).cast("int").alias("_more"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"), "ids"
     )
     answers = answered.groupBy("_key", "_more").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("a"))
@@ -531,8 +537,8 @@ def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", check: str | None
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
-                digests, *columns = (part.column(c).to_pylist() for c in range(width, width + 5))
-                rows = [encoder.fill(*one) for one in zip(*columns, strict=True)]
+                digests, *columns = (part.column(c).to_pylist() for c in range(width, width + 4))
+                rows = [encoder.fill(*one) for one in zip(*columns, encoder.packed(part.column(width + 4)), strict=True)]
                 ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows).astype(np.int32)))
                 made = [ids]
                 if check:
