@@ -198,3 +198,22 @@ def test_leaks_with_edits_at_any_place():
         assert {i: s for i, s in got.items() if abs(i - k) < 12} == want
         every.append(k in want)
     assert all(every[:38])
+
+
+def test_joined_leaks_with_edits_at_any_place(spark, monkeypatch):
+    rng = random.Random(10)
+    often = [f"often{k}" for k in range(25)]
+    word = lambda: rng.choice(often) if rng.random() < 0.5 else "".join(rng.choice("abcdefghijkl") for _ in range(7))
+    items = [[word() for _ in range(n)] for n in (4, 5, 8, 12, 16, 24, 40, 100) for _ in range(4)]
+    texts = []
+    for k, item in enumerate(items):
+        copy = ["edited" if at % (4 + k % 4) == 3 + k % 4 else w for at, w in enumerate(item)]
+        texts.append([word() for _ in range(60)] + copy + [word() for _ in range(60)])
+    texts += [[word() for _ in range(200)] for _ in range(20)]
+    want = {(d, i) for d, text in enumerate(texts) for i, item in enumerate(items) if slow_alignment(item, text) * 2 >= len(item)}
+    assert {(k, k) for k in range(len(items))} <= want
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leak_table(docs, bench).collect()} == want
+    monkeypatch.setattr(decontamination, "MAX_BITS", 1 << 10)
+    assert {(r.doc_id, r.item_id) for r in decontamination.leak_table(docs, bench).collect()} == want
