@@ -1,20 +1,23 @@
 """Line dedup by a tree of line templates.
 
 A line's place in the tree has a fixed depth: its number of tokens, then its first tokens, with tokens
-that hold digits replaced by a wildcard. In a leaf where several different lines meet, a token position
-whose token most documents of the leaf share is fixed and any other is a variable field; a line whose
-positions after the first tokens are fixed by at least ``similarity`` takes the leaf's template in place of its own words.
+that hold digits replaced by a wildcard. A leaf may hold several templates and frequent fixed lines, so each line is told from
+its leaf by its own tokens: how many documents of the leaf have each token at that place. The tokens of one
+template recur about equally often, those of a variable field far less; a token is fixed if its count is at least ``share`` of the
+upper median of the line's counts after the first tokens, and any other place is a variable field. A line whose
+places after the first tokens are fixed by at least ``similarity`` takes leaf and fixed tokens as its template.
 A line goes if, in a document other than the first (smallest id) that has it, its words recur in
 ``min_docs`` documents or its template with variable fields recurs in ``min_template_docs``. Lines of
-fewer than ``min_tokens`` tokens are no templates and stay: they recur by chance.
+fewer than ``min_tokens`` tokens are no templates and recur by chance; they go if their words recur in ``min_short_docs`` documents.
+Blank lines stay.
 
-DataFrame functions only. Lines are counted by hash; the texts themselves are shuffled once, to meet the
+DataFrame functions only. Lines are counted by two hashes; the texts themselves are shuffled once, to meet the
 list of their dropped lines. A line of a third of all documents is counted by partial aggregation and
 joined from written tables on both sides, so that adaptive execution can split it.
 
 Edge cases: a null text stays null and an empty one empty; a text all of whose lines go becomes empty
-and its row stays; rows with the same id are one document, as are rows with a null id; lines repeated
-inside one document only are no recurrence; other columns are kept as they are.
+and its row stays; rows with the same id are one document, as are rows with a null id and the same text, which come after all others;
+lines repeated inside one document only are no recurrence; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import written
 
-MIN_TOKENS, MIN_DOCS, MIN_TEMPLATE_DOCS = 5, 2, 5
+MIN_TOKENS, MIN_DOCS, MIN_TEMPLATE_DOCS, MIN_SHORT_DOCS = 5, 2, 5, 10
 DEPTH, SIMILARITY, SHARE = 3, 0.5, 0.5
 WILDCARD = "<*>"
 
@@ -33,70 +36,81 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
+def named(df: DataFrame) -> DataFrame:
+    """Adds ``part``, which tells documents without an id apart by their text; null where there is an id."""
+    return df.withColumn("part", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+
+
 def line_table(df: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """``(doc_id, line, masked, tokens, leaf)`` of every line with enough tokens, once a document row."""
-    line = F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("raw")
-    split = df.select("doc_id", line).select("doc_id", line_key(F.col("raw")).alias("line"), F.split(F.trim("raw"), r"\s+").alias("words"), F.col("raw").rlike("[0-9]").alias("digits"))
+    """``(doc_id, part, line, twin, short, digits, tokens, masked, leaf)`` of every line that is not blank, once a document row.
+
+    ``line`` and ``twin`` are hashes of the line; ``masked`` and ``leaf`` are null for lines of fewer than ``min_tokens`` tokens.
+    """
+    raw = F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("raw")
+    split = df.select("doc_id", "part", raw).filter(F.col("raw").rlike(r"\S")).withColumn("line", F.trim("raw"))
+    split = split.select("doc_id", "part", F.xxhash64("line").alias("line"), F.hash("line").alias("twin"), F.split("line", r"\s+").alias("words"), F.col("line").rlike("[0-9]").alias("digits"))
     masked = F.when(F.col("digits"), F.transform("words", lambda t: F.when(t.rlike("[0-9]"), WILDCARD).otherwise(t))).otherwise(F.col("words"))
-    return (
-        split.filter(F.size("words") >= min_tokens)
-        .select("doc_id", "line", "digits", masked.alias("tokens"))
-        .withColumns({"masked": F.xxhash64("tokens"), "leaf": F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))})
+    long = F.size("tokens") >= min_tokens
+    return split.select("doc_id", "part", "line", "twin", "digits", masked.alias("tokens")).withColumns(
+        {"short": ~long, "masked": F.when(long, F.xxhash64("tokens")), "leaf": F.when(long, F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))}
     )
 
 
 def leaf_templates(lines: DataFrame, places: DataFrame, min_template_docs: int, depth: int, similarity: float, share: float) -> DataFrame:
     """``(masked, template)`` of the lines whose leaf gives them a template with variable fields."""
-    shapes = places.groupBy("masked").agg(F.count_distinct("doc_id").alias("docs"), F.first("leaf").alias("leaf"))
+    shapes = places.filter("not short").groupBy("masked").agg(F.count_distinct(F.coalesce("doc_id", "part")).alias("docs"), F.first("leaf").alias("leaf"))
     shapes = written(shapes, "line-shapes")
     leaves = shapes.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("docs").alias("leaf_docs"))
-    mixed = written(leaves.filter((F.col("n") > 1) & (F.col("leaf_docs") >= min_template_docs)).select("leaf", "leaf_docs"), "mixed-leaves")
-    members = shapes.join(mixed, "leaf").select("masked", "docs", "leaf_docs")
-    words = lines.join(mixed.select("leaf"), "leaf", "left_semi").select("masked", "leaf", "tokens").dropDuplicates(["masked"])
-    known = written(words.join(members, "masked"), "leaf-lines")
-    spots = known.select("masked", "leaf", "docs", "leaf_docs", F.posexplode("tokens").alias("at", "token"))
-    fixed = spots.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n"), F.first("leaf_docs").alias("leaf_docs"))
-    fixed = written(fixed.filter(F.col("n") >= F.col("leaf_docs") * share).select("leaf", "at", "token"), "fixed-tokens")
-    kept = spots.join(fixed, ["leaf", "at", "token"]).groupBy("masked").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("fixed"))
-    size = F.size("tokens")
+    mixed = written(leaves.filter((F.col("n") > 1) & (F.col("leaf_docs") >= min_template_docs)).select("leaf"), "mixed-leaves")
+    words = lines.filter("not short").join(mixed, "leaf", "left_semi").select("masked", "leaf", "tokens").dropDuplicates(["masked"])
+    known = written(words.join(shapes.select("masked", "docs"), "masked"), "leaf-lines")
+    spots = known.select("masked", "leaf", "docs", F.posexplode("tokens").alias("at", "token")).filter(F.col("at") >= depth)
+    counts = written(spots.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")), "token-counts")
+    counted = spots.join(counts, ["leaf", "at", "token"]).groupBy("masked").agg(F.sort_array(F.collect_list(F.struct("at", "token", "n"))).alias("spots"))
+    median = F.get(F.sort_array(F.transform("spots", lambda s: s["n"])), (F.size("spots") / 2).cast("int"))
+    fixed = F.filter("spots", lambda s: s["n"] >= F.col("median") * share)
+    size = F.size("spots")
     return (
-        known.join(kept, "masked")
-        .filter((F.size("fixed") < size) & (F.size("fixed") >= depth + (size - depth) * similarity))
-        .select("masked", F.xxhash64("leaf", "fixed").alias("template"))
-    )
-
-
-def dropped_lines(df: DataFrame, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, min_template_docs: int = MIN_TEMPLATE_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY, share: float = SHARE) -> DataFrame:
-    """``(doc_id, line)`` of lines (by key) that go from that document."""
-    lines = line_table(df.select("doc_id", "text"), depth, min_tokens)
-    places = written(lines.select("doc_id", "line", "masked", "leaf", "digits"), "line-places")
+        counted.withColumn("median", median).withColumn("fixed", fixed)
+        .filter((F.col("median") >= min_template_docs) & (F.size("fixed") < size) & (F.size("fixed") >= size * similarity))
+        .join(known.select("masked", "leaf"), "masked")
+        .select("masked", F.xxhash64("leaf", F.transform("fixed", lambda s: F.struct(s["at"], s["token"]))).alias("template"))
+    )
+
+
+def dropped_lines(
+    df: DataFrame, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, min_template_docs: int = MIN_TEMPLATE_DOCS, min_short_docs: int = MIN_SHORT_DOCS,
+    depth: int = DEPTH, similarity: float = SIMILARITY, share: float = SHARE,
+) -> DataFrame:
+    """``(doc_id, part, line)`` of lines (by hash) that go from that document."""
+    lines = line_table(named(df.select("doc_id", "text")), depth, min_tokens)
+    places = written(lines.select("doc_id", "part", "line", "twin", "short", "masked", "leaf", "digits"), "line-places")
     templates = written(leaf_templates(lines, places, min_template_docs, depth, similarity, share), "line-templates")
     placed = places.join(templates, "masked", "left")
-    variable = F.col("template").isNotNull() | F.col("digits")
+    variable = ~F.col("short") & (F.col("template").isNotNull() | F.col("digits"))
     keys = F.array_compact(
         F.array(
-            F.struct(F.lit(min_docs).alias("least"), F.col("line").alias("key")),
-            F.when(variable, F.struct(F.lit(min_template_docs).alias("least"), F.coalesce("template", "masked").alias("key"))),
+            F.struct(F.when(F.col("short"), min_short_docs).otherwise(min_docs).alias("least"), F.col("line").alias("key"), F.col("twin").alias("twin")),
+            F.when(variable, F.struct(F.lit(min_template_docs).alias("least"), F.coalesce("template", "masked").alias("key"), F.lit(None).cast("int").alias("twin"))),
         )
     )
-    long = written(
-        placed.select("doc_id", "line", F.explode(keys).alias("k"), "digits").select("doc_id", "line", "k.*", (F.col("k.key") == F.col("line")).alias("words")),
-        "line-keys",
-    )
-    once = long.select("doc_id", "words", "least", "key").distinct()
-    counted = once.groupBy("words", "least", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    often = written(counted.filter(F.col("n") >= F.col("least")).select("words", "least", "key", "first"), "recurring-lines")
-    return long.join(often, ["words", "least", "key"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "line").distinct()
+    long = written(placed.select("doc_id", "part", "line", F.explode(keys).alias("k")).select("doc_id", "part", "line", "k.least", "k.key", F.coalesce("k.twin", F.lit(0)).alias("twin"), F.col("k.twin").isNotNull().alias("words")), "line-keys")
+    once = long.select("doc_id", "part", "words", "least", "key", "twin").distinct()
+    counted = once.groupBy("words", "least", "key", "twin").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min("part").alias("first_part"))
+    often = written(counted.filter(F.col("n") >= F.col("least")).drop("n"), "recurring-lines")
+    is_first = F.when(F.col("first").isNotNull(), F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False))).otherwise(F.col("part") == F.col("first_part"))
+    return long.join(often, ["words", "least", "key", "twin"]).filter(~is_first).select("doc_id", "part", "line").distinct()
 
 
 def drop_recurring_lines(df: DataFrame, **limits) -> DataFrame:
     """The rows with ``text`` rid of recurring lines; adds ``n_lines`` and ``n_dropped``."""
-    gone = dropped_lines(df, **limits).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line").alias("_gone"))
+    gone = dropped_lines(df, **limits).groupBy(F.coalesce("doc_id", "part").alias("_doc"), F.col("doc_id").isNull().alias("_none")).agg(F.collect_set("line").alias("_gone"))
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains("_gone", line_key(x)))
-    joined = df.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    own = {"_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")), "_none": F.col("doc_id").isNull()}
+    joined = df.withColumns(own).join(gone, ["_doc", "_none"], "left").select(*df.columns, "_gone")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n = F.size(lines)
     return joined.withColumns(
         {"text": text, "n_lines": F.coalesce(n, F.lit(0)), "n_dropped": F.when(F.col("_gone").isNull(), 0).otherwise(F.coalesce(n - F.size(kept), F.lit(0)))}
-    ).drop("_doc", "_gone")
+    ).drop("_gone")
