@@ -57,6 +57,8 @@ _GROUP_OF = {word: group for group, words in GROUPS.items() for word in words.sp
 _SPLIT = re.compile(r"[A-Z]?[a-z]+")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_OPENS = re.compile(r"</?[a-zA-Z][^\s/>]*[^>]*>?")
+_NOT_DIGITS = re.compile(r"\D+")
 _NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
@@ -99,27 +101,95 @@ def _groups(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+class Stack:
+    """The open tags, with what a block needs to know of them; every step takes about constant time, however deep the page.
+
+    An entry is ``(tag, block tag or None, tags, groups, article before header)`` of itself and those around it.
+    """
+
+    def __init__(self) -> None:
+        self.entries: list[tuple[str, str | None, frozenset[str], frozenset[str], bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def top(self) -> tuple[str, str | None, frozenset[str], frozenset[str], bool]:
+        return self.entries[-1] if self.entries else ("", None, frozenset(), frozenset(), False)
+
+    def push(self, name: str, groups: frozenset[str] = frozenset()) -> None:
+        _, own, tags, named, ordered = self.top()
+        if name in BLOCK:
+            own = name
+            self.blocks.append(len(self.entries))
+        ordered = ordered or (name == "header" and "article" in tags and "header" not in tags)
+        self.places.setdefault(name, []).append(len(self.entries))
+        self.entries.append((name, own, tags if name in tags else tags | {name}, named if groups <= named else named | groups, ordered))
+
+    def cut(self, place: int) -> None:
+        """Closes all tags from that place on."""
+        while len(self.entries) > place:
+            name = self.entries.pop()[0]
+            self.places[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+
+    def last(self, *names: str) -> int:
+        """The place of the innermost of these tags; -1 if none is open."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def close(self, name: str) -> None:
+        place = self.last(name)
+        if place >= 0 and (name in BLOCK or not self.blocks or place > self.blocks[-1]):
+            self.cut(place)
+
+    def open(self, name: str, groups: frozenset[str]) -> None:
+        if name in CLOSES_P:
+            place = self.last("p")
+            if place >= 0 and self.last("button", "table", "td") < place:
+                self.cut(place)
+        elif name in SIBLING:
+            place = self.last(*SIBLING[name])
+            if place >= 0 and self.last(*FENCE.get(name, ())) < place:
+                self.cut(place)
+        self.push(name, groups)
+
+
+class Tags:
+    """Finds the tag that starts at a place. A ``>`` inside quotes does not end it; from the first tag on whose quotes are not closed, it does."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.quoted, self.last = page, True, page.rfind(">")
+
+    def at(self, place: int) -> re.Match | None:
+        if place > self.last:
+            return None
+        if self.quoted and not (tag := _TAG.match(self.page, place)):
+            self.quoted = not _OPENS.match(self.page, place)
+        elif self.quoted:
+            return tag
+        return _LOOSE.match(self.page, place)
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """The page's leaf blocks in order, with their features."""
     page = page or ""
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack, tags = Stack(), Tags(page)
     parts: list[str] = []
-    raw: list[tuple[str, tuple[str, ...], frozenset[str], float]] = []
+    raw: list[tuple[str, str, frozenset[str], frozenset[str], bool, float]] = []
     linked = 0
 
     def end_block() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            named = frozenset().union(*(g for _, g in stack)) if stack else frozenset()
-            raw.append((text, tuple(t for t, _ in stack), named, min(1.0, linked / len(text))))
+            _, own, within, named, ordered = stack.top()
+            raw.append((text, own or "body", within, named, ordered, min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
     def add(text: str) -> None:
         nonlocal linked
         parts.append(text)
-        if any(t == "a" for t, _ in stack[-4:]):
+        if stack.places.get("a"):
             linked += len(text.strip())
 
     at, size = 0, len(page)
@@ -138,7 +208,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             stop = page.find(">", lt)
             at = size if stop < 0 else stop + 1
             continue
-        tag = _TAG.match(page, lt) or _LOOSE.match(page, lt)
+        tag = tags.at(lt)
         if not tag:
             add("<")
             at = lt + 1
@@ -151,48 +221,29 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if name in BLOCK:
             end_block()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if name not in BLOCK and stack[k][0] in BLOCK:
-                    break
+            stack.close(name)
             continue
         if name in RAW:
             stop = re.compile(f"</{name}", re.I).search(page, at)
             inner = page[at : stop.start() if stop else size]
             if name == "title":
-                stack.append((name, frozenset()))
+                stack.push(name)
                 add(inner)
                 end_block()
-                stack.pop()
+                stack.cut(len(stack.entries) - 1)
             gt = page.find(">", stop.start()) if stop else -1
             at = size if gt < 0 else gt + 1
             continue
-        if name in VOID:
-            continue
-        if name in CLOSES_P and any(t == "p" for t, _ in stack):
-            k = max(i for i, (t, _) in enumerate(stack) if t == "p")
-            if not any(t in ("button", "table", "td") for t, _ in stack[k:]):
-                del stack[k:]
-        elif name in SIBLING:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in SIBLING[name]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in FENCE.get(name, ()):
-                    break
-        stack.append((name, _groups(attributes)))
+        if name not in VOID:
+            stack.open(name, _groups(attributes))
     end_block()
     return _described(raw)
 
 
-def _described(raw: list[tuple[str, tuple[str, ...], frozenset[str], float]]) -> list[Block]:
+def _described(raw: list[tuple[str, str, frozenset[str], frozenset[str], bool, float]]) -> list[Block]:
     blocks, heading = [], False
-    for k, (text, tags, named, links) in enumerate(raw):
+    for k, (text, own, within, named, ordered, links) in enumerate(raw):
         f = FEATURES
-        within = set(tags)
-        own = next((t for t in reversed(tags) if t in BLOCK), "body")
         words = text.count(" ") + 1
         on = [f["bias"], f[f"words:{min(5, int(np.searchsorted((3, 6, 11, 21, 51), words, 'right')))}"], f[f"links:{min(5, int(links * 5))}"]]
         on += [f[f"in:{t}"] for t in within if f"in:{t}" in f]
@@ -202,7 +253,7 @@ def _described(raw: list[tuple[str, tuple[str, ...], frozenset[str], float]]) ->
             on += [f[f"named:{g}&body"] for g in named if g != "hidden"]
         if "article" in within and own == "p":
             on.append(f["in:article&p"])
-        if {"article", "header"} <= within and tags.index("article") < tags.index("header"):
+        if ordered:
             on.append(f["in:article&header"])
         if not within & {"nav", "header", "footer", "aside", "form", "article", "main"} and not named:
             on.append(f["nowhere"])
@@ -211,7 +262,7 @@ def _described(raw: list[tuple[str, tuple[str, ...], frozenset[str], float]]) ->
             "copyright": "©" in text or "(c) " in text.lower(),
             "ends": text[-1] in ".!?:;。！？\"”»)",
             "commas": text.count(",") >= 2,
-            "digits": sum(c.isdigit() for c in text[:400]) * 5 > min(n, 400),
+            "digits": len(_NOT_DIGITS.sub("", text)) * 5 > n,
             "upper": text.isupper(),
             "first": k * 10 < len(raw),
             "last": (len(raw) - k) * 10 <= len(raw),
