@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a temporary folder is made and set.
+    Where the session names none, a local session (tests on one machine) gets a temporary folder; on a cluster it is an error.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
         return context._jsc.sc().getCheckpointDir().get()
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -30,9 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Folders made by this process that may still be there.
+_made: list[str] = []
+
+
 def new_dir(spark: SparkSession, kind: str) -> str:
     """A path under the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, kind: str) -> DataFrame:
@@ -43,3 +50,14 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folders() -> list[str]:
+    """The folders made so far, for :func:`remove_folders`."""
+    return list(_made)
+
+
+def remove_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Removes folders of whose tables nothing more will be read."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _made.remove(path)
