@@ -975,3 +975,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_sql)
+
+
+# these modules register queries of their own
+from plumbline.plans import corpus_queries, policy_queries, receipt_queries  # noqa: E402, F401
