@@ -272,7 +272,7 @@ def special_fields(df: DataFrame, key: str, text: str = "text", least: float = 0
     rules = df.sparkSession.createDataFrame(rows, "type string, field string, turn int, pattern string, shape string")
     typed = df.select(key, text, F.explode(F.array(receipt_type(F.coalesce(text, F.lit(""))))).alias("t")).filter(F.col("t.type_confidence") >= least)
     found = typed.select(key, text, "t.type").join(F.broadcast(rules), "type")  # a fixed table of patterns
-    raw = F.nullif(F.trim(F.regexp_extract(F.col(text), F.col("pattern"), F.lit(1))), F.lit(""))
+    raw = F.nullif(F.trim(F.call_function("regexp_extract", F.col(text), F.col("pattern"), F.lit(1))), F.lit(""))
     hits = found.select(key, "type", "field", "turn", "shape", raw.alias("raw")).filter("raw is not null")
     value = (
         F.when(F.col("shape") == "upper", F.upper("raw")).when(F.col("shape") == "number", F.replace("raw", F.lit(","), F.lit(".")).try_cast("double").cast("string"))
