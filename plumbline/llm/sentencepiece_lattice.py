@@ -39,9 +39,9 @@ from pyspark.sql import types as T
 from plumbline.llm.common import written
 
 SPACE = "▁"
-SAMPLE, FREQUENT = 40_000, 200_000
+SAMPLE, FREQUENT = 50_000, 300_000
 MEMORY, PAIRS = 2_000_000, 500_000
-SLICE = 1_000
+SLICE = 2_500
 SPREAD = 3
 
 
@@ -190,7 +190,7 @@ def frequent_words(docs: DataFrame, limit: int = FREQUENT, sample: int = SAMPLE)
 
 
 def units_of(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``(unit)``: the distinct units of the words."""
+    """``(unit, n)``: the distinct units of the words and their lengths."""
     shared = words.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,11 +199,11 @@ def units_of(words: DataFrame, pieces: Pieces) -> DataFrame:
             units = set(filter(own.is_unit, own.cut(batch.column(0).to_pylist())[0]))
             yield pa.RecordBatch.from_arrays([pa.array(sorted(units), pa.string())], ["unit"])
 
-    return words.mapInArrow(run, "unit string").distinct()
+    return words.mapInArrow(run, "unit string").groupBy("unit").agg(F.max(F.length("unit")).alias("n"))
 
 
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """``(unit, edges)``: a unit's edges ``(end, start, id, score)`` in that order.
+    """``(unit, n, edges)`` of units ``(unit, n)``: a unit's edges ``(end, start, id, score)`` in that order.
 
     Grouping needs no shuffle of its own where the units come from a grouping or partitioning by unit.
     """
@@ -211,13 +211,12 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     good = [p for p in pieces.ids if not pieces.merges or pieces.merged(p) == [p]]
     table = spark.createDataFrame(pd.DataFrame({"piece": good, "id": [pieces.ids[p] for p in good], "score": [pieces.scores[p] for p in good]}))
     table = table.select("piece", F.col("id").cast("int"), "score")
-    size = F.length("unit")
-    starts = units.select("unit", F.xxhash64("unit").alias("u"), F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    ends = starts.select("unit", "u", "start", F.explode(F.sequence(F.col("start") + 1, F.least(size, F.col("start") + pieces.longest))).alias("end"))
+    starts = units.select("unit", "n", F.xxhash64("unit").alias("u"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
+    ends = starts.select("unit", "n", "u", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("n"), F.col("start") + pieces.longest))).alias("end"))
     parts = ends.withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("end") - F.col("start")))
     edges = parts.join(F.broadcast(table), "piece")  # the piece table is one model's vocabulary
     # the hash comes first so that grouping sorts by a number
-    return edges.groupBy("u", "unit").agg(F.sort_array(F.collect_list(F.struct("end", "start", "id", "score"))).alias("edges"))
+    return edges.groupBy("u", "unit", "n").agg(F.sort_array(F.collect_list(F.struct("end", "start", "id", "score"))).alias("edges"))
 
 
 class Fits:
@@ -383,7 +382,7 @@ class Encoder:
             ids, run = ids[self.step :], run + 1
         return self.pieces.pack(self.pieces.space_run(run)) + ids
 
-    def encode(self, texts: pa.Array) -> tuple[list[bytes], list[np.ndarray], list[list[int]], list[str]]:
+    def encode(self, texts: pa.Array, gaps_only: bool = False) -> tuple[list[bytes], list[np.ndarray], list[list[int]], list[str]]:
         """For each text its packed ids with gaps, for every gap the number of its unit and (or nothing) how many spaces stand before it; the units.
 
         Words are looked up once a batch; what follows from a word is then taken for each place it has.
@@ -401,9 +400,11 @@ class Encoder:
             made[k], found = known[words[k]]
             owned[k] = len(found)
             own += found
+        gaps, gap_ends = self.taken(pa.array([number[u] for u in own], pa.int32()), owned, coded.indices, places)
+        if gaps_only:
+            return [], [gaps[i:j] for i, j in zip(gap_ends, gap_ends[1:], strict=False)], [], units
         sizes = np.fromiter(map(len, made), np.int64, len(made)) // self.step
         ids, ends = self.taken(pa.array(np.frombuffer(b"".join(made), self.pieces.width)), sizes, coded.indices, places)
-        gaps, gap_ends = self.taken(pa.array([number[u] for u in own], pa.int32()), owned, coded.indices, places)
         packed = [ids[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)]
         numbers = [gaps[i:j] for i, j in zip(gap_ends, gap_ends[1:], strict=False)]
         runs: list[list[int]] = [[]] * len(packed)
@@ -485,7 +486,7 @@ def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", check: str | None
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 texts = batch.column(0).slice(k, SLICE)
-                _, numbers, _, units = encoder.encode(texts)
+                _, numbers, _, units = encoder.encode(texts, gaps_only=True)
                 asked = [np.unique(x) for x in numbers]
                 sizes = [len(x) for x in asked]
                 keys = [text_key(t)[1:] if n else (0, 0) for t, n in zip(texts.to_pylist(), sizes, strict=True)]
@@ -495,10 +496,11 @@ def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", check: str | None
 
     # a unit's lattice is some forty times its row, so there are more and smaller parts than the rows alone would give
     parts = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = docs.select("text").mapInArrow(ask, "unit string, key bigint, place bigint").repartition(parts, "unit")
+    asked = docs.select("text").mapInArrow(ask, "unit string, key bigint, place bigint").filter("unit is not null").repartition(parts, "unit")
     once = asked.distinct()
-    # the sum keeps all columns, so that units and questions read one shuffle
-    found = encoded_units(once.groupBy("unit").agg(F.sum("place").alias("places")).filter("places >= 0").select("unit"), pieces)
+    # the filter above and the aggregates here keep the optimizer from making two shuffles of one: no other filter or pruning gets below
+    units = once.groupBy("unit").agg(F.max(F.length("unit")).alias("n"), F.sum("place").alias("places")).filter("places >= 0").select("unit", "n")
+    found = encoded_units(units, pieces)
     packed = pa.binary()
 
     answered = once.join(found, "unit").select(
