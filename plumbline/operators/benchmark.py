@@ -90,7 +90,8 @@ def competition(summary: DataFrame, baseline: str | None = None) -> DataFrame:
 
 
 def canary(df: DataFrame, margin: float = 0.04) -> DataFrame:
-    """The engine whose blended score leads by the margin, if one does."""
+    """Of the promoted engines that whose blended score leads by the margin, if one does."""
+    df = df.filter("promoted")
     score = half_up(
         0.5 * F.col("avg_quality") + 0.25 * F.col("success_rate")
         + 0.15 * clamp(1 - F.coalesce("p50_ms", F.lit(9999)) / 1500) + 0.10 * clamp(1 - F.coalesce("p95_ms", F.lit(9999)) / 4000)
@@ -101,10 +102,27 @@ def canary(df: DataFrame, margin: float = 0.04) -> DataFrame:
     )
 
 
+# fixed values: what the runtime adds to an engine's score
+RUNTIME = {"LAB_REGRESSION": -0.22, "PROMOTED_CANARY": 0.16, "PROMOTED_ELIGIBLE": 0.06, "NO_RUNTIME_PROMOTION": 0.0}
+
+
+def runtime_policy(df: DataFrame, days: int = 30, cases: int = 12) -> DataFrame:
+    """``engine, verdict, promoted, cases, newest`` of a competition to a reason and an adjustment; rows older than ``days`` before the newest are ignored."""
+    now = df.agg(F.max("newest").alias("now"))
+    fresh = df.crossJoin(F.broadcast(now)).filter((F.col("cases") >= cases) & (F.unix_timestamp("now") - F.unix_timestamp("newest") <= days * 86_400))  # one row an engine
+    chosen = canary(fresh).select("engine", "chosen")
+    reason = (
+        F.when(F.col("verdict") == "REGRESSION", "LAB_REGRESSION").when(F.coalesce("chosen", F.lit(False)), "PROMOTED_CANARY").when(F.col("promoted"), "PROMOTED_ELIGIBLE").otherwise("NO_RUNTIME_PROMOTION")
+    )
+    value = F.create_map(*[F.lit(x) for kv in RUNTIME.items() for x in kv])
+    return fresh.join(chosen, "engine", "left").select("engine", reason.alias("reason")).withColumn("adjustment", value[F.col("reason")])
+
+
 def failure_patterns(rows: DataFrame, tag: str = "scenario") -> DataFrame:
-    failed = ~F.col("ok") | (F.col("quality") < 0.75)
+    quality = F.coalesce("quality", F.lit(0.0))
+    failed = ~F.col("ok") | (quality < 0.75)
     return rows.groupBy("engine", F.coalesce(F.col(tag), F.lit("ordinary")).alias("tag")).agg(
-        F.count("*").alias("cases"), F.sum(failed.cast("int")).alias("failures"), half_up(F.avg("quality")).alias("avg_quality"), half_up(F.avg(failed.cast("int"))).alias("failure_rate")
+        F.count("*").alias("cases"), F.sum(failed.cast("int")).alias("failures"), half_up(F.avg(quality)).alias("avg_quality"), half_up(F.avg(failed.cast("int"))).alias("failure_rate")
     ).filter("failures > 0")
 
 

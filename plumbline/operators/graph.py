@@ -14,31 +14,54 @@ def ready_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.filter("state = 'pending'").join(met, "id", "left").filter(F.coalesce("met", F.lit(True))).select("id")
 
 
-def levels(nodes: DataFrame, edges: DataFrame, max_depth: int = 12) -> DataFrame:
-    """``(id, level)`` by longest chain of dependencies, as a bounded walk; nodes on a cycle pass ``max_depth``."""
-    reached = nodes.join(edges, "id", "left_anti").select("id", F.lit(0).alias("level"))
-    front = reached
-    for _ in range(max_depth):
-        front = edges.join(front.withColumnRenamed("id", "dep"), "dep").select("id", (F.col("level") + 1).alias("level")).distinct()
-        reached = reached.unionByName(front)
-    return reached.groupBy("id").agg(F.max("level").alias("level"))
-
-
-def descendants(edges: DataFrame, root: str, max_depth: int = 12) -> DataFrame:
-    """All nodes that depend on ``root``, itself included."""
-    spark = edges.sparkSession
-    found = spark.createDataFrame([(root,)], "id string")
-    front = found
-    for _ in range(max_depth):
-        front = edges.join(front.withColumnRenamed("id", "dep"), "dep").select("id").distinct()
-        found = found.union(front)
-    return found.distinct()
-
-
-def issues(nodes: DataFrame, edges: DataFrame, max_depth: int = 12) -> DataFrame:
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a walk: a checkpoint where the session has a folder for one, else the plan grows (local tests)."""
+    context = df.sparkSession.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if named is None:
+            return df
+        context.setCheckpointDir(named)
+    return df.checkpoint()
+
+
+def _placed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(id, level)`` of nodes by rounds that take away nodes all of whose dependencies are placed, and the nodes left over: on or behind a cycle.
+
+    As many rounds as the longest chain; each works on the edges that are left.
+    """
+    left = _checkpointed(nodes.select("id").distinct())
+    open_edges = _checkpointed(edges.select("id", "dep").distinct().join(left.select(F.col("id").alias("dep")), "dep", "left_semi"))
+    placed = None
+    level = 0
+    while True:
+        free = _checkpointed(left.join(open_edges, "id", "left_anti").select("id", F.lit(level).alias("level")))
+        if free.isEmpty():
+            return (free if placed is None else placed), left
+        placed = free if placed is None else placed.unionByName(free)
+        left = _checkpointed(left.join(free, "id", "left_anti"))
+        open_edges = _checkpointed(open_edges.join(free.select(F.col("id").alias("dep")), "dep", "left_anti"))
+        level += 1
+
+
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, level)`` by longest chain of known dependencies; nodes on or behind a cycle have none."""
+    return _placed(nodes, edges)[0]
+
+
+def descendants(edges: DataFrame, root: str) -> DataFrame:
+    """All nodes that depend on ``root``, itself included, however far."""
+    found = front = _checkpointed(edges.sparkSession.createDataFrame([(root,)], "id string"))
+    while not front.isEmpty():
+        reached = edges.join(front.withColumnRenamed("id", "dep"), "dep").select("id").distinct()
+        front = _checkpointed(reached.join(found, "id", "left_anti"))
+        found = _checkpointed(found.union(front))
+    return found
+
+
+def issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, issue)``: duplicate ids, unknown dependencies, nodes on or behind a cycle."""
     duplicate = nodes.groupBy("id").count().filter("count > 1").select("id", F.lit("duplicate_id").alias("issue"))
     unknown = edges.join(nodes.select(F.col("id").alias("dep")), "dep", "left_anti").select("id", F.lit("unknown_dependency").alias("issue"))
-    deep = levels(nodes, edges, max_depth).filter(F.col("level") >= max_depth).select("id", F.lit("cycle").alias("issue"))
-    never = nodes.join(levels(nodes, edges, max_depth), "id", "left_anti").select("id", F.lit("cycle").alias("issue"))
-    return duplicate.union(unknown).union(deep).union(never).distinct()
+    cycle = _placed(nodes, edges)[1].select("id", F.lit("cycle").alias("issue"))
+    return duplicate.union(unknown).union(cycle).distinct()

@@ -11,6 +11,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from plumbline.functions.scalars import clamp, half_up
@@ -36,7 +37,7 @@ _MONTH = r"ENE(?:RO)?|FEB(?:RERO)?|MAR(?:ZO)?|ABR(?:IL)?|MAY(?:O)?|JUN(?:IO)?|JU
 CHECK_FIELDS = {"cash-change-total": ["cash", "change", "total"], "subtotal-tax-total": ["subtotal", "tax", "discount", "total"], "subtotal-iva-rate-tax": ["subtotal", "tax"]}
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def nfkc(texts: pa.Array) -> pa.Array:
     """Unicode compatibility normalisation, for which Spark has no function."""
     return pa.array([None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())

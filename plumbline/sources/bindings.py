@@ -116,21 +116,24 @@ OFFERS = """f AS (SELECT l_orderkey * 10 + l_linenumber AS offer, l_partkey AS p
   floor(l_extendedprice / l_quantity * 100 + 0.5)::BIGINT AS cost, l_returnflag <> 'R' AS available, l_shipdate AS observed_at
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
-# fixed values: a small task graph, as rows of (id, state, optional) and (id, dep)
-NODES = [("a", "completed", False), ("b", "completed", False), ("c", "failed", True), ("d", "pending", False), ("e", "pending", False), ("f", "pending", True), ("g", "pending", False)]
-EDGES = [("c", "a"), ("d", "a"), ("d", "b"), ("e", "c"), ("e", "b"), ("f", "d"), ("g", "e"), ("g", "f")]
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(NODES, "id string, state string, optional boolean")
+    """A task graph from the parts of all orders: node ``lane-n``, chains of up to twenty with cross links."""
+    k = F.col("p_partkey")
+    name = F.concat_ws("-", F.floor(k / 20), k % 20)
+    state = F.element_at(F.array(*map(F.lit, ("completed", "pending", "failed", "skipped"))), (F.col("p_size") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(name.alias("id"), state.alias("state"), (F.col("p_size") % 3 == 0).alias("optional"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(EDGES, "id string, dep string")
+    k = F.col("p_partkey")
+    lane, at = F.floor(k / 20), k % 20
+    name = lambda n: F.concat_ws("-", lane, n)
+    deps = F.array(F.when(at > 0, name(at - 1)), F.when((at > 5) & (at % 3 == 0), name(at - 4)))
+    return table(spark, sf_dir, "part").select(name(at).alias("id"), F.explode(F.array_compact(deps)).alias("dep"))
 
 
-def _rows(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
-
-
-GRAPH = f"""n(id, state, optional) AS (VALUES {_rows(NODES)}), d(id, dep) AS (VALUES {_rows(EDGES)})"""
+GRAPH = """pk AS (SELECT p_partkey // 20 AS lane, p_partkey % 20 AS pos, p_size FROM part),
+n(id, state, optional) AS (SELECT lane || '-' || pos, ['completed', 'pending', 'failed', 'skipped'][(p_size % 4 + 1)::INT], p_size % 3 = 0 FROM pk),
+d(id, dep) AS (SELECT lane || '-' || pos, lane || '-' || (pos - 1) FROM pk WHERE pos > 0 UNION ALL SELECT lane || '-' || pos, lane || '-' || (pos - 4) FROM pk WHERE pos > 5 AND pos % 3 = 0)"""
