@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from plumbline.llm.common import new_dir, written
 
-BLOCKS = 256
+BLOCKS, BLOCK_BYTES = 256, 1 << 30
 LARGE_SHARE = 1 / 1000
 
 
@@ -117,14 +117,15 @@ def room_left(loads: list[int], target: list[int], need: int) -> list[int]:
     return [0] * len(loads)
 
 
-def reshard(df: DataFrame, old: str, size: str, key: list[str], shards: int, capacities: list[int] | None = None, blocks: int = BLOCKS, large_share: float = LARGE_SHARE) -> DataFrame:
+def reshard(df: DataFrame, old: str, size: str, key: list[str], shards: int, capacities: list[int] | None = None, blocks: int | None = None, large_share: float = LARGE_SHARE) -> DataFrame:
     """Adds ``shard`` (near ``capacities`` bytes each, fewest bytes moved) and ``slot`` (gapless from 0 in a shard).
 
     ``old`` names the column with the old shard number, ``key`` the columns that order rows.
     """
     spark = df.sparkSession
-    block = F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int")
-    total = df.agg(F.sum(size)).first()[0] or 0
+    total, most = df.groupBy(old).agg(F.sum(size).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    # a block is one window partition: more of them where an old shard is large
+    block = F.pmod(F.xxhash64(*key), F.lit(blocks or max(BLOCKS, -(-most // BLOCK_BYTES)))).cast("int")
     limit = max(2, int(total / shards * large_share))
     line = Window.partitionBy("_old", "_block").orderBy(*[F.col(k).asc_nulls_first() for k in key])
     laid = written(

@@ -1,6 +1,7 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
-A text becomes a sparse vector: statistics of its characters, words and lines and its length, each also
+A text becomes a sparse vector: statistics of its characters, words and lines and its length, its metadata (the recorded
+number of characters, where there is one, and how far it is from the text's own), each also
 cut into bins, and its words hashed into a fixed number of columns (unit length). The score is the
 logistic of ``w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)``: all pairwise
 interactions in time linear in the vector's entries.
@@ -10,7 +11,7 @@ id, whose vectors executors make; its size is fixed by ``BUCKETS`` and ``RANK``.
 
 Edge cases: null and empty texts have no words and zero statistics and get a score; labels other than 0
 and 1 and labels of unknown documents are ignored; without labelled rows every score is 0.5; rows are
-scored one by one, so repeated rows and ids do no harm; columns besides id and text are not read.
+scored one by one, so repeated rows and ids do no harm; columns besides id, text and n_chars are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ MAX_TRAIN = 12_000
 BUCKETS, RANK, BINS = 1 << 15, 6, 16
 EPOCHS, BATCH, RATE, DECAY = 12, 256, 0.02, 1e-4
 SYMBOLS = b"!#$%&*|~^<>{}[]=_\\/@"
-STATS = 20
+STATS = 22
 WORDS_AT = STATS * (1 + BINS)
 WIDTH = WORDS_AT + BUCKETS
 THRESHOLD = 0.7
@@ -55,8 +56,8 @@ def word_column(word: bytes) -> int:
     return found
 
 
-def statistics(text: bytes, words: list[bytes], counts: Counter) -> np.ndarray:
-    """Values from 0 to about 1."""
+def statistics(text: bytes, words: list[bytes], counts: Counter, recorded: int | None = None) -> np.ndarray:
+    """Values from 0 to about 1. ``recorded``: the characters that the metadata state; without them the text's own count."""
     bytes_of = np.bincount(np.frombuffer(text, np.uint8), minlength=256) if text else np.zeros(256, np.int64)
     kinds = np.bincount(_CLASS, bytes_of, 8)
     n, w = max(len(text), 1), max(len(words), 1)
@@ -65,21 +66,24 @@ def statistics(text: bytes, words: list[bytes], counts: Counter) -> np.ndarray:
     letters = max(kinds[1] + kinds[2], 1)
     most = max(counts.values(), default=0)
     endings = bytes_of[list(b".,;:?")].sum()
+    chars = len(text) - int(bytes_of[0x80:0xC0].sum())
+    recorded = chars if recorded is None else max(0, recorded)
     return np.array(
         [
             np.log1p(len(text)) / 16, np.log1p(len(words)) / 14, np.log1p(len(lines)) / 10, kinds[1] / letters, kinds[3] / n, kinds[4] / n * 3,
             kinds[4] / w / 4, kinds[5] / n, kinds[6] / n * 10, kinds[7] / n, bytes_of[ord("!")] / w / 2, bytes_of[ord("|")] / w, bytes_of[ord(".")] / w,
             bytes_of[ord(",")] / w, len(counts) / w, most / w, repeats / w, (n / w) / 20, 1 - len(set(lines)) / len(lines), endings / w,
+            np.log1p(recorded) / 16, abs(recorded - chars) / max(recorded, chars, 1),
         ]
     ).clip(0, 2)
 
 
-def vector(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and values of one text."""
+def vector(text: bytes | None, recorded: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and values of one text and its metadata."""
     text = text or b""
     words = text.split()
     counts = Counter(text.lower().split())
-    stats = statistics(text, words, counts)
+    stats = statistics(text, words, counts, recorded)
     bins = np.minimum((stats * BINS).astype(int), BINS - 1)
     columns = np.fromiter((word_column(x) for x in counts), np.int64, len(counts))
     values = np.log1p(np.fromiter(counts.values(), float, len(counts)))
@@ -149,17 +153,22 @@ def fit(columns: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray,
 
 
 def vectors(df: DataFrame) -> DataFrame:
-    """``(label, turn, columns, values)`` of rows ``(text, label, turn)``."""
+    """``(label, turn, columns, values)`` of rows ``(text, n_chars, label, turn)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [vector(t) for t in batch.column(0).to_pylist()]
+            made = [vector(t, n) for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))],
+                [batch.column(2), batch.column(3), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))],
                 ["label", "turn", "columns", "values"],
             )
 
-    return df.select(F.col("text").cast("binary"), "label", "turn").mapInArrow(run, "label int, turn bigint, columns array<int>, values array<float>")
+    return df.select(F.col("text").cast("binary"), "n_chars", "label", "turn").mapInArrow(run, "label int, turn bigint, columns array<int>, values array<float>")
+
+
+def recorded(docs: DataFrame) -> Column:
+    """The metadata that a score reads: the column ``n_chars`` as a number, null where there is none."""
+    return (F.col("n_chars").try_cast("bigint") if "n_chars" in docs.columns else F.lit(None).cast("bigint")).alias("n_chars")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
@@ -167,8 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     turn = F.xxhash64(F.lit("train"), "doc_id")
     known = labels.filter("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int"), turn.alias("turn"))
     sample = known.orderBy("turn", "label").limit(max_train)
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most max_train rows of three numbers
-    one = joined.groupBy("doc_id", "label", "turn").agg(F.min("text").alias("text"))  # documents that share an id count once
+    joined = docs.select("doc_id", "text", recorded(docs)).join(F.broadcast(sample), "doc_id")  # at most max_train rows of three numbers
+    one = joined.groupBy("doc_id", "label", "turn").agg(F.min("text").alias("text"), F.min("n_chars").alias("n_chars"))  # documents that share an id count once
     got = vectors(one).toArrow().combine_chunks()
     order = np.lexsort((got["label"].to_numpy(), got["turn"].to_numpy()))[:max_train]
 
@@ -187,16 +196,16 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.linear.copy(), model.factors.copy()))
 
     @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         own = Model(*shared.value)
-        for texts in batches:
+        for texts, lengths in batches:
             found = []
             for k in range(0, len(texts), 64):
-                made = [vector(t) for t in texts.iloc[k : k + 64]]
+                made = [vector(t, None if pd.isna(n) else int(n)) for t, n in zip(texts.iloc[k : k + 64], lengths.iloc[k : k + 64], strict=True)]
                 found.append(logistic(own.margins([m[0] for m in made], [m[1] for m in made])))
             yield pd.Series(np.concatenate(found) if found else np.array([], float))
 
-    return docs.withColumn(out, run(F.col(text).cast("binary")))
+    return docs.withColumn(out, run(F.col(text).cast("binary"), recorded(docs)))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -31,7 +31,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     model = quality_fm.train(docs, labels.filter(~quality_fm.held_out(F.col("doc_id"))))
-    return quality_fm.score(docs.select("doc_id", "text"), model).select(
+    return quality_fm.score(docs.select("doc_id", "text", "n_chars"), model).select(
         "doc_id",
         quality_fm.held_out(F.col("doc_id")).alias("held_out"),
         "score",

@@ -8,8 +8,8 @@ the universe that level 0 wrongly accepts, level 2 the listed keys that level 1
 so on until a level accepts nothing wrongly. Urls are judged by bit tests alone; no join is needed.
 
 Everything is DataFrame functions. What reaches the driver are the words of the filters, whose number
-follows the rule list (``MAX_RULES`` bounds it) and not the corpus: the first level's error rate is
-set from the ratio of listed to other keys, so that later levels hold about as many keys as are listed.
+follows the rule list (``MAX_RULES`` bounds it; longer lists are judged in parts, one call a part, and the longest
+rule of all parts taken) and not the corpus: the first level's error rate is set from the ratio of listed to other keys, so that later levels hold about as many keys as are listed.
 
 Edge cases: a null url, or one without ``://``, has empty host and path and fits only rules with an
 empty host; empty tables give no rows; repeated rows are judged each by itself.
@@ -17,6 +17,7 @@ empty host; empty tables give no rows; repeated rows are judged each by itself.
 
 from __future__ import annotations
 
+import json
 import math
 import string
 from dataclasses import dataclass
@@ -53,7 +54,7 @@ class Level:
         return [F.pmod(F.xxhash64(key, F.lit(self.seed), F.lit(i)), F.lit(self.bits).cast("long")) for i in range(self.hashes)]
 
     def accepts(self, key: Column) -> Column:
-        words = F.lit(self.words).cast("array<bigint>")
+        words = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")  # one literal, folded into an array once
         found = F.lit(True)
         for at in self.positions(key):
             word = F.element_at(words, (F.floor(at / WORD) + 1).cast("int"))
@@ -119,10 +120,8 @@ def build_cascade(universe: DataFrame, listed: list[str]) -> list[Level]:
         rate = min(0.5, max(1e-6, 0.7 * n_inside / n_outside)) if not levels else 0.5
         level = bloom_level(adding, n_adding, rate, seed=len(levels))
         levels.append(level)
-        wrong = others.filter(level.accepts(F.col("key")))
+        wrong = written(others.filter(level.accepts(F.col("key"))), "cascade")
         n_wrong = wrong.count()
-        if n_wrong and len(levels) % 8 == 0:
-            wrong = written(wrong, "cascade")
         adding, others, n_adding, n_others = wrong, adding, n_wrong, n_adding
     if not levels and n_inside:
         levels.append(bloom_level(inside, n_inside, 0.5, seed=0))
