@@ -22,8 +22,10 @@ its text. No piece of a BPE model may have over 63 characters.
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from operator import add
 
@@ -41,7 +43,9 @@ from plumbline.llm.common import written
 SPACE = "▁"
 SAMPLE, FREQUENT = 50_000, 300_000
 MEMORY, PAIRS = 2_000_000, 500_000
-SLICE = 2_500
+SLICE = 1_500
+#: Units that a task groups in memory before it sorts; the edges of one take about two kilobytes.
+GROUPED = 50_000
 SPREAD = 3
 
 
@@ -466,6 +470,26 @@ class Encoder:
         return np.frombuffer(packed, self.pieces.width)
 
 
+def ranked(numbers: list[np.ndarray], units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For gaps with the numbers of their units, text by text: each text's different units as ``(row, unit, rank in the text)``, and every gap's rank."""
+    rows = np.repeat(np.arange(len(numbers)), [len(x) for x in numbers])
+    found, back = np.unique(rows * max(units, 1) + np.concatenate([*numbers, np.zeros(0, np.int64)]).astype(np.int64), return_inverse=True)
+    row, unit = found // max(units, 1), found % max(units, 1)
+    rank = np.arange(len(found)) - np.searchsorted(row, np.arange(len(numbers)))[row]
+    return row, unit, rank, rank[back]
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the jobs inside."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_key(text: str | None) -> tuple[bytes, int, int]:
     """A 128-bit digest of a text, and the 64 and 15 bits of it under which its units are asked for."""
     digest = xxhash.xxh3_128_digest((text or "").encode())
@@ -483,16 +507,15 @@ def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", check: str | None
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)
+        gc.freeze()  # the word table need not be looked through again
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 texts = batch.column(0).slice(k, SLICE)
                 _, numbers, _, units = encoder.encode(texts, gaps_only=True)
-                asked = [np.unique(x) for x in numbers]
-                sizes = [len(x) for x in asked]
-                keys = [text_key(t)[1:] if n else (0, 0) for t, n in zip(texts.to_pylist(), sizes, strict=True)]
-                at = np.concatenate([np.arange(n) + (more << 32) for n, (_, more) in zip(sizes, keys, strict=True)])
-                found = pa.array(units, pa.string()).take(pa.array(np.concatenate(asked), pa.int32()))
-                yield pa.RecordBatch.from_arrays([found, pa.array(np.repeat([key for key, _ in keys], sizes), pa.int64()), pa.array(at, pa.int64())], ["unit", "key", "place"])
+                row, unit, rank, _ = ranked(numbers, len(units))
+                keys = np.array([text_key(t)[1:] for t in texts.to_pylist()], np.int64).reshape(-1, 2)
+                columns = [pa.array(units, pa.string()).take(pa.array(unit)), pa.array(keys[row, 0]), pa.array(rank + (keys[row, 1] << 32))]
+                yield pa.RecordBatch.from_arrays(columns, ["unit", "key", "place"])
 
     # a unit's lattice is some forty times its row, so there are more and smaller parts than the rows alone would give
     parts = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -507,7 +530,8 @@ def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", check: str | None
         F.col("key").alias("_key"), F.shiftright("place", 32).cast("int").alias("_more"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"), "ids"
     )
     answers = answered.groupBy("_key", "_more").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("a"))
-    answers = written(answers.select("_key", "_more", F.col("a.ids").alias("_answers")), "answered-units")
+    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPED)):
+        answers = written(answers.select("_key", "_more", F.col("a.ids").alias("_answers")), "answered-units")
 
     kept = docs.columns if keep_text else [c for c in docs.columns if c != "text"]
     by_text = docs.select(*kept, F.col("text").alias("_text"))
@@ -519,14 +543,16 @@ def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", check: str | None
 
     def leave_gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)
+        gc.freeze()
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
                 keys = [text_key(t) for t in part.column(width).to_pylist()]
-                packed_ids, numbers, runs, _ = encoder.encode(part.column(width))
+                packed_ids, numbers, runs, units = encoder.encode(part.column(width))
+                places = pa.array(np.cumsum([0, *map(len, numbers)]), pa.int32())
                 made = [
                     pa.array([x[1] for x in keys], pa.int64()), pa.array([x[2] for x in keys], pa.int32()), pa.array([x[0] for x in keys], packed), pa.array(packed_ids, packed),
-                    pa.array([np.unique(x, return_inverse=True)[1] for x in numbers], pa.list_(pa.int32())), pa.array(runs, pa.list_(pa.int32())),
+                    pa.ListArray.from_arrays(places, pa.array(ranked(numbers, len(units))[3], pa.int32())), pa.array(runs, pa.list_(pa.int32())),
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *made], gaps.names)
 
