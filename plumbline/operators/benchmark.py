@@ -12,19 +12,40 @@ from pyspark.sql.window import Window
 from plumbline.functions.scalars import clamp, composite_score, half_up
 
 
-def lower_percentiles(df: DataFrame, keys: list[str], metrics: dict[str, tuple[Column, float]]) -> DataFrame:
-    """For each key group, of each named column the sorted non-null value at index ``floor((n - 1) p)``.
+BINS = 4096
 
-    Values are counted first, so that a group is a histogram of its distinct values and not a list of its rows.
+
+def lower_percentiles(df: DataFrame, keys: list[str], metrics: dict[str, tuple[Column, float]], nearest: bool = False) -> DataFrame:
+    """For each key group, of each named column the sorted non-null value at index ``floor((n - 1) p)``, or at the nearest rank ``ceil(n p) - 1``.
+
+    A coarse histogram (``BINS`` bins between a group's least and greatest value) says in which bin that value lies; only the values
+    of that bin are counted one by one and put in order. What is shuffled are histograms and one bin a group, not the values.
     """
     named = F.array(*[F.struct(F.lit(name).alias("metric"), column.cast("double").alias("value")) for name, (column, _) in metrics.items()])
     share = F.create_map(*[F.lit(x) for name, (_, p) in metrics.items() for x in (name, p)])
-    counted = df.select(*keys, F.explode(named).alias("m")).select(*keys, "m.*").filter("value is not null").groupBy(*keys, "metric", "value").agg(F.count("*").alias("n"))
-    group = Window.partitionBy(*keys, "metric")
-    placed = counted.withColumns({"upto": F.sum("n").over(group.orderBy("value")), "total": F.sum("n").over(group)})
-    at = F.floor((F.col("total") - 1) * share[F.col("metric")])
-    hit = placed.filter((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at))
-    return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == name, F.col("value"))).alias(name) for name in metrics])
+    group = [*keys, "metric"]
+    values = df.select(*keys, F.explode(named).alias("m")).select(*keys, "m.*").filter("value is not null")
+    ends = values.groupBy(*group).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("total"))
+    part = F.coalesce(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
+    same = [F.col(f"v.{k}").eqNullSafe(F.col(f"e.{k}")) for k in group]
+    on = same[0]
+    for c in same[1:]:
+        on &= c
+    binned = values.alias("v").join(ends.alias("e"), on).select("v.*", "low", "high", "total").withColumn("bin", F.least(F.lit(BINS - 1), F.floor(part * BINS)).cast("int"))
+    counts = binned.groupBy(*group, "bin").agg(F.count("*").alias("n"), F.first("total").alias("total"))
+    p = share[F.col("metric")]
+    wanted = (F.ceil(F.col("total") * p) - 1 if nearest else F.floor((F.col("total") - 1) * p)).alias("wanted")
+    upto = F.sum("n").over(Window.partitionBy(*group).orderBy("bin"))  # at most BINS rows a group
+    hit = counts.withColumns({"upto": upto, "wanted": wanted}).filter((F.col("upto") > F.col("wanted")) & (F.col("upto") - F.col("n") <= F.col("wanted")))
+    hit = hit.select(*group, "bin", (F.col("wanted") - (F.col("upto") - F.col("n"))).alias("at"))
+    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"h.{k}")) for k in [*group, "bin"]]
+    on = same[0]
+    for c in same[1:]:
+        on &= c
+    inside = binned.alias("b").join(hit.alias("h"), on).select(*[F.col(f"b.{k}") for k in group], "at", "value").groupBy(*group, "at", "value").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*group).orderBy("value"))
+    found = inside.withColumn("upto", upto).filter((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at")))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == name, F.col("value"))).alias(name) for name in metrics])
 
 
 def session_summary(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,10 +14,24 @@ def row_digest(*columns: str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
 
 
-def manifest(df: DataFrame, key: str, columns: list[str], parts: int = 64) -> DataFrame:
-    """Rows and a digest per part of the corpus; digests of rows are sorted inside a part, so order plays no role."""
+def manifest(df: DataFrame, key: str, columns: list[str], parts: int = 64, fan: int = 1000) -> DataFrame:
+    """Rows and a digest per part of the corpus; order plays no role.
+
+    Row digests are sorted and hashed inside small bins (by the digests' first letters, more of them where there are more rows), and the bins'
+    digests are hashed in a tree by those letters, so no array grows with the corpus beyond ``fan`` digests or so.
+    """
     rows = df.select(row_digest(*columns).alias("h"), F.pmod(key, F.lit(parts)).alias("part"))
-    return rows.groupBy("part").agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("digest"))
+    letters = 0
+    total = df.count()
+    while total > parts * fan * 16**letters:
+        letters += 1
+    bins = rows.groupBy("part", F.substring("h", 1, letters).alias("bin")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("d"))
+    while letters:
+        letters = max(0, letters - 2)  # up to 256 digests become one
+        bins = bins.groupBy("part", F.substring("bin", 1, letters).alias("bin")).agg(
+            F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bin", "d"))), lambda x: x["d"]), ""), 256).alias("d")
+        )
+    return bins.select("part", F.col("n").alias("rows"), F.col("d").alias("digest"))
 
 
 def split(df: DataFrame, key: str, seed: str, share: float = 0.2) -> DataFrame:

@@ -7,22 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.scalars import half_up
+from plumbline.operators.benchmark import lower_percentiles
 
 
 def aggregate(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts, means and nearest-rank percentiles of a strategy, and how much warm runs gain."""
     e = F.col("elapsed_ms")
-    rank = lambda p: F.floor(F.expr(f"percentile_disc({p}) within group (order by elapsed_ms)") + 0.5).cast("bigint")
+    whole = lambda c: F.floor(c + 0.5).cast("bigint")
     out = rows.groupBy(*keys).agg(
-        F.count("*").alias("cases"), half_up(F.avg(F.col("failed").cast("int"))).alias("failure_rate"),
-        F.floor(F.avg(e) + 0.5).cast("bigint").alias("avg_ms"), rank(0.5).alias("p50_ms"), rank(0.95).alias("p95_ms"),
-        F.floor(F.avg(F.when(F.col("cold"), e)) + 0.5).cast("bigint").alias("cold_ms"), F.floor(F.avg(F.when(~F.col("cold"), e)) + 0.5).cast("bigint").alias("warm_ms"),
+        F.count("*").alias("cases"), half_up(F.avg(F.col("failed").cast("int"))).alias("failure_rate"), whole(F.avg(e)).alias("avg_ms"),
+        whole(F.avg(F.when(F.col("cold"), e))).alias("cold_ms"), whole(F.avg(F.when(~F.col("cold"), e))).alias("warm_ms"),
     )
-    return out.withColumn("warm_speedup", half_up(F.try_divide(F.col("cold_ms"), F.col("warm_ms")), 3))
+    ranks = lower_percentiles(rows, keys, {"p50_ms": (e, 0.5), "p95_ms": (e, 0.95)}, nearest=True)
+    joined = out.join(ranks, keys, "left")
+    return joined.withColumns({"p50_ms": whole(F.col("p50_ms")), "p95_ms": whole(F.col("p95_ms")), "warm_speedup": half_up(F.try_divide(F.col("cold_ms"), F.col("warm_ms")), 3)})
 
 
 def leaders(rows: DataFrame, min_cases: int = 5) -> DataFrame:
     """The strategy with the least failures, then time, for each difficulty and kind."""
-    cells = aggregate(rows, ["difficulty", "kind", "strategy"]).filter(F.col("cases") >= min_cases)
+    cells = aggregate(rows, ["difficulty", "kind", "strategy"]).filter(F.col("cases") >= min_cases)  # a small table
     first = Window.partitionBy("difficulty", "kind").orderBy("failure_rate", "avg_ms", "strategy")
     return cells.withColumn("place", F.row_number().over(first)).filter("place = 1").select("difficulty", "kind", "strategy", "cases", "failure_rate", "avg_ms")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,11 +60,38 @@ def overlap_with(spans: DataFrame, low: int, high: int) -> DataFrame:
     return spans.withColumn("overlap", F.greatest(F.lit(0), F.least("end", F.lit(high)) - F.greatest("start", F.lit(low))))
 
 
+def _held(start: np.ndarray, end: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of spans in order of start, the time that spans nested in each cover, and whether there are any."""
+    used, some = np.zeros(len(start), np.int64), np.zeros(len(start), bool)
+    first, last = np.searchsorted(start, start, "left"), np.searchsorted(start, end, "right")
+    for k in range(len(start)):
+        at = slice(first[k], last[k])
+        length, own = end[at] - start[at], end[k] - start[k]
+        inside = (end[at] <= end[k]) & ((length < own) | ((length == own) & (span[at] > span[k])))
+        if inside.any():
+            some[k] = True
+            s, e = start[at][inside], end[at][inside]
+            reach = np.maximum.accumulate(e)
+            before = np.r_[s[0], reach[:-1]]
+            used[k] = np.maximum(0, e - np.maximum(s, before)).sum()
+    return used, some
+
+
 def exclusive_time(spans: DataFrame, key: str = "trace") -> DataFrame:
-    """Each span's time that no span nested in it covers; nested: inside it and shorter (or later by number)."""
-    inner = spans.select(key, F.col("span").alias("n"), F.col("start").alias("ns"), F.col("end").alias("ne"))
-    length, n_length = F.col("end") - F.col("start"), F.col("ne") - F.col("ns")
-    nested = spans.join(inner, key).filter((F.col("ns") >= F.col("start")) & (F.col("ne") <= F.col("end")) & ((n_length < length) | ((n_length == length) & (F.col("n") > F.col("span")))))
-    held = interval_union(nested.select(F.col("span").alias("trace"), F.col("n").alias("span"), F.col("ns").alias("start"), F.col("ne").alias("end")))
-    used = held.groupBy(F.col("trace").alias("span")).agg(F.sum(F.col("end") - F.col("start")).alias("used"))
-    return spans.join(used, "span", "left").select(key, "span", (length - F.coalesce("used", F.lit(0))).alias("exclusive"), F.col("used").isNotNull().alias("has_nested"))
+    """Each span's time that no span nested in it covers; nested: inside it and shorter (or later by number).
+
+    Spans of a trace that a gap parts cannot nest, so a group is one unbroken stretch of a trace; inside it a span looks only at those
+    that start while it runs. No pairs of spans are written.
+    """
+    order = Window.partitionBy(key).orderBy("start", "end", "span")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cut = spans.select(key, "span", "start", "end").withColumn("fresh", F.when(F.col("start") > F.coalesce(reach, F.lit(-1)), 1).otherwise(0)).withColumn("island", F.sum("fresh").over(order)).drop("fresh")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("start", "ascending"), ("end", "ascending"), ("span", "ascending")])
+        start, end, span = (table[c].to_numpy() for c in ("start", "end", "span"))
+        used, some = _held(start, end, span)
+        return pa.table({key: table[key], "span": table["span"], "exclusive": pa.array(end - start - used), "has_nested": pa.array(some)})
+
+    kinds = dict(spans.dtypes)
+    return cut.groupBy(key, "island").applyInArrow(run, f"{key} {kinds[key]}, span {kinds['span']}, exclusive bigint, has_nested boolean")
