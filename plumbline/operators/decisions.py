@@ -104,3 +104,11 @@ def uncertainty(df: DataFrame) -> DataFrame:
     penalty = F.least(F.lit(0.55), 0.22 * F.col("conflicts") + 0.08 * F.col("unknown") + 0.045 * F.col("uncertain") + 0.035 * F.col("limitations"))
     over = (F.col("raw") >= 0.85) & (F.col("support") < 0.5)
     return df.withColumn("calibrated", half_up(clamp(F.col("raw") - F.when(over, F.greatest(penalty, F.lit(0.18))).otherwise(penalty))))
+
+
+def routed(profiles: DataFrame, cohort: str) -> DataFrame:
+    """Eligible providers ``provider, c, rel, lat, mem, priority`` ranked inside their cohort by capability, reliability, time, memory and priority."""
+    c = F.col
+    score = half_up(0.43 * c("c") + 0.24 * c("rel") + 0.14 * c("lat") + 0.09 * c("mem") + 0.05 * F.least(F.lit(1.0), c("priority") / 100))
+    scored = profiles.select("provider", cohort, score.alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(cohort).orderBy(F.desc("score"), "provider")))

@@ -10,6 +10,10 @@ from plumbline.functions.scalars import half_up
 from plumbline.operators.benchmark import lower_percentiles
 
 
+#: Rates of a strategy and the rows' columns that they count.
+RATES = {"field_accuracy": "field_ok", "critical_accuracy": "critical_ok", "total_accuracy": "total_ok", "date_accuracy": "date_ok", "fallback_rate": "fallback", "cache_hit_rate": "cache_hit", "timeout_rate": "timeout"}
+
+
 def aggregate(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Counts, means and nearest-rank percentiles of a strategy, and how much warm runs gain."""
     e = F.col("elapsed_ms")
@@ -17,6 +21,7 @@ def aggregate(rows: DataFrame, keys: list[str]) -> DataFrame:
     out = rows.groupBy(*keys).agg(
         F.count("*").alias("cases"), half_up(F.avg(F.col("failed").cast("int"))).alias("failure_rate"), whole(F.avg(e)).alias("avg_ms"),
         whole(F.avg(F.when(F.col("cold"), e))).alias("cold_ms"), whole(F.avg(F.when(~F.col("cold"), e))).alias("warm_ms"),
+        *[half_up(F.avg(F.col(c).cast("int"))).alias(name) for name, c in RATES.items()],
     )
     ranks = lower_percentiles(rows, keys, {"p50_ms": (e, 0.5), "p95_ms": (e, 0.95)}, nearest=True)
     joined = out.join(ranks, keys, "left")
@@ -31,8 +36,9 @@ def leaders(rows: DataFrame, min_cases: int = 5) -> DataFrame:
 
 
 def promotion_score(summary: DataFrame) -> DataFrame:
-    good = 1 - F.col("failure_rate")
-    score = 0.38 * good + 0.28 * good + 0.16 * good + 0.12 * good + 0.03 * (1 - F.least(F.lit(1.0), F.col("avg_ms") / 10000)) + 0.03 * (1 - F.least(F.lit(1.0), F.col("p95_ms") / 10000))
+    """Weighted accuracies, with a little for mean and high latency under ten seconds."""
+    quick = lambda c: 0.03 * (1 - F.least(F.lit(1.0), F.col(c) / 10000))
+    score = 0.38 * F.col("field_accuracy") + 0.28 * F.col("critical_accuracy") + 0.16 * F.col("total_accuracy") + 0.12 * F.col("date_accuracy") + quick("avg_ms") + quick("p95_ms")
     return summary.withColumn("score", half_up(score))
 
 

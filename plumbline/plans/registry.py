@@ -244,7 +244,8 @@ def _ocr_sql(keys: str) -> str:
     whole = lambda x: f"floor({x} + 0.5)::BIGINT"
     return f"""SELECT {keys}, count(*) AS cases, {r("avg(failed::INT)")} AS failure_rate, {whole("avg(elapsed_ms)")} AS avg_ms, {whole("quantile_disc(elapsed_ms, 0.5)")} AS p50_ms,
   {whole("quantile_disc(elapsed_ms, 0.95)")} AS p95_ms, {whole("avg(elapsed_ms) FILTER (cold)")} AS cold_ms, {whole("avg(elapsed_ms) FILTER (NOT cold)")} AS warm_ms,
-  {r(f'{whole("avg(elapsed_ms) FILTER (cold)")} / nullif({whole("avg(elapsed_ms) FILTER (NOT cold)")}, 0)', 3)} AS warm_speedup FROM o GROUP BY {keys}"""
+  {r(f'{whole("avg(elapsed_ms) FILTER (cold)")} / nullif({whole("avg(elapsed_ms) FILTER (NOT cold)")}, 0)', 3)} AS warm_speedup,
+  {", ".join(f"{r(f'avg({c}::INT)')} AS {name}" for name, c in ocr.RATES.items())} FROM o GROUP BY {keys}"""
 
 
 @query(f"WITH {bind.OCR} {_ocr_sql('strategy')}")
@@ -261,8 +262,8 @@ def a6_ocr_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {bind.OCR}, c AS ({_ocr_sql("strategy")}) SELECT strategy, {r('''0.38 * (1 - failure_rate) + 0.28 * (1 - failure_rate) + 0.16 * (1 - failure_rate) + 0.12 * (1 - failure_rate)
- + 0.03 * (1 - least(1.0, avg_ms / 10000)) + 0.03 * (1 - least(1.0, p95_ms / 10000))''')} AS score FROM c"""
+    f"""WITH {bind.OCR}, c AS ({_ocr_sql("strategy")}) SELECT strategy, {r('''0.38::DOUBLE * field_accuracy + 0.28::DOUBLE * critical_accuracy + 0.16::DOUBLE * total_accuracy + 0.12::DOUBLE * date_accuracy
+ + 0.03::DOUBLE * (1 - least(1.0::DOUBLE, avg_ms / 10000)) + 0.03::DOUBLE * (1 - least(1.0::DOUBLE, p95_ms / 10000))''')} AS score FROM c"""
 )
 def m6_promotion_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.promotion_score(a5_ocr_aggregate(spark, sf_dir)).select("strategy", "score")
@@ -926,18 +927,16 @@ def g7_mobile_reality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("device", F.col("issues").alias("failures"))
 
 
-# fixed values: engine, capability, reliability, latency fit, memory fit, priority
-PROFILES = [("e0", 0.9, 0.95, 0.7, 0.8, 50), ("e1", 0.95, 0.7, 0.9, 0.4, 120), ("e2", 0.6, 0.99, 0.95, 0.9, 80), ("e3", 0.8, 0.8, 0.8, 0.8, 10)]
-
-
-@query(f"""WITH p(engine, c, rel, lat, mem, priority) AS (VALUES {", ".join(f"('{e}', {c}::DOUBLE, {x}::DOUBLE, {y}::DOUBLE, {m}::DOUBLE, {q})" for e, c, x, y, m, q in PROFILES)}),
-s AS (SELECT engine, {r("0.43::DOUBLE * c + 0.24::DOUBLE * rel + 0.14::DOUBLE * lat + 0.09::DOUBLE * mem + 0.05::DOUBLE * least(1.0::DOUBLE, priority / 100)")} AS score FROM p WHERE rel >= 0.75)
-SELECT engine, score, row_number() OVER (ORDER BY score DESC, engine) AS rank FROM s""")
+@query(f"""WITH p AS (SELECT s_suppkey AS provider, s_nationkey AS cohort, (s_suppkey % 11) / 10 AS c, 0.6::DOUBLE + (s_suppkey % 5) / 10 AS rel, (s_suppkey % 7) / 6 AS lat, (s_suppkey % 4) / 3 AS mem, s_suppkey % 130 AS priority FROM supplier),
+s AS (SELECT provider, cohort, {r("0.43::DOUBLE * c + 0.24::DOUBLE * rel + 0.14::DOUBLE * lat + 0.09::DOUBLE * mem + 0.05::DOUBLE * least(1.0::DOUBLE, priority / 100)")} AS score FROM p WHERE rel >= 0.75)
+SELECT provider, cohort, score, row_number() OVER (PARTITION BY cohort ORDER BY score DESC, provider) AS rank FROM s""")
 def g8_router(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profiles = spark.createDataFrame(PROFILES, "engine string, c double, rel double, lat double, mem double, priority int").filter("rel >= 0.75")
-    c = F.col
-    score = 0.43 * c("c") + 0.24 * c("rel") + 0.14 * c("lat") + 0.09 * c("mem") + 0.05 * F.least(F.lit(1.0), c("priority") / 100)
-    return benchmark.rank(profiles.select("engine", fn.half_up(score).alias("score")), [F.desc("score"), c("engine")])
+    """Suppliers as providers, ranked inside their nation; those below .75 of reliability are not eligible (F3)."""
+    k = F.col("s_suppkey")
+    profiles = bind.table(spark, sf_dir, "supplier").select(
+        k.alias("provider"), F.col("s_nationkey").alias("cohort"), (k % 11 / 10).alias("c"), (0.6 + k % 5 / 10).alias("rel"), (k % 7 / 6).alias("lat"), (k % 4 / 3).alias("mem"), (k % 130).alias("priority")
+    )
+    return decisions.routed(profiles.filter("rel >= 0.75"), "cohort")
 
 
 @query(f"""WITH {bind.RECEIPTS}, o AS (SELECT receipt, subtotal, tax, discount + (receipt % 3) AS discount, CASE WHEN receipt % 5 = 0 THEN NULL ELSE total END AS total FROM r),

@@ -34,11 +34,14 @@ def ocr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("strategy"), F.col("l_linestatus").alias("difficulty"), F.col("l_linenumber").alias("kind"),
         (F.col("l_extendedprice") / 10).alias("elapsed_ms"), (F.col("l_discount") > 0.08).alias("failed"), (F.col("l_quantity") > 45).alias("cold"),
+        (F.col("l_suppkey") % 9 != 0).alias("field_ok"), (F.col("l_suppkey") % 7 != 0).alias("critical_ok"), (F.col("l_partkey") % 5 != 0).alias("total_ok"), (F.col("l_partkey") % 8 != 0).alias("date_ok"),
+        (F.col("l_orderkey") % 6 == 0).alias("fallback"), (F.col("l_orderkey") % 4 == 0).alias("cache_hit"), (F.col("l_tax") > 0.07).alias("timeout"),
     )
 
 
 OCR = """o AS (SELECT l_returnflag AS strategy, l_linestatus AS difficulty, l_linenumber AS kind, l_extendedprice / 10 AS elapsed_ms,
-  l_discount > 0.08 AS failed, l_quantity > 45 AS cold FROM lineitem)"""
+  l_discount > 0.08 AS failed, l_quantity > 45 AS cold, l_suppkey % 9 <> 0 AS field_ok, l_suppkey % 7 <> 0 AS critical_ok, l_partkey % 5 <> 0 AS total_ok, l_partkey % 8 <> 0 AS date_ok,
+  l_orderkey % 6 = 0 AS fallback, l_orderkey % 4 = 0 AS cache_hit, l_tax > 0.07 AS timeout FROM lineitem)"""
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
