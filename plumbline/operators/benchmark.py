@@ -147,6 +147,30 @@ def failure_patterns(rows: DataFrame, tag: str = "scenario") -> DataFrame:
     ).filter("failures > 0")
 
 
+# fixed values: what a case's tags, conditions and scenario say about it, by modality
+TAGS = {
+    "vision": {
+        "low_light": r"(?i)low[_ -]?light|dark|night|弱光|暗光", "blur": r"(?i)blur|motion[_ -]?blur|模糊|抖动", "far_distance": r"(?i)far|distance|远景|远距离", "multi_object": r"(?i)multi[_ -]?object|crowd|多物体|多个物体",
+        "small_target": r"(?i)small[_ -]?target|tiny|小目标", "text_interference": r"(?i)text|sign|label|文字|招牌|铭牌", "occlusion": r"(?i)occlu|遮挡",
+    },
+    "voice": {
+        "shop_noise": r"(?i)shop[_ -]?noise|商店噪声", "street_noise": r"(?i)street[_ -]?noise|街道噪声", "vehicle_noise": r"(?i)vehicle[_ -]?noise|车内噪声", "far_mic": r"(?i)far[_ -]?mic|远距离",
+        "mixed_language": r"(?i)mixed|code[_ -]?switch|混合语言|中西|中英|西英", "numbers": r"(?i)number|amount|数字|金额", "brand_model": r"(?i)brand|model|品牌|型号",
+    },
+}
+
+
+def case_tags(text: Column, modality: str) -> Column:
+    """All tags of a case by its words; ``ordinary`` without any."""
+    found = F.array_compact(F.array(*[F.when(text.rlike(pattern), F.lit(name)) for name, pattern in TAGS[modality].items()]))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("ordinary")))
+
+
+def tag_summary(patterns: DataFrame) -> DataFrame:
+    """Cases and failures of a tag over all engines."""
+    return patterns.groupBy("tag").agg(F.sum("cases").alias("cases"), F.sum("failures").alias("failures"), half_up(F.sum("failures") / F.sum("cases")).alias("failure_rate"))
+
+
 def remediation_hints(patterns: DataFrame, top: int = 12) -> DataFrame:
     picked = patterns.filter("cases >= 2 and failure_rate >= 0.25").orderBy(F.desc("failure_rate"), "avg_quality", "engine", "tag").limit(top)
     return picked.withColumn("severity", F.when(F.col("failure_rate") >= 0.5, "high").otherwise("medium"))
@@ -171,23 +195,45 @@ def scenario_evidence(patterns: DataFrame, min_cases: int = 12) -> DataFrame:
     return ranked.groupBy("engine").agg(half_up(clamp(F.sum(delta), -0.12, 0.12)).alias("adjustment"), F.count("*").alias("scenarios"))
 
 
-def failure_runs(rows: DataFrame, key: str = "engine") -> DataFrame:
-    """Per key: runs, successes, smoothed success rate, the longest and the current run of failures."""
-    order = Window.partitionBy(key).orderBy("seq")
-    marked = rows.withColumn("island", F.sum(F.col("ok").cast("int")).over(order))
-    islands = marked.groupBy(key, "island").agg(F.count_if(~F.col("ok")).alias("fails"), F.count_if("ok").alias("oks"))
-    return islands.groupBy(key).agg(
-        F.sum(F.col("fails") + F.col("oks")).alias("runs"), F.sum("oks").alias("successes"),
-        half_up((F.sum("oks") + 3) / (F.sum(F.col("fails") + F.col("oks")) + 4), 3).alias("smoothed_rate"),
-        F.max("fails").alias("longest_failures"), F.max_by("fails", "island").alias("consecutive_failures"),
-    )
+def failure_runs(rows: DataFrame, key: str = "engine", stretch: int = 100_000) -> DataFrame:
+    """Per key: runs, successes, smoothed success rate, the longest and the current run of failures.
+
+    A key's rows are cut into stretches of their (numeric) sequence, so that a key with many rows is not one task; a stretch tells its
+    failures before the first and after the last success and its longest run, and a fold over the stretches puts them together.
+    """
+    cut = rows.withColumn("part", F.floor(F.col("seq") / stretch))
+    island = F.sum(F.col("ok").cast("int")).over(Window.partitionBy(key, "part").orderBy("seq"))
+    islands = cut.withColumn("island", island).groupBy(key, "part", "island").agg(F.count_if(~F.col("ok")).alias("fails"), F.count_if("ok").alias("oks"))
+    parts = islands.groupBy(key, "part").agg(
+        F.sum(F.col("fails") + F.col("oks")).alias("n"), F.sum("oks").alias("oks"), F.max("fails").alias("longest"), F.sum(F.when(F.col("island") == 0, F.col("fails")).otherwise(0)).alias("lead"), F.max_by("fails", "island").alias("trail")
+    )
+    packed = parts.groupBy(key).agg(F.sum("n").alias("runs"), F.sum("oks").alias("successes"), F.sort_array(F.collect_list(F.struct("part", "n", "oks", "longest", "lead", "trail"))).alias("parts"))
+    kind = "struct<now:bigint,longest:bigint>"
+
+    def step(s: Column, x: Column) -> Column:
+        whole = x["oks"] == 0
+        reach = s["now"] + F.when(whole, x["n"]).otherwise(x["lead"])
+        return F.struct(F.when(whole, reach).otherwise(x["trail"]).alias("now"), F.greatest(s["longest"], reach, x["longest"]).alias("longest")).cast(kind)
+
+    folded = packed.withColumn("s", F.aggregate("parts", F.struct(F.lit(0).alias("now"), F.lit(0).alias("longest")).cast(kind), step))
+    return folded.select(
+        key, "runs", "successes", half_up((F.col("successes") + 3) / (F.col("runs") + 4), 3).alias("smoothed_rate"), F.col("s.longest").alias("longest_failures"), F.col("s.now").alias("consecutive_failures")
+    )
 
 
 def start_kinds(rows: DataFrame, key: str = "engine", hot_seconds: int = 300) -> DataFrame:
-    """``cold`` on a key's first use, ``hot`` within five minutes of the last use, else ``warm``."""
+    """``cold`` on a key's first use, ``hot`` within five minutes of the last use, else ``warm``.
+
+    Uses are put in order inside a key's day; only a day's first use looks at the last one of the day before it.
+    """
     at = F.unix_micros(F.col("recorded_at").cast("timestamp"))
-    gap = at - F.lag(at).over(Window.partitionBy(key).orderBy("recorded_at", "seq"))
-    return rows.withColumn("start", F.when(gap.isNull(), "cold").when(gap <= hot_seconds * 1_000_000, "hot").otherwise("warm"))
+    cut = rows.withColumns({"_at": at, "_day": F.floor(at / 86_400_000_000)})
+    days = cut.groupBy(key, "_day").agg(F.max("_at").alias("_last"))
+    days = days.withColumn("_before", F.lag("_last").over(Window.partitionBy(key).orderBy("_day"))).drop("_last")  # one row a key and day
+    within = F.lag("_at").over(Window.partitionBy(key, "_day").orderBy("_at", "seq"))
+    gap = F.col("_at") - F.coalesce(F.col("_within"), F.col("_before"))
+    joined = cut.withColumn("_within", within).join(days, [key, "_day"])
+    return joined.withColumn("start", F.when(gap.isNull(), "cold").when(gap <= hot_seconds * 1_000_000, "hot").otherwise("warm")).drop("_at", "_day", "_within", "_before")
 
 
 def last_n(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as fn
-from plumbline.operators import records
+from plumbline.operators import benchmark, records
 from plumbline.plans.policy_queries import case_sql, pick, pick_sql
 from plumbline.plans.registry import clamp, query, r
 from plumbline.sources import bindings as bind
@@ -218,3 +218,25 @@ def s5_visual_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("runs"), F.count_if(ok).alias("successes"), F.count_if(~ok).alias("failures"), fn.half_up(F.avg("first_useful_ms")).alias("avg_load_ms"), fn.half_up(F.avg("latency_ms")).alias("avg_inference_ms"),
         fn.half_up(F.max("latency_ms")).alias("max_inference_ms"), fn.half_up(F.count_if(ok) / F.count("*"), 3).alias("success_rate"),
     )
+
+
+NOTED = ["low-light crowd", "motion blur", "tiny label", "plain", "far distance, occluded", "night"]
+NOTED_TAGS = [["low_light", "multi_object"], ["blur"], ["small_target", "text_interference"], ["ordinary"], ["far_distance", "occlusion"], ["low_light"]]
+TAGGED = f"""WITH {bind.BENCH}, m(k, tag) AS (VALUES {", ".join(f"({k}, '{t}')" for k, tags in enumerate(NOTED_TAGS) for t in tags)}), t AS (SELECT engine, tag, count(*) AS cases, count(*) FILTER (NOT ok OR coalesce(quality, 0) < 0.75) AS failures,
+  {r('avg((NOT ok OR coalesce(quality, 0) < 0.75)::INT)')} AS failure_rate FROM b JOIN m ON seq % {len(NOTED)} = k GROUP BY 1, 2)"""
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bind.bench_rows(spark, sf_dir).withColumn("tag", F.explode(benchmark.case_tags(pick(NOTED, F.col("seq")), "vision")))
+    return benchmark.failure_patterns(rows, "tag")
+
+
+@query(f"{TAGGED} SELECT * FROM t WHERE failures > 0")
+def a8_tagged_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures by engine and by what the words of a case say about it."""
+    return _tagged(spark, sf_dir).select("engine", "tag", "cases", "failures", "failure_rate")
+
+
+@query(f"{TAGGED} SELECT tag, sum(cases)::BIGINT AS cases, sum(failures)::BIGINT AS failures, {r('sum(failures) / sum(cases)')} AS failure_rate FROM t WHERE failures > 0 GROUP BY tag")
+def a8_tag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark.tag_summary(_tagged(spark, sf_dir))
