@@ -47,11 +47,12 @@ def line_table(df: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS)
     ``line`` and ``twin`` are hashes of the line; ``masked`` and ``leaf`` are null for lines of fewer than ``min_tokens`` tokens.
     """
     raw = F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("raw")
-    split = df.select("doc_id", "part", raw).filter(F.col("raw").rlike(r"\S")).withColumn("line", F.trim("raw"))
+    split = df.select("doc_id", "part", raw).withColumn("line", F.trim("raw")).filter("line <> ''")
     split = split.select("doc_id", "part", F.xxhash64("line").alias("line"), F.hash("line").alias("twin"), F.split("line", r"\s+").alias("words"), F.col("line").rlike("[0-9]").alias("digits"))
     masked = F.when(F.col("digits"), F.transform("words", lambda t: F.when(t.rlike("[0-9]"), WILDCARD).otherwise(t))).otherwise(F.col("words"))
     long = F.size("tokens") >= min_tokens
-    return split.select("doc_id", "part", "line", "twin", "digits", masked.alias("tokens")).withColumns(
+    blank = (F.size("words") == 2) & (F.get("words", F.lit(0)) == "") & (F.get("words", F.lit(1)) == "")  # tabs and the like
+    return split.filter(~blank).select("doc_id", "part", "line", "twin", "digits", masked.alias("tokens")).withColumns(
         {"short": ~long, "masked": F.when(long, F.xxhash64("tokens")), "leaf": F.when(long, F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))}
     )
 
@@ -64,7 +65,8 @@ def leaf_templates(lines: DataFrame, places: DataFrame, min_template_docs: int,
     mixed = written(leaves.filter((F.col("n") > 1) & (F.col("leaf_docs") >= min_template_docs)).select("leaf"), "mixed-leaves")
     words = lines.filter("not short").join(mixed, "leaf", "left_semi").select("masked", "leaf", "tokens").dropDuplicates(["masked"])
     known = written(words.join(shapes.select("masked", "docs"), "masked"), "leaf-lines")
-    spots = known.select("masked", "leaf", "docs", F.posexplode("tokens").alias("at", "token")).filter(F.col("at") >= depth)
+    spots = known.select("masked", "leaf", "docs", F.posexplode("tokens").alias("at", "word")).filter(F.col("at") >= depth)
+    spots = spots.select("masked", "leaf", "docs", "at", F.xxhash64("word").alias("token"))
     counts = written(spots.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")), "token-counts")
     counted = spots.join(counts, ["leaf", "at", "token"]).groupBy("masked").agg(F.sort_array(F.collect_list(F.struct("at", "token", "n"))).alias("spots"))
     median = F.get(F.sort_array(F.transform("spots", lambda s: s["n"])), (F.size("spots") / 2).cast("int"))
