@@ -178,7 +178,7 @@ def resolution(goals: DataFrame, resolved: DataFrame, problems: DataFrame) -> Da
 
 def planning_need(text: Column, jobs: Column, rich: Column, residuals: Column, confidence: Column) -> Column:
     """``struct(score, signals)``: whether splitting a task needs a specialist (from .48)."""
-    clauses = F.size(F.filter(F.transform(F.split(F.trim(F.coalesce(text, F.lit(""))), r"(?i)[，,；;。!?！？]|\b(?:and|then|also|plus)\b"), F.trim), lambda x: x != ""))
+    clauses = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"(?i)[，,；;。!?！？]|\b(?:and|then|also|plus)\b"), lambda x: x.rlike(r"\S")))
     signals = issues({"MULTI_INTENT": clauses >= 3, "MULTI_STAGE": jobs >= 3, "DEPENDENCY_RICH": rich, "MULTIPLE_RESIDUALS": residuals >= 3, "LOW_DECOMPOSITION_CONFIDENCE": confidence < 0.62})
     score = half_up(F.least(F.lit(1.0), F.size(signals) * 0.24 + F.when(clauses >= 4, 0.18).otherwise(0.0)))
     return F.struct(score.alias("score"), F.array_join(signals, ",").alias("signals"))

@@ -208,7 +208,7 @@ _SIGNALS = {"MULTI_INTENT": "clauses >= 3", "MULTI_STAGE": "jobs >= 3", "DEPENDE
 
 
 @query(
-    f"""WITH x AS (SELECT conv_id, turn, len(list_filter(list_transform(string_split_regex(trim(coalesce(text, '')), '(?i)[，,；;。!?！？]|\\b(?:and|then|also|plus)\\b'), lambda t: trim(t)), lambda t: t <> '')) AS clauses,
+    f"""WITH x AS (SELECT conv_id, turn, len(list_filter(string_split_regex(coalesce(text, ''), '(?i)[，,；;。!?！？]|\\b(?:and|then|also|plus)\\b'), lambda t: regexp_matches(t, '\\S'))) AS clauses,
   turn % 5 AS jobs, conv_id % 3 = 0 AS rich, (conv_id + turn) % 5 AS residuals, (conv_id % 10) / 10 AS confidence FROM conversations),
 y AS (SELECT *, {flags_sql(_SIGNALS)} AS signals, {" + ".join(f"({c})::INT" for c in _SIGNALS.values())} AS n FROM x)
 SELECT conv_id, turn, signals, {r('least(1.0::DOUBLE, n * 0.24::DOUBLE + CASE WHEN clauses >= 4 THEN 0.18::DOUBLE ELSE 0.0::DOUBLE END)')} AS score FROM y"""
