@@ -223,3 +223,25 @@ def test_line_edge_cases(spark):
     assert lines_left(spark, []) == {}
     twice = spark.createDataFrame([(1, "a b c d e f", 1, ""), (1, "a b c d e f", 1, ""), (None, "g h i j k", 1, ""), (None, "g h i j k", 1, "")], DOCS)
     assert sorted(r.text for r in line_templates.drop_recurring_lines(twice).collect()) == ["a b c d e f"] * 2 + ["g h i j k"] * 2
+
+
+def test_several_templates_and_a_hot_line_in_one_leaf(spark):
+    rng = np.random.default_rng(9)
+    name = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 9))
+    shapes = ["this page was last edited by {} today", "this page was then checked by {} again", "this page was never seen by {} before"]
+    hot = "this page was made in one single day"
+    texts = [f"{name()} own\n{shapes[k % 3].format(name())}\n{hot if k % 2 else name()}" for k in range(120)]
+    left = lines_left(spark, texts)
+    for k, text in enumerate(texts):
+        own, template, other = text.split("\n")
+        want = [own] + ([template] if k < 3 else []) + ([other] if other != hot or k == 1 else [])
+        assert left[k].split("\n") == want, k
+
+
+def test_short_lines_go_when_they_recur_often(spark):
+    texts = [f"alone{k} words\nRead more\n\n\t\n{'Home' if k < 9 else 'Away'}" for k in range(30)]
+    left = lines_left(spark, texts)
+    assert left[0] == texts[0]
+    assert left[5] == "alone5 words\n\n\t\nHome"
+    assert left[9] == "alone9 words\n\n\t\nAway"
+    assert left[20] == "alone20 words\n\n\t"

@@ -217,3 +217,20 @@ def test_joined_leaks_with_edits_at_any_place(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontamination.leak_table(docs, bench).collect()} == want
     monkeypatch.setattr(decontamination, "MAX_BITS", 1 << 10)
     assert {(r.doc_id, r.item_id) for r in decontamination.leak_table(docs, bench).collect()} == want
+
+
+@pytest.mark.parametrize("page", ["<div>x " * 60_000, '<a href="x ' * 90_000, '<a href="x ' * 90_000 + ">", "<p>x</i>" * 60_000, "<i><div>" + "<b>x</i>" * 60_000, "< a " * 250_000, "<a href='x' b=\"y>" * 60_000])
+def test_nested_and_unclosed_tags_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_crf.leaf_blocks(page)
+    assert time.process_time() - began < 10  # quadratic parsing took minutes
+
+
+def test_long_block_features():
+    figures = html_crf.FEATURES["digits"]
+    block = html_crf.leaf_blocks("<p>" + "12345 " * 100 + "word " * 2000 + "</p>")[0]
+    assert figures not in block.features
+    deep = html_crf.leaf_blocks("<p><a href=x><b><i><u><span><em>all of it is linked</em></span></u></i></b></a></p>")[0]
+    assert html_crf.FEATURES["links:5"] in deep.features
