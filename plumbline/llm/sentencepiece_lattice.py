@@ -25,7 +25,6 @@ from __future__ import annotations
 import gc
 from collections import Counter
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 from operator import add
 
@@ -44,8 +43,6 @@ SPACE = "▁"
 SAMPLE, FREQUENT = 50_000, 300_000
 MEMORY, PAIRS = 2_000_000, 500_000
 SLICE = 1_500
-#: Units that a task groups in memory before it sorts; the edges of one take about two kilobytes.
-GROUPED = 50_000
 SPREAD = 3
 
 
@@ -265,7 +262,7 @@ class Fits:
 def edges_by_end(edges: DataFrame, pieces: Pieces) -> DataFrame:
     """``(unit, by_end)``: for every end in a unit its edges ``(start, id, score, fits)``.
 
-    ``fits`` says by bits which edges one may follow, by their length; for unigram models all bits are set.
+    ``fits`` says by bits which edges one may follow, by their length; for unigram models all bits are set. Edges that may follow none are left out.
     """
     if pieces.merges and pieces.longest > 63:
         raise ValueError("a piece has over 63 characters")
@@ -279,17 +276,21 @@ def edges_by_end(edges: DataFrame, pieces: Pieces) -> DataFrame:
         length, per_unit = lengths.to_numpy().astype(np.int64), starts.value_lengths().to_numpy()
         start, end, piece = (a.flatten().to_numpy().astype(np.int64) for a in (starts, ends, ids))
         outer = np.r_[0, np.cumsum(length)]
-        base = np.repeat(outer[:-1], per_unit)
-        inner = np.r_[0, np.cumsum(np.bincount(base + end - 1, minlength=int(outer[-1])))]
+        place_of = np.repeat(outer[:-1], per_unit) + end - 1
+        by_place = lambda places: np.r_[0, np.cumsum(np.bincount(places, minlength=int(outer[-1])))]
+        inner = by_place(place_of)
         bits = np.full(len(start), -1, np.int64)
+        flat = [starts.flatten(), ids.flatten(), scores.flatten()]
         if memory[0].pieces.merges:
             later = np.flatnonzero(start > 0)
-            place = base[later] + start[later] - 1  # edges are in order of unit and end, so those before one stand together
+            place = place_of[later] - end[later] + start[later]  # edges are in order of unit and end, so those before one stand together
             counts, firsts = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
             counts[later], firsts[later] = inner[place + 1] - inner[place], inner[place]
             bits = memory[0].bits(start, piece, firsts, counts)
-        flat = pa.StructArray.from_arrays([starts.flatten(), ids.flatten(), scores.flatten(), pa.array(bits)], ["start", "id", "score", "fits"])
-        return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), flat))
+            kept = np.flatnonzero((start == 0) | (bits != 0))  # an edge that may follow none is on no path
+            flat, bits, inner = [a.take(pa.array(kept)) for a in flat], bits[kept], by_place(place_of[kept])
+        edges = pa.StructArray.from_arrays([*flat, pa.array(bits)], ["start", "id", "score", "fits"])
+        return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), edges))
 
     return edges.select("unit", run(F.length("unit"), "edges.start", "edges.end", "edges.id", "edges.score").alias("by_end"))
 
@@ -479,17 +480,6 @@ def ranked(numbers: list[np.ndarray], units: int) -> tuple[np.ndarray, np.ndarra
     return row, unit, rank, rank[back]
 
 
-@contextmanager
-def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A session setting for the jobs inside."""
-    before = spark.conf.get(key)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def text_key(text: str | None) -> tuple[bytes, int, int]:
     """A 128-bit digest of a text, and the 64 and 15 bits of it under which its units are asked for."""
     digest = xxhash.xxh3_128_digest((text or "").encode())
@@ -530,8 +520,7 @@ def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", check: str | None
         F.col("key").alias("_key"), F.shiftright("place", 32).cast("int").alias("_more"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"), "ids"
     )
     answers = answered.groupBy("_key", "_more").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("a"))
-    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPED)):
-        answers = written(answers.select("_key", "_more", F.col("a.ids").alias("_answers")), "answered-units")
+    answers = written(answers.select("_key", "_more", F.col("a.ids").alias("_answers")), "answered-units")
 
     kept = docs.columns if keep_text else [c for c in docs.columns if c != "text"]
     by_text = docs.select(*kept, F.col("text").alias("_text"))
