@@ -32,8 +32,13 @@ DEPTH, SIMILARITY, SHARE = 3, 0.5, 0.5
 WILDCARD = "<*>"
 
 
+def trimmed(line: Column) -> Column:
+    """Without white space at its ends; a blank line becomes empty."""
+    return F.btrim(line, F.lit(" \t\r\f\x0b"))
+
+
 def line_key(line: Column) -> Column:
-    return F.xxhash64(F.trim(line))
+    return F.xxhash64(trimmed(line))
 
 
 def named(df: DataFrame) -> DataFrame:
@@ -47,12 +52,11 @@ def line_table(df: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS)
     ``line`` and ``twin`` are hashes of the line; ``masked`` and ``leaf`` are null for lines of fewer than ``min_tokens`` tokens.
     """
     raw = F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("raw")
-    split = df.select("doc_id", "part", raw).withColumn("line", F.trim("raw")).filter("line <> ''")
+    split = df.select("doc_id", "part", raw).withColumn("line", trimmed(F.col("raw"))).filter("line <> ''")
     split = split.select("doc_id", "part", F.xxhash64("line").alias("line"), F.hash("line").alias("twin"), F.split("line", r"\s+").alias("words"), F.col("line").rlike("[0-9]").alias("digits"))
     masked = F.when(F.col("digits"), F.transform("words", lambda t: F.when(t.rlike("[0-9]"), WILDCARD).otherwise(t))).otherwise(F.col("words"))
     long = F.size("tokens") >= min_tokens
-    blank = (F.size("words") == 2) & (F.get("words", F.lit(0)) == "") & (F.get("words", F.lit(1)) == "")  # tabs and the like
-    return split.filter(~blank).select("doc_id", "part", "line", "twin", "digits", masked.alias("tokens")).withColumns(
+    return split.select("doc_id", "part", "line", "twin", "digits", masked.alias("tokens")).withColumns(
         {"short": ~long, "masked": F.when(long, F.xxhash64("tokens")), "leaf": F.when(long, F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))}
     )
 
