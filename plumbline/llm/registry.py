@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, embedding_dedup, flow_sharding, html_crf, line_templates, quality_fm, sentencepiece_lattice, simhash, url_filter, warc_store
+from plumbline.llm import (
+    decontamination, embedding_dedup, flow_sharding, hmm_lm, html_crf, line_templates, model_sql, quality_fm, sentencepiece_lattice, simhash, spelling, url_filter, vector_codes, warc_store,
+)
 from plumbline.llm.common import new_dir, table
 
 URL_RULES = [
@@ -84,6 +86,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.language_scores(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -96,6 +110,9 @@ def queries() -> dict:
         "op8_sharding": op8_sharding,
         "op9_url_filter": op9_url_filter,
         "op10_simhash": op10_simhash,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_language_model": op12_language_model,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
@@ -143,4 +160,10 @@ FROM e
 
 
 def oracle_sql() -> dict:
-    return {"op2_embedding_dedup": OP2_SQL, "op7_warc": OP7_SQL, "op9_url_filter": OP9_SQL}
+    return {
+        "op2_embedding_dedup": OP2_SQL,
+        "op7_warc": OP7_SQL,
+        "op9_url_filter": OP9_SQL,
+        "op11_vector_codes": model_sql.vector_codes_sql(vector_codes.ROUNDS),
+        "op13_spelling_variants": model_sql.SPELLING_SQL,
+    }
