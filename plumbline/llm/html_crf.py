@@ -53,6 +53,7 @@ GROUPS = {
     "main": "content article post entry story text main maintext articlebody postbody body prose page",
     "by": "byline author meta date timestamp",
 }
+_READ = frozenset(TAGS)  # the ancestors that features look at
 _GROUP_OF = {word: group for group, words in GROUPS.items() for word in words.split()}
 _SPLIT = re.compile(r"[A-Z]?[a-z]+")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>")
@@ -104,7 +105,8 @@ def _groups(attributes: str) -> frozenset[str]:
 class Stack:
     """The open tags, with what a block needs to know of them; every step takes about constant time, however deep the page.
 
-    An entry is ``(tag, block tag or None, tags, groups, article before header)`` of itself and those around it.
+    An entry is ``(tag, block tag or None, tags, groups, article before header)`` of itself and those around it; of the tags
+    only those that features look at, so that a page of many distinct tag names takes no more memory.
     """
 
     def __init__(self) -> None:
@@ -122,7 +124,7 @@ class Stack:
             self.blocks.append(len(self.entries))
         ordered = ordered or (name == "header" and "article" in tags and "header" not in tags)
         self.places.setdefault(name, []).append(len(self.entries))
-        self.entries.append((name, own, tags if name in tags else tags | {name}, named if groups <= named else named | groups, ordered))
+        self.entries.append((name, own, tags if name in tags or name not in _READ else tags | {name}, named if groups <= named else named | groups, ordered))
 
     def cut(self, place: int) -> None:
         """Closes all tags from that place on."""
