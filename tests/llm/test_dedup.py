@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -245,3 +247,106 @@ def test_short_lines_go_when_they_recur_often(spark):
     assert left[5] == "alone5 words\n\n\t\nHome"
     assert left[9] == "alone9 words\n\n\t\nAway"
     assert left[20] == "alone20 words\n\n\t"
+
+
+def test_rows_of_numbers_stay(spark):
+    rng = random.Random(5)
+    number = lambda: f"{rng.uniform(0, 900):.2f}"
+    rows = [(k, "\n".join([f"{chr(97 + k) * 5} its own {chr(98 + k) * 4} words", " ".join(number() for _ in range(6)), f"2024-01-{k + 1:02d} {number()} {number()} {number()} {number()}"])) for k in range(20)]
+    rows += [(100 + k, f"Report {rng.random()} was printed at {number()} by the office\n{'abcdefghijklmnopqrst'[k]} own line that only this document has") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(df).collect()}
+    for k, text in rows:
+        assert got[k].n_dropped == (1 if k > 100 else 0), text
+        if k <= 100:
+            assert got[k].text == text
+
+
+def test_short_lines_with_a_number_are_generalised(spark):
+    rows = [(k, f"Page {k} of 90\n{k} {k + 1}\nown {'x' * (k + 1)} words of this one document") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(df).collect()}
+    assert all(got[k] == (t if k == 0 else t.split("\n", 1)[1]) for k, t in rows)
+
+
+def test_templates_equal_brute_force(spark):
+    """Leaf statistics, templates and dropped lines by plain loops over a random corpus of templates, data and prose."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    forms = [["seen", "on", "the", "site", "by", None, "and", "friends"], ["seen", "on", "the", "site", "of", "our", None, "today"], ["sold", "at", "the", None, "store", "for", "2", "euros"]]
+    docs = []
+    for k in range(60):
+        lines = [" ".join(w or word() for w in rng.choice(forms)) for _ in range(3)] + [" ".join(word() for _ in range(7)), f"ref {rng.random()} {rng.random()} {rng.random()} {word()}"]
+        rng.shuffle(lines)
+        docs.append((k, "\n".join(lines)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(df).collect()}
+
+    masked = lambda line: tuple("<*>" if any(c.isdigit() for c in w) else w for w in line.split())
+    have = {}
+    for k, text in docs:
+        for line in text.split("\n"):
+            have.setdefault(masked(line), set()).add(k)
+    leaf = lambda m: (len(m), m[:3])
+    counts = {}
+    for m, where in have.items():
+        for at, w in enumerate(m[3:], 3):
+            counts[leaf(m), at, w] = counts.get((leaf(m), at, w), 0) + len(where)
+    members = {}
+    for m in have:
+        members.setdefault(leaf(m), []).append(m)
+
+    def template(m):
+        own = [(at, w, counts[leaf(m), at, w]) for at, w in enumerate(m[3:], 3)]
+        if len(members[leaf(m)]) < 2 or sum(len(have[x]) for x in members[leaf(m)]) < 5:
+            return None
+        middle = sorted(n for *_, n in own)[len(own) // 2]
+        fixed = [(at, w) for at, w, n in own if n >= middle / 2]
+        if middle >= 5 and len(fixed) < len(own) and sum(w != "<*>" for _, w in fixed) >= len(own) / 2:
+            return (leaf(m), tuple(fixed))
+        return None
+
+    exact, by_template = {}, {}
+    for k, text in docs:
+        for line in set(text.split("\n")):
+            exact.setdefault(line, set()).add(k)
+            m = masked(line)
+            t = template(m) or (m if m != tuple(line.split()) and sum(w != "<*>" for w in m) >= len(m) / 2 else None)
+            by_template.setdefault(t, set()).add(k)
+    dropped = 0
+    for k, text in docs:
+        left = []
+        for line in text.split("\n"):
+            m = masked(line)
+            t = template(m) or (m if m != tuple(line.split()) and sum(w != "<*>" for w in m) >= len(m) / 2 else None)
+            goes = len(exact[line]) >= 2 and min(exact[line]) != k or t is not None and len(by_template[t]) >= 5 and min(by_template[t]) != k
+            dropped += goes
+            left += [] if goes else [line]
+        assert got[k] == "\n".join(left)
+    assert dropped > 100
+
+
+def test_text_of_very_many_lines(spark):
+    many = [f"line {'abcdefghij'[k % 10]} of text number w{k} here" for k in range(200_000)]
+    rows = [(1, "\n".join(many[:100_000])), (2, "\n".join(many)), (2, "\n".join(many)), (3, "short")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    began = time.time()
+    got = sorted(line_templates.drop_recurring_lines(df, min_template_docs=5).collect(), key=lambda r: (r.doc_id, r.text))
+    assert time.time() - began < 60
+    assert [r.n_dropped for r in got] == [0, 100_000, 100_000, 0]
+    assert [r.text for r in got] == [rows[0][1], "\n".join(many[100_000:]), "\n".join(many[100_000:]), "short"]
+
+
+@pytest.mark.parametrize("scale", [1e160, 1e-170, 1.0])
+def test_vectors_of_extreme_length_link(spark, scale):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(30, 16))
+    near = base + rng.normal(scale=0.02, size=base.shape)
+    x = np.array([1.0, 0.0, *[0.0] * 14])
+    edge = [x, 0.9000001 * x + np.sqrt(1 - 0.9000001**2) * np.roll(x, 1), 0.8999999 * x + np.sqrt(1 - 0.8999999**2) * np.roll(x, 2)]
+    rows = np.vstack([base, near, edge])
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    want = ((unit @ unit.T) >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(k, [float(v) for v in r * scale], 0) for k, r in enumerate(rows)], "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df).collect()}
+    assert [got[k] for k in range(len(rows))] == want.tolist()

@@ -234,3 +234,18 @@ def test_long_block_features():
     assert figures not in block.features
     deep = html_crf.leaf_blocks("<p><a href=x><b><i><u><span><em>all of it is linked</em></span></u></i></b></a></p>")[0]
     assert html_crf.FEATURES["links:5"] in deep.features
+
+
+def test_many_distinct_tags_take_linear_memory():
+    import time
+    import tracemalloc
+
+    page = "".join(f"<x{k}>" for k in range(200_000)) + "<article><p>the text</p></article>"
+    began = time.process_time()
+    blocks = html_crf.leaf_blocks(page)
+    assert time.process_time() - began < 5
+    assert [b.text for b in blocks] == ["the text"] and html_crf.FEATURES["in:article"] in blocks[0].features
+    tracemalloc.start()
+    html_crf.leaf_blocks(page)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
