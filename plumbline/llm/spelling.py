@@ -33,7 +33,7 @@ from plumbline.llm.common import shared_dir, written
 RUN_PATTERN = re.compile("[a-zÀ-ÿ]+")
 DELETED_ONE_IN, MIN_LENGTH, MIN_COUNT, FACTOR = 199, 6, 5, 5
 RANGES, TASK_WORDS = 3, 8_000
-FLUSH = 400_000
+FLUSH = 100_000
 
 
 def words_of(doc_id: int | None, text: bytes) -> Counter:
