@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from plumbline.streaming.breaker import circuit_breaker
+
+__all__ = ["circuit_breaker", "once_within", "outcome_counters", "windowed_failures"]
 
 
 def once_within(events: DataFrame, keys: list[str], ttl: str = "10 minutes") -> DataFrame:
@@ -26,28 +26,3 @@ def windowed_failures(events: DataFrame, size: str = "1 hour", late: str = "10 m
     return grouped.agg(F.count("*").alias("n"), F.count_if(F.col("type") == "failed").alias("failures")).select(
         "execution", F.col("window.start").alias("start"), "n", "failures"
     )
-
-
-def circuit_breaker(events: DataFrame, key: str = "execution", limit: int = 3, cooldown_seconds: int = 600) -> DataFrame:
-    """Per key the breaker's state after every batch: open after ``limit`` failures in a row, half open after the cooldown.
-
-    State is three numbers a key. Rows of a batch are taken in order of time and sequence.
-    """
-
-    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, opened, total = state.get if state.exists else (0, -1, 0)
-        rows = pd.concat(list(batches)).sort_values(["at", "seq"])
-        at = 0
-        for kind, moment in zip(rows["type"], rows["at"], strict=True):
-            at, total = int(moment.timestamp()), total + 1
-            if kind != "failed":
-                failures, opened = 0, -1
-            elif (failures := failures + 1) >= limit:
-                opened = at
-        state.update((failures, opened, total))
-        now = "closed" if opened < 0 else "half_open" if at - opened >= cooldown_seconds else "open"
-        yield pd.DataFrame({"key": [str(name[0])], "state": [now], "failures": [failures], "events": [total]})
-
-    return events.groupBy(key).applyInPandasWithState(
-        step, "key string, state string, failures long, events long", "failures long, opened long, total long", "update", GroupStateTimeout.NoTimeout
-    )
