@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as fn
-from plumbline.operators import photo_graph
+from plumbline.operators import photo_graph, repair
 from plumbline.plans.registry import clamp, query, r
 from plumbline.sources import bindings as bind
 
@@ -86,3 +86,33 @@ def a27_entity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = photo_graph.entity_summary(photos, photo_graph.placed_photos(photos))
     joined = [F.coalesce(F.array_join(c, ","), F.lit("")).alias(c) for c in ("views", "error_codes", "states", "parts")]
     return found.select("entity", "photos", "brand", "model", "serial", *joined)
+
+
+# --- damaged receipt texts ---------------------------------------------------------------------------
+
+DAMAGED = f"""{bind.RECEIPTS},
+a AS (SELECT receipt AS k, printf('%d.%02d', subtotal // 100, subtotal % 100) AS s, printf('%d.%02d', tax // 100, tax % 100) AS t, printf('%d.%02d', total // 100, total % 100) AS a FROM r),
+t AS (SELECT k, 'TIENDA NORTE' || chr(10) || 'FOLIO OIIO' || chr(10) || 'SUBTOTAL ' || s || repeat(chr(10) || 'IVA ' || t, CASE WHEN k % 6 = 0 THEN 2 ELSE 1 END) || chr(10) || 'TOTAL $' || a AS text,
+  concat_ws(',', CASE WHEN k % 11 = 0 THEN 'UNICODE_WHITESPACE_NORMALIZATION' END, CASE WHEN k % 3 <> 1 THEN 'JOIN_SUBTOTAL_LABEL' END,
+    CASE WHEN k % 3 = 1 THEN 'LABEL_O0_SUBTOTAL' END, CASE WHEN k % 7 = 0 AND k % 11 <> 0 THEN 'LABEL_O0_TOTAL' END,
+    CASE WHEN k % 5 = 0 THEN CASE WHEN k % 6 = 0 THEN 'LABEL_IL1_IVA,LABEL_IL1_IVA' ELSE 'LABEL_IL1_IVA' END END,
+    CASE WHEN k % 2 = 0 AND regexp_matches(a, '[01]') THEN 'AMOUNT_GLYPH_OIL_TO_01' END, CASE WHEN k % 4 = 0 THEN 'ADJACENT_DUPLICATE_NONFINANCIAL_LINE' END) AS rules FROM a)"""
+
+
+@query(
+    f"""WITH {DAMAGED} SELECT k AS receipt, text, rules, CASE WHEN rules LIKE '%ADJACENT%' THEN 0.9::DOUBLE WHEN rules LIKE '%AMOUNT%' THEN 0.93::DOUBLE WHEN rules LIKE '%LABEL_IL1%' THEN 0.94::DOUBLE WHEN rules LIKE '%LABEL_O0%' THEN 0.97::DOUBLE
+  ELSE 0.98::DOUBLE END AS confidence FROM t"""
+)
+def t6_repaired_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipt texts damaged in known ways, repaired, with the rules that did it."""
+    money = lambda c: F.format_string("%d.%02d", F.floor(F.col(c) / 100).cast("bigint"), F.col(c) % 100)
+    k = F.col("receipt")
+    tax = F.concat(F.when(k % 5 == 0, "1VA ").otherwise("IVA "), money("tax"), F.lit("\n"))
+    label = F.when(k % 11 == 0, "ＴＯＴＡＬ").when(k % 7 == 0, "T0TAL").otherwise("TOTAL")
+    total = F.when(k % 2 == 0, F.translate(money("total"), "01", "Ol")).otherwise(money("total"))
+    text = F.concat(
+        F.lit("TIENDA NORTE\n"), F.when(k % 4 == 0, "TIENDA NORTE \n").otherwise(""), F.lit("FOLIO OIIO\n"), F.when(k % 3 == 0, "S U B T O T A L ").when(k % 3 == 1, "SUBT0TAL ").otherwise("SUB\nTOTAL "), money("subtotal"), F.lit("\n"),
+        tax, F.when(k % 6 == 0, tax).otherwise(""), label, F.lit(" $"), total,
+    )
+    fixed = repair.repaired(bind.receipts(spark, sf_dir).select("receipt", text.alias("text")))
+    return fixed.select("receipt", F.col("normalized").alias("text"), F.array_join(F.col("log.rule"), ",").alias("rules"), "confidence")
