@@ -39,9 +39,12 @@ def host_of(url: Column) -> Column:
 
 
 def fnv1a32(text: Column) -> Column:
-    """FNV-1a over the code points of a text, unsigned 32 bits."""
-    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
-    return F.aggregate(points, F.lit(2166136261).cast("bigint"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295).cast("bigint")))
+    """FNV-1a over the UTF-16 units of a text, unsigned 32 bits."""
+    digits = F.hex(F.encode(text, "UTF-16BE"))
+    n = (F.length(digits) / 4).cast("int")
+    points = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.conv(F.substring(digits, i * 4 - 3, F.lit(4)), 16, 10).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    hashed = F.aggregate(points, F.lit(2166136261).cast("bigint"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295).cast("bigint")))
+    return F.when(text.isNotNull(), hashed)
 
 
 def language_of(text: Column) -> Column:

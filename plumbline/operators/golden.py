@@ -1,73 +1,13 @@
-"""Golden cases: expected against actual JSON, and reports over the results.
-
-Trees are shredded into ``(path, value)`` rows, so that comparing is an equi-join by case and path.
-"""
+"""Golden cases: expected against actual JSON, and reports over the results."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from plumbline.functions.scalars import half_up
-
-_NODE = T.ArrayType(
-    T.StructType([T.StructField("path", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType()), T.StructField("members", T.ArrayType(T.StringType()))])
-)
-_KIND = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string()), ("value", pa.string()), ("members", pa.list_(pa.string()))]))
-
-
-def _text(value: object) -> str:
-    whole = lambda v: int(v) if isinstance(v, float) and v.is_integer() else [whole(x) for x in v] if isinstance(v, list) else {k: whole(x) for k, x in v.items()} if isinstance(v, dict) else v
-    return json.dumps(whole(value), separators=(",", ":"), ensure_ascii=False)
-
-
-def _wanted(value: object, path: str = "$") -> Iterator[dict]:
-    if isinstance(value, dict):
-        for kind in ("$oneOf", "$includes"):
-            if kind in value:
-                yield {"path": path, "kind": kind, "value": None, "members": [_text(x) for x in value[kind]]}
-                return
-        for key, inner in value.items():
-            yield from _wanted(inner, f"{path}.{key}")
-    else:
-        yield {"path": path, "kind": "$eq", "value": _text(value), "members": None}
 
+from plumbline.operators.documents import compared
 
-def _found(value: object, path: str = "$") -> Iterator[dict]:
-    yield {"path": path, "kind": "node", "value": _text(value), "members": [_text(x) for x in value] if isinstance(value, list) else None}
-    if isinstance(value, dict):
-        for key, inner in value.items():
-            yield from _found(inner, f"{path}.{key}")
-
-
-@F.arrow_udf(_NODE)
-def _wanted_nodes(texts: pa.Array) -> pa.Array:
-    return pa.array([list(_wanted(json.loads(t))) if t else [] for t in texts.to_pylist()], _KIND)
-
-
-@F.arrow_udf(_NODE)
-def _found_nodes(texts: pa.Array) -> pa.Array:
-    return pa.array([list(_found(json.loads(t))) if t else [] for t in texts.to_pylist()], _KIND)
-
-
-def compared(df: DataFrame, key: str, expected: str = "expected", actual: str = "actual") -> DataFrame:
-    """``(key, checks, score, passed, failures)``: leaves of the expected tree that the actual one has; ``$oneOf`` and ``$includes`` are honoured."""
-    e = df.select(key, F.explode_outer(_wanted_nodes(expected)).alias("e")).select(key, "e.*")
-    a = df.select(key, F.explode(_found_nodes(actual)).alias("a")).select(key, F.col("a.path").alias("path"), F.col("a.value").alias("has"), F.col("a.members").alias("list"))
-    met = (
-        F.when(F.col("kind") == "$eq", F.col("has") == F.col("value")).when(F.col("kind") == "$oneOf", F.array_contains("members", F.col("has")))
-        .otherwise(F.col("list").isNotNull() & (F.size(F.array_except("members", "list")) == 0))
-    )
-    marked = e.join(a, [key, "path"], "left").withColumn("ok", F.coalesce(met, F.lit(False)))
-    there = F.col("kind").isNotNull()
-    out = marked.groupBy(key).agg(F.count_if(there).alias("checks"), F.count_if(there & F.col("ok")).alias("good"), F.array_join(F.sort_array(F.collect_list(F.when(there & ~F.col("ok"), F.col("path")))), ",").alias("failures"))
-    score = F.when(F.col("checks") > 0, half_up(F.col("good") / F.col("checks") * 100, 0)).otherwise(100.0).cast("int")
-    return out.select(key, "checks", score.alias("score"), (F.col("failures") == "").alias("passed"), "failures")
+__all__ = ["compared", "report"]
 
 
 def report(results: DataFrame, keys: list[str]) -> DataFrame:

@@ -78,16 +78,3 @@ def safe_queries(df: DataFrame, key: str, order: str, query: str = "query", top:
     said = F.length(F.trim(F.regexp_replace("q", r"(?i)\b(email|phone|account|clabe|rfc|curp|reference|person)\b", ""))) >= 3
     first = safe.filter((F.col("q") != "") & said).groupBy(key, "q").agg(F.min(order).alias("at"))
     return first.groupBy(key).agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("at", "q"))), 1, top), lambda x: x["q"]).alias("queries"))
-
-
-def hidden_audit_fields(names: list[str], types: dict[str, str]) -> dict[str, Column]:
-    """Columns for an audit log: secrets and media are left out, texts become length and hash, numbers and booleans stay."""
-    out = {}
-    for name in names:
-        if re.search(r"(?i)token|secret|password|api_?key|authorization|image|audio|media|base64", name):
-            out[name] = F.lit("[redacted]")
-        elif types[name] == "string":
-            out[name] = F.struct(F.length(name).alias("length"), F.sha2(name, 256).alias("sha256"))
-        else:
-            out[name] = F.col(name)
-    return out

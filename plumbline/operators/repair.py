@@ -12,6 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ENTRY = "struct<rule:string,before:string,after:string,confidence:double>"
 # fixed values: labels whose letters may stand apart, labels with letters taken for digits, and how sure each repair is
@@ -30,7 +31,7 @@ SHOWN = 160
 _SPACE = " \t\f\x0b\r"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as fn
-from plumbline.operators import photo_graph, repair
+from plumbline.operators import documents, photo_graph, repair, sanitise
 from plumbline.plans.registry import clamp, query, r
 from plumbline.sources import bindings as bind
 
@@ -116,3 +116,82 @@ def t6_repaired_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     fixed = repair.repaired(bind.receipts(spark, sf_dir).select("receipt", text.alias("text")))
     return fixed.select("receipt", F.col("normalized").alias("text"), F.array_join(F.col("log.rule"), ",").alias("rules"), "confidence")
+
+
+# --- canonical documents -----------------------------------------------------------------------------
+
+CASE_SQL = """d AS (SELECT o_custkey AS dataset, o_orderkey AS k, o_orderkey::VARCHAR AS "case",
+  '{"amount":' || (floor(o_totalprice * 100 + 0.5)::BIGINT) || ',"caseId":"' || o_orderkey || '","difficulty":"' || CASE WHEN o_orderkey % 3 = 0 THEN 'hard' ELSE 'easy' END || '","fields":{"date":"' || o_orderdate::DATE || '","lines":['
+  || o_orderkey % 4 || ',{"qty":' || o_orderkey % 9 || '}],"note":null},"receiptType":"' || o_orderpriority || '"}' AS doc FROM orders)"""
+
+
+def golden_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON cases of their customer's dataset, keys in no order and with blanks."""
+    k = F.col("o_orderkey")
+    doc = F.concat(
+        F.lit('{ "receiptType": "'), "o_orderpriority", F.lit('", "fields": {"note" : null, "lines":[ '), k % 4, F.lit(', {"qty": '), k % 9, F.lit('.0}], "date":"'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('"},\n "caseId":"'), k,
+        F.lit('","difficulty":"'), F.when(k % 3 == 0, "hard").otherwise("easy"), F.lit('", "amount": '), F.floor(F.col("o_totalprice") * 100 + 0.5).cast("bigint"), F.lit("}"),
+    )
+    return bind.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("dataset"), k.cast("string").alias("case"), k.alias("k"), doc.alias("doc"))
+
+
+@query(
+    f"""WITH {CASE_SQL}, c AS (SELECT dataset, difficulty, count(*) AS n FROM (SELECT dataset, CASE WHEN k % 3 = 0 THEN 'hard' ELSE 'easy' END AS difficulty FROM d) GROUP BY ALL), e AS (SELECT dataset, string_agg(difficulty || '=' || n, ',' ORDER BY difficulty) AS difficulty FROM c GROUP BY dataset)
+SELECT d.dataset, count(*) AS cases, 'sha256:' || sha256('[' || string_agg(doc, ',' ORDER BY "case") || ']') AS content_hash, e.difficulty FROM d JOIN e USING (dataset) GROUP BY d.dataset, e.difficulty"""
+)
+def c1_dataset_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests of all customers' datasets: hash of the canonical cases and distribution of difficulty."""
+    return documents.manifests(golden_cases(spark, sf_dir), "dataset", "case", "doc", ["difficulty"])
+
+
+@query("SELECT o_custkey AS dataset, bool_and(o_orderkey % 50 <> 7) AS hash_matches FROM orders GROUP BY o_custkey")
+def c1_verify_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests against cases of which some have one altered leaf."""
+    cases = golden_cases(spark, sf_dir)
+    tampered = cases.withColumn("doc", F.when(F.col("k") % 50 == 7, F.replace(F.col("doc"), F.lit('"qty": '), F.lit('"qty": 1'))).otherwise(F.col("doc")))
+    return documents.verified(documents.manifests(cases, "dataset", "case", "doc", []), tampered, "dataset", "case", "doc")
+
+
+@query("""SELECT o_orderkey::VARCHAR AS "case", '$.fields.lines[1].qty' AS path, (o_orderkey % 9)::VARCHAR AS before, '1' || o_orderkey % 9 AS after FROM orders WHERE o_orderkey % 50 = 7""")
+def t16_altered_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which leaf of which case was altered."""
+    cases = golden_cases(spark, sf_dir)
+    tampered = cases.withColumn("doc", F.when(F.col("k") % 50 == 7, F.replace(F.col("doc"), F.lit('"qty": '), F.lit('"qty": 1'))).otherwise(F.col("doc")))
+    return documents.altered(cases, tampered, ["case"], "doc")
+
+
+@query(
+    """SELECT o_orderkey::VARCHAR AS "case", concat_ws(',', floor(o_totalprice * 100 + 0.5)::BIGINT, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'hard' ELSE 'easy' END, o_orderdate::DATE, o_orderkey % 4, o_orderkey % 9, o_orderpriority) AS "values" FROM orders"""
+)
+def p13_flattened_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All leaves of a nested document as texts."""
+    return documents.flattened(golden_cases(spark, sf_dir), "case", "doc").select("case", F.array_join("values", ",").alias("values"))
+
+
+# --- sanitised events --------------------------------------------------------------------------------
+
+
+@query(
+    """WITH e AS (SELECT event_id AS id, event_type || ' by ' || user_id AS words, event_type, user_id FROM events),
+h AS (SELECT *, lower(lpad(to_hex(list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(words, ''), lambda c: ord(c)::HUGEINT)), lambda a, c: (xor(a, c) * 16777619) & 4294967295)::BIGINT), 8, '0')) AS fnv FROM e)
+SELECT id, event_type AS provider, 'sensitive_field' AS api_key, length(words)::INT AS question_length, fnv AS question_hash, CASE WHEN id % 4 = 0 THEN 501 ELSE length(words) END::INT AS note_shown,
+  least(50, user_id % 60 + 1)::INT AS attempts, CASE WHEN id % 3 = 0 THEN 'data_url' END AS picture, 'sensitive_field' AS token, fnv AS asked, 'en' AS lang, 'sensitive_field' AS deep_secret, '[depth-limited]' AS deepest FROM h"""
+)
+def p9_sanitised_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested audit data of every event, sanitised: structs, arrays, maps, data URLs and too deep a branch."""
+    words = F.concat("event_type", F.lit(" by "), "user_id")
+    deep = F.struct(words.alias("g"))
+    for name in "fedcb":
+        deep = F.struct(deep.alias(name), *([F.lit("x").alias("secretKey")] if name == "b" else []))
+    data = F.struct(
+        F.col("event_type").alias("providerId"), F.lit("SECRET").alias("apiKey"), words.alias("question"), F.when(F.col("event_id") % 4 == 0, F.repeat(F.lit("z"), F.lit(900))).otherwise(words).alias("note"),
+        F.sequence(F.lit(0), (F.col("user_id") % 60).cast("int")).alias("attempts"), F.when(F.col("event_id") % 3 == 0, "data:image/png;base64,AAAA").otherwise("none").alias("picture"),
+        F.create_map(F.lit("authToken"), F.lit("t"), F.lit("userQuery"), words, F.lit("lang"), F.lit("en")).alias("attributes"), deep.alias("a"),
+    )
+    rows = bind.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.col("ts").alias("at"), F.col("user_id").alias("execution"), F.lit(None).cast("string").alias("task"), data.alias("data"))
+    d = "data."
+    return sanitise.audit_events(rows).select(
+        "id", F.col(d + "providerId.value").alias("provider"), F.col(d + "apiKey.kind").alias("api_key"), F.col(d + "question.length").alias("question_length"), F.col(d + "question.hash").alias("question_hash"),
+        F.length(d + "note.value").alias("note_shown"), F.size(d + "attempts").alias("attempts"), F.col(d + "picture.kind").alias("picture"), F.col("data.attributes")["authToken"]["kind"].alias("token"),
+        F.col("data.attributes")["userQuery"]["hash"].alias("asked"), F.col("data.attributes")["lang"]["value"].alias("lang"), F.col(d + "a.secretKey.kind").alias("deep_secret"), F.col(d + "a.b.c.d.e.f.g").alias("deepest"),
+    )

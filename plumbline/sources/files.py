@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.window import Window
+
+from plumbline.operators.sanitise import sanitised_rows
+from plumbline.sources.keyed_store import listed
 
 CASES = "struct<id:string,modality:string,assetRef:string,category:string,language:string,tags:array<string>>"
 
@@ -43,14 +47,25 @@ def verify_archive(spark: SparkSession, path: str) -> DataFrame:
     return verify_assets(spark.read.parquet(f"{path}/manifest"), entries)
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    """Appends events with text fields replaced by their length and digest."""
-    hidden = {c: F.struct(F.length(c).alias("length"), F.sha2(c, 256).alias("digest")) for c, t in df.dtypes if t == "string" and c not in ("type", "id")}
-    df.withColumns(hidden).write.mode("append").parquet(path)
+def append_log(df: DataFrame, path: str, keep_text: bool = False) -> None:
+    """Appends events of any nesting as sanitised audit data; all texts become length and hash unless ``keep_text``."""
+    sanitised_rows(df, ("id", "type", "at", "execution", "task"), keep_text).write.mode("append").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str, execution: str | None = None, task: str | None = None, last: int | None = None) -> DataFrame:
+    """Events of the log, of one execution or task if given; ``last``: only the latest so many by ``at`` and ``id``."""
+    rows = listed(spark.read.parquet(path), execution=execution, task=task)
+    return rows if last is None else rows.orderBy(F.desc("at"), F.desc("id")).limit(last)
+
+
+def retain_log(spark: SparkSession, path: str, kept: str, per_execution: int = 1000) -> None:
+    """Writes to ``kept`` the latest events of every execution, at most ``per_execution`` of each."""
+    place = F.row_number().over(Window.partitionBy("execution").orderBy(F.desc("at"), F.desc("id")))
+    spark.read.parquet(path).withColumn("_place", place).filter(F.col("_place") <= per_execution).drop("_place").write.mode("overwrite").parquet(kept)
 
 
 class JsonSearchSource(DataSource):
-    """Search results from a list of JSON lines files, one partition a file: ``format("plumbline_search")``."""
+    """Search results from a list of JSON lines files, one partition a file: ``format("plumbline_search")``. ``limit``: the first so many of each, a page size."""
 
     @classmethod
     def name(cls) -> str:

@@ -55,7 +55,7 @@ class KeyedStore:
         return self._append(keys.select(self.key).distinct().withColumns(nothing | {"_order": F.lit(0).cast("bigint"), "_removed": F.lit(True)}))
 
     def _append(self, rows: DataFrame) -> int:
-        number = self.versions.append(rows, "deltas")
+        number = self.versions.append(rows, "deltas", "base")
         if len(self._live()[1]) >= COMPACT_AFTER:
             self.compact()
         return number
@@ -113,7 +113,7 @@ class AssetVault:
         """Stores ``(name, content)``; a name that is there is pointed to its new content."""
         rows = df.select("name", "content", F.sha2("content", 256).alias("digest"), F.length("content").cast("bigint").alias("bytes"))
         fresh, known = rows.select("digest", "content").dropDuplicates(["digest"]), self._contents()
-        self.contents.append(fresh if known is None else fresh.join(known.select("digest"), "digest", "left_anti"), "kept")
+        self.contents.append(fresh if known is None else fresh.join(known.select("digest"), "digest", "left_anti"), "kept", "collected")
         self.names.save(rows.select("name", "digest", "bytes"))
 
     def remove(self, names: DataFrame) -> None:

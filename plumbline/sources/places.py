@@ -71,9 +71,9 @@ class Versions:
             raise error
         return True
 
-    def append(self, df: DataFrame, kind: str) -> int:
-        """Publishes the rows under the next free number."""
-        staged, number = self.stage(df), (self.all(kind) or [0])[-1] + 1
+    def append(self, df: DataFrame, kind: str, base: str) -> int:
+        """Publishes the rows under the next free number, after all of ``kind`` and of the ``base`` that holds older ones."""
+        staged, number = self.stage(df), max([0, *self.all(kind), *self.all(base)]) + 1
         while not self.publish(staged, kind, number):
             number += 1
         return number
