@@ -132,10 +132,10 @@ class AssetVault:
 
     def collect_garbage(self) -> None:
         """Keeps the contents that a name points to. No writer may run beside it."""
-        numbers = self.contents.all("kept")
+        numbers = [*self.contents.all("kept"), *self.contents.all("collected")]
         live = self._contents().dropDuplicates(["digest"]).join(self.names.list().select("digest").distinct(), "digest", "left_semi")
-        if numbers and self.contents.publish(self.contents.stage(live), "collected", numbers[-1]):
-            for n in self.contents.all("collected")[:-1]:
-                self.contents.delete(f"collected/v={n}")
-            for n in numbers:
-                self.contents.delete(f"kept/v={n}")
+        if numbers and self.contents.publish(self.contents.stage(live), "collected", max(numbers) + 1):
+            for kind in ("kept", "collected"):
+                for n in self.contents.all(kind):
+                    if n <= max(numbers):
+                        self.contents.delete(f"{kind}/v={n}")
