@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,38 +63,79 @@ def overlap_with(spans: DataFrame, low: int, high: int) -> DataFrame:
     return spans.withColumn("overlap", F.greatest(F.lit(0), F.least("end", F.lit(high)) - F.greatest("start", F.lit(low))))
 
 
-def _held(start: np.ndarray, end: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of spans in order of start, the time that spans nested in each cover, and whether there are any."""
+#: Spans that a stretch of a trace holds, about; what a task looks at beside a span are the spans that run with it in its stretch.
+STRETCH_SPANS = 2000
+
+
+def _held(start: np.ndarray, end: np.ndarray, span: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of spans in order of start, the time inside their stretch that spans nested in each cover, and whether there are any.
+
+    Stretches lie one after the other, each shifted beyond the end of the one before it; ``low`` and ``high`` are a row's borders.
+    """
     used, some = np.zeros(len(start), np.int64), np.zeros(len(start), bool)
     first, last = np.searchsorted(start, start, "left"), np.searchsorted(start, end, "right")
-    for k in range(len(start)):
+    for k in np.flatnonzero(last - first > 1):
         at = slice(first[k], last[k])
         length, own = end[at] - start[at], end[k] - start[k]
         inside = (end[at] <= end[k]) & ((length < own) | ((length == own) & (span[at] > span[k])))
         if inside.any():
             some[k] = True
-            s, e = start[at][inside], end[at][inside]
+            s, e = np.maximum(start[at][inside], low[k]), np.minimum(end[at][inside], high[k])
             reach = np.maximum.accumulate(e)
-            before = np.r_[s[0], reach[:-1]]
-            used[k] = np.maximum(0, e - np.maximum(s, before)).sum()
+            used[k] = np.maximum(0, e - np.maximum(s, np.r_[s[0], reach[:-1]])).sum()
     return used, some
 
 
-def exclusive_time(spans: DataFrame, key: str = "trace") -> DataFrame:
-    """Each span's time that no span nested in it covers; nested: inside it and shorter (or later by number).
+def _shifted(start: np.ndarray, end: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For every row what to add so that groups, which follow one another, do not overlap in time."""
+    firsts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    low, high = np.minimum.reduceat(start, firsts), np.maximum.reduceat(end, firsts)
+    begins = np.r_[0, np.cumsum(high - low + 1)[:-1]]
+    return np.repeat(begins - low, np.diff(np.r_[firsts, len(group)]))
 
-    Spans of a trace that a gap parts cannot nest, so a group is one unbroken stretch of a trace; inside it a span looks only at those
-    that start while it runs. No pairs of spans are written.
-    """
-    order = Window.partitionBy(key).orderBy("start", "end", "span")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    cut = spans.select(key, "span", "start", "end").withColumn("fresh", F.when(F.col("start") > F.coalesce(reach, F.lit(-1)), 1).otherwise(0)).withColumn("island", F.sum("fresh").over(order)).drop("fresh")
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("start", "ascending"), ("end", "ascending"), ("span", "ascending")])
-        start, end, span = (table[c].to_numpy() for c in ("start", "end", "span"))
-        used, some = _held(start, end, span)
-        return pa.table({key: table[key], "span": table["span"], "exclusive": pa.array(end - start - used), "has_nested": pa.array(some)})
+def exclusive_time(spans: DataFrame, key: str = "trace", stretch_spans: int = STRETCH_SPANS) -> DataFrame:
+    """Each span's time that no span nested in it covers; nested: inside it and shorter (or later by number).
 
-    kinds = dict(spans.dtypes)
-    return cut.groupBy(key, "island").applyInArrow(run, f"{key} {kinds[key]}, span {kinds['span']}, exclusive bigint, has_nested boolean")
+    A trace is cut at time borders into stretches of about ``stretch_spans`` spans, no shorter than its mean span, so that a large trace
+    is split over tasks. A span is carried over to every stretch that it reaches, as one that may hold others and as one that may be
+    held; covered times of the stretches add up. A task takes all its stretches in one pass; no pairs of spans are written.
+    """
+    rows = spans.select(key, "span", "start", "end")
+    length = F.col("end") - F.col("start")
+    sizes = rows.groupBy(key).agg(F.min("start").alias("_low"), F.max("end").alias("_high"), F.count("*").alias("_n"), F.avg(length).alias("_mean"))
+    width = F.greatest(F.lit(1.0), (F.col("_high") - F.col("_low") + 1) * stretch_spans / F.col("_n"), F.col("_mean"))
+    sizes = sizes.select(key, "_low", F.ceil(width).cast("bigint").alias("_width"))
+    of = lambda c: F.floor((F.col(c) - F.col("_low")) / F.col("_width")).cast("bigint")
+    cut = rows.join(sizes, key).withColumn("_stretch", F.explode(F.sequence(of("start"), F.greatest(of("start"), of("end")))))
+    begin = F.col("_low") + F.col("_stretch") * F.col("_width")
+    dealt = cut.select(key, "span", "start", "end", "_stretch", begin.cast("bigint").alias("_begin"), (begin + F.col("_width")).cast("bigint").alias("_end"))
+    dealt = dealt.repartition(key, "_stretch").sortWithinPartitions(key, "_stretch", "start", "end", "span")
+
+    def held(table: pa.Table) -> pa.RecordBatch:
+        start, end, low, high = (table[c].to_numpy().astype(np.int64) for c in ("start", "end", "_begin", "_end"))
+        names = table[key].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        group = np.cumsum(np.r_[True, (names[1:] != names[:-1]) | (low[1:] != low[:-1])])
+        shift = _shifted(start, end, group)
+        used, some = _held(start + shift, end + shift, table["span"].to_numpy(), low + shift, high + shift)
+        out = table.select([key, "span", "start", "end"]).append_column("used", pa.array(used)).append_column("some", pa.array(some))
+        return out.combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []  # the rows of the last stretch, which the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([*waiting, batch])
+            last = pc.and_(pc.equal(whole["_stretch"], whole["_stretch"][-1]), pc.fill_null(pc.equal(whole[key], whole[key][-1]), whole[key][-1].as_py() is None))
+            done = pc.index(last.combine_chunks(), True).as_py()
+            if done:
+                yield held(whole.slice(0, done))
+            waiting = whole.slice(done).to_batches()
+        if waiting:
+            yield held(pa.Table.from_batches(waiting))
+
+    kinds = dict(dealt.dtypes)
+    parts = dealt.mapInArrow(run, f"{key} {kinds[key]}, span {kinds['span']}, start {kinds['start']}, end {kinds['end']}, used bigint, some boolean")
+    whole = parts.groupBy(key, "span", "start", "end").agg(F.sum("used").alias("used"), F.bool_or("some").alias("has_nested"))
+    return whole.select(key, "span", (F.col("end") - F.col("start") - F.col("used")).alias("exclusive"), "has_nested")
