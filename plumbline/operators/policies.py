@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.scalars import canonical_key, clamp, half_up
+from plumbline.operators.machine import Machine, stepped
 
 # fixed values: patterns of source kinds, in the order they are tried
 SOURCE_KINDS = [
@@ -271,9 +272,15 @@ def offer_warnings(compared: DataFrame) -> DataFrame:
     return grouped.select("product", status.alias("status"), "accepted", F.array_join(issues({n: F.col(n) for n in warn}), ",").alias("warnings"))
 
 
-def invalid_steps(events: DataFrame, allowed: list[tuple[str, str]], key: str, state: str, order: list[str]) -> DataFrame:
-    """Events whose state may not follow the one before it in its key; first states may only be those allowed after ``''``."""
-    before = F.coalesce(F.lag(state).over(Window.partitionBy(key).orderBy(*order)), F.lit(""))
-    rules = events.sparkSession.createDataFrame([(a, b, True) for a, b in allowed], f"_from string, {state} string, _ok boolean")
-    stepped = events.withColumn("_from", before).join(F.broadcast(rules), ["_from", state], "left")  # a fixed table of steps
-    return stepped.filter("_ok is null").withColumnRenamed("_from", "came_from").drop("_ok")
+# fixed values: stages of an improvement candidate, and those that may follow each
+STAGES = ["proposed", "offline_evaluated", "regression_passed", "approved", "promoted", "rejected"]
+FOLLOWS = {"proposed": ["offline_evaluated", "rejected"], "offline_evaluated": ["regression_passed", "rejected"], "regression_passed": ["approved", "rejected"], "approved": ["promoted", "rejected"]}
+#: A candidate's machine: moves are a wanted stage, twice as many with explicit approval; a refused step leaves the stage and gains 1.
+CANDIDATE = Machine.of(STAGES, [(s, ok) for s in STAGES for ok in (False, True)], lambda m, now: (m[0], 0) if m[0] in FOLLOWS.get(now, []) and (m[1] or m[0] != "approved") else (now, 1))
+
+
+def candidate_steps(events: DataFrame, key: str, order: str, stretch: Column) -> DataFrame:
+    """``(key, order, came_from, state, refused)`` of requests ``(wanted, approval)`` to move candidates on; ``approved`` needs approval."""
+    wanted = F.array_position(F.lit(STAGES), F.col("wanted")) - 1
+    rows = stepped(events, CANDIDATE, key, order, stretch, wanted * 2 + F.coalesce("approval", F.lit(False)).cast("int"))
+    return rows.select(key, order, "came_from", "state", (F.col("gain") > 0).alias("refused"))

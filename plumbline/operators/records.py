@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.scalars import clamp, half_up
+from plumbline.operators.machine import Machine, final_states
 
 # fixed values: what a kind of evidence is worth without a confidence of its own
 KIND_CONFIDENCE = {"observation": 0.8, "user_report": 0.75, "ocr_extraction": 0.7, "external_source": 0.7, "inference": 0.55, "tool_result": 0.8, "teacher_result": 0.65}
@@ -111,27 +112,32 @@ def ring_next(items: DataFrame, group: str, order: str) -> DataFrame:
     return items.withColumn("next", F.coalesce(after, F.min(live).over(w)))
 
 
-def lifecycle(turns: DataFrame, key: str, order: str) -> DataFrame:
-    """The state of each key after each of its user turns: a fold over the ordered signals of one key, with the generation."""
-    text = F.col("text")
-    signal = F.coalesce(*[F.when(text.rlike(LIFECYCLE[n]), F.lit(n)) for n in ("pause", "close")])
-    rows = turns.withColumns({
-        "hard": signal, "resume": text.rlike(LIFECYCLE["resume"]), "again": text.rlike(LIFECYCLE["reopen"]),
-        "outcome": F.when(text.rlike(LIFECYCLE["not_resolved"]), "not_resolved").when(text.rlike(LIFECYCLE["resolved"]), "resolved"),
-    })
-    packed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, "hard", "resume", "again", "outcome"))).alias("steps"))
-    kind = "struct<status:string,generation:int>"
-    start = F.struct(F.lit("investigating").alias("status"), F.lit(0).alias("generation")).cast(kind)
-
-    def step(s: Column, x: Column) -> Column:
-        reopened = (s["status"] == "resolved") & x["again"]
-        status = (
-            F.when(x["hard"] == "pause", "paused").when(x["hard"] == "close", "closed").when(s["status"].isin("paused", "closed") & x["resume"], "investigating").when(reopened, "investigating")
-            .when(x["outcome"] == "resolved", "resolved").when(x["outcome"] == "not_resolved", "investigating").otherwise(s["status"])
-        )
-        return F.struct(status.alias("status"), (s["generation"] + F.when(x["hard"].isNull() & reopened, 1).otherwise(0)).alias("generation")).cast(kind)
-
-    return packed.select(key, F.aggregate("steps", start, step).alias("s")).select(key, "s.status", "s.generation")
+SIGNALS = [(hard, resume, again, outcome) for hard in (None, "pause", "close") for resume in (False, True) for again in (False, True) for outcome in (None, "resolved", "not_resolved")]
+
+
+def _said(signal: tuple, now: str) -> tuple[str, int]:
+    """The state of a problem after a turn with these signals, and whether it begins anew."""
+    hard, resume, again, outcome = signal
+    if hard:
+        return "paused" if hard == "pause" else "closed", 0
+    if now in ("paused", "closed") and resume or outcome == "not_resolved" and not (now == "resolved" and again):
+        return "investigating", 0 if not (now == "resolved" and again) else 1
+    if now == "resolved" and again:
+        return "investigating", 1
+    return ("resolved" if outcome == "resolved" else now), 0
+
+
+PROBLEM = Machine.of(["investigating", "paused", "closed", "resolved"], SIGNALS, _said)
+
+
+def lifecycle(turns: DataFrame, key: str, order: str, stretch: Column | None = None) -> DataFrame:
+    """``(key, status, generation)``: the state of each key after its user turns, and how often it was reopened; folded by ``stretch``, a coarse part of the order."""
+    said = lambda name: F.coalesce(F.col("text").rlike(LIFECYCLE[name]), F.lit(False))
+    hard = F.when(said("pause"), 1).when(said("close"), 2).otherwise(0)
+    outcome = F.when(said("not_resolved"), 2).when(said("resolved"), 1).otherwise(0)
+    move = ((hard * 2 + said("resume").cast("int")) * 2 + said("reopen").cast("int")) * 3 + outcome
+    last = final_states(turns, PROBLEM, key, order, F.lit(0) if stretch is None else stretch, move)
+    return last.select(key, F.col("state").alias("status"), F.col("gain").cast("int").alias("generation"))
 
 
 def corrected_turns(turns: DataFrame, key: str, order: str) -> DataFrame:

@@ -195,13 +195,13 @@ TONGUES = ["zh-CN", "yue", "es_MX", "en", "EN-us", "fr"]
 
 
 @query(
-    f"""WITH c AS (SELECT {pick_sql(SCENES, 'event_id')} AS scene, {pick_sql(TONGUES, 'user_id')} AS tongue, event_type = 'view' AS noisy, event_type IN ('click', 'view') AS spoken FROM events),
-f AS (SELECT scene, CASE WHEN split_part(replace(lower(tongue), '_', '-'), '-', 1) IN ('cmn', 'yue') THEN 'zh' ELSE split_part(replace(lower(tongue), '_', '-'), '-', 1) END AS family, noisy FROM c WHERE spoken)
+    f"""WITH c AS (SELECT {pick_sql(SCENES, 'event_id')} AS scene, {pick_sql(TONGUES, 'user_id')} AS tongue, event_type = 'view' AS noisy FROM events),
+f AS (SELECT scene, CASE WHEN split_part(replace(lower(tongue), '_', '-'), '-', 1) IN ('cmn', 'yue') THEN 'zh' ELSE split_part(replace(lower(tongue), '_', '-'), '-', 1) END AS family, noisy FROM c)
 SELECT family, scene, count(*) AS n, count(*) FILTER (noisy) AS noisy, count(*) < 3 AS low FROM f GROUP BY 1, 2"""
 )
 def a21_corpus_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases by language family (T12) and scene, those with noise, and which cells are too small."""
-    rows = bind.table(spark, sf_dir, "events").filter("event_type in ('click', 'view')")
+    rows = bind.table(spark, sf_dir, "events")
     base = F.split(F.lower(pick(TONGUES, F.col("user_id"))), "[-_]")[0]
     family = F.when(base.isin("cmn", "yue"), "zh").otherwise(base)
     return rows.groupBy(family.alias("family"), pick(SCENES, F.col("event_id")).alias("scene")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "view").alias("noisy")).withColumn("low", F.col("n") < 3)

@@ -337,14 +337,30 @@ def g12_offer_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.offer_warnings(_offers(spark, sf_dir))
 
 
-# fixed values: steps of a candidate from draft to release
-STEPS = [("", "started"), ("started", "warned"), ("started", "noted"), ("noted", "noted"), ("noted", "warned"), ("warned", "completed"), ("noted", "completed"), ("warned", "failed"), ("failed", "started"), ("completed", "started")]
+_WANTED = ["offline_evaluated", "regression_passed", "approved", "promoted", "rejected", "offline_evaluated", "regression_passed", "approved"]
+STEPS = f"""t AS (SELECT user_id * 1000 + day(ts) * 31 + hour(ts) AS candidate, event_id AS seq, {pick_sql(_WANTED, 'event_id')} AS wanted, value < 60 AS approval FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY seq) AS n FROM t),
+w(candidate, n, seq, came_from, state) AS (SELECT DISTINCT candidate, 0::BIGINT, NULL::BIGINT, '', 'proposed' FROM t UNION ALL
+  SELECT o.candidate, o.n, o.seq, state, CASE WHEN (state, wanted) IN ({", ".join(f"('{a}', '{b}')" for a, all_of in policies.FOLLOWS.items() for b in all_of)}) AND (wanted <> 'approved' OR approval) THEN wanted ELSE state END
+  FROM w JOIN o ON o.candidate = w.candidate AND o.n = w.n + 1)"""
+
+
+def _candidate_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests to move candidates on, folded day by day."""
+    rows = bind.table(spark, sf_dir, "events").select(
+        (F.col("user_id") * 1000 + F.dayofmonth("ts") * 31 + F.hour("ts")).alias("candidate"), F.col("event_id").alias("seq"), pick(_WANTED, F.col("event_id")).alias("wanted"), (F.col("value") < 60).alias("approval")
+    )
+    return policies.candidate_steps(rows, "candidate", "seq", F.floor(F.col("seq") / 1000))
 
 
-@query(
-    f"""WITH {bind.AUDIT}, s(before, type) AS (VALUES {", ".join(f"('{x}', '{y}')" for x, y in STEPS)}), l AS (SELECT execution, seq, type, coalesce(lag(type) OVER (PARTITION BY execution ORDER BY moment, seq), '') AS before FROM a)
-SELECT execution, seq, before AS came_from, type FROM l WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.before = l.before AND s.type = l.type)"""
-)
+@query(f"WITH RECURSIVE {STEPS} SELECT candidate, seq, came_from, state FROM w WHERE n > 0 AND came_from = state")
 def g17_invalid_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events that break the order of states."""
-    return policies.invalid_steps(bind.audit_events(spark, sf_dir), STEPS, "execution", "type", ["at", "seq"]).select("execution", "seq", "came_from", "type")
+    """Requests that the order of stages or a missing approval refuses."""
+    return _candidate_steps(spark, sf_dir).filter("refused").select("candidate", "seq", "came_from", "state")
+
+
+@query(f"WITH RECURSIVE {STEPS}, l AS (SELECT candidate, arg_max(state, n) AS state FROM w GROUP BY candidate) SELECT state, count(*) AS candidates FROM l GROUP BY state")
+def g17_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many candidates stand at which stage."""
+    last = _candidate_steps(spark, sf_dir).groupBy("candidate").agg(F.max_by("state", "seq").alias("state"))
+    return last.groupBy("state").agg(F.count("*").alias("candidates"))

@@ -140,7 +140,7 @@ SELECT user_id, arg_max(status, n) AS status, max(generation) AS generation FROM
 def x6_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five states of a problem from what its user says."""
     rows = bind.table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), pick(SAID, F.floor(F.col("event_id") / 3)).alias("text"))
-    return records.lifecycle(rows, "user_id", "at")
+    return records.lifecycle(rows, "user_id", "at", F.to_date("at.ts"))
 
 
 TURNS = ["show the red pump", "no red, but blue", "and then the price", "not Pump but filter", "a new question"]
