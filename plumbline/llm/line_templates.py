@@ -40,6 +40,14 @@ def trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r\f\x0b"))
 
 
+def tokens_of(line: Column) -> Column:
+    """The words of a trimmed line; a regular expression only where single blanks do not part them."""
+    odd = F.contains(line, F.lit("  "))
+    for blank in "\t\r\f\x0b":
+        odd = odd | F.contains(line, F.lit(blank))
+    return F.when(odd, F.split(line, r"\s+")).otherwise(F.split(line, " "))
+
+
 def line_key(line: Column) -> Column:
     return F.xxhash64(trimmed(line))
 
@@ -57,7 +65,7 @@ def line_table(df: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS,
     """
     raw = F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("raw")
     split = df.select("doc_id", "part", raw).withColumn("line", trimmed(F.col("raw"))).filter("line <> ''")
-    split = split.select("doc_id", "part", F.xxhash64("line").alias("line"), F.hash("line").alias("twin"), F.split("line", r"\s+").alias("words"), F.col("line").rlike("[0-9]").alias("digits"))
+    split = split.select("doc_id", "part", F.xxhash64("line").alias("line"), F.hash("line").alias("twin"), tokens_of(F.col("line")).alias("words"), F.col("line").rlike("[0-9]").alias("digits"))
     masked = F.when(F.col("digits"), F.transform("words", lambda t: F.when(t.rlike("[0-9]"), WILDCARD).otherwise(t))).otherwise(F.col("words"))
     long = F.size("tokens") >= min_tokens
     words = F.size(F.filter("tokens", lambda t: t != WILDCARD))
@@ -79,14 +87,16 @@ def leaf_templates(lines: DataFrame, places: DataFrame, min_template_docs: int,
     spots = spots.select("masked", "leaf", "docs", "at", F.xxhash64("word").alias("token"), (F.col("word") == WILDCARD).alias("wild"))
     counts = written(spots.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")), "token-counts")
     counted = spots.join(counts, ["leaf", "at", "token"]).groupBy("masked").agg(F.sort_array(F.collect_list(F.struct("at", "token", "n", "wild"))).alias("spots"))
-    median = F.get(F.sort_array(F.transform("spots", lambda s: s["n"])), (F.size("spots") / 2).cast("int"))
-    fixed = F.filter("spots", lambda s: s["n"] >= F.col("median") * share)
-    size, words = F.size("spots"), F.size(F.filter("fixed", lambda s: ~s["wild"]))
+    middle = F.get(F.sort_array(F.transform("spots", lambda s: s["n"])), (F.size("spots") / 2).cast("int"))
+    fixed = lambda m: F.filter("spots", lambda s: s["n"] >= m * share)
+    # the median is bound by a transform over it alone, so that it is taken once a line and not once a token
+    told = F.get(F.transform(F.array(middle), lambda m: F.struct(m.alias("median"), F.transform(fixed(m), lambda s: F.struct(s["at"], s["token"])).alias("fixed"), F.size(F.filter(fixed(m), lambda s: ~s["wild"])).alias("words"))), 0)
+    size = F.size("spots")
     return (
-        counted.withColumn("median", median).withColumn("fixed", fixed)
-        .filter((F.col("median") >= min_template_docs) & (F.size("fixed") < size) & (words >= size * similarity))
+        counted.select("masked", told.alias("t"), size.alias("size"))
+        .filter((F.col("t.median") >= min_template_docs) & (F.size("t.fixed") < F.col("size")) & (F.col("t.words") >= F.col("size") * similarity))
         .join(known.select("masked", "leaf"), "masked")
-        .select("masked", F.xxhash64("leaf", F.transform("fixed", lambda s: F.struct(s["at"], s["token"]))).alias("template"))
+        .select("masked", F.xxhash64("leaf", "t.fixed").alias("template"))
     )
 
 
