@@ -43,13 +43,18 @@ def nfkc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
+def plain_text(text: Column) -> Column:
+    """A text in its compatibility form; only texts that are not ASCII go to Python."""
+    return F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def lines_of(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``(key, index, line)``: the lines of each text, cut before strong labels, with single spaces."""
-    squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    physical = F.filter(F.transform(F.split(F.coalesce(F.col("_text"), F.lit("")), r"\r?\n"), lambda x: squeeze(F.replace(x, F.lit("|"), F.lit("I")))), lambda x: x != "")
-    cut = lambda x: F.split(F.regexp_replace(x, rf"(?i)(?<![A-ZÁÉÍÓÚÑ])(?=({SPLIT_LABELS}))", "\n"), "\n")
-    lines = F.filter(F.transform(F.flatten(F.transform(physical, cut)), squeeze), lambda x: x != "")
-    return df.select(key, nfkc(F.col(text)).alias("_text")).select(key, F.posexplode(lines).alias("index", "line"))
+    """``(key, index, line)``: the lines of each text, cut before strong labels, with single spaces; whole texts are rewritten, not line by line."""
+    spaced = F.regexp_replace(F.replace(F.coalesce(F.col("_text"), F.lit("")), F.lit("|"), F.lit("I")), r"[^\S\n]+", " ")
+    labels = SPLIT_LABELS.replace(r"\s", " ")  # other white space is gone, and a label does not go over a line's end
+    cut = F.regexp_replace(spaced, rf"(?i)(?<![A-ZÁÉÍÓÚÑ])(?=({labels}))", "\n")
+    lines = F.filter(F.transform(F.split(cut, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return df.select(key, plain_text(F.col(text)).alias("_text")).select(key, F.posexplode(lines).alias("index", "line"))
 
 
 def amount(raw: Column) -> Column:
@@ -67,18 +72,26 @@ def money_candidates(line: Column) -> Column:
     return F.array_compact(F.transform(F.regexp_extract_all(line, F.lit(MONEY), 1), amount))
 
 
+RATE = r"(?i)\bIVA\s+(\d{1,2}(?:[.,]\d+)?)\s*%"
+
+
 def money_fields(lines: DataFrame, key: str) -> DataFrame:
-    """Per receipt the money fields, and the total's amount as it stands (``total_raw``): the last amount of the last matching line, or the sum over lines."""
-    found = lines.withColumn("amounts", money_candidates(F.col("line"))).filter(F.size("amounts") > 0)
-    last = F.element_at("amounts", -1)
+    """Per receipt the money fields, the total's amount as it stands (``total_raw``) and the tax ``rate`` if exactly one line states one, in one aggregation.
+
+    A field is the last amount of the last line with its label, or the sum over such lines.
+    """
+    whole = F.element_at(F.regexp_extract_all("line", F.lit(MONEY), 0), -1)
+    rate = F.replace(F.regexp_extract("line", RATE, 1), F.lit(","), F.lit(".")).try_cast("double")
+    found = lines.withColumns({"whole": F.when(F.col("line").rlike(r"\d[.,]\d\d"), whole), "rate": F.when(rate.between(0, 35), rate)})
+    found = found.withColumn("last", amount(F.regexp_extract("whole", MONEY, 1)))
     out = []
     for name, (label, exclude, summed) in FIELDS.items():
-        fits = F.col("line").rlike(label) & (~F.col("line").rlike(exclude) if exclude else F.lit(True))
-        out.append((F.sum(F.when(fits, last)) if summed else F.max_by(last, F.when(fits, F.col("index")))).alias(name))
+        fits = F.col("whole").isNotNull() & F.col("line").rlike(label)
+        fits = fits & ~F.col("line").rlike(exclude) if exclude else fits
+        out.append((F.sum(F.when(fits, F.col("last"))) if summed else F.max_by("last", F.when(fits, F.col("index")))).alias(name))
         if name == "total":
-            whole = F.element_at(F.regexp_extract_all("line", F.lit(MONEY), 0), -1)
-            out.append(F.max_by(F.regexp_replace(whole, r"\s", ""), F.when(fits, F.col("index"))).alias("total_raw"))
-    return lines.select(key).distinct().join(found.groupBy(key).agg(*out), key, "left")
+            out.append(F.max_by(F.regexp_replace("whole", r"\s", ""), F.when(fits, F.col("index"))).alias("total_raw"))
+    return found.groupBy(key).agg(*out, F.when(F.count("rate") == 1, F.max("rate")).alias("rate"))
 
 
 def recovered_totals(fields: DataFrame) -> DataFrame:
@@ -91,23 +104,15 @@ def recovered_totals(fields: DataFrame) -> DataFrame:
     return fields.withColumn("recovered", F.coalesce(hit, F.lit(False))).withColumn("total", F.when(F.col("recovered"), stripped).otherwise(F.col("total")))
 
 
-def tax_rates(lines: DataFrame, key: str) -> DataFrame:
-    """Per receipt the tax rate, where exactly one line states one from 0 to 35."""
-    rate = F.replace(F.regexp_extract("line", r"(?i)\bIVA\s+(\d{1,2}(?:[.,]\d+)?)\s*%", 1), F.lit(","), F.lit(".")).try_cast("double")
-    rated = lines.select(key, rate.alias("rate")).filter("rate between 0 and 35")
-    return rated.groupBy(key).agg(F.count("*").alias("n"), F.max("rate").alias("rate")).filter("n = 1").drop("n")
-
-
-def all_checks(fields: DataFrame, rates: DataFrame, key: str) -> DataFrame:
+def all_checks(fields: DataFrame, key: str) -> DataFrame:
     """``(key, check, expected, actual, status)``: cash and change, sum, and tax rate, where their fields are there."""
-    joined = fields.join(rates, key, "left")
     sums = {
         "cash-change-total": (F.col("cash") - F.col("change"), F.col("total"), 1),
         "subtotal-tax-total": (F.col("subtotal") + F.col("tax") - F.coalesce("discount", F.lit(0)), F.col("total"), 2),
         "subtotal-iva-rate-tax": (F.floor(F.col("subtotal") * (F.col("rate") / 100) + 0.5).cast("bigint"), F.col("tax"), 2),
     }
     rows = F.array(*[F.struct(F.lit(n).alias("check"), e.alias("expected"), a.alias("actual"), F.lit(t).alias("slack")) for n, (e, a, t) in sums.items()])
-    long = joined.select(key, F.inline(rows)).filter("expected is not null and actual is not null")
+    long = fields.select(key, F.inline(rows)).filter("expected is not null and actual is not null")
     return long.select(key, "check", "expected", "actual", F.when(F.abs(F.col("expected") - F.col("actual")) <= F.col("slack"), "supported").otherwise("conflicted").alias("status"))
 
 
@@ -214,7 +219,7 @@ def parsed(df: DataFrame, key: str, text: str = "text") -> dict[str, DataFrame]:
     """All of a batch of texts: ``lines``, ``fields``, ``checks``, ``confidence``, ``dates``, ``merchants``, ``types``."""
     lines = lines_of(df, key, text)
     fields = recovered_totals(money_fields(lines, key))
-    checks = all_checks(fields, tax_rates(lines, key), key)
+    checks = all_checks(fields, key)
     return {
         "lines": lines, "fields": fields, "checks": checks, "confidence": evidence_confidence(fields, checks, key), "dates": dates(lines, key),
         "merchants": merchants(lines, key), "types": df.select(key, receipt_type(F.coalesce(text, F.lit(""))).alias("t")).select(key, "t.*"),
