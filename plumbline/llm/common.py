@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,14 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-#: Folders made by this process that may still be there.
-_made: list[str] = []
+#: Where the folders made in this context are noted, if someone collects them.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def new_dir(spark: SparkSession, kind: str) -> str:
     """A path under the shared folder that nothing has used yet."""
-    _made.append(f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, kind: str) -> DataFrame:
@@ -50,9 +55,15 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def folders() -> list[str]:
-    """The folders made so far, for :func:`remove_folders`."""
-    return list(_made)
+@contextmanager
+def noted_folders() -> Iterator[list[str]]:
+    """The folders that are made inside, in order; those of other threads and runs are not among them."""
+    made: list[str] = []
+    before = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(before)
 
 
 def remove_folders(spark: SparkSession, paths: list[str]) -> None:
@@ -60,4 +71,3 @@ def remove_folders(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        _made.remove(path)
