@@ -200,3 +200,24 @@ def test_pipeline_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0
+
+
+def test_two_pipelines_side_by_side(spark):
+    """Runs in two threads of one session remove their own scratch folders only."""
+    import threading
+
+    found, failed = {}, []
+
+    def run(name):
+        try:
+            found[name] = sorted((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, SF).collect())
+        except Exception as error:
+            failed.append(error)
+
+    threads = [threading.Thread(target=run, args=(name,)) for name in ("a", "b")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed
+    assert found["a"] == found["b"] and len(found["a"]) > 50

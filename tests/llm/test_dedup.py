@@ -122,6 +122,20 @@ def test_near_copies_with_frequent_shingles(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == groups(len(texts), jaccard_links(texts))
 
 
+def test_near_copies_of_one_shingle_in_many_texts_meet_by_size(spark, monkeypatch):
+    """A passage in a third of all texts, none of which is a copy of the smallest, and chains of near copies of many sizes."""
+    monkeypatch.setattr(shingle_pairs, "LARGE", 3)
+    rng = np.random.default_rng(8)
+    passage = [f"p{k}" for k in range(30)]
+    texts = [" ".join([*passage, *(f"own{k}x{j}" for j in range(int(rng.integers(1, 90))))]) for k in range(60)]
+    for k in range(120):
+        words = texts[int(rng.integers(len(texts)))].split()
+        del words[len(words) - int(rng.integers(0, 1 + len(words) // 8)) :]
+        texts.append(" ".join([*words, f"new{k}"]))
+    got = {r.doc_id: r.component_id for r in shingle_pairs.near_duplicates(spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)], DOCS)).collect()}
+    assert [got[k] for k in range(len(texts))] == groups(len(texts), jaccard_links(texts))
+
+
 def test_components_of_long_chains_and_hubs(spark):
     links = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 1400)] + [(7, 7), (None, 3)]
     found = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "src bigint, dst bigint")).collect()}
