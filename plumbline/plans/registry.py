@@ -999,4 +999,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 # these modules register queries of their own
-from plumbline.plans import answer_queries, corpus_queries, graph_queries, plan_queries, policy_queries, receipt_queries, record_queries, store_queries  # noqa: E402, F401
+from plumbline.plans import answer_queries, corpus_queries, graph_queries, plan_queries, policy_queries, receipt_queries, record_queries, routing_queries, store_queries  # noqa: E402, F401
