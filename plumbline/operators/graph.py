@@ -25,23 +25,50 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _jumps(edges: DataFrame) -> DataFrame:
+    """``(id, up, dist)`` of nodes with one dependency: the first node behind them that has none or several, and how far it is.
+
+    Pointers double, so a chain of any length takes rounds by its logarithm. Nodes that only lead into a circle end up pointing to one of themselves.
+    """
+    one = edges.groupBy("id").agg(F.count("*").alias("n"), F.min("dep").alias("up")).filter("n = 1").select("id", "up", F.lit(1).cast("bigint").alias("dist"))
+    jumps = _checkpointed(one)
+    for _ in range(max(1, jumps.count()).bit_length() + 1):
+        on = jumps.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("dist").alias("more"))
+        moved = _checkpointed(jumps.join(on, "up", "left").select("id", F.coalesce("next", "up").alias("up"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("next").isNotNull().alias("moved")))
+        jumps = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            break
+    return jumps
+
+
+def _contracted(edges: DataFrame, jumps: DataFrame) -> DataFrame:
+    """``(id, to, dist)``: the edges of nodes with several dependencies, each led through nodes that have one."""
+    several = edges.join(jumps.select("id"), "id", "left_anti")
+    behind = jumps.select(F.col("id").alias("dep"), "up", F.col("dist").alias("more"))
+    return _checkpointed(several.join(behind, "dep", "left").select("id", F.coalesce("up", "dep").alias("to"), (F.coalesce("more", F.lit(0)) + 1).alias("dist")))
+
+
 def _placed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(id, level)`` of nodes by rounds that take away nodes all of whose dependencies are placed, and the nodes left over: on or behind a cycle.
+    """``(id, level)`` of nodes by rounds that place nodes all of whose dependencies are placed, and the nodes left over: on or behind a cycle.
 
-    As many rounds as the longest chain; each works on the edges that are left.
+    Chains are contracted first, so the rounds are those of the nodes with several dependencies that stand behind one another.
     """
-    left = _checkpointed(nodes.select("id").distinct())
-    open_edges = _checkpointed(edges.select("id", "dep").distinct().join(left.select(F.col("id").alias("dep")), "dep", "left_semi"))
-    placed = None
-    level = 0
+    ids = _checkpointed(nodes.select("id").distinct())
+    known = _checkpointed(edges.select("id", "dep").distinct().join(ids.select(F.col("id").alias("dep")), "dep", "left_semi").join(ids, "id", "left_semi"))
+    jumps = _jumps(known)
+    open_edges = _contracted(known, jumps)
+    placed = _checkpointed(ids.join(known.select("id"), "id", "left_anti").select("id", F.lit(0).cast("bigint").alias("level")))
     while True:
-        free = _checkpointed(left.join(open_edges, "id", "left_anti").select("id", F.lit(level).alias("level")))
-        if free.isEmpty():
-            return (free if placed is None else placed), left
-        placed = free if placed is None else placed.unionByName(free)
-        left = _checkpointed(left.join(free, "id", "left_anti"))
-        open_edges = _checkpointed(open_edges.join(free.select(F.col("id").alias("dep")), "dep", "left_anti"))
-        level += 1
+        at = placed.select(F.col("id").alias("to"), "level")
+        met = open_edges.join(at, "to", "left").groupBy("id").agg(F.bool_and(F.col("level").isNotNull()).alias("all"), F.max(F.col("level") + F.col("dist")).alias("level"))
+        front = _checkpointed(met.filter("all").select("id", "level"))
+        if front.isEmpty():
+            break
+        placed = placed.unionByName(front)
+        open_edges = _checkpointed(open_edges.join(front, "id", "left_anti"))
+    led = jumps.join(placed.select(F.col("id").alias("up"), "level"), "up").select("id", (F.col("level") + F.col("dist")).alias("level"))
+    placed = _checkpointed(placed.unionByName(led).select("id", F.col("level").cast("int").alias("level")))
+    return placed, ids.join(placed, "id", "left_anti")
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -50,13 +77,19 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def descendants(edges: DataFrame, root: str) -> DataFrame:
-    """All nodes that depend on ``root``, itself included, however far."""
+    """All nodes that depend on ``root``, itself included, however far; a node with one dependency is reached when that is."""
+    others = _checkpointed(edges.select("id", "dep").distinct().filter(F.col("id") != root))
+    jumps = _jumps(others)
+    steps = _contracted(others, jumps).select("id", "to").distinct()
     found = front = _checkpointed(edges.sparkSession.createDataFrame([(root,)], "id string"))
-    while not front.isEmpty():
-        reached = edges.join(front.withColumnRenamed("id", "dep"), "dep").select("id").distinct()
+    while True:
+        reached = steps.join(front.withColumnRenamed("id", "to"), "to").select("id").distinct()
         front = _checkpointed(reached.join(found, "id", "left_anti"))
+        if front.isEmpty():
+            break
         found = _checkpointed(found.union(front))
-    return found
+    led = jumps.join(found.select(F.col("id").alias("up")), "up").select("id")
+    return _checkpointed(found.union(led).distinct())
 
 
 def issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -73,3 +73,41 @@ def test_receipt_lines_and_fields(spark):
     assert {r.id: str(r.date) for r in made["dates"].collect()} == {1: "2024-03-12"}
     assert {r.id: r.merchant for r in made["merchants"].collect()}[1] == "OXXO"
     assert {r.check for r in made["checks"].filter("id = 1 and status = 'supported'").collect()} == {"cash-change-total", "subtotal-tax-total", "subtotal-iva-rate-tax"}
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    seen = []
+    original = graph._checkpointed
+    monkeypatch.setattr(graph, "_checkpointed", lambda df: seen.append(1) or original(df))
+    n = 1000
+    nodes = spark.createDataFrame([(str(k), "pending", False) for k in range(n)], "id string, state string, optional boolean")
+    edges = spark.createDataFrame([(str(k), str(k - 1)) for k in range(1, n)], "id string, dep string")
+    assert {r.id: r.level for r in graph.levels(nodes, edges).collect()} == {str(k): k for k in range(n)}
+    assert len(seen) <= 20
+    seen.clear()
+    assert {int(r.id) for r in graph.descendants(edges, "400").collect()} == set(range(400, n))
+    assert len(seen) <= 20
+
+
+def test_random_graphs_equal_a_walk(spark):
+    import random
+
+    rng = random.Random(4)
+    for share in (0.3, 0.9):
+        pairs = {(f"n{a}", f"n{rng.randrange(max(1, a))}") for a in range(1, 60) for _ in range(rng.choice([0, 1, 1, 2]))} | {("n3", "n9"), ("n9", "n3"), ("n50", "n9"), ("n7", "gone")} if share < 0.5 else {(f"n{a}", f"n{rng.randrange(a)}") for a in range(1, 60) for _ in range(rng.choice([1, 2]))}
+        names = [f"n{k}" for k in range(60)]
+        deps = {x: [d for i, d in pairs if i == x and d in names] for x in names}
+        level = {}
+        while True:
+            ready = [x for x in names if x not in level and all(d in level for d in deps[x])]
+            if not ready:
+                break
+            level |= {x: max([level[d] + 1 for d in deps[x]], default=0) for x in ready}
+        reach = {"n3"}
+        while more := {i for i, d in pairs if d in reach} - reach:
+            reach |= more
+        nodes = spark.createDataFrame([(x, "pending", False) for x in names], "id string, state string, optional boolean")
+        edges = spark.createDataFrame(sorted(pairs), "id string, dep string")
+        assert {r.id: r.level for r in graph.levels(nodes, edges).collect()} == level
+        assert {r.id for r in graph.descendants(edges, "n3").collect()} == reach
+        assert {r.id for r in graph.issues(nodes, edges).filter("issue = 'cycle'").collect()} == set(names) - set(level)
