@@ -127,6 +127,7 @@ def sanitised_package(df: DataFrame, key: str, limits: dict[str, int]) -> DataFr
 
 def without_secrets(values: Column) -> Column:
     """A map without keys that name media or secrets."""
+    # fixed values: names of fields that are secret or hold media
     return F.map_filter(values, lambda k, _: ~k.rlike(r"(?i)token|secret|password|api_?key|image|audio|media|base64"))
 
 

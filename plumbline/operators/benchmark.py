@@ -78,10 +78,18 @@ def report(sessions: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+# fixed values: what a release needs, what is a regression or an improvement, and how many cases a promotion takes
+RELEASE = {"success": 0.97, "quality": 0.85, "p50": 1500, "p95": 4000}
+WORSE, BETTER = {"quality": -0.03, "success": -0.02, "p50": 1.35}, {"quality": 0.03, "p50": 1.2, "fast": 0.75, "fast_quality": -0.01}
+PROMOTION_CASES = 12
+# fixed values: weights of a canary's quality, success and times
+CANARY = {"quality": 0.5, "success": 0.25, "p50": 0.15, "p95": 0.10}
+
+
 def release_gate(df: DataFrame) -> DataFrame:
     checks = {
-        "success_ok": F.col("success_rate") >= 0.97, "quality_ok": F.col("avg_quality") >= 0.85,
-        "p50_ok": F.coalesce(F.col("p50_ms") <= 1500, F.lit(True)), "p95_ok": F.coalesce(F.col("p95_ms") <= 4000, F.lit(True)),
+        "success_ok": F.col("success_rate") >= RELEASE["success"], "quality_ok": F.col("avg_quality") >= RELEASE["quality"],
+        "p50_ok": F.coalesce(F.col("p50_ms") <= RELEASE["p50"], F.lit(True)), "p95_ok": F.coalesce(F.col("p95_ms") <= RELEASE["p95"], F.lit(True)),
     }
     out = df.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in checks.items()})
     return out.withColumn("released", F.forall(F.array(*checks), lambda x: x))
@@ -95,32 +103,39 @@ def rank(df: DataFrame, by: list[Column], out: str = "rank") -> DataFrame:
 def competition(summary: DataFrame, baseline: str | None = None) -> DataFrame:
     """Every engine against the baseline (the named one, else the best by quality): verdict, promotion, rank."""
     by_quality = [F.col("avg_quality").desc(), F.col("engine")]
-    first = summary.filter(F.col("engine") == baseline) if baseline else summary.orderBy(*by_quality).limit(1)
-    base = first.select(F.col("engine").alias("baseline"), F.col("avg_quality").alias("b_quality"), F.col("success_rate").alias("b_success"), F.col("p50_ms").alias("b_p50"))
+    own = F.struct(F.col("engine").alias("e"), F.col("avg_quality").alias("q"), F.col("success_rate").alias("s"), F.col("p50_ms").alias("p"))
+    every = Window.orderBy(*by_quality).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row an engine
+    base = F.max(F.when(F.col("engine") == baseline, own)).over(every) if baseline else F.first(own).over(every)
+    marked = release_gate(summary).withColumn("_base", base).filter("_base is not null")
+    marked = marked.select("*", *[F.col(f"_base.{c}").alias(n) for c, n in (("e", "baseline"), ("q", "b_quality"), ("s", "b_success"), ("p", "b_p50"))]).drop("_base")
     q, s = half_up(F.col("avg_quality") - F.col("b_quality")), half_up(F.col("success_rate") - F.col("b_success"))
-    out = release_gate(summary).crossJoin(F.broadcast(base)).withColumns({"quality_delta": q, "success_delta": s, "p50_ratio": half_up(F.col("p50_ms") / F.col("b_p50"))})
+    out = marked.withColumns({"quality_delta": q, "success_delta": s, "p50_ratio": half_up(F.col("p50_ms") / F.col("b_p50"))})
     r = F.col("p50_ratio")
-    regressed = (F.col("quality_delta") < -0.03) | (F.col("success_delta") < -0.02) | (r > 1.35)
-    better = ((F.col("quality_delta") >= 0.03) & (r <= 1.2)) | ((r <= 0.75) & (F.col("quality_delta") >= -0.01))
+    regressed = (F.col("quality_delta") < WORSE["quality"]) | (F.col("success_delta") < WORSE["success"]) | (r > WORSE["p50"])
+    better = ((F.col("quality_delta") >= BETTER["quality"]) & (r <= BETTER["p50"])) | ((r <= BETTER["fast"]) & (F.col("quality_delta") >= BETTER["fast_quality"]))
     out = out.withColumns({
         "verdict": F.when(regressed, "REGRESSION").when(better, "IMPROVEMENT").otherwise("MIXED_OR_TIE"),
-        "promoted": (F.col("cases") >= 12) & F.col("released") & ~regressed,
+        "promoted": (F.col("cases") >= PROMOTION_CASES) & F.col("released") & ~regressed,
         "composite": half_up(composite_score(F.col("avg_quality"), F.col("success_rate"), F.col("p50_ms"), F.col("p95_ms"))),
     })
     return rank(out, by_quality).drop("b_quality", "b_success", "b_p50")
 
 
-def canary(df: DataFrame, margin: float = 0.04) -> DataFrame:
-    """Of the promoted engines that whose blended score leads by the margin, if one does."""
-    df = df.filter("promoted")
+def _with_canary(df: DataFrame, margin: float) -> DataFrame:
+    """Adds ``score``, ``place`` and ``chosen``; the places of promoted engines are among themselves."""
     score = half_up(
-        0.5 * F.col("avg_quality") + 0.25 * F.col("success_rate")
-        + 0.15 * clamp(1 - F.coalesce("p50_ms", F.lit(9999)) / 1500) + 0.10 * clamp(1 - F.coalesce("p95_ms", F.lit(9999)) / 4000)
+        CANARY["quality"] * F.col("avg_quality") + CANARY["success"] * F.col("success_rate")
+        + CANARY["p50"] * clamp(1 - F.coalesce("p50_ms", F.lit(9999)) / RELEASE["p50"]) + CANARY["p95"] * clamp(1 - F.coalesce("p95_ms", F.lit(9999)) / RELEASE["p95"])
     )
-    ordered = Window.orderBy(F.col("score").desc(), "engine")
-    return df.withColumn("score", score).withColumn("lead", half_up(F.col("score") - F.lead("score").over(ordered))).withColumn("place", F.row_number().over(ordered)).select(
-        "engine", "score", "place", ((F.col("place") == 1) & F.coalesce(F.col("lead") >= margin, F.lit(True))).alias("chosen")
-    )
+    ordered = Window.partitionBy("promoted").orderBy(F.col("score").desc(), "engine")  # one row an engine
+    lead = half_up(F.col("score") - F.lead("score").over(ordered))
+    placed = df.withColumn("score", score).withColumns({"place": F.row_number().over(ordered), "lead": lead})
+    return placed.withColumn("chosen", F.col("promoted") & (F.col("place") == 1) & F.coalesce(F.col("lead") >= margin, F.lit(True)))
+
+
+def canary(df: DataFrame, margin: float = 0.04) -> DataFrame:
+    """Of the promoted engines that whose blended score leads by the margin, if one does."""
+    return _with_canary(df, margin).filter("promoted").select("engine", "score", "place", "chosen")
 
 
 # fixed values: what the runtime adds to an engine's score
@@ -129,14 +144,13 @@ RUNTIME = {"LAB_REGRESSION": -0.22, "PROMOTED_CANARY": 0.16, "PROMOTED_ELIGIBLE"
 
 def runtime_policy(df: DataFrame, days: int = 30, cases: int = 12) -> DataFrame:
     """``engine, verdict, promoted, cases, newest`` of a competition to a reason and an adjustment; rows older than ``days`` before the newest are ignored."""
-    now = df.agg(F.max("newest").alias("now"))
-    fresh = df.crossJoin(F.broadcast(now)).filter((F.col("cases") >= cases) & (F.unix_timestamp("now") - F.unix_timestamp("newest") <= days * 86_400))  # one row an engine
-    chosen = canary(fresh).select("engine", "chosen")
+    now = F.max("newest").over(Window.partitionBy())  # one row an engine
+    fresh = df.withColumn("now", now).filter((F.col("cases") >= cases) & (F.unix_timestamp("now") - F.unix_timestamp("newest") <= days * 86_400))
     reason = (
         F.when(F.col("verdict") == "REGRESSION", "LAB_REGRESSION").when(F.coalesce("chosen", F.lit(False)), "PROMOTED_CANARY").when(F.col("promoted"), "PROMOTED_ELIGIBLE").otherwise("NO_RUNTIME_PROMOTION")
     )
     value = F.create_map(*[F.lit(x) for kv in RUNTIME.items() for x in kv])
-    return fresh.join(chosen, "engine", "left").select("engine", reason.alias("reason")).withColumn("adjustment", value[F.col("reason")])
+    return _with_canary(fresh, 0.04).select("engine", reason.alias("reason")).withColumn("adjustment", value[F.col("reason")])
 
 
 def failure_patterns(rows: DataFrame, tag: str = "scenario") -> DataFrame:

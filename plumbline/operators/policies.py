@@ -239,13 +239,22 @@ def exact_identity(df: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(c("conflicts") != "", "conflicted").when(c("exact") & (c("confidence") >= 0.72), "exact_candidate").otherwise("partial"))
 
 
-def offer_match(target: dict[str, Column], offer: dict[str, Column]) -> Column:
-    """``struct(ok, confidence, reasons)``: weights of barcode 5, model 3, size 2, variant 2, brand 1; all but the brand refuse when they differ."""
-    weights = {"barcode": 5, "model": 3, "size": 2, "variant": 2, "brand": 1}
-    same = {n: F.coalesce(canonical_key(target[n]) == canonical_key(offer[n]), F.lit(False)) for n in weights}
-    differ = {n: target[n].isNotNull() & offer[n].isNotNull() & ~same[n] for n in weights}
-    weight = sum((F.when(target[n].isNotNull(), w).otherwise(0) for n, w in weights.items()), F.lit(0))
-    score = sum((F.when(target[n].isNotNull() & same[n], w).otherwise(0) for n, w in weights.items()), F.lit(0))
+# fixed values: what agreement of each field is worth; all but the brand refuse an offer when they differ
+MATCH_WEIGHTS = {"barcode": 5, "model": 3, "size": 2, "variant": 2, "brand": 1}
+
+
+def match_keys(df: DataFrame, fields: dict[str, Column], prefix: str) -> DataFrame:
+    """Adds the canonical keys of an offer's or a target's fields, once a row and before they meet."""
+    return df.withColumns({f"{prefix}{n}": canonical_key(fields[n]) for n in MATCH_WEIGHTS})
+
+
+def offer_match(target: str, offer: str) -> Column:
+    """``struct(ok, confidence, reasons)`` of the :func:`match_keys` with these prefixes."""
+    t, o = ({n: F.col(f"{prefix}{n}") for n in MATCH_WEIGHTS} for prefix in (target, offer))
+    same = {n: F.coalesce(t[n] == o[n], F.lit(False)) for n in t}
+    differ = {n: t[n].isNotNull() & o[n].isNotNull() & (t[n] != o[n]) for n in t}
+    weight = sum((F.when(t[n].isNotNull(), w).otherwise(0) for n, w in MATCH_WEIGHTS.items()), F.lit(0))
+    score = sum((F.when(same[n], w).otherwise(0) for n, w in MATCH_WEIGHTS.items()), F.lit(0))
     confidence = F.coalesce(F.try_divide(score, weight), F.lit(0.0))
     hard = differ["barcode"] | differ["model"] | differ["size"] | differ["variant"]
     return F.struct((~hard & (confidence >= 0.55)).alias("ok"), half_up(confidence, 2).alias("confidence"), F.array_join(issues({f"{n.upper()}_MISMATCH": d for n, d in differ.items()}), ",").alias("reasons"))

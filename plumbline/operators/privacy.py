@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.scalars import fnv1a32
+
 # fixed values: patterns of personal data, in the order they are looked for
 PATTERNS = {
     "rfc": r"\b[A-Z&Ññ]{3,4}\d{6}[A-Z0-9]{3}\b", "curp": r"\b[A-Z]{4}\d{6}[HM][A-Z]{5}[A-Z0-9]\d\b", "email": r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
@@ -55,17 +57,53 @@ def spliced(text: str | None, found: list[dict]) -> str | None:
 
 
 @F.arrow_udf(FINDINGS)
-def findings(texts: pa.Array) -> pa.Array:
+def _findings(texts: pa.Array) -> pa.Array:
     return pa.array([scan(t) for t in texts.to_pylist()], _KIND)
 
 
 @F.arrow_udf(T.StringType())
-def redacted(texts: pa.Array) -> pa.Array:
+def _redacted(texts: pa.Array) -> pa.Array:
     return pa.array([spliced(t, scan(t)) for t in texts.to_pylist()], pa.string())
 
 
+def suspect(text: Column) -> Column:
+    """Whether a text can hold personal data at all: every pattern needs an ``@`` or six digits close together."""
+    return F.contains(text, F.lit("@")) | text.rlike(r"\d(?:[\s.-]*\d){5}")
+
+
+def findings(text: str) -> Column:
+    """Findings of a text column; texts that cannot hold any stay in the JVM."""
+    return _findings(F.when(suspect(F.col(text)), F.col(text)))
+
+
+def redacted(text: str) -> Column:
+    return F.when(suspect(F.col(text)), _redacted(F.when(suspect(F.col(text)), F.col(text)))).otherwise(F.col(text))
+
+
+# fixed values: domains that are sensitive in themselves, and kinds of data that need consent
+SENSITIVE_DOMAINS, CONSENT_KINDS = ("finance", "medical", "health", "identity", "legal"), ("account", "clabe", "rfc", "curp")
+
+
+def search_gate(query: Column, seen: Column, domain: Column, allow: Column, ask_consent: Column) -> Column:
+    """``struct(sensitive, kinds, requires_consent, blocked, reason)``: whether a query may be sent to an outside search, by it and by what was read in a picture."""
+    text = F.concat_ws("\n", F.coalesce(query, F.lit("")), F.coalesce(seen, F.lit("")))
+    kinds = F.array_compact(F.array(*[F.when(text.rlike(pattern), F.lit(kind)) for pattern, kind in QUERY_PATTERNS[:8]]))
+    delicate = F.coalesce(domain.isin(*SENSITIVE_DOMAINS), F.lit(False))
+    consent = ask_consent & (delicate | F.arrays_overlap(kinds, F.lit(list(CONSENT_KINDS))))
+    reason = F.when(~allow, "external_search_disabled").when(consent, "sensitive_external_search_requires_minimization").otherwise("search_allowed_with_minimization")
+    return F.struct((delicate | (F.size(kinds) > 0)).alias("sensitive"), kinds.alias("kinds"), consent.alias("requires_consent"), (~allow).alias("blocked"), reason.alias("reason"))
+
+
+def fingerprint(query: Column) -> Column:
+    """The FNV-1a hash of a query as eight hex digits, by which a log can name it."""
+    return F.lpad(F.lower(F.hex(fnv1a32(query))), 8, "0")
+
+
 def safe_query(text: Column, longest: int = 240) -> Column:
-    """A search query without personal data and quotes, with single spaces, at most ``longest`` characters (a limit of the feature)."""
+    """A search query without personal data and quotes, with single spaces, at most ``longest`` characters (a limit of the feature).
+
+    A label keeps its place and loses the value that follows, whether or not a colon stands between; keeping values that follow a blank would be less safe.
+    """
     for pattern, token in QUERY_PATTERNS:
         text = F.regexp_replace(text, pattern, token)
     text = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), '["“”]', "")
@@ -75,6 +113,7 @@ def safe_query(text: Column, longest: int = 240) -> Column:
 def safe_queries(df: DataFrame, key: str, order: str, query: str = "query", top: int = 3) -> DataFrame:
     """Per key the first ``top`` different safe queries that still say something."""
     safe = df.select(key, order, safe_query(F.coalesce(query, F.lit(""))).alias("q"))
+    # fixed values: words that say nothing without what they stand for
     said = F.length(F.trim(F.regexp_replace("q", r"(?i)\b(email|phone|account|clabe|rfc|curp|reference|person)\b", ""))) >= 3
     first = safe.filter((F.col("q") != "") & said).groupBy(key, "q").agg(F.min(order).alias("at"))
     return first.groupBy(key).agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("at", "q"))), 1, top), lambda x: x["q"]).alias("queries"))

@@ -69,6 +69,7 @@ def explicit_regions(text: Column) -> Column:
 
 
 def currency_of(text: Column, question_region: Column, object_region: Column, locale: Column) -> Column:
+    # fixed values: how currencies are written in a text
     by_region = F.create_map(*[F.lit(x) for kv in CURRENCIES.items() for x in kv])
     of_locale = F.upper(F.get(F.split(locale, "-"), F.lit(1)))
     return (

@@ -314,9 +314,9 @@ def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(s % 2 == 0, "online").otherwise("physical").alias("channel"),
     )
     target = _identities(spark, sf_dir).select("product", "barcode", "brand", "model", "size", "variant", (F.col("status") == "exact_candidate").alias("identity_ok"))
-    fields = ("barcode", "model", "size", "variant", "brand")
-    match = policies.offer_match({f: F.col(f) for f in fields}, {f: F.col(f"o_{f}") if f != "variant" else F.lit(None).cast("string") for f in fields})
-    matched = rows.join(target, "product").withColumn("m", F.explode(F.array(match))).withColumns({"match_ok": F.col("m.ok"), "match_confidence": F.col("m.confidence")})
+    keyed = policies.match_keys(rows, {f: F.col(f"o_{f}") if f != "variant" else F.lit(None).cast("string") for f in policies.MATCH_WEIGHTS}, "ko_")
+    target = policies.match_keys(target, {f: F.col(f) for f in policies.MATCH_WEIGHTS}, "kt_")
+    matched = keyed.join(target, "product").withColumn("m", policies.offer_match("kt_", "ko_")).withColumns({"match_ok": F.col("m.ok"), "match_confidence": F.col("m.confidence")})
     return policies.compared_offers(matched)
 
 
