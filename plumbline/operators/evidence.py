@@ -93,3 +93,35 @@ def judge_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
         F.count_if(F.col("known")).alias("known_refs"), F.count_if(F.col("ref").isNotNull() & F.col("known").isNull()).alias("unknown_refs"), F.count_if("usable").alias("usable_refs")
     )
     return out.withColumn("status", F.when(F.col("usable_refs") >= 2, "supported").when(F.col("usable_refs") == 1, "single_source").otherwise("unsupported"))
+
+
+# fixed values: kinds of claims that need support, and those that need fresh support where a task asks for it
+NEEDS_SUPPORT, NEEDS_FRESH = ("fact", "price", "safety"), ("fact", "price")
+
+
+def judged_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Claims ``answer, id, type, status, refs, fresh_required`` against evidence ``ref, usable, search, fresh, qualified``: adds the judged status, the usable refs and the issues.
+
+    Every issue here blocks its answer, so an answer is sound if none of its claims has one.
+    """
+    refs = claims.select("answer", "id", F.explode_outer(F.array_distinct("refs")).alias("ref"))
+    met = refs.join(evidence.withColumn("known", F.lit(True)), "ref", "left")
+    c = F.col
+    good = c("known") & c("usable")
+    counted = met.groupBy("answer", "id").agg(
+        F.count_if(c("ref").isNotNull() & c("known").isNull()).alias("unknown"), F.count_if(c("known") & ~c("usable")).alias("inactive"), F.count_if(good).alias("usable_refs"),
+        F.count_if(good & c("search") & c("fresh")).alias("fresh"), F.count_if(good & c("search") & c("fresh") & c("qualified")).alias("qualified"),
+    )
+    rows = claims.join(counted, ["answer", "id"])
+    needs, fresh = c("type").isin(*NEEDS_SUPPORT), c("fresh_required") & c("type").isin(*NEEDS_FRESH)
+    stale, weak = fresh & (c("fresh") == 0), fresh & (c("fresh") > 0) & (c("qualified") == 0)
+    unsupported = needs & (c("usable_refs") == 0)
+    status = F.when(unsupported | stale | weak, "unsupported").when(needs & ~c("status").isin("supported", "partially_supported"), "supported").otherwise(c("status"))
+    told = {"inactive_evidence_ref": c("inactive") > 0, "unknown_evidence_ref": c("unknown") > 0, "unsupported": unsupported, "freshness_evidence_missing": stale, "source_quality_insufficient": weak}
+    issues = F.array_compact(F.array(*[F.when(on, F.concat(F.lit("unsupported_"), "type") if name == "unsupported" else F.lit(name)) for name, on in told.items()]))
+    return rows.select("answer", "id", "type", status.alias("status"), "usable_refs", issues.alias("issues"))
+
+
+def judged_answers(judged: DataFrame) -> DataFrame:
+    """``(answer, claims, ok, issues)``: how many issues the claims of each answer have."""
+    return judged.groupBy("answer").agg(F.count("*").alias("claims"), F.sum(F.size("issues")).alias("issues")).withColumn("ok", F.col("issues") == 0)

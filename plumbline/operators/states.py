@@ -40,6 +40,27 @@ def history(facts: DataFrame) -> DataFrame:
     return facts.withColumns({"place": place, "is_current": F.coalesce(newest["id"] == F.col("id"), F.lit(False))})
 
 
+#: Facts observed within so many milliseconds of the newest are of the same time.
+CONTEMPORARY_MS = 1000
+
+
+def current_facts(facts: DataFrame, within_ms: int = CONTEMPORARY_MS) -> DataFrame:
+    """Per entity and type ``status, id, value, claims, values``: the newest usable fact, or a conflict where usable facts of its time disagree.
+
+    The newest times are a small table; facts of older times leave before they are gathered.
+    """
+    usable = facts.filter("usable").withColumn("_ms", F.unix_millis(F.col("observed_at").cast("timestamp")))
+    newest = usable.groupBy("entity", "type").agg(F.max("_ms").alias("_newest"))
+    near = usable.join(newest, ["entity", "type"]).filter(F.col("_newest") - F.col("_ms") <= within_ms)
+    found = near.groupBy("entity", "type").agg(
+        F.max_by(F.struct("id", "value"), F.struct("_ms", "id")).alias("last"), F.array_sort(F.collect_set("value")).alias("values"), F.count("*").alias("claims")
+    )
+    agreed = F.size("values") == 1
+    known = found.select("entity", "type", F.when(agreed, "current").otherwise("conflicted").alias("status"), F.when(agreed, F.col("last.id")).alias("id"), F.when(agreed, F.col("last.value")).alias("value"), "claims", "values")
+    every = facts.select("entity", "type").distinct()
+    return every.join(known, ["entity", "type"], "left").withColumns({"status": F.coalesce("status", F.lit("none")), "claims": F.coalesce("claims", F.lit(0)), "values": F.coalesce("values", F.array().cast(dict(facts.dtypes)["value"].join(("array<", ">"))))})
+
+
 def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != ""))
 

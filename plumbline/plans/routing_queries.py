@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as fn
-from plumbline.operators import documents, normalise, routing
+from plumbline.operators import documents, evidence, normalise, routing, states
 from plumbline.plans.graph_queries import CASE_SQL, golden_cases
 from plumbline.plans.policy_queries import pick, pick_sql
 from plumbline.plans.registry import clamp, query, r
@@ -206,3 +206,51 @@ def g8_teacher_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("s_nationkey") / 25).alias("history"), F.when(s % 3 == 0, "fast").when(s % 3 == 1, "medium").otherwise("slow").alias("latency_class"), F.when(s % 2 == 0, s * 300).alias("measured_ms"), F.col("s_nationkey").alias("priority"),
     )
     return routing.ranked_teachers(tasks, providers, "task", 3).select("task", "place", "provider", fn.half_up(F.col("score")).alias("score"))
+
+
+@query(
+    f"""WITH {bind.FACTS}, u AS (SELECT * FROM f WHERE usable), n AS (SELECT entity, type, max(observed_at) AS t FROM u GROUP BY ALL),
+c AS (SELECT u.entity, u.type, count(*) AS claims, count(DISTINCT value) AS k, arg_max(id, row(observed_at, id)) AS id, arg_max(value, row(observed_at, id)) AS value, string_agg(DISTINCT value, ',' ORDER BY value) AS vals
+  FROM u JOIN n ON u.entity = n.entity AND u.type = n.type AND epoch_ms(n.t) - epoch_ms(observed_at) <= 1000 GROUP BY ALL)
+SELECT e.entity, e.type, CASE WHEN k IS NULL THEN 'none' WHEN k = 1 THEN 'current' ELSE 'conflicted' END AS status, CASE WHEN k = 1 THEN c.id END AS id, CASE WHEN k = 1 THEN c.value END AS value, coalesce(claims, 0) AS claims, coalesce(vals, '') AS "values"
+FROM (SELECT DISTINCT entity, type FROM f) e LEFT JOIN c ON e.entity = c.entity AND e.type = c.type"""
+)
+def w4_current_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current fact of every entity and type, unless facts of the same second disagree."""
+    return states.current_facts(bind.facts(spark, sf_dir)).select("entity", "type", "status", "id", "value", "claims", F.array_join("values", ",").alias("values"))
+
+
+CLAIMS_SQL = f"""c AS (SELECT l_orderkey AS answer, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, {pick_sql(["fact", "price", "opinion", "safety"], 'l_partkey')} AS type, CASE WHEN l_suppkey % 3 = 0 THEN 'partially_supported' ELSE 'claimed' END AS status, l_orderkey % 4 = 0 AS fresh_required,
+  unnest(list_distinct([l_suppkey, l_partkey % 130, CASE WHEN l_linenumber = 2 THEN l_suppkey END])) AS ref FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)),
+e AS (SELECT s_suppkey AS ref, s_suppkey % 5 > 0 AS usable, s_suppkey % 2 = 0 AS search, s_nationkey % 3 > 0 AS fresh, s_acctbal > 2000 AS qualified FROM supplier),
+m AS (SELECT answer, id, type, status, fresh_required, count(*) FILTER (c.ref IS NOT NULL AND e.ref IS NULL) AS unknown, count(*) FILTER (NOT usable) AS inactive, count(*) FILTER (usable) AS good, count(*) FILTER (usable AND search AND fresh) AS fresh, count(*) FILTER (usable AND search AND fresh AND qualified) AS qual
+  FROM c LEFT JOIN e ON c.ref = e.ref GROUP BY ALL),
+j AS (SELECT *, type <> 'opinion' AS needs, fresh_required AND type IN ('fact', 'price') AS ff FROM m),
+k AS (SELECT *, needs AND good = 0 AS uns, ff AND fresh = 0 AS stale, ff AND fresh > 0 AND qual = 0 AS weak FROM j)"""
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n, part, supp = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    claims = bind.table(spark, sf_dir, "lineitem").select(k, n, part, supp).distinct().select(
+        k.alias("answer"), F.concat_ws("-", k, n, part, supp).alias("id"), pick(["fact", "price", "opinion", "safety"], part).alias("type"), F.when(supp % 3 == 0, "partially_supported").otherwise("claimed").alias("status"),
+        F.array_compact(F.array(supp, part % 130, F.when(n == 2, supp))).alias("refs"), (k % 4 == 0).alias("fresh_required"),
+    )
+    s = F.col("s_suppkey")
+    known = bind.table(spark, sf_dir, "supplier").select(s.alias("ref"), (s % 5 > 0).alias("usable"), (s % 2 == 0).alias("search"), (F.col("s_nationkey") % 3 > 0).alias("fresh"), (F.col("s_acctbal") > 2000).alias("qualified"))
+    return evidence.judged_claims(claims, known)
+
+
+@query(
+    f"""WITH {CLAIMS_SQL} SELECT id, CASE WHEN uns OR stale OR weak THEN 'unsupported' WHEN needs AND status <> 'partially_supported' THEN 'supported' ELSE status END AS status, good AS usable_refs,
+  concat_ws(',', CASE WHEN inactive > 0 THEN 'inactive_evidence_ref' END, CASE WHEN unknown > 0 THEN 'unknown_evidence_ref' END, CASE WHEN uns THEN 'unsupported_' || type END, CASE WHEN stale THEN 'freshness_evidence_missing' END, CASE WHEN weak THEN 'source_quality_insufficient' END) AS issues FROM k"""
+)
+def g10_claim_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as claims of an answer, suppliers as its evidence: status and issues of each."""
+    return _judged(spark, sf_dir).select("id", "status", "usable_refs", F.array_join("issues", ",").alias("issues"))
+
+
+@query(
+    f"""WITH {CLAIMS_SQL}, a AS (SELECT answer, count(*) AS claims, sum((inactive > 0)::INT + (unknown > 0)::INT + uns::INT + stale::INT + weak::INT)::BIGINT AS issues FROM k GROUP BY answer) SELECT answer, claims, issues, issues = 0 AS ok FROM a"""
+)
+def g10_sound_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.judged_answers(_judged(spark, sf_dir))
