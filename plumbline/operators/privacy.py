@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from plumbline.functions.scalars import fnv1a32
 
@@ -117,3 +118,34 @@ def safe_queries(df: DataFrame, key: str, order: str, query: str = "query", top:
     said = F.length(F.trim(F.regexp_replace("q", r"(?i)\b(email|phone|account|clabe|rfc|curp|reference|person)\b", ""))) >= 3
     first = safe.filter((F.col("q") != "") & said).groupBy(key, "q").agg(F.min(order).alias("at"))
     return first.groupBy(key).agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("at", "q"))), 1, top), lambda x: x["q"]).alias("queries"))
+
+
+_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"  # a word's edge by ASCII letters, digits and underscores
+# fixed values: what is taken out of texts that are sent with a task, and how much of a conversation and of a text may be sent
+PACKAGE_PATTERNS = [
+    ("EMAIL", rf"(?i){_EDGE}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{_EDGE}"), ("PHONE", rf"{_EDGE}(?:\+?52\s*)?(?:\d[\s.-]?){{10}}{_EDGE}"), ("CARD", rf"{_EDGE}(?:\d[ -]*?){{13,19}}{_EDGE}"),
+    ("RFC", rf"(?iu){_EDGE}[A-ZÑ&]{{3,4}}\d{{6}}[A-Z0-9]{{3}}{_EDGE}"),
+]
+MOST_TURNS, TURNS, SUMMARY = 8, 4, 1200
+
+
+def package_text(text: Column) -> Column:
+    """A text as it may be sent with a task: personal data replaced by its kind. Texts that cannot hold any are left as they are."""
+    clean = F.coalesce(text, F.lit(""))
+    for kind, pattern in PACKAGE_PATTERNS:
+        clean = F.regexp_replace(clean, pattern, f"[REDACTED_{kind}]")
+    return F.when(suspect(text), clean).otherwise(F.coalesce(text, F.lit("")))
+
+
+def package_summary(text: Column) -> Column:
+    """A read text on one line, of at most 1,200 characters."""
+    one = F.trim(F.regexp_replace(package_text(text), r"\s+", " "))
+    return F.when(F.length(one) > SUMMARY, F.concat(F.left(one, F.lit(SUMMARY)), F.lit("…"))).otherwise(one)
+
+
+def package_turns(turns: DataFrame, key: str, order: str, text: str = "text", last: int = TURNS) -> DataFrame:
+    """``(key, turns)``: the last turns of a conversation ``(order, text)``, redacted; at most eight."""
+    last = max(0, min(MOST_TURNS, last))
+    late = turns.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter(F.col("_k") <= last)
+    kept = late.select(key, F.struct(order, package_text(F.col(text)).alias("text")).alias("t")).groupBy(key).agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    return turns.select(key).distinct().join(kept, key, "left")

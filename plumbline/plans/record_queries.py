@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.functions import scalars as fn
 from plumbline.operators import benchmark, records
@@ -57,8 +58,9 @@ def p18_merged_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH g AS (SELECT conv_id, list(turn ORDER BY turn) AS turns FROM conversations GROUP BY 1) SELECT conv_id, array_to_string(turns[greatest(len(turns) - 2, 1):], ',') AS kept FROM g""")
 def p20_compact_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last three turns of every conversation, as its state keeps them."""
-    turns = bind.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    return turns.select("conv_id", F.array_join(F.transform(records.last_of(F.col("turns"), 3), lambda t: t.cast("string")), ",").alias("kept"))
+    late = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    last = bind.table(spark, sf_dir, "conversations").select("conv_id", "turn", late.alias("late")).filter("late <= 3")
+    return last.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("turn")), lambda t: t.cast("string")), ",").alias("kept"))
 
 
 PLACES = ["from Mexico", "made in Japan", "for the UK and Spain", "nowhere", "in España, no: France"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as fn
-from plumbline.operators import documents, evidence, normalise, routing, states
+from plumbline.operators import documents, evidence, normalise, privacy, routing, states
 from plumbline.plans.graph_queries import CASE_SQL, golden_cases
 from plumbline.plans.policy_queries import pick, pick_sql
 from plumbline.plans.registry import clamp, query, r
@@ -254,3 +254,24 @@ def g10_claim_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def g10_sound_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.judged_answers(_judged(spark, sf_dir))
+
+
+def _redacted_sql(text: str) -> str:
+    for kind, pattern in (("EMAIL", r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"), ("PHONE", r"\b(?:\+?52\s*)?(?:\d[\s.-]?){10}\b"), ("CARD", r"\b(?:\d[ -]*?){13,19}\b"), ("RFC", r"(?i)\b[A-ZÑ&]{3,4}\d{6}[A-Z0-9]{3}\b")):
+        text = f"regexp_replace({text}, '{pattern}', '[REDACTED_{kind}]', 'g')"
+    return text
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, {_redacted_sql("coalesce(text, '') || CASE WHEN turn % 2 = 0 THEN ' write to user' || conv_id || '@example.com or +52 55 1234 56' || lpad(conv_id::VARCHAR, 2, '0') || ', card 4539 5787 6362 1486, ABCD010203XY1' ELSE '' END")} AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
+SELECT conv_id, count(*) AS turns, sha256(string_agg(text, chr(10) ORDER BY turn)) AS digest, count(*) FILTER (contains(text, '[REDACTED_EMAIL]')) AS hidden FROM t WHERE k <= 4 GROUP BY conv_id"""
+)
+def p8_package_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last turns of conversations, with personal data put into some, as they may be sent with a task."""
+    c = F.col("conv_id").cast("string")
+    said = F.concat(F.lit(" write to user"), c, F.lit("@example.com or +52 55 1234 56"), F.lpad(c, 2, "0"), F.lit(", card 4539 5787 6362 1486, ABCD010203XY1"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn") % 2 == 0, said).otherwise(""))
+    sent = privacy.package_turns(bind.table(spark, sf_dir, "conversations").withColumn("text", text), "conv_id", "turn")
+    hidden = F.size(F.filter("turns", lambda t: F.contains(t["text"], F.lit("[REDACTED_EMAIL]"))))
+    return sent.select("conv_id", F.size("turns").cast("bigint").alias("turns"), F.sha2(F.array_join("turns.text", "\n"), 256).alias("digest"), hidden.cast("bigint").alias("hidden"))
