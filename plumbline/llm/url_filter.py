@@ -8,8 +8,7 @@ the universe that level 0 wrongly accepts, level 2 the listed keys that level 1
 so on until a level accepts nothing wrongly. Urls are judged by bit tests alone; no join is needed.
 
 Everything is DataFrame functions. What reaches the driver are the words of the filters, whose number
-follows the rule list (``MAX_RULES`` bounds it; longer lists are judged in parts, one call a part, and the longest
-rule of all parts taken) and not the corpus: the first level's error rate is set from the ratio of listed to other keys, so that later levels hold about as many keys as are listed.
+follows the rule list (``MAX_RULES`` bounds it; a longer list is an error, since its filters would have to be joined) and not the corpus: the first level's error rate is set from the ratio of listed to other keys, so that later levels hold about as many keys as are listed.
 
 Edge cases: a null url, or one without ``://``, has empty host and path and fits only rules with an
 empty host; empty tables give no rows; repeated rows are judged each by itself.
