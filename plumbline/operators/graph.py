@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.sources.places import new_dir
+
 
 def ready_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Pending nodes all of whose dependencies are completed, or optional and failed or skipped."""
@@ -15,14 +17,14 @@ def ready_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a walk: a checkpoint where the session has a folder for one, else the plan grows (local tests)."""
-    context = df.sparkSession.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if named is None:
-            return df
-        context.setCheckpointDir(named)
-    return df.checkpoint()
+    """Cuts the lineage of a walk: the rows written in the shared folder and read again.
+
+    A checkpoint would keep the estimated size of its plan, which squares with every join of a walk with itself: after twenty rounds a number of millions of digits.
+    """
+    spark = df.sparkSession
+    path = new_dir(spark, "walk")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _jumps(edges: DataFrame) -> DataFrame:

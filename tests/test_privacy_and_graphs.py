@@ -111,3 +111,9 @@ def test_random_graphs_equal_a_walk(spark):
         assert {r.id: r.level for r in graph.levels(nodes, edges).collect()} == level
         assert {r.id for r in graph.descendants(edges, "n3").collect()} == reach
         assert {r.id for r in graph.issues(nodes, edges).filter("issue = 'cycle'").collect()} == set(names) - set(level)
+
+
+def test_estimated_sizes_of_walks_do_not_square(spark):
+    steps = [(f"n{k}", f"n{k - 1}") for k in range(1, 600)] + [("a", "b"), ("b", "a")]
+    jumps = graph._jumps(spark.createDataFrame(steps, "id string, dep string"))
+    assert len(str(jumps._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 20
