@@ -59,7 +59,9 @@ def leaves(df: DataFrame, keys: list[str], text: str, depth: int = DEPTH) -> Dat
 def flattened(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, values)``: all leaves of a document as texts, in order of their paths; without nulls."""
     rows = leaves(df, [key], text).filter("value <> 'null'")
-    return df.select(key).join(rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("path", "value"))), lambda x: x["value"]).alias("values")), key, "left").select(key, F.coalesce("values", F.array().cast("array<string>")).alias("values"))
+    found = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("path", "value"))), lambda x: x["value"]).alias("values"))
+    # Spark halves its estimate with every level of the walk and would broadcast all documents
+    return df.select(key).join(found.hint("merge"), key, "left").select(key, F.coalesce("values", F.array().cast("array<string>")).alias("values"))
 
 
 def altered(before: DataFrame, after: DataFrame, keys: list[str], text: str) -> DataFrame:

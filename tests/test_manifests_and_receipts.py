@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as fn
-from plumbline.operators import corpus, papers
+from plumbline.operators import corpus, documents, papers
 
 
 def test_manifest_digests_do_not_depend_on_the_number_of_rows(spark):
@@ -34,3 +34,10 @@ def test_amounts_of_a_million_keep_their_first_digit(spark):
     df = spark.createDataFrame([(1, text), (2, small)], "k int, text string")
     got = {r.k: (r.total, r.cash, r.recovered) for r in papers.recovered_totals(papers.money_fields(papers.lines_of(df, "k"), "k")).collect()}
     assert got == {1: (5_101_764_780, 101_774_780, False), 2: (11_600, None, True)}
+
+
+def test_leaves_of_all_documents_are_not_broadcast(spark):
+    df = spark.createDataFrame([("a", '{"x": [1, {"y": 2}], "z": null}'), ("b", "{}"), ("c", "no json")], "k string, doc string")
+    found = documents.flattened(df, "k", "doc")
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: r["values"] for r in found.collect()} == {"a": ["1", "2"], "b": [], "c": []}
