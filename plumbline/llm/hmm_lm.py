@@ -9,8 +9,8 @@ Training is Baum-Welch over all training tokens. A round runs forward and backwa
 for each class, the expected counts of its states; Spark adds them up over the partitions, and the driver, which gets one
 row a class, makes the next parameters from them. Sequences are trained in stretches: a stretch begins with the last
 token of the one before it, so that every transition and every emission is counted once; stretches that
-continue a text have a start distribution of their own. The first parameters come from a few rounds over ``SAMPLE`` random stretches
-on the driver, a bounded start for the rounds over everything. Scoring runs the scaled forward recursion over whole texts, which is the exact likelihood.
+continue a text have a start distribution of their own. The first pass over all training texts goes by ``BLOCKS`` blocks of them and makes new parameters
+after each (stepwise Baum-Welch); the rounds over everything follow. Scoring runs the scaled forward recursion over whole texts, which is the exact likelihood.
 
 Counts of words grow with the corpus and stay in a table. The most frequent words of all documents, at most ``LOOKUP``, go to every
 task; occurrences of other words are joined to the table, so no key of that join is frequent.
@@ -36,7 +36,7 @@ from plumbline.llm.common import written
 
 WORDS, BUCKETS, LOOKUP = 8192, 512, 200_000
 STATES, ROUNDS = 16, 2
-SAMPLE, SAMPLE_ROUNDS = 6000, 25
+BLOCKS = 20
 STRETCH, STRETCHES = 128, 2048
 ENDING = 4
 SLICE = 8 << 20
@@ -283,35 +283,40 @@ def gathered(model: Model, sequences: Iterator[list[bytes]]) -> tuple[np.ndarray
     return start, step, emit
 
 
-def train(sequences: DataFrame, lex: Lexicon, states: int = STATES, rounds: int = ROUNDS, sample: int = SAMPLE) -> Model:
-    """Baum-Welch over all of ``(doc_id, classes)``."""
-    size = 2 * (STRETCH + 1)
-    place = F.pmod(F.xxhash64("classes", F.lit(1)), F.greatest(F.lit(1), F.floor((F.length("classes") - 1) / size)))
-    some = sequences.select(F.xxhash64("doc_id", "classes").alias("h"), F.substring("classes", (place * size + 1).cast("int"), F.lit(size)).alias("c"))
-    one_in = max(1, int(lex.class_counts[0]) // (2 * sample))  # about twice as many as needed leave their tasks
-    first = [bytes(r["c"]) for r in some.filter(F.pmod("h", F.lit(one_in)) == 0).orderBy("h", "c").limit(sample).collect()]
-    model = first_model(lex.class_counts, states)
-    for _ in range(SAMPLE_ROUNDS if first else 0):
-        model = next_model(*gathered(model, iter([first])), lex.class_counts)
+def counted(sequences: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts over all of ``(classes)``, added up by Spark; the driver gets a row a class."""
+    states = model.step.shape[0]
     names = [f"s{k}" for k in range(states)]
     schema = "kind int, class bigint, " + ", ".join(f"{n} double" for n in names)
-    for _ in range(rounds):
-        shared = sequences.sparkSession.sparkContext.broadcast(model)
+    shared = sequences.sparkSession.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            found = gathered(shared.value, (batch.column(0).to_pylist() for batch in batches))
-            for kind, counts in enumerate(found):
-                rows = np.flatnonzero(counts.sum(axis=1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), kind, np.int32)), pa.array(rows), *(pa.array(counts[rows, k]) for k in range(states))], ["kind", "class", *names]
-                )
-
-        rows = sequences.select("classes").mapInArrow(run, schema).groupBy("kind", "class").agg(*(F.sum(n).alias(n) for n in names)).collect()
-        counts = [np.zeros_like(model.start), np.zeros_like(model.step), np.zeros_like(model.emit)]
-        for r in rows:
-            counts[r["kind"]][r["class"]] = [r[n] for n in names]
-        model = next_model(*counts, lex.class_counts)
-        shared.unpersist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = gathered(shared.value, (batch.column(0).to_pylist() for batch in batches))
+        for kind, counts in enumerate(found):
+            rows = np.flatnonzero(counts.sum(axis=1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(rows), kind, np.int32)), pa.array(rows), *(pa.array(counts[rows, k]) for k in range(states))], ["kind", "class", *names]
+            )
+
+    rows = sequences.select("classes").mapInArrow(run, schema).groupBy("kind", "class").agg(*(F.sum(n).alias(n) for n in names)).collect()
+    counts = (np.zeros_like(model.start), np.zeros_like(model.step), np.zeros_like(model.emit))
+    for r in rows:
+        counts[r["kind"]][r["class"]] = [r[n] for n in names]
+    shared.unpersist()
+    return counts
+
+
+def train(sequences: DataFrame, lex: Lexicon, states: int = STATES, rounds: int = ROUNDS, blocks: int = BLOCKS) -> Model:
+    """Baum-Welch over all of ``(doc_id, classes)``: one pass block by block, each block of texts once, then ``rounds`` over everything."""
+    model = first_model(lex.class_counts, states)
+    total = [np.zeros_like(x) for x in (model.start, model.step, model.emit)]
+    block = F.pmod(F.xxhash64("doc_id", "classes"), F.lit(blocks))
+    for k in range(blocks):
+        own, rate = counted(sequences.filter(block == k), model), (k + 1) ** -0.7
+        total = [(1 - rate) * t + rate * blocks * o for t, o in zip(total, own, strict=True)]
+        model = next_model(*total, lex.class_counts)
+    for _ in range(rounds):
+        model = next_model(*counted(sequences, model), lex.class_counts)
     return model
 
 

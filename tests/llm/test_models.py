@@ -301,3 +301,17 @@ def test_variants_equal_plain_loops(spark, monkeypatch, task_words):
 def test_variants_of_an_empty_table(spark):
     assert spelling.variants(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert spelling.variants(spark.createDataFrame([(1, "short or rare words only")], "doc_id long, text string")).count() == 0
+
+
+def test_first_pass_of_the_language_model_takes_every_text_once(spark, monkeypatch):
+    original, seen = hmm_lm.counted, []
+
+    def noted(sequences, model):
+        seen.append(sorted(r.doc_id for r in sequences.select("doc_id").collect()))
+        return original(sequences, model)
+
+    monkeypatch.setattr(hmm_lm, "counted", noted)
+    docs = spark.createDataFrame([(k, False, f"w{k % 7} w{k % 3} end") for k in range(30)], "doc_id long, held_out boolean, text string")
+    lex = hmm_lm.lexicon(hmm_lm.word_counts(docs), 30, n_words=4, buckets=2)
+    hmm_lm.train(hmm_lm.encoded(docs, lex).select("doc_id", "classes"), lex, states=3, rounds=1, blocks=4)
+    assert len(seen) == 5 and sorted(k for s in seen[:4] for k in s) == list(range(30)) == seen[4]
