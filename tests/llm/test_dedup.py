@@ -364,3 +364,16 @@ def test_vectors_of_extreme_length_link(spark, scale):
     df = spark.createDataFrame([(k, [float(v) for v in r * scale], 0) for k, r in enumerate(rows)], "vec_id bigint, embedding array<double>, label int")
     got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df).collect()}
     assert [got[k] for k in range(len(rows))] == want.tolist()
+
+
+def test_near_copies_are_met_by_their_fingerprints(spark):
+    """The pairs of the SimHash step are those that plain comparison of fingerprints spans."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in rng.integers(0, 5000, 200)) for _ in range(20)]
+    texts += [" ".join([*t.split()[:-1], "other"]) for t in texts[:10]]
+    prints = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    want = groups(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4])
+    sets = shingle_pairs.prefix_table(spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)], DOCS), np.zeros(0, np.int64))
+    place = {r.key: r.doc_id for r in sets.collect()}
+    pairs = [(place[r.src], place[r.dst]) for r in shingle_pairs.simhash_pairs(sets).collect()]
+    assert groups(len(texts), pairs) == want and len(pairs) > 3
