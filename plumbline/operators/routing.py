@@ -90,19 +90,22 @@ def latency_worth(measured: Column, kind: Column) -> Column:
 
 
 SIGNATURE = ["required", "language", "needs_evidence", "needs_freshness", "local_only", "sensitive", "consent"]
+GROUPS = 64  # fixed value: groups of providers whose best bound what must be sorted
 
 
 def ranked_teachers(tasks: DataFrame, providers: DataFrame, key: str, top: int) -> DataFrame:
     """``(key, place, provider, score)``: the best ``top`` providers of every task.
 
-    Tasks ask in few ways; each way of asking (required capabilities, language and needs) is ranked once, and tasks meet its result by an equi-join.
-    Providers come to a way of asking by the capabilities that it requires, so only those that have one of them are looked at.
+    Tasks ask in few ways; each way of asking (required capabilities, language and needs) is ranked once. Ways are sent to the providers, which are
+    compared where they lie, and the best of each way to the tasks, so neither table is shuffled. A provider is sorted only if it reaches the score
+    that ``top`` of the ``GROUPS`` groups of providers reach with their best.
     """
-    ways = tasks.select(*SIGNATURE).distinct().withColumn("way", F.xxhash64(*SIGNATURE))
-    able = providers.select("provider", F.explode("capabilities").alias("c")).select("provider", "c.capability", F.col("c.score").alias("worth"))
-    asked = ways.select("way", F.size("required").alias("n"), F.explode("required").alias("capability"))
-    met = asked.join(able, "capability").groupBy("way", "provider").agg(F.count("*").alias("have"), F.first("n").alias("n"), F.avg("worth").alias("fit")).filter("have = n").select("way", "provider", "fit")
-    rows = met.join(providers.drop("capabilities"), "provider").join(ways, "way").filter(F.col("healthy") & allowed(F.col("privacy"), F.col("local_only"), F.col("sensitive"), F.col("consent")))
+    ways = tasks.select(*SIGNATURE).distinct().withColumn("way", F.xxhash64(*SIGNATURE)).withColumn("capability", F.get("required", F.lit(0)))
+    able = providers.filter("healthy").select("*", F.explode(F.array_distinct("capabilities.capability")).alias("capability"))
+    fits = F.flatten(F.transform("required", lambda r: F.filter("capabilities", lambda x: x["capability"] == r)))
+    met = able.join(F.broadcast(ways), "capability")  # a provider meets a way by the first capability that is required
+    met = met.filter((F.size(fits) == F.size("required")) & allowed(F.col("privacy"), F.col("local_only"), F.col("sensitive"), F.col("consent")))
+    rows = met.withColumn("fit", F.aggregate(fits, F.lit(0.0), lambda a, x: a + x["score"]) / F.size("required"))
     c = F.col
     speaks = (c("language") == "auto") | F.arrays_overlap("languages", F.array(F.lit("auto"), "language"))
     worth = {
@@ -110,6 +113,10 @@ def ranked_teachers(tasks: DataFrame, providers: DataFrame, key: str, top: int)
         "reliability": c("reliability"), "history": c("history"), "language": F.when(speaks, 1.0).otherwise(0.4), "latency": latency_worth(c("measured_ms"), c("latency_class")),
     }
     score = sum((worth[name] * weight for name, weight in WEIGHTS.items()), F.lit(0.0)) + c("priority") * PRIORITY
+    scored = rows.select("way", "provider", score.alias("score"))
+    firsts = scored.groupBy("way", F.pmod(F.hash("provider"), F.lit(GROUPS)).alias("g")).agg(F.max("score").alias("first"))
+    least = firsts.groupBy("way").agg(F.get(F.sort_array(F.collect_list("first"), asc=False), F.lit(top - 1)).alias("least"))
+    near = scored.join(F.broadcast(least), "way").filter("least is null or score >= least")
     place = F.row_number().over(Window.partitionBy("way").orderBy(F.desc("score"), "provider"))
-    best = rows.select("way", "provider", score.alias("score")).withColumn("place", place).filter(F.col("place") <= top)
-    return tasks.select(key, F.xxhash64(*SIGNATURE).alias("way")).join(best, "way").select(key, "place", "provider", "score")
+    best = near.select("way", "provider", "score").withColumn("place", place).filter(F.col("place") <= top)
+    return tasks.select(key, F.xxhash64(*SIGNATURE).alias("way")).join(F.broadcast(best), "way").select(key, "place", "provider", "score")

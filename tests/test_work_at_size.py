@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import half_up
-from plumbline.operators import papers
+from plumbline.operators import papers, routing
 
 
 def plan(df):
@@ -42,3 +42,12 @@ def test_merchants_look_for_brands_once_a_line(spark):
     found = papers.merchants(papers.lines_of(df, "k"), "k")
     assert plan(found).count(r"WALMART\b, ") + plan(found).count(r"WALMART\b THEN") <= 2
     assert {(r.k, r.merchant, r.kind, r.score) for r in found.collect()} == {(1, "EL FLORIDO", "brand", 11), (2, "OXXO", "brand", 11)}
+
+
+def test_teachers_are_cut_to_the_best_before_they_are_sorted(spark):
+    tasks = spark.sql("select id as task, array('a', 'b') as required, 'es' as language, false as needs_evidence, false as needs_freshness, id = 1 as local_only, false as sensitive, true as consent from range(3)")
+    caps = "array(named_struct('capability', 'b', 'score', 0.5D), named_struct('capability', if(id % 5 = 0, 'c', 'a'), 'score', 0.7D))"
+    providers = spark.sql(f"select id as provider, {caps} as capabilities, array('auto') as languages, array(if(id = 8, 'local', 'cloud')) as privacy, id <> 3 as healthy, 0.5D as reliability, 0D as evidence, 0D as freshness, 0D as history, 'fast' as latency_class, cast(null as bigint) as measured_ms, if(id < 900, 1, 0) as priority from range(1000)")
+    found = routing.ranked_teachers(tasks, providers, "task", 3)
+    assert sorted((r.task, r.place, r.provider) for r in found.collect()) == [(0, 1, 1), (0, 2, 2), (0, 3, 4), (1, 1, 8), (2, 1, 1), (2, 2, 2), (2, 3, 4)]
+    assert "hashpartitioning(provider" not in found._jdf.queryExecution().executedPlan().toString()
