@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.operators.answers import error_codes
+from plumbline.operators.papers import let
 
 # fixed values: how a brand, a model and a serial number are named in a text
 NAMED = {
@@ -44,7 +45,7 @@ _PLAIN = re.compile("[^a-z0-9]")
 
 def named(text: Column, kind: str) -> Column:
     found = F.regexp_replace(F.trim(F.regexp_extract(text, NAMED[kind], 1)), r"\s{2,}", " ")
-    return F.when(found != "", found)
+    return let(found, lambda x: F.nullif(x, F.lit("")))
 
 
 def view_type(text: Column, user_text: Column, parts: Column) -> Column:
@@ -138,42 +139,59 @@ class Session:
         return self.ids[best], status, confidence, ",".join(why)
 
 
-def placed_photos(photos: DataFrame) -> DataFrame:
-    """``(session, at, photo, entity, status, confidence, reasons)`` of :func:`photo_evidence` rows ``session, at, photo``; an object has the id of the photo that founded it."""
+def placed_photos(photos: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``(session, at, photo, entity, status, confidence, reasons)`` of :func:`photo_evidence` rows ``session, at, photo``; an object has the id of the photo that founded it. Columns to carry come along unread."""
+    carry = carry or []
     cols = ["session", "at", "photo", *NAMED, "labels", "another", "same"]
-    sorted_rows = photos.select(*cols).repartition("session").sortWithinPartitions("session", "at", "photo")
+    sorted_rows = photos.select(*cols, *carry).repartition("session").sortWithinPartitions("session", "at", "photo")
     kinds = dict(photos.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, session = None, Session()
         for batch in batches:
             found = []
-            for row in batch.to_pylist():
+            for row in batch.select(cols).to_pylist():
                 if row["session"] != current or not session.ids:
                     current, session = row["session"], Session()
                 found.append(session.place(row["photo"], row))
             entity, status, confidence, reasons = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(entity, pa.int64()), pa.array(status, pa.string()), pa.array(confidence, pa.float64()), pa.array(reasons, pa.string())],
-                ["session", "at", "photo", "entity", "status", "confidence", "reasons"],
+                [*batch.columns[:3], pa.array(entity, pa.int64()), pa.array(status, pa.string()), pa.array(confidence, pa.float64()), pa.array(reasons, pa.string()), *(batch.column(c) for c in carry)],
+                ["session", "at", "photo", "entity", "status", "confidence", "reasons", *carry],
             )
 
-    return sorted_rows.mapInArrow(run, f"session {kinds['session']}, at {kinds['at']}, photo bigint, entity bigint, status string, confidence double, reasons string")
+    return sorted_rows.mapInArrow(run, f"session {kinds['session']}, at {kinds['at']}, photo bigint, entity bigint, status string, confidence double, reasons string" + "".join(f", {c} {kinds[c]}" for c in carry))
+
+
+LISTS = ["views", "error_codes", "states", "parts"]
+
+
+def said(texts: bool = True) -> Column:
+    """What a photo of :func:`photo_evidence` says, as an array of ``(kind, value, place)``; texts only if they are wanted."""
+    lists = {"views": F.array("view"), "error_codes": F.col("error_codes"), "states": F.col("states"), "parts": F.col("parts")}
+    lists |= {"texts": F.array(F.when(F.col("ocr_text") != "", F.col("ocr_text")))} if texts else {}
+    kinds = {"photo": F.array(F.lit("*"))} | {k: F.array(k) for k in NAMED} | lists  # every photo has one row of the first kind
+    row = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("kind"), x.alias("value"), i.alias("place"))
+    as_rows = [F.transform(F.coalesce(v, F.array().cast("array<string>")), row(k)) for k, v in kinds.items()]
+    names = list(NAMED)
+    return F.filter(F.concat(*as_rows), lambda x: x["value"].isNotNull() & (x["kind"].isin(names) | (x["value"] != "")))
 
 
 def entity_summary(evidence: DataFrame, placed: DataFrame) -> DataFrame:
     """One row an object: its names, the photos and views of it, and its codes, states, parts and last texts, each once in order of appearance."""
-    order = F.struct("at", "photo")
-    rows = evidence.join(placed.select("photo", "entity"), "photo").withColumn("turn", order)
-    first = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("turn"))).alias(c)
-    one = rows.groupBy("entity").agg(F.count("*").alias("photos"), *(first(k) for k in NAMED))
-    kinds = {"views": F.array("view"), "error_codes": F.col("error_codes"), "states": F.col("states"), "parts": F.col("parts"), "texts": F.array(F.when(F.col("ocr_text") != "", F.col("ocr_text")))}
-    each = [rows.select("entity", "turn", F.lit(kind).alias("kind"), F.posexplode(values).alias("place", "value")) for kind, values in kinds.items()]
-    all_values = each[0]
-    for more in each[1:]:
-        all_values = all_values.unionByName(more)
-    once = all_values.filter(F.col("value") != "").groupBy("entity", "kind", "value").agg(F.min(F.struct("turn", "place")).alias("first"))
-    late = F.row_number().over(Window.partitionBy("entity", "kind").orderBy(F.desc("first")))
-    texts = once.filter("kind = 'texts'").withColumn("late", late).filter(F.col("late") <= TEXTS).drop("late")
-    lists = once.filter("kind <> 'texts'").unionByName(texts).groupBy("entity").pivot("kind", list(kinds)).agg(F.array_sort(F.collect_list(F.struct("first", "value")))["value"])
-    return one.join(lists, "entity", "left")
+    return summarised(evidence.select("photo", said().alias("said")).join(placed.select("at", "photo", "entity"), "photo"), True)
+
+
+def summarised(photos: DataFrame, texts: bool) -> DataFrame:
+    """Rows ``at, photo, entity, said`` to one an object: each value is kept once, by its first turn, and the values of an object are put together at the end."""
+    lists = [*LISTS, "texts"] if texts else LISTS
+    rows = photos.select("entity", "at", "photo", F.inline("said"))
+    once = rows.groupBy("entity", "kind", "value").agg(F.count("*").alias("n"), F.min(F.struct(F.struct("at", "photo").alias("turn"), "place")).alias("first"))
+    if texts:
+        late = F.row_number().over(Window.partitionBy("entity", "kind").orderBy(F.desc("first")))
+        last = once.filter("kind = 'texts'").withColumn("late", late).filter(F.col("late") <= TEXTS).drop("late")
+        once = once.filter("kind <> 'texts'").unionByName(last)
+    named = lambda k: F.min_by(F.when(F.col("kind") == k, F.col("value")), F.when(F.col("kind") == k, F.col("first"))).alias(k)
+    listed = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("first", "value"))))["value"]
+    found = once.groupBy("entity").agg(F.sum(F.when(F.col("kind") == "photo", F.col("n"))).alias("photos"), *(named(k) for k in NAMED), *(listed(k).alias(k) for k in lists))
+    return found.withColumns({k: F.when(F.size(k) > 0, F.col(k)) for k in lists})

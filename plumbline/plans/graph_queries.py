@@ -82,8 +82,8 @@ FROM m LEFT JOIN {_once('view')} v USING (entity) LEFT JOIN {_once('code', 'code
 )
 def a27_entity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What all photos of an object say together."""
-    photos = photo_rows(spark, sf_dir)
-    found = photo_graph.entity_summary(photos, photo_graph.placed_photos(photos))
+    photos = photo_rows(spark, sf_dir).withColumn("said", photo_graph.said(texts=False))
+    found = photo_graph.summarised(photo_graph.placed_photos(photos, ["said"]), texts=False)
     joined = [F.coalesce(F.array_join(c, ","), F.lit("")).alias(c) for c in ("views", "error_codes", "states", "parts")]
     return found.select("entity", "photos", "brand", "model", "serial", *joined)
 
