@@ -6,6 +6,7 @@ changes and rewrites the text. Only the Unicode normalisation leaves the JVM, an
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -25,6 +26,8 @@ CONFUSED = [
 ]
 # fixed values: an amount with letters that stand for its digits, and labels whose lines may repeat
 AMOUNT = r"(?iu)(?<![A-ZÁÉÍÓÚÑ])(?:\$|MXN\s*|MN\s*)?[\s]*[0-9OIl]{1,7}(?:[ ,.][0-9OIl]{3})*[.,][0-9OIl]{2}(?:\s*(?:MXN|MN))?(?![A-ZÁÉÍÓÚÑ])"
+# what an amount with one of these letters holds: the letter, and the digits after it or the separator before it
+LETTERED = r"(?iu)(?-iu:[OoIl])[0-9OIl]{0,6}(?:[ ,.][0-9OIl]{3})*[.,][0-9OIl]{2}|[.,](?:(?-iu:[OoIl])[0-9OIl]|[0-9OIl](?-iu:[OoIl]))"
 AMOUNT_SURE, REPEAT_SURE, UNICODE_SURE = 0.93, 0.9, 0.99
 FINANCIAL = r"(?i)(?<!\w)(?:SUB\s*TOTAL|TOTAL|IVA|EFECTIVO|CAMBIO|DESCUENTO|DESC|PAGO)(?!\w)"
 SHOWN = 160
@@ -46,21 +49,32 @@ def entries(rule: str, before: Column, after: Column, confidence: float) -> Colu
     return F.transform(before, lambda m: F.struct(F.lit(rule).alias("rule"), shown(m).alias("before"), after.alias("after"), F.lit(confidence).alias("confidence")))
 
 
+def misspelt(pattern: str, label: str) -> str:
+    """A regular expression for the words of ``pattern`` that are not the label itself.
+
+    It asks for the first letter before anything else, so that most places of a text are passed by one comparison.
+    """
+    first = re.match(r"\[[^]]*\]|\w", pattern)[0]
+    return rf"(?i){first}(?<!\w{first})(?!(?<=(?-i:{label[0]}))(?-i:{label[1:]})){pattern[len(first):]}(?!\w)"
+
+
 def replaced(df: DataFrame, pattern: str, label: str, rule: str, confidence: float) -> DataFrame:
-    """One step: every other spelling of a label becomes the label."""
-    whole = rf"(?i)(?<!\w){pattern}(?!\w)"
-    changed = F.filter(F.regexp_extract_all("text", F.lit(whole), 0), lambda m: m != label)
-    return df.withColumn("log", F.concat("log", entries(rule, changed, F.lit(label), confidence))).withColumn("text", F.regexp_replace("text", whole, label))
+    """One step: every other spelling of a label becomes the label. Texts without one are only looked through once."""
+    other = misspelt(pattern, label)
+    found = F.col("text").rlike(other)
+    log = F.when(found, F.concat("log", entries(rule, F.regexp_extract_all("text", F.lit(other), 0), F.lit(label), confidence))).otherwise(F.col("log"))
+    return df.withColumns({"log": log, "text": F.when(found, F.regexp_replace("text", other, label)).otherwise(F.col("text"))})
 
 
 def amounts(df: DataFrame) -> DataFrame:
-    """One step: letters inside amounts become the digits that they look like."""
-    found = F.regexp_extract_all("text", F.lit(AMOUNT), 0)
+    """One step: letters inside amounts become the digits that they look like. Texts without such a letter are only looked through once."""
+    found, gaps = F.regexp_extract_all("text", F.lit(AMOUNT), 0), F.regexp_extract_all("text", F.lit(rf"(?s)(.*?)(?:{AMOUNT}|\z)"), 1)
     digits = lambda m: F.translate(m, "OoIl", "0011")
     changed = F.filter(found, lambda m: m != digits(m))
     log = F.transform(changed, lambda m: F.struct(F.lit("AMOUNT_GLYPH_OIL_TO_01").alias("rule"), shown(m).alias("before"), shown(digits(m)).alias("after"), F.lit(AMOUNT_SURE).alias("confidence")))
-    text = F.array_join(F.zip_with(F.split("text", AMOUNT), F.transform(found, digits), lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
-    return df.withColumn("log", F.concat("log", log)).withColumn("text", text)
+    text = F.array_join(F.zip_with(gaps, F.transform(found, digits), lambda gap, m: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(m, F.lit("")))), "")
+    lettered = F.col("text").rlike(LETTERED)
+    return df.withColumns({"log": F.when(lettered, F.concat("log", log)).otherwise(F.col("log")), "text": F.when(lettered, text).otherwise(F.col("text"))})
 
 
 def repeats(df: DataFrame) -> DataFrame:

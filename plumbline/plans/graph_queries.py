@@ -90,6 +90,9 @@ def a27_entity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- damaged receipt texts ---------------------------------------------------------------------------
 
+#: Parts of the damaged texts for each shuffle partition.
+DEALT = 4
+
 DAMAGED = f"""{bind.RECEIPTS},
 a AS (SELECT receipt AS k, printf('%d.%02d', subtotal // 100, subtotal % 100) AS s, printf('%d.%02d', tax // 100, tax % 100) AS t, printf('%d.%02d', total // 100, total % 100) AS a FROM r),
 t AS (SELECT k, 'TIENDA NORTE' || chr(10) || 'FOLIO OIIO' || chr(10) || 'SUBTOTAL ' || s || repeat(chr(10) || 'IVA ' || t, CASE WHEN k % 6 = 0 THEN 2 ELSE 1 END) || chr(10) || 'TOTAL $' || a AS text,
@@ -114,7 +117,9 @@ def t6_repaired_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("TIENDA NORTE\n"), F.when(k % 4 == 0, "TIENDA NORTE \n").otherwise(""), F.lit("FOLIO OIIO\n"), F.when(k % 3 == 0, "S U B T O T A L ").when(k % 3 == 1, "SUBT0TAL ").otherwise("SUB\nTOTAL "), money("subtotal"), F.lit("\n"),
         tax, F.when(k % 6 == 0, tax).otherwise(""), label, F.lit(" $"), total,
     )
-    fixed = repair.repaired(bind.receipts(spark, sf_dir).select("receipt", text.alias("text")))
+    # the sums are few bytes, but the repair of their texts is work for many tasks: a given number is not merged again by size
+    dealt = bind.receipts(spark, sf_dir).repartition(DEALT * int(spark.conf.get("spark.sql.shuffle.partitions")), "receipt")
+    fixed = repair.repaired(dealt.select("receipt", text.alias("text")))
     return fixed.select("receipt", F.col("normalized").alias("text"), F.array_join(F.col("log.rule"), ",").alias("rules"), "confidence")
 
 
