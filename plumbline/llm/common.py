@@ -47,12 +47,16 @@ def new_dir(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """The rows written as Parquet in the shared folder and read again; cuts the lineage."""
+def written_at(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
+    """The rows written as Parquet in the shared folder and read again, and the folder; cuts the lineage."""
     spark = df.sparkSession
     path = new_dir(spark, kind)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, kind: str) -> DataFrame:
+    return written_at(df, kind)[0]
 
 
 @contextmanager

@@ -5,13 +5,14 @@ from __future__ import annotations
 import random
 import time
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 
 import corpus_pipeline
-from plumbline.llm import components, embedding_dedup, line_templates, shingle_pairs, simhash
+from plumbline.llm import common, components, embedding_dedup, line_templates, shingle_pairs, simhash
 
 DOCS = "doc_id bigint, text string, count int, tile string"
 
@@ -377,3 +378,14 @@ def test_near_copies_are_met_by_their_fingerprints(spark):
     place = {r.key: r.doc_id for r in sets.collect()}
     pairs = [(place[r.src], place[r.dst]) for r in shingle_pairs.simhash_pairs(sets).collect()]
     assert groups(len(texts), pairs) == want and len(pairs) > 3
+
+
+def test_near_copies_leave_no_table_as_large_as_the_texts(spark):
+    words = [f"w{k}" for k in range(60)]
+    df = spark.createDataFrame([(k, " ".join([*words[: 50 + k % 3], f"x{k}"] if k % 2 else [f"y{k}-{i}" for i in range(20)])) for k in range(40)], "doc_id long, text string")
+    with common.noted_folders() as made:
+        found = shingle_pairs.near_duplicates(df).collect()
+    assert {r.component_id for r in found if r.doc_id % 2} == {1} and len({r.component_id for r in found}) == 21
+    left = [Path(p).name.rsplit("-", 1)[0] for p in made if Path(p.removeprefix("file:")).exists()]
+    assert "star-links" in left  # read by the result
+    assert not {"prefixes", "set-prefixes", "shared-shingles", "asked-sets", "shingle-sets", "placed-shingles", "open-shingles"} & set(left)
