@@ -23,7 +23,6 @@ its text. No piece of a BPE model may have over 63 characters.
 from __future__ import annotations
 
 import gc
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from operator import add
@@ -172,6 +171,11 @@ def parts_of(text: str | None) -> list[str]:
     return text.replace(SPACE, " ").split(" ") if text else []
 
 
+def words_of(texts: pa.Array) -> pa.ListArray:
+    """The parts of each text, as :func:`parts_of` gives them; a text without any has one that is empty."""
+    return pc.split_pattern(pc.replace_substring(texts.fill_null(""), SPACE, " "), " ")
+
+
 def frequent_words(docs: DataFrame, limit: int = FREQUENT, sample: int = SAMPLE) -> DataFrame:
     """``(word)``: the most frequent words of about ``sample`` texts, at most ``limit``."""
 
@@ -179,11 +183,9 @@ def frequent_words(docs: DataFrame, limit: int = FREQUENT, sample: int = SAMPLE)
         for batch in batches:
             texts = batch.column(0)
             for k in range(0, len(texts), SLICE):
-                words: Counter[str] = Counter()
-                for text in texts.slice(k, SLICE).to_pylist():
-                    words.update(parts_of(text))
-                del words[""]
-                yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
+                counted = pc.value_counts(words_of(texts.slice(k, SLICE)).flatten())
+                counted = counted.filter(pc.not_equal(counted.field(0), ""))
+                yield pa.RecordBatch.from_arrays([counted.field(0), counted.field(1)], ["word", "n"])
 
     share = min(1.0, sample / max(1, docs.count()))
     found = docs.select("text").sample(share, seed=1).mapInArrow(run, "word string, n bigint")
@@ -360,6 +362,12 @@ class Encoder:
         self.step = pieces.width.itemsize
         self.mark = pieces.pack([pieces.ids[SPACE]])
         self.gap = pieces.pack([np.iinfo(pieces.width).max])
+        self.listed, self.lists = pa.array(self.words, pa.string()), self.id_lists(list(self.words.values()))
+
+    def id_lists(self, packed: list[bytes]) -> pa.ListArray:
+        """Packed ids as lists."""
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.step
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.frombuffer(b"".join(packed), self.pieces.width)))
 
     def resolved(self, words: list[str]) -> dict[str, tuple[bytes, list[str]]]:
         """For each word its packed ids, with gaps, and the units of the gaps."""
@@ -387,47 +395,63 @@ class Encoder:
             ids, run = ids[self.step :], run + 1
         return self.pieces.pack(self.pieces.space_run(run)) + ids
 
-    def encode(self, texts: pa.Array, gaps_only: bool = False) -> tuple[list[bytes], list[np.ndarray], list[list[int]], list[str]]:
+    def gaps(self, texts: pa.Array) -> tuple[list[np.ndarray], list[str]]:
+        """For each text the numbers of the units of its gaps, as :meth:`encode` gives them, without its ids; the units."""
+        lists = words_of(texts)
+        coded = lists.flatten().dictionary_encode()
+        rare = np.flatnonzero(~pc.is_in(coded.dictionary, value_set=self.listed).to_numpy(zero_copy_only=False))
+        flat, counts = self.pieces.cut(coded.dictionary.take(pa.array(rare)).to_pylist())
+        new = [k for k, unit in enumerate(flat) if unit not in self.units and self.pieces.is_unit(unit)]
+        units = sorted({flat[k] for k in new})
+        number = {unit: k for k, unit in enumerate(units)}
+        owned = np.zeros(len(coded.dictionary), np.int64)
+        owned[rare] = np.bincount(np.repeat(np.arange(len(rare)), counts)[new], minlength=len(rare)) if new else 0
+        found, ends = self.taken(self.listed_by(pa.array([number[flat[k]] for k in new], pa.int32()), owned), coded.indices, lists)
+        return [found[i:j] for i, j in zip(ends, ends[1:], strict=False)], units
+
+    def encode(self, texts: pa.Array) -> tuple[list[bytes], list[np.ndarray], list[list[int]], list[str]]:
         """For each text its packed ids with gaps, for every gap the number of its unit and (or nothing) how many spaces stand before it; the units.
 
         Words are looked up once a batch; what follows from a word is then taken for each place it has.
         """
-        lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), SPACE, " "), " ")
+        lists = words_of(texts)
         coded = lists.flatten().dictionary_encode()
-        words, places = coded.dictionary.to_pylist(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
-        made = list(map(self.words.get, words))
-        rare = [k for k, ids in enumerate(made) if ids is None]
-        known = self.resolved([words[k] for k in rare])
+        where = pc.index_in(coded.dictionary, value_set=self.listed)
+        rare = np.flatnonzero(where.is_null().to_numpy(zero_copy_only=False))
+        words = coded.dictionary.take(pa.array(rare)).to_pylist()
+        known = self.resolved(words)
         units = sorted({unit for _, own in known.values() for unit in own})
         number = {unit: k for k, unit in enumerate(units)}
-        own, owned = [], np.zeros(len(words), np.int64)
-        for k in rare:
-            made[k], found = known[words[k]]
-            owned[k] = len(found)
-            own += found
-        gaps, gap_ends = self.taken(pa.array([number[u] for u in own], pa.int32()), owned, coded.indices, places)
-        if gaps_only:
-            return [], [gaps[i:j] for i, j in zip(gap_ends, gap_ends[1:], strict=False)], [], units
-        sizes = np.fromiter(map(len, made), np.int64, len(made)) // self.step
-        ids, ends = self.taken(pa.array(np.frombuffer(b"".join(made), self.pieces.width)), sizes, coded.indices, places)
+        owned = np.zeros(len(coded.dictionary), np.int64)
+        owned[rare] = [len(known[word][1]) for word in words]
+        own = pa.array([number[unit] for word in words for unit in known[word][1]], pa.int32())
+        gaps, gap_ends = self.taken(self.listed_by(own, owned), coded.indices, lists)
+        place = where.fill_null(0).to_numpy().astype(np.int64)
+        place[rare] = len(self.lists) + np.arange(len(rare))
+        every = pa.concat_arrays([self.lists, self.id_lists([known[word][0] for word in words])])
+        ids, ends = self.taken(every, pa.array(place).take(coded.indices), lists)
         packed = [ids[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)]
         numbers = [gaps[i:j] for i, j in zip(gap_ends, gap_ends[1:], strict=False)]
         runs: list[list[int]] = [[]] * len(packed)
-        if "" in words:
-            where = {w: known.get(w) or (ids, []) for w, ids in zip(words, made, strict=True)}
-            empty = np.flatnonzero(coded.indices.to_numpy() == words.index(""))
-            for k in np.unique(np.searchsorted(places, empty, "right") - 1).tolist():
-                packed[k], found, runs[k] = self.with_runs(parts_of(texts[k].as_py()), where)
+        at_empty = pc.index(coded.dictionary, "").as_py()
+        if at_empty >= 0:
+            places = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+            for k in np.unique(np.searchsorted(places, np.flatnonzero(coded.indices.to_numpy() == at_empty), "right") - 1).tolist():
+                parts = parts_of(texts[k].as_py())
+                packed[k], found, runs[k] = self.with_runs(parts, {part: known.get(part) or (self.words[part], []) for part in parts})
                 numbers[k] = np.array([number[u] for u in found], np.int32)
         return packed, numbers, runs, units
 
     @staticmethod
-    def taken(values: pa.Array, lengths: np.ndarray, indices: pa.Array, places: np.ndarray) -> tuple[np.ndarray, list[int]]:
-        """The lists (of those lengths) at the indices, one after the other, and where those of each text begin and end."""
-        if not len(lengths):
-            return np.zeros(0, np.int32), [0] * len(places)
-        out = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), values).take(indices)
-        return out.flatten().to_numpy(), np.r_[0, np.cumsum(lengths[indices.to_numpy()])][places].tolist()
+    def listed_by(values: pa.Array, lengths: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), values)
+
+    @staticmethod
+    def taken(values: pa.ListArray, indices: pa.Array, texts: pa.ListArray) -> tuple[np.ndarray, list[int]]:
+        """What the words of the texts have in ``values``, one after the other, and where that of each text begins and ends."""
+        out = values.take(indices)
+        ends = np.r_[0, np.cumsum(out.value_lengths().to_numpy())]
+        return out.flatten().to_numpy(), ends[np.r_[0, np.cumsum(texts.value_lengths().to_numpy())]].tolist()
 
     def with_runs(self, parts: list[str], known: dict[str, tuple[bytes, list[str]]]) -> tuple[bytes, list[str], list[int]]:
         """The same for one text with more than single spaces between its words."""
@@ -501,7 +525,7 @@ def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", check: str | None
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 texts = batch.column(0).slice(k, SLICE)
-                _, numbers, _, units = encoder.encode(texts, gaps_only=True)
+                numbers, units = encoder.gaps(texts)
                 row, unit, rank, _ = ranked(numbers, len(units))
                 keys = np.array([text_key(t)[1:] for t in texts.to_pylist()], np.int64).reshape(-1, 2)
                 columns = [pa.array(units, pa.string()).take(pa.array(unit)), pa.array(keys[row, 0]), pa.array(rank + (keys[row, 1] << 32))]
@@ -512,7 +536,7 @@ def encode(docs: DataFrame, pieces: Pieces, out: str = "ids", check: str | None
     asked = docs.select("text").mapInArrow(ask, "unit string, key bigint, place bigint").filter("unit is not null").repartition(parts, "unit")
     once = asked.distinct()
     # the filter above and the aggregates here keep the optimizer from making two shuffles of one: no other filter or pruning gets below
-    units = once.groupBy("unit").agg(F.max(F.length("unit")).alias("n"), F.sum("place").alias("places")).filter("places >= 0").select("unit", "n")
+    units = asked.groupBy("unit").agg(F.max(F.length("unit")).alias("n"), F.max("place").alias("place"), F.max("key").alias("key")).filter("place >= 0 and key is not null").select("unit", "n")
     found = encoded_units(units, pieces)
     packed = pa.binary()
 

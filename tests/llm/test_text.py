@@ -6,6 +6,7 @@ import html
 import random
 import re
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -249,3 +250,14 @@ def test_many_distinct_tags_take_linear_memory():
     html_crf.leaf_blocks(page)
     assert tracemalloc.get_traced_memory()[1] < 200 << 20
     tracemalloc.stop()
+
+
+def test_units_asked_for_are_those_of_the_gaps():
+    pieces = sentencepiece_lattice.default_pieces(None)
+    words = {"the": pieces.pack([5]), "cat": pieces.pack([6, 7])}
+    texts = pa.array(["the cat sat", None, "", "  the  zzyx the zzyx\u2581cat", "\U0001f600 the", "cat"])
+    encoder = sentencepiece_lattice.Encoder(pieces, {}, words)
+    numbers, units = encoder.gaps(texts)  # without ids, and without a look at known words
+    packed, want, _, known = encoder.encode(texts)
+    assert units == known and [x.tolist() for x in numbers] == [x.tolist() for x in want]
+    assert packed[5] == words["cat"] and packed[1] == packed[2] == b"" and len(numbers[3]) == 2 * len(set(numbers[3].tolist())) > 0
