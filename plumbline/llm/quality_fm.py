@@ -6,8 +6,8 @@ cut into bins, and its words hashed into a fixed number of columns (unit length)
 logistic of ``w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)``: all pairwise
 interactions in time linear in the vector's entries.
 
-The model is fitted on the driver from at most ``MAX_TRAIN`` labelled rows, the first by a hash of their
-id, whose vectors executors make; its size is fixed by ``BUCKETS`` and ``RANK``. Every text is scored whole.
+The model is fitted in one task from at most ``MAX_TRAIN`` labelled rows, the first by a hash of their
+id, whose vectors other tasks make; its size is fixed by ``BUCKETS`` and ``RANK``, and only the model comes to the driver. Every text is scored whole.
 
 Edge cases: null and empty texts have no words and zero statistics and get a score; labels other than 0
 and 1 and labels of unknown documents are ignored; without labelled rows every score is 0.5; rows are
@@ -178,17 +178,25 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     sample = known.orderBy("turn", "label").limit(max_train)
     joined = docs.select("doc_id", "text", recorded(docs)).join(F.broadcast(sample), "doc_id")  # at most max_train rows of three numbers
     one = joined.groupBy("doc_id", "label", "turn").agg(F.min("text").alias("text"), F.min("n_chars").alias("n_chars"))  # documents that share an id count once
-    got = vectors(one).toArrow().combine_chunks()
-    order = np.lexsort((got["label"].to_numpy(), got["turn"].to_numpy()))[:max_train]
 
-    def rows(name: str) -> list[np.ndarray]:
-        column = got[name].combine_chunks()
-        flat, ends = column.flatten().to_numpy(), np.r_[0, np.cumsum(np.diff(column.offsets.to_numpy()))]
-        return [flat[ends[r] : ends[r + 1]] for r in order]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (parts := list(batches)):
+            return
+        got = pa.Table.from_batches(parts)
+        order = np.lexsort((got["label"].to_numpy(), got["turn"].to_numpy()))[:max_train]
+
+        def rows(name: str) -> list[np.ndarray]:
+            column = got[name].combine_chunks()
+            flat, ends = column.flatten().to_numpy(), np.r_[0, np.cumsum(np.diff(column.offsets.to_numpy()))]
+            return [flat[ends[r] : ends[r + 1]] for r in order]
+
+        model = fit(rows("columns"), rows("values"), got["label"].to_numpy()[order].astype(np.float32))
+        yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.linear.tobytes()]), pa.array([model.factors.tobytes()])], ["bias", "linear", "factors"])
 
-    if not len(order):
+    made = vectors(one).repartition(1).mapInArrow(run, "bias double, linear binary, factors binary").collect()  # the rows of the sample at most
+    if not made:
         return fit([], [], np.array([]))
-    return fit(rows("columns"), rows("values"), got["label"].to_numpy()[order].astype(np.float32))
+    return Model(made[0]["bias"], np.frombuffer(made[0]["linear"], np.float32), np.frombuffer(made[0]["factors"], np.float32).reshape(WIDTH, RANK))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

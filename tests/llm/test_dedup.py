@@ -389,3 +389,51 @@ def test_near_copies_leave_no_table_as_large_as_the_texts(spark):
     left = [Path(p).name.rsplit("-", 1)[0] for p in made if Path(p.removeprefix("file:")).exists()]
     assert "star-links" in left  # read by the result
     assert not {"prefixes", "set-prefixes", "shared-shingles", "asked-sets", "shingle-sets", "placed-shingles", "open-shingles"} & set(left)
+
+
+def joined_rows(spark, since: int, column: str) -> int:
+    """Rows that joins by a column made in the runs from number ``since`` on."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    for run in range(since, store.executionsCount()):
+        graph, found = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for k in range(graph.size()):
+            node = graph.apply(k)
+            for m in range(node.metrics().size()) if "Join" in node.name() and f"[{column}" in node.desc().split("Inner")[0] and "own" in node.desc() else ():
+                metric = node.metrics().apply(m)
+                if metric.name() == "number of output rows" and found.contains(metric.accumulatorId()):
+                    total += int(found.apply(metric.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_a_passage_in_many_texts_makes_no_pairs(spark, monkeypatch):
+    """The sample does not know the passage, and its shingles stand in most prefixes."""
+    monkeypatch.setattr(shingle_pairs, "FREQUENT", 10**9)
+    passage = [f"p{k}" for k in range(60)]
+    texts = [" ".join([*(f"own{k}x{j}" for j in range(200 + k % 20)), *passage]) for k in range(150)]
+    texts += [f"{texts[k]} more" for k in range(0, 150, 10)]
+    before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = {r.doc_id: r.component_id for r in shingle_pairs.near_duplicates(spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)], DOCS)).collect()}
+    assert [got[k] for k in range(len(texts))] == groups(len(texts), jaccard_links(texts))
+    assert joined_rows(spark, before, "shingle") < 20 * len(texts)
+
+
+@pytest.mark.parametrize("many", [1, 3])
+def test_near_copies_whose_common_shingles_many_texts_have(spark, monkeypatch, many):
+    monkeypatch.setattr(shingle_pairs, "MANY", many)
+    monkeypatch.setattr(shingle_pairs, "LARGE", 12)
+    monkeypatch.setattr(shingle_pairs, "FREQUENT", 10**9)
+    rng = np.random.default_rng(many)
+    stock = [[f"p{s}x{k}" for k in range(12)] for s in range(12)]
+    texts = []
+    for k in range(60):
+        words = [w for s in rng.permutation(12)[: rng.integers(2, 9)] for w in stock[s]]
+        texts.append(" ".join([*words, *(f"own{k}x{j}" for j in range(int(rng.integers(0, 20))))]))
+    for k in range(140):
+        words = texts[int(rng.integers(len(texts)))].split()
+        cut = int(rng.integers(0, 2 + len(words) // 5))
+        texts.append(" ".join(words[cut:] if k % 2 else [*words, *(f"new{k}x{j}" for j in range(cut))]))
+    got = {r.doc_id: r.component_id for r in shingle_pairs.near_duplicates(spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)], DOCS)).collect()}
+    want = groups(len(texts), jaccard_links(texts))
+    assert 5 < len(set(want)) < 150
+    assert [got[k] for k in range(len(texts))] == want

@@ -261,3 +261,11 @@ def test_units_asked_for_are_those_of_the_gaps():
     packed, want, _, known = encoder.encode(texts)
     assert units == known and [x.tolist() for x in numbers] == [x.tolist() for x in want]
     assert packed[5] == words["cat"] and packed[1] == packed[2] == b"" and len(numbers[3]) == 2 * len(set(numbers[3].tolist())) > 0
+
+
+def test_only_the_model_comes_to_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "good words here" if k % 2 else "$$ || ##", 10) for k in range(40)], "doc_id bigint, text string, n_chars bigint")
+    monkeypatch.setattr(type(docs), "toArrow", None)
+    model = quality_fm.train(docs, docs.selectExpr("doc_id", "doc_id % 2 as label"))
+    scores = {r.doc_id: r.score for r in quality_fm.score(docs, model).collect()}
+    assert min(scores[k] for k in range(1, 40, 2)) > max(scores[k] for k in range(0, 40, 2))
